@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from salesprism.llm.common import fold
+from salesprism.llm.languages import identify_languages, train_languages
 from salesprism.llm.licenses import license_sql, scan_licenses
 from salesprism.llm.mixing import mix_sources
 from salesprism.llm.secrets import scan_secrets
 from salesprism.llm.topk import top_k
+from salesprism.llm.toxicity import score_toxicity, train_toxicity
+from salesprism.llm.warc import build_derivatives, pages_as_responses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +32,26 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"), fold("label_id", 5) != 0)
+    return score_toxicity(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify_languages(docs, train_languages(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_derivatives(pages_as_responses(_table(spark, sf_dir, "pages")), carry=("page_id",))
+
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
