@@ -41,13 +41,13 @@ def fold(id_column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(start, SLICE_ROWS).to_pydict()
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows).to_pydict()
 
 
-def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """df.mapInArrow with fn called on bounded slices; fn may return any number of rows."""
     from pyspark.sql.types import StructType
 
@@ -57,8 +57,8 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        for rows in row_slices(batches):
-            out = fn(rows)
+        for own in row_slices(batches, rows):
+            out = fn(own)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)

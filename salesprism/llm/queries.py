@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from salesprism.llm.common import fold
+from salesprism.llm.decontamination import find_contamination
 from salesprism.llm.languages import identify_languages, train_languages
 from salesprism.llm.licenses import license_sql, scan_licenses
 from salesprism.llm.mixing import mix_sources
+from salesprism.llm.neardup import jaccard_join
 from salesprism.llm.secrets import scan_secrets
 from salesprism.llm.topk import top_k
 from salesprism.llm.toxicity import score_toxicity, train_toxicity
@@ -24,10 +26,32 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, md5(coalesce(text, '')) AS tk, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+nodes AS (SELECT tk, any_value(w) AS w, count(*) AS copies, min(doc_id) AS first_id FROM texts WHERE len(w) > 0 GROUP BY tk),
+shingles AS (SELECT DISTINCT tk, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT tk, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM nodes)),
+sizes AS (SELECT tk, count(*) AS n FROM shingles GROUP BY tk),
+shared AS (SELECT a.tk AS u, b.tk AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.tk <> b.tk GROUP BY ALL),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.tk = u JOIN sizes y ON y.tk = v WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT tk AS u, tk AS v FROM nodes UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+classes AS (SELECT u AS tk, min(first_id) AS class_id FROM reach JOIN nodes ON nodes.tk = v GROUP BY u),
+counted AS (SELECT u AS tk, sum(copies) AS linked FROM links JOIN nodes ON nodes.tk = v GROUP BY u)
+SELECT t.doc_id, coalesce(c.class_id, t.doc_id) AS class_id, coalesce(n.copies - 1 + coalesce(x.linked, 0), 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN nodes n USING (tk) LEFT JOIN classes c USING (tk) LEFT JOIN counted x USING (tk)"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -66,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_sql(), "op9_top_k": TOP_K_SQL}
+    return {"op2_jaccard_join": JACCARD_SQL, "op3_license_scan": license_sql(), "op9_top_k": TOP_K_SQL}
