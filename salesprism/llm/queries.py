@@ -12,6 +12,7 @@ from salesprism.llm.languages import identify_languages, train_languages
 from salesprism.llm.licenses import license_sql, scan_licenses
 from salesprism.llm.mixing import mix_sources
 from salesprism.llm.neardup import jaccard_join
+from salesprism.llm.ppm import score_documents
 from salesprism.llm.secrets import scan_secrets
 from salesprism.llm.topk import top_k
 from salesprism.llm.toxicity import score_toxicity, train_toxicity
@@ -52,6 +53,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
