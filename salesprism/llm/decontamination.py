@@ -260,19 +260,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     return found.withColumnRenamed("id", id_column)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of docs in whose text no item is in reach."""
+def _clean(sent):
+    """A column function: whether no item of the broadcast block is in reach."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    for block in item_blocks(benchmark):
-        sent, cache = docs.sparkSession.sparkContext.broadcast(block), {}
+    cache: dict[str, Matcher] = {}
 
-        @pandas_udf("boolean")
-        def clean(texts: pd.Series, sent=sent, cache=cache) -> pd.Series:
-            if "own" not in cache:
-                cache["own"] = Matcher(sent.value)
-            return pd.Series([not x for x in cache["own"].search(texts.tolist())], dtype=bool)
+    @pandas_udf("boolean")
+    def clean(texts):
+        if "own" not in cache:
+            cache["own"] = Matcher(sent.value)
+        return pd.Series([not x for x in cache["own"].search(texts.tolist())], dtype=bool)
 
-        docs = docs.where(clean(text_or_empty(text_column)))
+    return clean
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows of docs in whose text no item is in reach."""
+    for block in item_blocks(benchmark):
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(text_or_empty(text_column)))
     return docs
