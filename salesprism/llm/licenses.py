@@ -52,7 +52,7 @@ def needed(words: list[str], threshold: float) -> int:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else kept. lower() is faster and differs in ASCII letters only for two characters."""
-    return F.when(text.contains("K") | text.contains("İ"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.when(text.contains("\u212a") | text.contains("\u0130"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def words_of(text: Column) -> Column:

@@ -317,10 +317,10 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each class: the smallest id, one row of it if rows repeat."""
     found = near_duplicates(docs, id_column, text_column)
-    rest = found.select("tk", "first_id", "first_rows", (F.col("tk") == F.col("class_key")).alias("leads")).withColumnsRenamed({"tk": "_tk", "first_id": "_id", "first_rows": "_rows", "leads": "_leads"})
-    rows = docs.withColumn("_key", text_key(text_column))
-    rows = rows.join(rest, rows["_key"] == rest["_tk"], "left").where(F.col("_tk").isNull() | F.col("_leads") & F.col(id_column).eqNullSafe(F.col("_id")))
+    rest = found.select("tk", "first_id", "first_rows", (F.col("tk") == F.col("class_key")).alias("leads")).withColumnsRenamed({"tk": "__dup_tk", "first_id": "__dup_id", "first_rows": "__dup_rows", "leads": "__dup_leads"})
+    rows = docs.withColumn("__dup_key", text_key(text_column))
+    rows = rows.join(rest, rows["__dup_key"] == rest["__dup_tk"], "left").where(F.col("__dup_tk").isNull() | F.col("__dup_leads") & F.col(id_column).eqNullSafe(F.col("__dup_id")))
     rows = written(rows, "dup-kept")
-    single = rows.where("_rows is null or _rows = 1")
-    repeated = rows.where("_rows > 1").dropDuplicates(["_key"])
+    single = rows.where("__dup_rows is null or __dup_rows = 1")
+    repeated = rows.where("__dup_rows > 1").dropDuplicates(["__dup_key"])
     return single.union(repeated).select(*docs.columns)
