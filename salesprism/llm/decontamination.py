@@ -8,7 +8,8 @@ that are k edits apart, so that RECALL of them meet at least once. What meets is
 (Myers' bit vectors) around the window, which also gives the distance and the place.
 
 Windows start at every word. Only starts from which m + k words hold enough of the block's words and word pairs are
-embedded: k edits leave m - k words and m - 1 - 2k pairs in place, so nothing within reach is lost. Items enter in
+embedded: k edits leave m - k words and m - 1 - 2k pairs in place, so nothing within reach is lost. The first word must
+be one of the block's: a match that begins with another word is no further away without it. Items enter in
 blocks of at most BLOCK_CHARACTERS, found by counting; documents are read once for each block.
 
 Defined results: null and empty texts match nothing; items without words are left out; an item row given twice gives
@@ -166,9 +167,10 @@ class Matcher:
             if len(self.pairs):
                 hit[np.flatnonzero(paired)] = self.pairs[np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)] == codes
             words, pairs = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(hit)])
+            first = np.arange(len(ids))
             for c, (own, span, need_words, need_pairs, _, _) in enumerate(self.classes):
-                first = np.arange(len(ids))
-                good = words[np.minimum(first + span, len(words) - 1)] - words[:-1] >= need_words
+                good = known.copy()
+                good &= words[np.minimum(first + span, len(words) - 1)] - words[:-1] >= need_words
                 if need_pairs:
                     good &= pairs[np.minimum(first + span - 1, len(pairs) - 1)] - pairs[np.minimum(first, len(pairs) - 1)] >= need_pairs
                 for at in np.flatnonzero(good).tolist():
