@@ -76,11 +76,16 @@ def first_sentence(text: Column) -> Column:
     return F.split(F.trim(text), r"(?<=[.!?])\s+")[0]
 
 
+def _holds(word: Column):
+    return lambda x: F.contains(F.lower(x), word)
+
+
 def known_terms(text: Column, terms: list[str]) -> Column:
     """The terms in a text, longest first; a term inside a longer one found isn't repeated."""
     low = F.lower(text)
     out = F.array().cast("array<string>")
     for t in sorted(terms, key=lambda t: (-len(t), t)):
-        inside = F.exists(out, lambda x, t=t: F.contains(x, F.lit(t.lower())))
-        out = F.when(F.contains(low, F.lit(t.lower())) & ~inside, F.concat(out, F.array(F.lit(t)))).otherwise(out)
+        word = F.lit(t.lower())
+        inside = F.exists(out, _holds(word))
+        out = F.when(F.contains(low, word) & ~inside, F.concat(out, F.array(F.lit(t)))).otherwise(out)
     return out

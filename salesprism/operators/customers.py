@@ -100,8 +100,10 @@ def retention_curve(sales: DataFrame, least: int = 8) -> DataFrame:
 
 def baskets(sales: DataFrame, item: str = "product") -> DataFrame:
     """Distinct (basket, item); the basket is the order, without one the customer's day. Rows with neither are left out."""
-    key = F.coalesce(F.col("order_id"), F.concat_ws("|", F.when(F.col("customer_id").isNotNull(), F.col("customer_id")), F.to_date("date").cast("string")))
-    rows = sales.where("order_id is not null or customer_id is not null")
+    have = lambda c: F.col(c) if c in sales.columns else F.lit(None).cast("string")
+    order, customer = have("order_id"), have("customer_id")
+    key = F.coalesce(order, F.when(customer.isNotNull(), F.concat_ws("|", customer, F.to_date("date").cast("string"))))
+    rows = sales.where(order.isNotNull() | customer.isNotNull())
     return rows.select(key.alias("basket"), F.col(item).alias("item")).distinct()
 
 

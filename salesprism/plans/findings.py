@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -280,6 +281,7 @@ def basket_finding(s: DataFrame, _: str) -> list[Finding]:
     return [Finding("basket_analysis", "BASKET", f"{own[0]['a']} and {own[0]['b']} are bought together {own[0]['lift']:.1f} times as often as chance would have it.", "NEUTRAL", 0.58, {"pairs": [[r["a"], r["b"], r["together"], r["lift"], r["support"], r["adjusted"]] for r in own], "pairs_tested": len(rows), "baskets": rows[0]["n_baskets"]}, method="Fisher's exact test", p_value=own[0]["p"], adjusted_p=own[0]["adjusted"])] if own else []
 
 
+AT_ONCE = 6
 CUSTOMER = {repeat_finding, rfm_finding, cohort_finding}
 ANALYSES = (trend_finding, seasonality_finding, margin_findings, concentration_finding, decomposition_finding, dimension_findings, price_volume_finding, ranking_finding, classes_finding, price_findings, lifecycle_findings, spread_finding, segmentation_findings, relationship_finding, forecast_findings, repeat_finding, rfm_finding, cohort_finding, basket_finding)
 
@@ -301,15 +303,17 @@ def collect_findings(s: DataFrame, goals: DataFrame | None = None, strict: bool
         if first is None:
             return [], {}
         frequency, found, errors = P.natural_frequency(first, last), [], {}
-        for analysis in ANALYSES:
-            if analysis in CUSTOMER and "customer_id" not in s.columns:
-                continue
-            try:
-                found += analysis(s, frequency)
-            except Exception as e:
+        usable = [a for a in ANALYSES if a not in CUSTOMER or "customer_id" in s.columns]
+        # each analysis waits for small jobs of its own; the scheduler shares executors among them
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            results = [(a, pool.submit(a, s, frequency)) for a in usable]
+        for analysis, result in results:
+            if e := result.exception():
                 if strict:
-                    raise
+                    raise e
                 errors[analysis.__name__] = str(e)[:500]
+            else:
+                found += result.result()
         found += goal_findings(s, goals) if goals is not None else []
         errors |= {f.id: "reads as advice" for f in found if advice_in(f.summary)}
         return sorted((f for f in found if not advice_in(f.summary)), key=lambda f: (-f.score, f.id)), errors
