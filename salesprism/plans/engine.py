@@ -14,6 +14,9 @@ from salesprism.plans.sales import build_sales
 from salesprism.sources.loading import load
 
 
+SNAPSHOT = "rows long, median_value double, products long, first_date date, last_date date"
+
+
 @dataclass
 class Analysis:
     detection: Detection
@@ -31,13 +34,15 @@ def analyse(tidy: DataFrame, overrides: dict[str, str] | None = None, previous:
     found = detect(tidy, overrides)
     if found.missing:
         raise ValueError(f"no column for {', '.join(found.missing)}")
-    sales = build_sales(tidy, found.roles | {f"group_by_{i}": c for i, c in enumerate(found.dimensions)}, found.cost_basis)
-    raw = sales.select("date", "product", "revenue", *[c for c in sales.columns if c not in ("date", "product", "revenue")])
-    out = Analysis(found, Q.issues(raw, as_of or dt.date.today(), previous))
-    if not out.held:
-        out.findings, out.errors = collect_findings(sales, goals)
-        out.snapshot = Q.snapshot(sales)
-    return out
+    sales = build_sales(tidy, found.roles | {f"group_by_{i}": c for i, c in enumerate(found.dimensions)}, found.cost_basis).persist()
+    try:
+        out = Analysis(found, Q.issues(sales, as_of or dt.date.today(), previous))
+        if not out.held:
+            out.snapshot = sales.sparkSession.createDataFrame(Q.snapshot(sales).collect(), SNAPSHOT)
+            out.findings, out.errors = collect_findings(sales, goals)
+        return out
+    finally:
+        sales.unpersist()
 
 
 def analyse_file(spark: SparkSession, path: str, **options) -> Analysis:
