@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -101,11 +102,17 @@ def fit(rows: pa.Table, steps: int = STEPS) -> ToxicityModel:
     sentence = np.cumsum(ends) - ends
     doc_of_sentence = doc[ends]
     doc, codes, sentence = doc[~ends], codes[~ends], sentence[~ends]
-    # a feature counts if enough documents have a word with it
-    names: dict[str, int] = {}
-    own = [[names.setdefault(f, len(names)) for f in word_features(w)] if w else [] for w in words]
+    # a feature counts if enough documents have a word with it; a whole word that is too rare isn't even noted
     in_documents = np.bincount(np.unique(doc.astype(np.int64) * len(words) + codes) % len(words), minlength=len(words))
-    feature_word, feature = np.repeat(np.arange(len(words)), [len(x) for x in own]), np.array([f for x in own for f in x], int)
+    names: dict[str, int] = {}
+    flat, lengths = array("i"), array("i")
+    for w, n in zip(words, in_documents.tolist(), strict=True):
+        own = word_features(w)[n < LEAST_DOCUMENTS :] if w else []
+        flat.extend(names.setdefault(f, len(names)) for f in own)
+        lengths.append(len(own))
+    feature_word, feature = np.repeat(np.arange(len(words)), np.array(lengths)), np.array(flat, int)
+    del words, flat, lengths
+    n_words = len(in_documents)
     seen = np.bincount(feature, in_documents[feature_word], len(names))
     index = np.full(len(names), -1)
     kept = np.flatnonzero(seen >= LEAST_DOCUMENTS)
@@ -118,13 +125,13 @@ def fit(rows: pa.Table, steps: int = STEPS) -> ToxicityModel:
     w, bias = np.zeros(n), START_BIAS
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
-        of_word = np.bincount(feature_word, w[feature], len(words))
+        of_word = np.bincount(feature_word, w[feature], n_words)
         z = bias + np.bincount(sentence, of_word[codes], n_sentences)
         soft = np.logaddexp(0, z)
         total = np.maximum(np.bincount(doc_of_sentence, soft, n_docs), 1e-9)
         by_total = np.where(toxic > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0) * of_doc
         by_z = by_total[doc_of_sentence] / (1 + np.exp(-np.clip(z, -50, 50)))
-        by_word = np.bincount(codes, by_z[sentence], len(words))
+        by_word = np.bincount(codes, by_z[sentence], n_words)
         gradient = np.append(np.bincount(feature, by_word[feature_word], n), by_z.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         scale = RATE / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
