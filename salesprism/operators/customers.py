@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.operators.periods import MONTH, everything, half_means, money, pct_change, period_of, whole_periods
@@ -26,30 +26,22 @@ def repeat_vs_new(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
     return half_means(both, "side").withColumn("change_pct", pct_change(F.col("after"), F.col("before")))
 
 
-def quartile(value: Column, reverse: bool = False) -> Column:
-    """ceil(4 * average rank / n) in 1..4; reversed for values where less is better.
+def _quartiles(customers: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Quartiles of several columns through the table of their distinct values and counts, which is joined back by value.
 
-    The average rank over ties is the rank plus half of the others tied.
+    Values fall into bins that are counted first; a task numbers one bin and shifts it by what lies below.
     """
-    pct = (F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2) / F.count("*").over(everything())
-    return F.least(F.greatest(F.ceil((1 - pct if reverse else pct) * 4), F.lit(1)), F.lit(4)).cast("int")
-
-
-def _quartiles(customers: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
-    """Quartiles through the table of distinct values and counts, which is small for counts and days; joined back by value."""
-    n = customers.agg(F.count("*").alias("total"))
-    for name, (column, reverse) in columns.items():
-        values = customers.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-        # ranges of values are numbered apart and shifted by what lies below, so no task orders them all
-        order = Window.partitionBy("_bin").orderBy("_v")
-        values = values.withColumn("_bin", F.floor(F.log1p(F.abs("_v")) * 20) * F.signum("_v"))
-        bins = values.groupBy("_bin").agg(F.sum("_n").alias("_s"))
-        bins = bins.withColumn("_below", F.sum("_s").over(Window.orderBy("_bin")) - F.col("_s"))
-        values = values.join(bins, "_bin").withColumn("_until", F.sum("_n").over(order) + F.col("_below")).crossJoin(n)
-        pct = (F.col("_until") - (F.col("_n") - 1) / 2) / F.col("total")
-        q = F.least(F.greatest(F.ceil((1 - pct if reverse else pct) * 4), F.lit(1)), F.lit(4)).cast("int")
-        customers = customers.join(values.select("_v", q.alias(name)), customers[column] == F.col("_v")).drop("_v")
-    return customers
+    entries = F.array(*[F.struct(F.lit(name).alias("c"), F.col(column).cast("double").alias("v")) for name, (column, _) in columns.items()])
+    long = customers.select("customer_id", F.explode(entries).alias("x")).select("customer_id", "x.c", "x.v")
+    values = long.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.log1p(F.abs("v")) * 20) * F.signum("v"))
+    bins = values.groupBy("c", "bin").agg(F.sum("n").alias("s"))
+    bins = bins.withColumn("below", F.sum("s").over(Window.partitionBy("c").orderBy("bin")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy("c")))
+    until = F.sum("n").over(Window.partitionBy("c", "bin").orderBy("v")) + F.col("below")
+    values = values.join(bins, ["c", "bin"]).withColumn("pct", (until - (F.col("n") - 1) / 2) / F.col("total"))
+    pct = F.when(F.col("c").isin(*[k for k, (_, reverse) in columns.items() if reverse]), 1 - F.col("pct")).otherwise(F.col("pct"))
+    values = values.select("c", "v", F.least(F.greatest(F.ceil(pct * 4), F.lit(1)), F.lit(4)).cast("int").alias("q"))
+    wide = long.join(values, ["c", "v"]).groupBy("customer_id").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(k) for k in columns])
+    return customers.join(wide, "customer_id")
 
 
 def rfm(sales: DataFrame) -> DataFrame:
