@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at once, so that a batch of very long texts stays small.
 SLICE_ROWS = 256
+#: Rows of keys and numbers, some 30 MB, up to which a table travels to all executors instead of a shuffle of texts.
+BROADCAST_ROWS = 200_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -29,7 +31,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing that is still to run reads it."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, marked for broadcast if it is counted to be small; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def text_or_empty(column: str = "text") -> Column:

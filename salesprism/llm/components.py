@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import written
+from salesprism.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        last, now = now, written(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        discard(last)
     return nodes.join(now.groupBy("u").agg(F.min("v").alias("root")), nodes["node"] == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))

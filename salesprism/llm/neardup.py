@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from salesprism.llm.common import map_slices, text_or_empty, written
+from salesprism.llm.common import discard, map_slices, small, text_or_empty, written
 from salesprism.llm.components import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -284,12 +284,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     counts = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = banded.join(counts, "band").join(nodes.select("tk", "sig"), "tk")
     candidates = _map_groups(_by_blocks(shared, "band", F.col("size"), BUCKET_BLOCK, ["tk", "sig"]), bucket_edges, "u binary, v binary")
-    groups = written(components(written(candidates, "dup-candidates")), "dup-groups")
+    candidates = written(candidates, "dup-candidates")
+    groups = written(components(candidates), "dup-groups")
+    discard(candidates)
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    # few texts have a candidate: if their keys are small, texts needn't be shuffled to find them
     members = groups.join(sizes, "root").join(nodes.select(F.col("tk").alias("node"), "copies", "first_id"), "node").select(F.col("node").alias("tk"), "root", "size", "copies", "first_id")
+    members = written(members, "dup-members")
     # one row of each text: the text's smallest id is part of the key, which spreads the rows of a text with many copies
-    m = members.withColumnRenamed("tk", "member")
+    m = small(members).withColumnRenamed("tk", "member")
     texts = narrow.join(m, (narrow["tk"] == m["member"]) & narrow["id"].eqNullSafe(m["first_id"])).select("tk", "text", "root", "size", "copies")
     dealt = _by_blocks(texts.dropDuplicates(["tk"]), "root", F.col("size"), GROUP_BLOCK, ["tk", "text", "copies"])
 
@@ -303,12 +307,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     known = known.join(classes, known["tk"] == classes["node"], "left").withColumn("class", F.coalesce("root", "tk")).drop("node", "root")
     best = known.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "tk")).alias("best"))
     known = known.join(best, "class")
-    return written(known.select("tk", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "first_id", "first_rows", F.col("best.first_id").alias("class_id"), F.col("best.tk").alias("class_key")), "dup-classes")
+    known = written(known.select("tk", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "first_id", "first_rows", F.col("best.first_id").alias("class_id"), F.col("best.tk").alias("class_key")), "dup-classes")
+    discard(nodes, groups, members, linked)
+    return known
 
 
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: class_id and n_links, the number of other documents with a similarity of 0.8 or more."""
-    found = near_duplicates(docs, id_column, text_column).select("tk", "links", "class_id")
+    found = small(near_duplicates(docs, id_column, text_column)).select("tk", "links", "class_id")
     rows = docs.select(F.col(id_column).alias("id"), text_key(text_column).alias("tk")).join(found, "tk", "left")
     alone = F.col("links").isNull()
     return rows.select(F.col("id").alias(id_column), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
@@ -317,10 +323,12 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each class: the smallest id, one row of it if rows repeat."""
     found = near_duplicates(docs, id_column, text_column)
-    rest = found.select("tk", "first_id", "first_rows", (F.col("tk") == F.col("class_key")).alias("leads")).withColumnsRenamed({"tk": "__dup_tk", "first_id": "__dup_id", "first_rows": "__dup_rows", "leads": "__dup_leads"})
-    rows = docs.withColumn("__dup_key", text_key(text_column))
-    rows = rows.join(rest, rows["__dup_key"] == rest["__dup_tk"], "left").where(F.col("__dup_tk").isNull() | F.col("__dup_leads") & F.col(id_column).eqNullSafe(F.col("__dup_id")))
-    rows = written(rows, "dup-kept")
-    single = rows.where("__dup_rows is null or __dup_rows = 1")
-    repeated = rows.where("__dup_rows > 1").dropDuplicates(["__dup_key"])
-    return single.union(repeated).select(*docs.columns)
+    repeats = not found.where("first_rows > 1").isEmpty()
+    rest = small(found).select(F.col("tk").alias("__dup_tk"), F.col("first_id").alias("__dup_id"), (F.col("tk") == F.col("class_key")).alias("__dup_leads"))
+    rows = docs.withColumn("__dup_key", text_key(text_column)).join(rest, F.col("__dup_key") == F.col("__dup_tk"), "left")
+    rows = rows.where(F.col("__dup_tk").isNull() | F.col("__dup_leads") & F.col(id_column).eqNullSafe(F.col("__dup_id")))
+    # what is left differs in text, unless rows with the same id and text repeat; texts without words have keys of their own
+    if repeats:
+        worded = F.regexp_like(text_or_empty(text_column), F.lit(r"[\p{L}\p{N}]"))
+        rows = rows.where(~worded).union(rows.where(worded).dropDuplicates(["__dup_key"]))
+    return rows.select(*docs.columns)
