@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from salesprism.llm.common import map_slices, text_or_empty
 
-TRAIN_DOCUMENTS = 6_000
+TRAIN_DOCUMENTS = 5_000
 #: Words in fewer sample documents aren't features.
 LEAST_DOCUMENTS = 4
 STEPS, RATE, PENALTY, START_BIAS = 250, 0.15, 3e-4, -6.0
