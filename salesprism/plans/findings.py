@@ -74,9 +74,14 @@ def compact(value: float) -> str:
     return f"{value:.0f}"
 
 
-def _rows(df: DataFrame, limit: int = 2000) -> list:
-    """Fact rows of a small table; facts are no more than items times periods."""
-    return df.limit(limit).collect()
+def _rows(df: DataFrame) -> list:
+    """All rows of a table of facts, no more than one an item."""
+    return df.collect()
+
+
+def _first(df: DataFrame, n: int, *order: Column | str) -> list:
+    """The first n rows of df in that order, found by Spark over all of them."""
+    return df.orderBy(*order).limit(n).collect()
 
 
 def trend_finding(s: DataFrame, frequency: str) -> list[Finding]:
@@ -107,15 +112,17 @@ def seasonality_finding(s: DataFrame, _: str) -> list[Finding]:
 
 
 def margin_findings(s: DataFrame, _: str) -> list[Finding]:
-    rows = [r for r in _rows(D.margin_by_product(s)) if r["profit"] is not None]
-    if len(rows) < 2:
+    row = F.struct("product", "revenue", "profit", "margin", "profit_rank")
+    worst = F.min_by(row, F.struct(F.col("margin").isNull(), "margin", "product"))
+    r = D.margin_by_product(s).where("profit is not null").agg(F.count("*").alias("items"), P.money("revenue").alias("total"), F.min_by(row, "revenue_rank").alias("top"), F.min_by(row, "profit_rank").alias("earner"), worst.alias("worst")).first()
+    if r["items"] < 2:
         return []
-    top, earner = min(rows, key=lambda r: r["revenue_rank"]), min(rows, key=lambda r: r["profit_rank"])
-    worst, total, out = min(rows, key=lambda r: r["margin"] if r["margin"] is not None else 9e9), sum(r["revenue"] for r in rows), []
+    items, total, top, earner, worst = r
+    out = []
     if top["product"] != earner["product"]:
-        out.append(Finding("margin_reality", "TENSION", f"{top['product']} sells most, {earner['product']} earns most.", "WATCH", 0.85, {"top_seller": top["product"], "top_earner": earner["product"], "profit_rank_of_top_seller": top["profit_rank"], "item_count": len(rows)}, "margin"))
+        out.append(Finding("margin_reality", "TENSION", f"{top['product']} sells most, {earner['product']} earns most.", "WATCH", 0.85, {"top_seller": top["product"], "top_earner": earner["product"], "profit_rank_of_top_seller": top["profit_rank"], "item_count": items}, "margin"))
     if worst["margin"] is not None and worst["margin"] < 0:
-        out.append(Finding("loss_making_product", "TENSION", f"{worst['product']} loses money on each sale taken together.", "URGENT", 0.9, {"product": worst["product"], "margin": worst["margin"], "revenue_share": worst["revenue"] / total, "profit": worst["profit"], "item_count": len(rows)}, "margin"))
+        out.append(Finding("loss_making_product", "TENSION", f"{worst['product']} loses money on each sale taken together.", "URGENT", 0.9, {"product": worst["product"], "margin": worst["margin"], "revenue_share": worst["revenue"] / total, "profit": worst["profit"], "item_count": items}, "margin"))
     return out
 
 
@@ -130,12 +137,13 @@ def concentration_finding(s: DataFrame, _: str) -> list[Finding]:
 def decomposition_finding(s: DataFrame, frequency: str) -> list[Finding]:
     if P.whole_periods(s, frequency).select(P.period_of(frequency)).distinct().count() < 4:
         return []
-    rows = _rows(D.decomposition(s, frequency=frequency))
+    # one row an item: the contributions are exact because they are all there
+    rows = _rows(D.decomposition(s, frequency=frequency).orderBy(F.abs("change").desc(), "product"))
     base, change = sum(r["before"] for r in rows), sum(r["change"] for r in rows)
     if not base or abs(change) < 0.03 * abs(base):
         return []
     mover = max(rows, key=lambda r: r["change"] * (1 if change > 0 else -1))
-    facts = {"total_change": change, "change_pct": change / abs(base), "baseline": base, "largest_mover": mover["product"], "largest_mover_change": mover["change"], "item_count": len(rows), "contributions": [{"label": r["product"], "change": r["change"], "share_of_change": r["share_of_change"]} for r in sorted(rows, key=lambda r: -abs(r["change"]))]}
+    facts = {"total_change": change, "change_pct": change / abs(base), "baseline": base, "largest_mover": mover["product"], "largest_mover_change": mover["change"], "item_count": len(rows), "contributions": [{"label": r["product"], "change": r["change"], "share_of_change": r["share_of_change"]} for r in rows]}
     return [Finding("revenue_decomposition", "DECOMPOSITION", f"Revenue per period {move(change / abs(base))}; {mover['product']} moved most.", "GOOD" if change > 0 else "WATCH", 0.8, facts, method="exact contributions")]
 
 
@@ -170,23 +178,24 @@ def price_volume_finding(s: DataFrame, frequency: str) -> list[Finding]:
 
 
 def ranking_finding(s: DataFrame, _: str) -> list[Finding]:
-    rows = sorted(_rows(D.product_ranking(s)), key=lambda r: r["rank"])
-    if len(rows) < 2 or sum(r["value"] for r in rows) <= 0:
+    ranking = D.product_ranking(s)
+    rows, whole = _first(ranking, 20, "rank"), ranking.agg(F.count("*").alias("items"), P.money("value").alias("total")).first()
+    if whole["items"] < 2 or (whole["total"] or 0) <= 0:
         return []
-    return [Finding("product_ranking", "RANKING", f"{rows[0]['product']} leads with {rows[0]['share']:.0%} of revenue.", "NEUTRAL", 0.2, {"leader": rows[0]["product"], "leader_revenue": rows[0]["value"], "item_count": len(rows), "ranking": [[r["product"], r["value"], r["share"]] for r in rows[:20]]})]
+    return [Finding("product_ranking", "RANKING", f"{rows[0]['product']} leads with {rows[0]['share']:.0%} of revenue.", "NEUTRAL", 0.2, {"leader": rows[0]["product"], "leader_revenue": rows[0]["value"], "item_count": whole["items"], "ranking": [[r["product"], r["value"], r["share"]] for r in rows]})]
 
 
 def classes_finding(s: DataFrame, _: str) -> list[Finding]:
-    rows = _rows(D.pareto_classes(s))
-    if len(rows) < 4:
+    share_of = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("share"))), F.lit(0.0))
+    r = D.pareto_classes(s).agg(F.count("*").alias("products"), F.count_if("is_vital").alias("vital_count"), share_of("is_vital").alias("vital_share"), F.count_if("is_tail").alias("tail_count"), share_of("is_tail").alias("tail_share")).first()
+    if r["products"] < 4:
         return []
-    vital, tail = [r for r in rows if r["is_vital"]], [r for r in rows if r["is_tail"]]
-    few = len(vital) / len(rows) <= 0.25
-    return [Finding("concentration_classes", "CONCENTRATION", f"{len(vital)} of {len(rows)} products bring four fifths of revenue.", "WATCH" if few else "NEUTRAL", 0.62 if few else 0.4, {"products": len(rows), "vital_count": len(vital), "vital_share": sum(r["share"] for r in vital), "tail_count": len(tail), "tail_share": sum(r["share"] for r in tail), "item_count": len(rows)})]
+    few = r["vital_count"] / r["products"] <= 0.25
+    return [Finding("concentration_classes", "CONCENTRATION", f"{r['vital_count']} of {r['products']} products bring four fifths of revenue.", "WATCH" if few else "NEUTRAL", 0.62 if few else 0.4, {**r.asDict(), "item_count": r["products"]})]
 
 
 def price_findings(s: DataFrame, frequency: str) -> list[Finding]:
-    rows = sorted((r for r in _rows(I.elasticity_tests(s, frequency=frequency)) if r["responds"]), key=lambda r: -abs(r["slope"]))[:2]
+    rows = _first(I.elasticity_tests(s, frequency=frequency).where("responds"), 2, F.abs("slope").desc(), "product")
     return [Finding(f"price_response_{r['product']}", "ELASTICITY", f"A 1% higher price went with {abs(r['slope']):.1f}% {'fewer' if r['slope'] < 0 else 'more'} units of {r['product']}.", "WATCH" if r["slope"] <= -1 else "NEUTRAL", 0.72 if r["slope"] <= -1 else 0.55, {"product": r["product"], "elasticity": r["slope"], "price_variation": r["price_variation"], "periods": r["n"], "revenue_follows_price": r["slope"] > -1}, method="log-log slope", p_value=r["p"], adjusted_p=r["adjusted"], sample_size=r["n"]) for r in rows]
 
 
@@ -220,12 +229,12 @@ def segmentation_findings(s: DataFrame, _: str) -> list[Finding]:
 
 
 def relationship_finding(s: DataFrame, frequency: str) -> list[Finding]:
-    rows = _rows(I.correlation_tests(s, frequency=frequency))
-    own = sorted((r for r in rows if r["related"]), key=lambda r: -abs(r["r"]))[:10]
+    tests = I.correlation_tests(s, frequency=frequency)
+    own = _first(tests.where("related"), 10, F.abs("r").desc(), "a", "b")
     if not own:
         return []
     b = own[0]
-    return [Finding("product_relationships", "RELATIONSHIP", f"{b['a']} and {b['b']} move {'together' if b['r'] > 0 else 'against each other'}.", "NEUTRAL", 0.55, {"pairs": [[r["a"], r["b"], r["r"], r["adjusted"]] for r in own], "pairs_tested": len(rows)}, method="Pearson correlation", p_value=b["p"], adjusted_p=b["adjusted"], sample_size=b["n"])]
+    return [Finding("product_relationships", "RELATIONSHIP", f"{b['a']} and {b['b']} move {'together' if b['r'] > 0 else 'against each other'}.", "NEUTRAL", 0.55, {"pairs": [[r["a"], r["b"], r["r"], r["adjusted"]] for r in own], "pairs_tested": tests.count()}, method="Pearson correlation", p_value=b["p"], adjusted_p=b["adjusted"], sample_size=b["n"])]
 
 
 def forecast_findings(s: DataFrame, frequency: str) -> list[Finding]:
@@ -234,7 +243,7 @@ def forecast_findings(s: DataFrame, frequency: str) -> list[Finding]:
     if frequency != P.MONTH:
         return []
     whole = P.whole_periods(s, P.MONTH)
-    ranked = [r["product"] for r in _rows(D.product_ranking(s)) if r["share"] and r["share"] >= 0.05 and r["rank"] <= 6]
+    ranked = [r["product"] for r in _rows(D.product_ranking(s).where("share >= 0.05 and rank <= 6"))]
     total = P.by_period(whole, P.MONTH).withColumn("subject", F.lit(""))
     cells = P.by_period_and(whole.where(F.col("product").isin(ranked)), "product", P.MONTH).withColumnRenamed("product", "subject")
     out = []
@@ -274,11 +283,12 @@ def cohort_finding(s: DataFrame, _: str) -> list[Finding]:
 
 
 def basket_finding(s: DataFrame, _: str) -> list[Finding]:
-    rows = _rows(I.basket_tests(s))
-    if not rows or rows[0]["n_baskets"] < 30:
+    tests = I.basket_tests(s)
+    whole = tests.agg(F.count("*").alias("pairs"), F.max("n_baskets").alias("baskets")).first()
+    if not whole["pairs"] or whole["baskets"] < 30:
         return []
-    own = sorted((r for r in rows if r["confirmed"]), key=lambda r: -r["lift"])[:8]
-    return [Finding("basket_analysis", "BASKET", f"{own[0]['a']} and {own[0]['b']} are bought together {own[0]['lift']:.1f} times as often as chance would have it.", "NEUTRAL", 0.58, {"pairs": [[r["a"], r["b"], r["together"], r["lift"], r["support"], r["adjusted"]] for r in own], "pairs_tested": len(rows), "baskets": rows[0]["n_baskets"]}, method="Fisher's exact test", p_value=own[0]["p"], adjusted_p=own[0]["adjusted"])] if own else []
+    own = _first(tests.where("confirmed"), 8, F.col("lift").desc(), "a", "b")
+    return [Finding("basket_analysis", "BASKET", f"{own[0]['a']} and {own[0]['b']} are bought together {own[0]['lift']:.1f} times as often as chance would have it.", "NEUTRAL", 0.58, {"pairs": [[r["a"], r["b"], r["together"], r["lift"], r["support"], r["adjusted"]] for r in own], "pairs_tested": whole["pairs"], "baskets": whole["baskets"]}, method="Fisher's exact test", p_value=own[0]["p"], adjusted_p=own[0]["adjusted"])] if own else []
 
 
 AT_ONCE = 6
