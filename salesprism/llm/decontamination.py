@@ -4,7 +4,7 @@ Texts are words (runs of letters and digits, in lower case). An item of m words
 document is at most k = floor(EDITS * m) word edits away. The CGK walk reads a word, repeats or passes it by a random
 bit of (word, step), and so turns edit distance into Hamming distance: a window and an item a few edits apart agree in
 most steps. Each repetition compares SAMPLES random steps; the number of repetitions comes from a simulation of pairs
-that are k edits apart, so that RECALL of them meet at least once. What meets is verified by exact approximate matching
+that are k edits apart, for every k of a class of lengths, so that RECALL of them meet at least once. What meets is verified by exact approximate matching
 (Myers' bit vectors) around the window, which also gives the distance and the place.
 
 Windows start at every word. Only starts from which m + k words hold enough of the block's words and word pairs are
@@ -76,8 +76,8 @@ class Walks:
         return keys
 
 
-def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int = 300) -> int:
-    """How many repetitions let `recall` of simulated pairs, `edits` random edits apart, meet."""
+def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int = 300, shortest: int | None = None) -> int:
+    """How many repetitions of the walk of a class let `recall` of simulated pairs, `edits` random edits apart, meet."""
     if not edits:
         return 1
     rng = np.random.default_rng([11, n_words, edits])
@@ -90,11 +90,28 @@ def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int
             own[i : i + (kind != 1)] = [int(rng.integers(1, 1 << 62))] if kind != 2 else []
         own = own[:n_words]
         out[: len(own)] = own
-    walks = Walks(n_words, MOST_REPETITIONS)
+    walks = Walks(shortest or n_words, MOST_REPETITIONS)
     met = np.logical_or.accumulate(walks.keys(a, [n_words])[n_words] == walks.keys(b, [n_words])[n_words], axis=0).mean(1)
     return int(np.argmax(met >= recall)) + 1 if met[-1] >= recall else MOST_REPETITIONS
 
 
+def length_classes(lengths: set[int]) -> list[list[int]]:
+    """The lengths in groups that share a walk."""
+    left, out = sorted(lengths), []
+    while left:
+        out.append([m for m in left if m <= max(left[0], CLASS_FACTOR * left[0])])
+        left = left[len(out[-1]) :]
+    return out
+
+
+def class_repetitions(own: list[int], edits: float = EDITS, recall: float = RECALL) -> int:
+    """The most that any number of edits in the class takes; of lengths with the same number the shortest is the hardest."""
+    hardest: dict[int, int] = {}
+    for m in own:
+        hardest.setdefault(edits_allowed(m, edits), m)
+    return max(repetitions_for(m, k, recall, shortest=own[0]) for k, m in hardest.items())
+
+
 def best_match(pattern: list[str], text: list[str]) -> tuple[int, int]:
     """(distance, end) of the stretch of text that is fewest word edits from pattern, the first such end."""
     m = len(pattern)
@@ -118,7 +135,7 @@ def best_match(pattern: list[str], text: list[str]) -> tuple[int, int]:
 class Matcher:
     """A block of benchmark items, ready to be searched for in documents."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, repetitions: list[int] | None = None):
         self.items = [(i, w, edits_allowed(len(w), edits)) for i, t in items if (w := words_of(t))]
         self.vocabulary: dict[str, int] = {}
         for _, w, _ in self.items:
@@ -127,13 +144,11 @@ class Matcher:
         self.size = len(self.vocabulary)
         ids = [[self.vocabulary[x] for x in w] for _, w, _ in self.items]
         self.pairs = np.unique(np.array([a * self.size + b for w in ids for a, b in zip(w, w[1:], strict=False)], np.int64))
-        lengths = sorted({len(w) for _, w, _ in self.items})
+        classes = length_classes({len(w) for _, w, _ in self.items})
         self.classes = []
-        while lengths:
-            own = [m for m in lengths if m <= max(lengths[0], CLASS_FACTOR * lengths[0])]
-            lengths = lengths[len(own) :]
+        for own, times in zip(classes, repetitions or [class_repetitions(own, edits, recall) for own in classes], strict=True):
             allowed = {m: edits_allowed(m, edits) for m in own}
-            walks = Walks(own[0], repetitions_for(own[0], allowed[own[0]], recall))
+            walks = Walks(own[0], times)
             tables = {}
             for m in own:
                 mine = [i for i, (_, w, _) in enumerate(self.items) if len(w) == m]
@@ -239,6 +254,12 @@ def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: s
         yield sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+def _sent(docs: DataFrame, block: list[tuple[int, str]]):
+    """The block and the repetitions of its classes, simulated once for all tasks."""
+    classes = length_classes({len(w) for _, t in block if (w := words_of(t))})
+    return docs.sparkSession.sparkContext.broadcast((block, [class_repetitions(own) for own in classes]))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document row and item in reach: distance, item_words, start_word, end_word (exclusive)."""
     narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
@@ -246,11 +267,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     schema = f"id {narrow.schema['id'].dataType.simpleString()}, item_id {item_type}, distance int, item_words int, start_word int, end_word int"
     found = None
     for block in item_blocks(benchmark):
-        sent, cache = docs.sparkSession.sparkContext.broadcast(block), {}
+        sent, cache = _sent(docs, block), {}
 
         def pairs(rows, sent=sent, cache=cache):
             if "own" not in cache:
-                cache["own"] = Matcher(sent.value)
+                cache["own"] = Matcher(sent.value[0], repetitions=sent.value[1])
             hits = [(i, *x) for i, own in zip(rows["id"], cache["own"].search(rows["text"]), strict=True) for x in own]
             columns = list(zip(*hits, strict=True)) or [[]] * 6
             return dict(zip(("id", "item_id", "distance", "item_words", "start_word", "end_word"), columns, strict=True))
@@ -272,7 +293,7 @@ def _clean(sent):
     @pandas_udf("boolean")
     def clean(texts):
         if "own" not in cache:
-            cache["own"] = Matcher(sent.value)
+            cache["own"] = Matcher(sent.value[0], repetitions=sent.value[1])
         return pd.Series([not x for x in cache["own"].search(texts.tolist())], dtype=bool)
 
     return clean
@@ -281,5 +302,5 @@ def _clean(sent):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of docs in whose text no item is in reach."""
     for block in item_blocks(benchmark):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(text_or_empty(text_column)))
+        docs = docs.where(_clean(_sent(docs, block))(text_or_empty(text_column)))
     return docs
