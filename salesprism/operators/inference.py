@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.functions.seasonal import seasonal_parts
 from salesprism.functions.stats import benjamini_hochberg, chi2_p, f_p, fisher_p, t_p
 from salesprism.operators.customers import basket_lift
 from salesprism.operators.descriptive import price_points
-from salesprism.operators.periods import MONTH, everything, by_period, by_period_and, whole_periods
+from salesprism.operators.periods import MONTH, SEASONS, everything, by_period, by_period_and, whole_periods
 
 
 def slopes(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
@@ -20,16 +21,18 @@ def slopes(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return t.withColumn("t", F.try_divide("slope", "se")).drop("sxx", "syy", "sxy")
 
 
-def trend(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
-    """One row: slope of the period sums on their number from 0, effect and fitted change against the mean."""
+def trend(sales: DataFrame, frequency: str = MONTH, deseasonalised: bool = False) -> DataFrame:
+    """One row: slope of the period sums, less their season if wanted and two cycles are there, on their number from 0, effect and fitted change against the mean."""
     series = by_period(whole_periods(sales, frequency), frequency)
+    if deseasonalised:
+        series = seasonal_parts(series.withColumn("subject", F.lit("")), SEASONS[frequency]).select("period", F.coalesce("adjusted", "value").alias("value"))
     series = series.withColumn("i", (F.row_number().over(Window.orderBy("period")) - 1).cast("double"))
     t = slopes(series, "i", "value")
     return t.withColumn("effect", F.try_divide("slope", F.abs("mean_y"))).withColumn("fitted_change", F.try_divide(F.col("slope") * (F.col("n") - 1), F.abs("mean_y")))
 
 
-def trend_test(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
-    return trend(sales, frequency).withColumn("p", t_p(F.col("t"), (F.col("n") - 2).cast("double")))
+def trend_test(sales: DataFrame, frequency: str = MONTH, deseasonalised: bool = False) -> DataFrame:
+    return trend(sales, frequency, deseasonalised).withColumn("p", t_p(F.col("t"), (F.col("n") - 2).cast("double")))
 
 
 def elasticity(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:

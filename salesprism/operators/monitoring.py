@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.functions.seasonal import seasonal_parts
 from salesprism.functions.stats import benjamini_hochberg, normal_p
-from salesprism.operators.periods import MONTH, by_period, half_means, money, period_of, with_half
+from salesprism.operators.descriptive import product_ranking
+from salesprism.operators.periods import MONTH, SEASONS, by_period, by_period_and, half_means, money, period_of, whole_periods, with_half
 
 LEVELS = {"high": 0, "medium": 1, "low": 2}
 
@@ -25,16 +27,27 @@ def robust_scores(series: DataFrame, *keys: str, value: str = "value") -> DataFr
     return t.withColumn("z", F.when(F.col("mad") > 0, 0.6745 * off / F.col("mad")).when(F.col("mean_dev") > 0, 0.7979 * off / F.col("mean_dev")).otherwise(0.0)).drop("_off", "mean_dev")
 
 
-def anomalies(series: DataFrame, recent: int = 2, z: float = 3.5, share: float = 0.2, least: int = 8) -> DataFrame:
-    """Of (subject, period, value): recent points far out and far from the median, the strongest of each subject, adjusted."""
+def anomalies(series: DataFrame, recent: int = 2, z: float = 3.5, share: float = 0.2, least: int = 8, scored: str = "value") -> DataFrame:
+    """Of (subject, period, value): recent points far out (by `scored`) and far from the median of the values, the strongest of each subject, adjusted."""
     w = Window.partitionBy("subject")
-    t = robust_scores(series, "subject").withColumn("n", F.count("*").over(w)).withColumn("back", F.row_number().over(w.orderBy(F.col("period").desc())))
+    t = robust_scores(series, "subject", value=scored).withColumn("median", F.percentile("value", F.lit(0.5)).over(w)).withColumn("n", F.count("*").over(w)).withColumn("back", F.row_number().over(w.orderBy(F.col("period").desc())))
     hits = t.where((F.col("n") >= least) & (F.col("back") <= recent) & (F.abs("z") >= z) & (F.abs(F.try_divide(F.col("value") - F.col("median"), F.abs("median"))) >= share))
     best = hits.groupBy("subject").agg(F.max_by(F.struct("period", "value", "median", "z"), F.struct(F.abs("z"), "period")).alias("x"), F.count("*").alias("run")).select("subject", "x.*", "run")
     best = best.withColumn("p", normal_p(F.col("z"))).withColumn("kind", F.when(F.col("z") < 0, "ANOMALY_DROP").otherwise("ANOMALY_SPIKE"))
     return benjamini_hochberg(best, "p", "subject")
 
 
+def sales_anomalies(sales: DataFrame, frequency: str = MONTH, least_share: float = 0.05, cap: int = 6) -> DataFrame:
+    """anomalies() of the whole business (subject "", a test of its own) and of products from 5 % of revenue, less the season where two cycles are there."""
+    whole = whole_periods(sales, frequency)
+    names = [r["product"] for r in product_ranking(sales).where((F.col("share") >= least_share) & (F.col("value") > 0)).collect()]
+    total = by_period(whole, frequency).withColumn("subject", F.lit(""))
+    cells = by_period_and(whole.withColumn("subject", F.when(F.col("product").isin(names), F.col("product"))), "subject", frequency).where("subject is not null")
+    series = seasonal_parts(total.unionByName(cells), SEASONS[frequency]).withColumn("scored", F.coalesce("adjusted", "value"))
+    found = anomalies(series, least=8, scored="scored").where("median > 0").drop("adjusted").withColumn("kind", F.when(F.col("value") < F.col("median"), "ANOMALY_DROP").otherwise("ANOMALY_SPIKE")).withColumn("_whole", F.col("subject") == "")
+    return benjamini_hochberg(found, "p", "subject", family="_whole").where("adjusted < 0.05").drop("_whole").orderBy(F.abs("z").desc(), "subject").limit(cap)
+
+
 def alert_key(kind: Column, subject: Column, period: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", kind, subject, period.cast("string")), 256), 1, 16)
 
@@ -86,4 +99,4 @@ def goal_gap_drivers(sales: DataFrame, start: dt.date, end: dt.date, key: str =
     return t.withColumn("rank", F.row_number().over(Window.orderBy("change", key))).where(F.col("rank") <= limit)
 
 
-__all__ = ["alert_key", "anomalies", "fresh_alerts", "goal_gap_drivers", "goal_pace", "goal_progress", "quality_alerts", "robust_scores", "with_half"]
+__all__ = ["alert_key", "anomalies", "fresh_alerts", "goal_gap_drivers", "goal_pace", "goal_progress", "quality_alerts", "robust_scores", "sales_anomalies", "with_half"]

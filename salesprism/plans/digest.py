@@ -21,12 +21,14 @@ MOST_LINES, MOST_ALERTS, MOST_WORDS, MOST_BARS = 3, 4, 160, 7
 
 
 def finding_alerts(found: list[Finding], period: str) -> list[dict]:
-    """Urgent findings that didn't fail their test."""
+    """Urgent findings that didn't fail their test, and anomalies under the period they fell in."""
     out = []
     for f in found:
         p = f.adjusted_p if f.adjusted_p is not None else f.p_value
-        if f.severity == "URGENT" and (p is None or p < 0.05):
-            out.append({"kind": f.type, "level": "high", "subject": f.id, "period": period, "text": re.split(r"(?<=[.!?])\s+", f.summary)[0], "key": alert_key(f.type, f.id, period)})
+        odd = f.type.startswith("ANOMALY_")
+        if (f.severity == "URGENT" or odd) and (p is None or p < 0.05):
+            at = f.facts["period"] if odd else period
+            out.append({"kind": f.type, "level": "high" if f.severity == "URGENT" else "low", "subject": f.id, "period": at, "text": re.split(r"(?<=[.!?])\s+", f.summary)[0], "key": alert_key(f.type, f.id, at)})
     return out
 
 

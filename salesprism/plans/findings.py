@@ -20,7 +20,7 @@ from salesprism.operators import periods as P
 
 # What a severity adds to importance; the chart of each type.
 SEVERITY_WEIGHT = {"URGENT": 0.15, "WATCH": 0.08, "NEUTRAL": 0.0, "GOOD": 0.02}
-CHARTS = {"TREND": "line", "NOISE": "line", "SEASONALITY": "seasonal", "TENSION": "scatter", "CONCENTRATION": "donut", "DECOMPOSITION": "waterfall", "RANKING": "bar", "ELASTICITY": "scatter", "LIFECYCLE": "bar", "DISTRIBUTION": "bar", "SEGMENTATION": "grouped_bar", "RELATIONSHIP": "matrix", "FORECAST": "band", "REPEAT_VS_NEW": "stacked", "CUSTOMER_SEGMENTS": "tiles", "COHORT_RETENTION": "heatmap", "BASKET": "bar", "GOAL_PACE": "gauge"}
+CHARTS = {"TREND": "line", "NOISE": "line", "SEASONALITY": "seasonal", "TENSION": "scatter", "CONCENTRATION": "donut", "DECOMPOSITION": "waterfall", "RANKING": "bar", "ELASTICITY": "scatter", "LIFECYCLE": "bar", "DISTRIBUTION": "bar", "SEGMENTATION": "grouped_bar", "RELATIONSHIP": "matrix", "FORECAST": "band", "REPEAT_VS_NEW": "stacked", "CUSTOMER_SEGMENTS": "tiles", "COHORT_RETENTION": "heatmap", "BASKET": "bar", "GOAL_PACE": "gauge", "ANOMALY_DROP": "line", "ANOMALY_SPIKE": "line"}
 SCHEMA = "id string, type string, chart string, summary string, facts string, severity string, importance double, tier string, method string, p_value double, adjusted_p double, sample_size long, strength string, confidence_low double, confidence_high double, score double, position long"
 
 
@@ -85,7 +85,7 @@ def _first(df: DataFrame, n: int, *order: Column | str) -> list:
 
 
 def trend_finding(s: DataFrame, frequency: str) -> list[Finding]:
-    r = I.trend_test(s, frequency).first()
+    r = I.trend_test(s, frequency, deseasonalised=True).first()
     if not r or r["n"] < 6 or r["p"] is None:
         return []
     change, clear, material = r["fitted_change"], r["p"] < 0.05, abs(r["fitted_change"]) >= 0.1
@@ -291,9 +291,18 @@ def basket_finding(s: DataFrame, _: str) -> list[Finding]:
     return [Finding("basket_analysis", "BASKET", f"{own[0]['a']} and {own[0]['b']} are bought together {own[0]['lift']:.1f} times as often as chance would have it.", "NEUTRAL", 0.58, {"pairs": [[r["a"], r["b"], r["together"], r["lift"], r["support"], r["adjusted"]] for r in own], "pairs_tested": whole["pairs"], "baskets": whole["baskets"]}, method="Fisher's exact test", p_value=own[0]["p"], adjusted_p=own[0]["adjusted"])] if own else []
 
 
+def anomaly_findings(s: DataFrame, frequency: str) -> list[Finding]:
+    out = []
+    for r in _rows(M.sales_anomalies(s, frequency)):
+        drop, change = r["kind"] == "ANOMALY_DROP", r["value"] / r["median"] - 1
+        facts = {"subject": r["subject"] or "all", "period": str(r["period"]), "value": r["value"], "usual": r["median"], "change_pct": change, "robust_z": r["z"], "run": r["run"]}
+        out.append(Finding(f"anomaly_{r['subject']}" if r["subject"] else "revenue_anomaly", r["kind"], f"{r['subject'] or 'Revenue'} was {abs(change):.0%} {'below' if change < 0 else 'above'} its usual {frequency} in the {frequency} of {r['period']}.", "URGENT" if drop else "GOOD", 0.6 if r["subject"] else 0.75, facts, method="robust z", p_value=r["p"], adjusted_p=r["adjusted"] if r["subject"] else None))
+    return out
+
+
 AT_ONCE = 6
 CUSTOMER = {repeat_finding, rfm_finding, cohort_finding}
-ANALYSES = (trend_finding, seasonality_finding, margin_findings, concentration_finding, decomposition_finding, dimension_findings, price_volume_finding, ranking_finding, classes_finding, price_findings, lifecycle_findings, spread_finding, segmentation_findings, relationship_finding, forecast_findings, repeat_finding, rfm_finding, cohort_finding, basket_finding)
+ANALYSES = (trend_finding, anomaly_findings, seasonality_finding, margin_findings, concentration_finding, decomposition_finding, dimension_findings, price_volume_finding, ranking_finding, classes_finding, price_findings, lifecycle_findings, spread_finding, segmentation_findings, relationship_finding, forecast_findings, repeat_finding, rfm_finding, cohort_finding, basket_finding)
 
 
 def goal_findings(s: DataFrame, goals: DataFrame) -> list[Finding]:
