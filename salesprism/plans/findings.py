@@ -200,11 +200,12 @@ def price_findings(s: DataFrame, frequency: str) -> list[Finding]:
 
 
 def lifecycle_findings(s: DataFrame, frequency: str) -> list[Finding]:
-    rows, out = _rows(D.lifecycle(s, frequency=frequency).where("status <> 'trading'")), []
+    statuses, out = D.lifecycle(s, frequency=frequency), []
+    counts = {r["status"]: r["n"] for r in _rows(statuses.where("status <> 'trading'").groupBy("status").agg(F.count("*").alias("n")))}
     for status, kind, severity, weight in (("stopped", "products_stopped", "WATCH", 0.68), ("arrived", "products_arrived", "GOOD", 0.45)):
-        own = sorted((r for r in rows if r["status"] == status), key=lambda r: -(r["earlier_value"] + r["recent_value"]))[:10]
-        if own:
-            out.append(Finding(kind, "LIFECYCLE", f"{len(own)} products {'no longer sell' if status == 'stopped' else 'are new'}: {', '.join(r['product'] for r in own[:3])}.", severity, weight, {"count": len(own), status: [[r["product"], r["earlier_value"], r["recent_value"], str(r["last_seen"])] for r in own]}))
+        if n := counts.get(status):
+            own = _first(statuses.where(F.col("status") == status), 10, (F.col("earlier_value") + F.col("recent_value")).desc(), "product")
+            out.append(Finding(kind, "LIFECYCLE", f"{n} products {'no longer sell' if status == 'stopped' else 'are new'}: {', '.join(r['product'] for r in own[:3])}.", severity, weight, {"count": n, status: [[r["product"], r["earlier_value"], r["recent_value"], str(r["last_seen"])] for r in own]}))
     return out
 
 

@@ -44,3 +44,9 @@ def test_all_pairs_are_tested(spark):
     s = t.select(F.format_string("p%02d", "i").alias("product"), F.add_months(F.lit("2024-01-31").cast("date"), F.col("m")).alias("date"), (F.when(F.col("i") >= 68, same).otherwise(noise) + 1).alias("revenue"))
     f = FN.relationship_finding(s, P.MONTH)[0].facts
     assert f["pairs_tested"] == 70 * 69 // 2 and f["pairs"][0][:2] == ["p68", "p69"]
+
+
+def test_stopped_products_are_counted_before_the_list_is_cut(many):
+    gone = many.where(~((F.substring("product", 2, 5).cast("int") < 300) & (F.col("date") > "2024-06-30")))
+    f = FN.lifecycle_findings(gone, P.MONTH)[0]
+    assert f.id == "products_stopped" and f.facts["count"] == 300 and f.summary.startswith("300 products") and len(f.facts["stopped"]) == 10
