@@ -342,7 +342,7 @@ def collect_findings(s: DataFrame, goals: DataFrame | None = None, strict: bool
 
 
 def story(s: DataFrame, goals: DataFrame | None = None) -> DataFrame:
-    found, _ = collect_findings(s, goals)
+    found, _ = collect_findings(s, goals, strict=True)
     plain = lambda x: None if x is None else float(x)
     rows = [(f.id, f.type, f.chart, f.summary, json.dumps(f.facts, default=str, sort_keys=True), f.severity, float(f.importance), f.tier, f.method, plain(f.p_value), plain(f.adjusted_p), f.sample_size, f.strength, plain(f.bounds[0]), plain(f.bounds[1]), float(f.score), i) for i, f in enumerate(found, 1)]
     return s.sparkSession.createDataFrame(rows, SCHEMA)

@@ -50,3 +50,13 @@ def test_stopped_products_are_counted_before_the_list_is_cut(many):
     gone = many.where(~((F.substring("product", 2, 5).cast("int") < 300) & (F.col("date") > "2024-06-30")))
     f = FN.lifecycle_findings(gone, P.MONTH)[0]
     assert f.id == "products_stopped" and f.facts["count"] == 300 and f.summary.startswith("300 products") and len(f.facts["stopped"]) == 10
+
+
+def test_a_story_fails_with_its_analyses(many, monkeypatch):
+    def broken(s, frequency):
+        raise RuntimeError("the job died")
+
+    monkeypatch.setattr(FN, "ANALYSES", (FN.ranking_finding, broken))
+    with pytest.raises(RuntimeError, match="died"):
+        FN.story(many)
+    assert list(FN.collect_findings(many)[1]) == ["broken"]
