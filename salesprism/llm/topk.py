@@ -70,11 +70,11 @@ class _Block:
             # one matrix product bounds all pairs; where few are left only those are bounded
             if alive.mean() > 0.05:
                 bound = self.stats[level] @ own.T
-                alive &= bound * (1 + 1e-9) + 1e-6 >= self.floor[:, None]
+                alive &= bound + np.abs(bound) * 1e-9 + 1e-6 >= self.floor[:, None]
             else:
                 q, x = np.nonzero(alive)
                 bound = np.einsum("ij,ij->i", self.stats[level][q], own[x])
-                alive[q, x] = bound * (1 + 1e-9) + 1e-6 >= self.floor[q]
+                alive[q, x] = bound + np.abs(bound) * 1e-9 + 1e-6 >= self.floor[q]
         alive &= self.ids[:, None] != ids[None, :]
         q, x = np.nonzero(alive)
         if not len(q):
