@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -117,7 +118,13 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, cells) of a delimited file; row numbers follow the file's order."""
     lines = spark.read.text(path)
     sep = "\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(r[0] for r in lines.limit(20).collect()))
-    width = max((len(next(csv.reader([r[0]], delimiter=sep), [])) for r in lines.limit(200).collect()), default=1)
+
+    def widest(batches):
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [max((len(next(csv.reader([x], delimiter=sep), [])) for x in batch.column(0).to_pylist()), default=1)]}, schema=pa.schema([("n", pa.int32())]))
+
+    width = max(lines.mapInArrow(widest, "n int").agg(F.max("n")).first()[0] or 1, 1)
     schema = ", ".join(f"c{i} string" for i in range(width + 8))
     table = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="PERMISSIVE", escape='"', multiLine=True)
     return table.select(F.monotonically_increasing_id().alias("row_id"), F.slice(F.array(*table.columns), 1, width).alias("cells"))
