@@ -17,9 +17,12 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a temporary one where none is named."""
+    """A new path in the shared folder that the session names; a temporary one only where driver and executors are one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="salesprism-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -27,10 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut and the files outlive any executor."""
+    """df written to the shared folder and read again: lineage is cut and the files outlive any executor.
+
+    The files go when discard() is called, or else when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
