@@ -1,13 +1,18 @@
 """Derivatives of web captures: linked metadata and plain-text conversion records for each response.
 
-A capture is a row (record_id, target_uri, date, http, payload). Each one with a payload gives a `metadata` record
-(page title, language, links, charset: lines of name and value) and a `conversion` record (the visible text), both with
-WARC-Refers-To naming the response, the source's URI and date, and SHA-1 digests in base 32. render() gives the bytes
-of any record, write_archives() puts them into gzip members, read_archives() reads such files again.
-
-Defined results: a null page is an empty one and still gets its records; a null URI leaves that header out; record ids
-are name-based UUIDs of what the record refers to, so reruns agree and repeated rows repeat their records; other
-columns of the input are ignored. Whole pages are converted, in bounded slices.
+A capture is a row (record_id, target_uri, date, http, payload). Each gives a `metadata` record (status and all headers
+of the source's HTTP response, page title, language, charset, links: lines of name and value) and a `conversion` record
+(the visible text), both with WARC-Refers-To naming the response, the source's URI and date, and SHA-1 digests in base
+32. render() gives the bytes of any record, write_archives() puts them into gzip members, read_archives() reads such
+files again.
+
+A tag ends at the first > after it; what opens after a page's last > is text. So each page is read a fixed number of
+times, whatever it holds.
+
+Defined results: a null page is an empty one and still gets its records; a null URI, date or HTTP block leaves those
+headers out; a null record id leaves refers-to out; record ids are name-based UUIDs of what the record refers to, so
+reruns agree and repeated rows repeat their records; columns to carry may bear any name, one that a record has too is
+returned as source_<name>; other columns of the input are ignored. Whole pages are converted, in bounded slices.
 """
 
 from __future__ import annotations
@@ -34,10 +39,12 @@ SKIPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)"
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[/!?A-Za-z][^>]*>")
 SPACE, LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
-CHARSET = re.compile(r"""<meta\b[^>]*?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"<(html|meta|title|a)\b([^>]*)>", re.I)
+TITLE_END = re.compile(r"</title", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(lang|charset|href)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+SHORT_NAME = re.compile(r"[A-Za-z0-9_-]+")
+#: Character references beyond any code point, which may have thousands of digits.
+TOO_LARGE = re.compile(r"&#(?:[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,}|0*[1-9][0-9]{7,});?")
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, length long, headers string, content string"
 
 
@@ -53,23 +60,71 @@ def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
+def resolved(text: str) -> str:
+    """text without character references."""
+    return html.unescape(TOO_LARGE.sub("�", text))
+
+
+def without_hidden(page: str) -> str:
+    """page with a space for each comment and hidden element."""
+    end = page.rfind(">") + 1
+    unclosed = page.rfind("<!--", end)  # a comment opens even where no > follows
+    tail = page[end:] if unclosed < 0 else page[end : page.find("<!--", end)]
+    shown = SKIPPED.sub(" ", page[:end])
+    # what runs to the end of the part runs to the end of the page
+    open_ended = [m for m in SKIPPED.finditer(page, 0, end) if m.end() == end and not m[0].endswith("-->") and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)] if tail else []
+    return shown if open_ended else shown + tail
+
+
 def plain_text(page: str) -> str:
     """The visible text: blocks on lines of their own, spaces folded, entities resolved."""
-    text = TAG.sub("", BREAK.sub("\n", SKIPPED.sub(" ", page)))
-    return LINES.sub("\n", SPACE.sub(" ", html.unescape(text))).strip()
+    shown = without_hidden(page)
+    end = shown.rfind(">") + 1
+    text = TAG.sub("", BREAK.sub("\n", shown[:end])) + shown[end:]
+    return LINES.sub("\n", SPACE.sub(" ", resolved(text))).strip()
 
 
 def page_fields(page: str) -> list[tuple[str, str]]:
-    shown = SKIPPED.sub(" ", page)
-    out = [(name, one_line(html.unescape(m[1]))) for name, pattern in (("title", TITLE), ("language", LANG), ("charset", CHARSET)) if (m := pattern.search(shown))]
-    return out + [("outlink", one_line(html.unescape(next(x for x in m.groups() if x is not None)))) for m in LINK.finditer(shown)]
+    shown = without_hidden(page)
+    first: dict[str, str] = {}
+    links, titled = [], True
+    for m in NAMED.finditer(shown, 0, shown.rfind(">") + 1):
+        tag = m[1].lower()
+        if tag == "title":
+            if "title" not in first and titled:
+                end = TITLE_END.search(shown, m.end())
+                titled = end is not None  # without an end here there is none further on
+                if end:
+                    first["title"] = shown[m.end() : end.start()]
+            continue
+        wanted = {"html": "lang", "meta": "charset", "a": "href"}[tag]
+        value = next((x[2] or x[3] or x[4] or "" for x in ATTRIBUTE.finditer(m[2]) if x[1].lower() == wanted), None)
+        if value is None:
+            continue
+        if tag == "a":
+            links.append(value)
+        elif short := SHORT_NAME.match(value):
+            first.setdefault("language" if tag == "html" else "charset", short[0])
+    return [(k, one_line(resolved(first[k]))) for k in ("title", "language", "charset") if k in first] + [("outlink", one_line(resolved(x))) for x in links]
+
+
+def source_headers(http: str | None) -> list[tuple[str, str]]:
+    """The status line and every header of an HTTP response; a line that begins with a blank goes on with the one before."""
+    head = re.split(r"\r?\n\r?\n", http or "", maxsplit=1)[0]
+    lines = re.sub(r"\r?\n[ \t]+", " ", head).splitlines()
+    out = [("http-status", lines[0])] if lines and lines[0].upper().startswith("HTTP/") else []
+    for line in lines[len(out) :]:
+        name, colon, value = line.partition(":")
+        if colon and name.strip():
+            out.append((f"http-header-{one_line(name).replace(' ', '-')}", value.strip()))
+    return out
 
 
 def header_lines(fields: list[tuple[str, str | None]]) -> str:
     return "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields if v is not None)
 
 
-def make_record(kind: str, refers_to: str | None, uri: str | None, date: str, content_type: str, content: str, extra: list[tuple[str, str | None]] = (), record_id: str | None = None, payload: bytes | None = None) -> dict:
+def make_record(kind: str, refers_to: str | None, uri: str | None, date: str | None, content_type: str, content: str, extra: list[tuple[str, str | None]] = (), record_id: str | None = None, payload: bytes | None = None) -> dict:
     data = content.encode("utf-8", "surrogatepass")
     own = {
         "record_id": record_id or record_name(kind, refers_to or "", uri or ""),
@@ -92,12 +147,11 @@ def render(headers: str, content: str) -> bytes:
     return f"WARC/1.1\r\n{headers}\r\n".encode() + content.encode("utf-8", "surrogatepass") + b"\r\n\r\n"
 
 
-def derive(record_id: str, uri: str | None, date: str, http: str | None, payload: str) -> list[dict]:
+def derive(record_id: str | None, uri: str | None, date: str | None, http: str | None, payload: str | None) -> list[dict]:
     """The metadata and the conversion record of one response."""
+    payload = payload or ""
     source = digest(payload.encode("utf-8", "surrogatepass"))
-    status = (http or "").split("\r\n", 1)[0]
-    kind = re.search(r"(?im)^content-type:\s*([^\r\n]*)", http or "")
-    fields = [("http-status", status or None), ("source-content-type", kind[1] if kind else None), ("source-payload-digest", source), *page_fields(payload)]
+    fields = [*source_headers(http), ("source-payload-digest", source), *page_fields(payload)]
     extra = [("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
     metadata = make_record("metadata", record_id, uri, date, "application/warc-fields", header_lines(fields), extra)
     text = plain_text(payload)
@@ -114,7 +168,7 @@ def pages_as_responses(pages: DataFrame, date: str = CAPTURED) -> DataFrame:
 
 
 def build_derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Two records for each response row; the columns in carry go along."""
+    """Two records for each response row; the columns in carry go along, as source_<name> where a record has that name itself."""
     names = ("record_id", "target_uri", "date", "http", "payload")
     narrow = responses.select(*[F.col(c).alias(f"own_{c}") for c in carry], *names)
     kept = [(f"own_{c}", narrow.schema[f"own_{c}"].dataType.simpleString()) for c in carry]
@@ -131,7 +185,7 @@ def build_derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> Data
         return out
 
     schema = ", ".join([*[f"{c} {t}" for c, t in kept], RECORD])
-    return map_slices(narrow, build, schema).withColumnsRenamed({f"own_{c}": c for c in carry})
+    return map_slices(narrow, build, schema).withColumnsRenamed({f"own_{c}": f"source_{c}" if c in fields else c for c in carry})
 
 
 def write_archives(records: DataFrame, path: str) -> None:
