@@ -1,14 +1,17 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels.
 
-A sentence with distinct words W has p = sigmoid(bias + sum over W of the weights of a word and its parts); a document is toxic with probability
-1 - prod(1 - p). The weights are fitted on document labels alone (proximal gradient steps with an L1 penalty, so
-words without evidence weigh nothing) and then say which sentences offend.
-
-The fit uses at most TRAIN_DOCUMENTS labelled documents, chosen by a hash of the id; scoring covers every whole text.
-Labels: rows with a null id or a toxic value other than 0 and 1 are left out; an id labelled twice is toxic if any
-label says so. Defined results: a null text is empty; an empty text is one sentence without words and so gets the
-bias; without labels of both kinds the score is 0 everywhere; repeated rows repeat their result; other columns of
-the input are ignored.
+A sentence with distinct words W has z = START + sum over W of the weights of a word and its parts, and so the hazard
+softplus(z). A document has a leak, the hazard of its worst sentence, and of every sentence what its hazard exceeds that
+of a sentence NEUTRAL above START by; it is toxic with probability 1 - exp(-sum), the noisy-or of its sentences. So
+sentences without evidence add nothing, however many there are, and a long document isn't toxic for its length. Weights
+and leak are fitted on document labels alone (proximal gradient steps with an L1 penalty, so words without evidence
+weigh nothing) and then say which sentences offend.
+
+The fit uses at most TRAIN_DOCUMENTS labelled documents with at most TRAIN_CHARACTERS characters together, chosen by a
+hash of the id among those of at most LONGEST characters; scoring covers every whole text. Labels: rows with a null id
+or a toxic value other than 0 and 1 are left out; an id labelled twice is toxic if any label says so. Defined results: a
+null text is empty; a text without words gets the leak; without labels of both kinds the score is 0 everywhere; repeated
+rows repeat their result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +24,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.llm.common import map_slices, text_or_empty
 
-TRAIN_DOCUMENTS = 5_000
+TRAIN_DOCUMENTS, TRAIN_CHARACTERS, LONGEST = 5_000, 16_000_000, 400_000
 #: Words in fewer sample documents aren't features.
 LEAST_DOCUMENTS = 4
-STEPS, RATE, PENALTY, START_BIAS = 250, 0.15, 3e-4, -6.0
+STEPS, RATE, PENALTY, START, NEUTRAL = 250, 0.15, 3e-4, -6.0, 5.0
 #: Characters of a word part, share of the loss that toxic documents get, words whose weight a task remembers.
 GRAM, POSITIVE, KNOWN = 6, 0.3, 300_000
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -38,7 +41,7 @@ STOPS = frozenset(".!?\n")
 
 @dataclass
 class ToxicityModel:
-    bias: float
+    leak: float
     weights: dict[str, float]
     trained: bool = True
     known: dict[str, float] = field(default_factory=dict)
@@ -49,20 +52,20 @@ class ToxicityModel:
         if out is None:
             if len(self.known) >= KNOWN:
                 self.known.clear()
-            out = self.known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word.lower()))
+            out = self.known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
         return out
 
 
 def sentences(text: str) -> list[list[str]]:
     """The distinct words of each sentence that has any."""
     out, own = [], []
-    for t in TOKEN.findall(text.lower()):
+    for t in TOKEN.findall(text):
         if t in STOPS:
             if own:
                 out.append(own)
                 own = []
         else:
-            own.append(t)
+            own.append(t.lower())
     if own:
         out.append(own)
     return [list(dict.fromkeys(s)) for s in out]
@@ -72,9 +75,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, limit: int
     """(toxic, words): words of the chosen documents with an empty string after each sentence."""
     clean = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     clean = clean.select(F.col("doc_id").alias("label_id"), "toxic").where(usable)
-    chosen = clean.orderBy(F.xxhash64("label_id", F.lit("toxicity")), "label_id").limit(limit)
-    # at most `limit` rows of two numbers
-    texts = docs.select(F.col(id_column).alias("label_id"), text_or_empty(text_column).alias("text")).join(F.broadcast(chosen), "label_id").select("toxic", "text")
+    # at most `limit` rows of numbers: the first of them whose texts fit together
+    first = clean.orderBy(F.xxhash64("label_id", F.lit("toxicity")), "label_id").limit(limit)
+    sized = docs.select(F.col(id_column).alias("label_id"), F.length(text_or_empty(text_column)).cast("long").alias("size")).join(F.broadcast(first), "label_id").where(F.col("size") <= LONGEST)
+    sizes = sized.groupBy("label_id", "toxic").agg(F.sum("size").alias("size"))
+    order = Window.orderBy(F.xxhash64("label_id", F.lit("toxicity")), "label_id")
+    chosen = sizes.withColumn("until", F.sum("size").over(order)).where(F.col("until") <= TRAIN_CHARACTERS).select("label_id", "toxic")
+    texts = docs.select(F.col(id_column).alias("label_id"), text_or_empty(text_column).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "label_id").select("toxic", "text")
 
     def tokens(rows):
         return {"toxic": rows["toxic"], "words": [[w for s in sentences(t) for w in [*s, ""]] for t in rows["text"]]}
@@ -88,10 +95,14 @@ def word_features(word: str) -> list[str]:
     return [f"{marked}$", *dict.fromkeys(marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1))]
 
 
+def _soft(z: float) -> float:
+    return z if z > 30 else math.log1p(math.exp(z))
+
+
 def fit(rows: pa.Table, steps: int = STEPS) -> ToxicityModel:
     toxic = rows["toxic"].to_numpy().astype(float)
     if not 0 < toxic.sum() < len(toxic):
-        return ToxicityModel(0.0, {}, False)
+        return ToxicityModel(START, {}, False)
     lists = rows["words"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     coded = lists.flatten().dictionary_encode()
@@ -122,24 +133,27 @@ def fit(rows: pa.Table, steps: int = STEPS) -> ToxicityModel:
     share = toxic.mean()
     of_doc = np.where(toxic > 0, POSITIVE / share, (1 - POSITIVE) / (1 - share)) / n_docs
 
-    w, bias = np.zeros(n), START_BIAS
+    w, leak, least = np.zeros(n), START, _soft(START + NEUTRAL)
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, steps + 1):
         of_word = np.bincount(feature_word, w[feature], n_words)
-        z = bias + np.bincount(sentence, of_word[codes], n_sentences)
+        z = START + np.bincount(sentence, of_word[codes], n_sentences)
         soft = np.logaddexp(0, z)
-        total = np.maximum(np.bincount(doc_of_sentence, soft, n_docs), 1e-9)
+        worst = np.zeros(n_docs)
+        np.maximum.at(worst, doc_of_sentence, soft)
+        total = _soft(leak) + np.minimum(worst, least) + np.bincount(doc_of_sentence, np.maximum(soft - least, 0), n_docs)
         by_total = np.where(toxic > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0) * of_doc
+        # sentences without a hazard of their own are moved as if they had one, or none would ever start
         by_z = by_total[doc_of_sentence] / (1 + np.exp(-np.clip(z, -50, 50)))
         by_word = np.bincount(codes, by_z[sentence], n_words)
-        gradient = np.append(np.bincount(feature, by_word[feature_word], n), by_z.sum())
+        gradient = np.append(np.bincount(feature, by_word[feature_word], n), by_total.sum() / (1 + math.exp(-leak)))
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         scale = RATE / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         move = scale * first / (1 - 0.9**step)
-        w, bias = w - move[:n], bias - move[n]
+        w, leak = w - move[:n], min(leak - move[n], -1.0)
         w = np.sign(w) * np.maximum(np.abs(w) - PENALTY * scale[:n], 0)
     by_index = {int(index[i]): f for f, i in names.items() if index[i] >= 0}
-    return ToxicityModel(float(bias), {by_index[i]: float(w[i]) for i in np.flatnonzero(w).tolist()})
+    return ToxicityModel(float(leak), {by_index[i]: float(w[i]) for i in np.flatnonzero(w).tolist()})
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, limit: int = TRAIN_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text") -> ToxicityModel:
@@ -147,44 +161,45 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = N
     return fit(training_rows(docs, labels, F.lit(True) if usable is None else usable, limit, id_column, text_column).toArrow())
 
 
-def _soft(z: float) -> float:
-    return z if z > 30 else math.log1p(math.exp(z))
-
-
 def score_text(text: str, model: ToxicityModel) -> tuple[float, int, int | None, int | None]:
     """(score, offending sentences, start and end of the worst one in code points)."""
-    weight, bias, plain = model.weight, model.bias, _soft(model.bias)
-    total, offending, worst, at = 0.0, 0, -math.inf, (None, None)
-    z, own, start, end, n = bias, set(), 0, 0, 0
+    weight, plain, least = model.weight, _soft(START), _soft(START + NEUTRAL)
+    total, offending, worst, at, most = _soft(model.leak), 0, -math.inf, (None, None), 0.0
+    z, own, start, end, n = START, set(), 0, 0, 0
+
+    def close():
+        nonlocal total, offending, worst, at, most
+        soft = plain if z == START else _soft(z)
+        most, total = max(most, soft), total + max(0.0, soft - least)
+        if z >= 0:
+            offending += 1
+            if z > worst:
+                worst, at = z, (start, end)
+
     for m in TOKEN.finditer(text):
         t = m[0]
         if t not in STOPS:
             if not n:
                 start = m.start()
             n, end = n + 1, m.end()
-            if (w := weight(t)) and (low := t.lower()) not in own:
+            low = t.lower()
+            if (w := weight(low)) and low not in own:
                 own.add(low)
                 z += w
         elif n:
-            total += plain if z == bias else _soft(z)
-            offending += z >= 0
-            if z > worst:
-                worst, at = z, (start, end)
-            z, n = bias, 0
+            close()
+            z, n = START, 0
             own.clear()
-    if n or worst == -math.inf:
-        total += plain if z == bias else _soft(z)
-        offending += z >= 0
-        if n and z > worst:
-            worst, at = z, (start, end)
-    return -math.expm1(-total), offending, *(at if worst >= 0 else (None, None))
+    if n:
+        close()
+    return -math.expm1(-total - min(most, least)), offending, *at
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: score, predicted, number of offending sentences, place of the worst one."""
     narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
     # the weights that are left grow with the bounded sample only
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.trained))
+    sent = docs.sparkSession.sparkContext.broadcast((model.leak, model.weights, model.trained))
 
     cache: dict = {}
 
@@ -203,11 +218,14 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_column: str = "text")
     """The rows of docs whose text scores below one half."""
     from pyspark.sql.functions import pandas_udf
 
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.trained))
+    sent = docs.sparkSession.sparkContext.broadcast((model.leak, model.weights, model.trained))
+
+    cache: dict = {}
 
     @pandas_udf("boolean")
     def clean(texts):
-        m = ToxicityModel(*sent.value)
+        m = cache.setdefault("own", None) or ToxicityModel(*sent.value)
+        cache["own"] = m
         return texts.map(lambda t: not m.trained or score_text(t, m)[0] < 0.5)
 
     return docs.where(clean(text_or_empty(text_column)))
