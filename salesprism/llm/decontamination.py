@@ -4,8 +4,10 @@ Texts are words (runs of letters and digits, in lower case). An item of m words
 document is at most k = floor(EDITS * m) word edits away. The CGK walk reads a word, repeats or passes it by a random
 bit of (word, step), and so turns edit distance into Hamming distance: a window and an item a few edits apart agree in
 most steps. Each repetition compares SAMPLES random steps; the number of repetitions comes from a simulation of pairs
-that are k edits apart, for every k of a class of lengths, so that RECALL of them meet at least once. What meets is verified by exact approximate matching
-(Myers' bit vectors) around the window, which also gives the distance and the place.
+that are k edits apart, for every k of a class of lengths, so that RECALL of them meet at least once. What meets is verified
+by exact approximate matching (Myers' bit vectors) around the window, which also gives the distance and the place.
+Where MOST_REPETITIONS wouldn't do, for items of some thousand words, windows are found without loss instead: of k + 1
+pieces of an item one stays whole under k edits, so every place where a piece stands is verified.
 
 Windows start at every word. Only starts from which m + k words hold enough of the block's words and word pairs are
 embedded: k edits leave m - k words and m - 1 - 2k pairs in place, so nothing within reach is lost. The first word must
@@ -13,7 +15,8 @@ be one of the block's: a match that begins with another word is no further away
 blocks of at most BLOCK_CHARACTERS, found by counting; documents are read once for each block.
 
 Defined results: null and empty texts match nothing; items without words are left out; an item row given twice gives
-its pairs twice; repeated documents repeat their pairs; other columns of the inputs are ignored.
+its pairs twice, and items that share an id, or have none, keep their pairs apart; repeated documents repeat their
+pairs; other columns of the inputs are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -76,8 +79,8 @@ class Walks:
         return keys
 
 
-def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int = 300, shortest: int | None = None) -> int:
-    """How many repetitions of the walk of a class let `recall` of simulated pairs, `edits` random edits apart, meet."""
+def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int = 300, shortest: int | None = None) -> int | None:
+    """How many repetitions of the walk of a class let `recall` of simulated pairs, `edits` random edits apart, meet; None if too many."""
     if not edits:
         return 1
     rng = np.random.default_rng([11, n_words, edits])
@@ -92,7 +95,7 @@ def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int
         out[: len(own)] = own
     walks = Walks(shortest or n_words, MOST_REPETITIONS)
     met = np.logical_or.accumulate(walks.keys(a, [n_words])[n_words] == walks.keys(b, [n_words])[n_words], axis=0).mean(1)
-    return int(np.argmax(met >= recall)) + 1 if met[-1] >= recall else MOST_REPETITIONS
+    return int(np.argmax(met >= recall)) + 1 if met[-1] >= recall else None
 
 
 def length_classes(lengths: set[int]) -> list[list[int]]:
@@ -104,12 +107,13 @@ def length_classes(lengths: set[int]) -> list[list[int]]:
     return out
 
 
-def class_repetitions(own: list[int], edits: float = EDITS, recall: float = RECALL) -> int:
-    """The most that any number of edits in the class takes; of lengths with the same number the shortest is the hardest."""
+def class_repetitions(own: list[int], edits: float = EDITS, recall: float = RECALL) -> int | None:
+    """The most that any number of edits in the class takes, None if too many; of lengths with the same number the shortest is the hardest."""
     hardest: dict[int, int] = {}
     for m in own:
         hardest.setdefault(edits_allowed(m, edits), m)
-    return max(repetitions_for(m, k, recall, shortest=own[0]) for k, m in hardest.items())
+    times = [repetitions_for(m, k, recall, shortest=own[0]) for k, m in hardest.items()]
+    return None if None in times else max(times)
 
 
 def best_match(pattern: list[str], text: list[str]) -> tuple[int, int]:
@@ -132,6 +136,43 @@ def best_match(pattern: list[str], text: list[str]) -> tuple[int, int]:
     return best
 
 
+def piece_codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A code for each run of `size` words, by where it begins; equal runs have equal codes."""
+    n = len(ids) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(size if n > 0 else 0):
+        out = (out ^ (ids[i : i + n].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Pieces:
+    """Items of one class cut into one piece more than they may have edits."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]]):
+        """items: (place, word ids, edits)."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for place, ids, edits in items:
+            size = len(ids) // (edits + 1)
+            codes = piece_codes(ids, size)
+            found.setdefault(size, []).extend((int(codes[i * size]), place, i * size) for i in range(edits + 1))
+        self.tables = {}
+        for size, rows in found.items():
+            rows.sort()
+            self.tables[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+
+    def starts(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """item -> where it would start, for each place where one of its pieces stands."""
+        out: dict[int, set[int]] = {}
+        for size, (codes, place, offset) in self.tables.items():
+            own = piece_codes(ids, size)
+            left, right = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+            for at in np.flatnonzero(right > left).tolist():
+                for i in range(left[at], right[at]):
+                    out.setdefault(int(place[i]), set()).add(at - int(offset[i]))
+        return {k: sorted(v) for k, v in out.items()}
+
+
 class Matcher:
     """A block of benchmark items, ready to be searched for in documents."""
 
@@ -145,8 +186,11 @@ class Matcher:
         ids = [[self.vocabulary[x] for x in w] for _, w, _ in self.items]
         self.pairs = np.unique(np.array([a * self.size + b for w in ids for a, b in zip(w, w[1:], strict=False)], np.int64))
         classes = length_classes({len(w) for _, w, _ in self.items})
-        self.classes = []
+        self.classes, self.pieces = [], []
         for own, times in zip(classes, repetitions or [class_repetitions(own, edits, recall) for own in classes], strict=True):
+            if times is None:
+                self.pieces.append(Pieces([(i, np.array(ids[i]), k) for i, (_, w, k) in enumerate(self.items) if len(w) in own]))
+                continue
             allowed = {m: edits_allowed(m, edits) for m in own}
             walks = Walks(own[0], times)
             tables = {}
@@ -181,6 +225,10 @@ class Matcher:
             hit = np.zeros(len(paired), bool)
             if len(self.pairs):
                 hit[np.flatnonzero(paired)] = self.pairs[np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)] == codes
+            for pieces in self.pieces:
+                for d, doc in enumerate(docs):
+                    for item, starts in pieces.starts(ids[begins[d] : begins[d] + lengths[d]]).items():
+                        self._verify(out[start + d], item, doc, starts)
             words, pairs = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(hit)])
             first = np.arange(len(ids))
             for c, (own, span, need_words, need_pairs, _, _) in enumerate(self.classes):
@@ -218,25 +266,27 @@ class Matcher:
                         for item in mine[r, left[w] : right[w]].tolist():
                             met.setdefault((part[w][0], item), []).append(w)
             for (doc, item), rows in met.items():
-                pattern, allowed = self.items[item][1], self.items[item][2]
-                words, m = part[rows[0]][1], len(self.items[item][1])
-                starts = sorted({part[w][2] for w in rows})
-                begin = 0
-                while begin < len(starts):  # windows that touch are verified together
-                    end = begin
-                    while end + 1 < len(starts) and starts[end + 1] <= starts[end] + m:
-                        end += 1
-                    low = max(0, starts[begin] - allowed)
-                    region = words[low : starts[end] + m + 2 * allowed]
-                    distance, stop = best_match(pattern, region)
-                    if distance <= allowed:
-                        back = best_match(pattern[::-1], region[:stop][::-1])[1]
-                        out[doc].append((self.items[item][0], distance, m, low + stop - back, low + stop))
-                    begin = end + 1
+                self._verify(out[doc], item, part[rows[0]][1], sorted({part[w][2] for w in rows}))
+
+    def _verify(self, out: list, item: int, words: list[str], starts: list[int]) -> None:
+        """Adds the best match of the item around each group of starts; starts that touch are verified together."""
+        key, pattern, allowed = self.items[item]
+        m, begin = len(pattern), 0
+        while begin < len(starts):
+            end = begin
+            while end + 1 < len(starts) and starts[end + 1] <= starts[end] + m:
+                end += 1
+            low = max(0, starts[begin] - allowed)
+            region = words[low : max(0, starts[end] + m + 2 * allowed)]
+            distance, stop = best_match(pattern, region)
+            if distance <= allowed:
+                back = best_match(pattern[::-1], region[:stop][::-1])[1]
+                out.append((key, distance, m, low + stop - back, low + stop))
+            begin = end + 1
 
     @staticmethod
     def _best(found: list[tuple]) -> list[tuple]:
-        """The nearest, then first place for each item; ids may be null."""
+        """The nearest, then first place for each item."""
         best: dict = {}
         for x in found:
             if x[0] not in best or (x[1], x[3]) < (best[x[0]][1], best[x[0]][3]):
@@ -244,43 +294,49 @@ class Matcher:
         return list(best.values())
 
 
-def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_CHARACTERS, by a hash of the text."""
-    rows = benchmark.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[list[tuple]]:
+    """The items as (id, text, how often the row is there) in blocks of about BLOCK_CHARACTERS, by a hash of the row."""
+    rows = benchmark.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).groupBy("id", "text").agg(F.count("*").alias("n"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(total) // BLOCK_CHARACTERS)
     for b in range(n):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b)
-        yield sorted(((r["id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        own = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(n)) == b)
+        yield sorted(((r["id"], r["text"], r["n"]) for r in own.collect()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1]))
 
 
-def _sent(docs: DataFrame, block: list[tuple[int, str]]):
+def _sent(docs: DataFrame, block: list[tuple]):
     """The block and the repetitions of its classes, simulated once for all tasks."""
-    classes = length_classes({len(w) for _, t in block if (w := words_of(t))})
+    classes = length_classes({len(w) for _, t, _ in block if (w := words_of(t))})
     return docs.sparkSession.sparkContext.broadcast((block, [class_repetitions(own) for own in classes]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document row and item in reach: distance, item_words, start_word, end_word (exclusive)."""
+def _matcher(sent, cache: dict) -> Matcher:
+    """The matcher of a broadcast block, made once in each Python worker; it names items by their place in the block."""
+    if "own" not in cache:
+        block, repetitions = sent.value
+        cache["own"] = Matcher([(i, t) for i, (_, t, _) in enumerate(block)], repetitions=repetitions)
+    return cache["own"]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document row and item row in reach: distance, item_words, start_word, end_word (exclusive)."""
     narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"id {narrow.schema['id'].dataType.simpleString()}, item_id {item_type}, distance int, item_words int, start_word int, end_word int"
+    schema = f"id {narrow.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_id].dataType.simpleString()}, distance int, item_words int, start_word int, end_word int"
     found = None
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, item_id, item_text):
         sent, cache = _sent(docs, block), {}
 
         def pairs(rows, sent=sent, cache=cache):
-            if "own" not in cache:
-                cache["own"] = Matcher(sent.value[0], repetitions=sent.value[1])
-            hits = [(i, *x) for i, own in zip(rows["id"], cache["own"].search(rows["text"]), strict=True) for x in own]
+            found = zip(rows["id"], _matcher(sent, cache).search(rows["text"]), strict=True)
+            hits = [(i, sent.value[0][x[0]][0], *x[1:]) for i, own in found for x in own for _ in range(sent.value[0][x[0]][2])]
             columns = list(zip(*hits, strict=True)) or [[]] * 6
-            return dict(zip(("id", "item_id", "distance", "item_words", "start_word", "end_word"), columns, strict=True))
+            return dict(zip(("id", "item", "distance", "item_words", "start_word", "end_word"), columns, strict=True))
 
         part = map_slices(narrow, pairs, schema, rows=16 * SLICE_ROWS)
         found = part if found is None else found.union(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
-    return found.withColumnRenamed("id", id_column)
+    return found.withColumnsRenamed({"id": id_column, "item": item_id})
 
 
 def _clean(sent):
@@ -292,15 +348,13 @@ def _clean(sent):
 
     @pandas_udf("boolean")
     def clean(texts):
-        if "own" not in cache:
-            cache["own"] = Matcher(sent.value[0], repetitions=sent.value[1])
-        return pd.Series([not x for x in cache["own"].search(texts.tolist())], dtype=bool)
+        return pd.Series([not x for x in _matcher(sent, cache).search(texts.tolist())], dtype=bool)
 
     return clean
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in whose text no item is in reach."""
-    for block in item_blocks(benchmark):
+    for block in item_blocks(benchmark, item_id, item_text):
         docs = docs.where(_clean(_sent(docs, block))(text_or_empty(text_column)))
     return docs
