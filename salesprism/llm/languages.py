@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
 Each language has a zstandard dictionary of raw text, put together from a bounded sample: PIECES documents a language,
-chosen by a hash of the id, PIECE characters from the middle of each. A text is cut into chunks of CHUNK bytes, all of
+those with the smallest hashes of id and text, PIECE characters from the middle of each. Counts say below which hash
+about SPARE times as many rows of a language lie; only those are ranked, repeated rows as one. A text is cut into chunks of CHUNK bytes, all of
 them are encoded with every dictionary, and the smallest sum names the language. The margin is the share by which the
 runner-up is larger; predictions with a narrow margin are marked as rejected but keep their value.
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from salesprism.llm.common import map_slices
 
-PIECES, PIECE = 400, 320
+PIECES, PIECE, SPARE = 400, 320, 4
 CHUNK = 4096
 LEVEL = 3
 NARROW = 0.01
@@ -37,12 +38,20 @@ def letters_only(text: str) -> str:
 
 def train_languages(docs: DataFrame, usable: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary), more frequent languages first."""
-    rows = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.col(id_column).alias("id"), F.lower(text_column).alias("text"))
+    rows = docs.where(usable & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(lang_column).alias("lang"), F.lower(text_column).alias("text"), F.xxhash64(F.col(id_column), F.col(text_column), F.lit("languages")).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     start = F.greatest(F.lit(1), (F.length("text") / 2 - PIECE / 2).cast("int"))
-    pieces = rows.select("lang", F.substring("text", start, F.lit(PIECE)).alias("piece"), F.xxhash64("id", F.lit("languages")).alias("h"), "id")
-    order = Window.partitionBy("lang").orderBy("h", "id", "piece")
-    chosen = pieces.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIECES).select("lang", "piece", "r").collect()
+    chosen, open_langs, spare = [], set(counts), SPARE
+    while open_langs:
+        # hashes are spread evenly over all 64-bit numbers
+        below = {x: min((spare * PIECES << 64) // counts[x], (1 << 64) - 1) - (1 << 63) for x in open_langs}
+        limit = F.element_at(F.create_map(*[v for x, most in below.items() for v in (F.lit(x), F.lit(most))]), F.col("lang"))
+        few = rows.where(F.col("lang").isin(sorted(open_langs)) & (F.col("h") <= limit)).select("lang", "h", F.substring("text", start, F.lit(PIECE)).alias("piece")).distinct()
+        ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("r") <= PIECES).collect()
+        found = {x: [r for r in ranked if r["lang"] == x] for x in open_langs}
+        done = {x for x in open_langs if len(found[x]) == PIECES or spare * PIECES >= counts[x]}
+        chosen += [r for x in done for r in found[x]]
+        open_langs, spare = open_langs - done, spare * 16
     texts: dict[str, list] = {}
     for r in sorted(chosen, key=lambda r: -r["r"]):
         texts.setdefault(r["lang"], []).append(r["piece"])

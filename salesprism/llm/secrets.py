@@ -2,7 +2,8 @@
 
 Base spans are plain matches: assignments of credentials, access ids, long hex runs. On top, base64 and hex
 candidates are decoded and only reported when their bytes parse as a key (DER with nested lengths that add up,
-OpenSSH's length-prefixed strings) or, for signed tokens, when the header is JSON with an algorithm.
+OpenSSH's length-prefixed strings, a PEM block around one of these, encrypted by its headers or not) or, for signed
+tokens, when the header is JSON with an algorithm.
 
 Defined results: a null text is empty; empty texts have no spans; rows are independent, so repeated rows give
 repeated results; other columns of the input are ignored.
@@ -36,8 +37,11 @@ STANDARD64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 URL64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 ANYHEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
-OPENSSH_MAGIC = b"openssh-key-v1\0"
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?:\s|\\[nr])*Proc-Type:\x20*4,\x20*ENCRYPTED(?:\s|\\[nr])+DEK-Info:\x20*[A-Z0-9-]{3,40},[0-9A-Fa-f]{16,64})?(?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
+#: Headers inside a PEM block that say how its body is encrypted, and the bytes of a block of such ciphers.
+ENCRYPTED = re.compile(r"\s*Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]{16,64})\s+(.*)", re.S)
+CIPHER_BLOCK = {"DES": 8, "AES": 16, "CAM": 16, "SEE": 16, "ARI": 16}
+OPENSSH_MAGIC, PEM_START = b"openssh-key-v1\0", b"-----BEGIN "
 
 
 def _decode64(text: str) -> bytes | None:
@@ -116,9 +120,22 @@ def is_openssh_key(data: bytes) -> bool:
     return 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) and at == len(data)
 
 
+def is_pem_body(body: str) -> bool:
+    """A key in base 64, or whole cipher blocks of one after headers that name a cipher and its starting value."""
+    body = re.sub(r"\\[nr]", "\n", body)
+    if m := ENCRYPTED.match(body):
+        data, block = _decode64(re.sub(r"\s", "", m[3])), CIPHER_BLOCK.get(m[1][:3])
+        return bool(data) and block is not None and len(m[2]) == 2 * block and len(data) % block == 0 and len(data) >= 32
+    data = _decode64(re.sub(r"\s", "", body))
+    return bool(data) and (is_der_key(data) or is_openssh_key(data))
+
+
 def key_kind(data: bytes | None) -> str | None:
-    if not data or data[0] not in (0x30, OPENSSH_MAGIC[0]):
+    if not data or data[0] not in (0x30, OPENSSH_MAGIC[0], PEM_START[0]):
         return None
+    if data.startswith(PEM_START):
+        m = PEM.match(data.decode("latin-1"))
+        return "pem" if m and is_pem_body(m[2]) else None
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
@@ -162,7 +179,7 @@ def confirmed_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, s
         found += [(m.start(), kind, m.end()) for m in ANYHEX.finditer(text, s, e) if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0])))]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if key_kind(_decode64(re.sub(r"\s|\\[nr]", "", m[2]))):
+            if is_pem_body(m[2]):
                 found.append((m.start(), "pem", m.end()))
     return list(set(found))
 
