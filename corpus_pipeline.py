@@ -2,16 +2,19 @@
 
 Filtering stages keep clean documents as they are; the secrets stage keeps every document and removes the secrets from
 its text; the last one returns the documents that the mix takes, with their number of copies.
+
+All stages: columns other than those of documents are left out; null and empty texts are clean, differ from all other
+texts and hold no secrets, so they pass every stage but the mix, which takes texts by their words; repeated rows are
+copies, of which one stays; an empty table gives an empty one; texts are read whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from salesprism.llm.common import written
+from salesprism.llm.common import discard, written
 from salesprism.llm.decontamination import drop_contaminated
-from salesprism.llm.mixing import mix_sources
+from salesprism.llm.mixing import take_mix
 from salesprism.llm.neardup import keep_one
 from salesprism.llm.secrets import redact_secrets
 from salesprism.llm.toxicity import drop_toxic, train_toxicity
@@ -43,14 +46,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with copies, their size in words and the words taken.
 
-    Rows that are equal in all columns are told apart by their number only: the first of them get what can't be shared.
+    Rows that are equal in all columns share what they get.
     """
-    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
-    mixed = mix_sources(keyed, id_column="_key").groupBy("_key").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"), F.first("size").alias("size"))
-    rows = keyed.join(mixed.where("all > 0"), "_key").withColumn("nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    copies = F.expr("all div rows") + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
-    rows = rows.withColumn("copies", copies).where("copies > 0")
-    return rows.select(*COLUMNS, "copies", "size", (F.col("copies") * F.col("size")).alias("taken"))
+    return take_mix(docs.select(*COLUMNS)).withColumnsRenamed({"mix_size": "size", "mix_taken": "taken"})
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]
@@ -60,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
