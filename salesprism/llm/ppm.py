@@ -6,13 +6,14 @@ context: there it has count / (total + distinct); otherwise the coder escapes wi
 next shorter context, from which the symbols of the longer one are excluded, and at last to a uniform order -1. The
 probabilities of all texts sum to one; a document's code length is the sum over all of its bytes.
 
-Counts come from all training documents: each task folds its texts, Spark adds up. The trie is at most 256**4 leaves;
-it is cut by the byte before the symbol, on which all shorter contexts agree, into blocks of at most BLOCK_LEAVES (one
-byte's leaves may be 256**3), and blocks are sent and used one at a time, so memory is bounded at any corpus size.
+Counts of words and grams (a symbol with the three bytes before it) come from all documents, apart for those that train:
+each task folds its texts, Spark adds up. The trie stays distributed: its levels are tables of grams and contexts, and
+joins give the code length of every gram that any document has, coded or escaped. The two longest levels are dealt out
+by key, where one context has 256 rows at most; the shorter ones have 65,536 rows at most and travel.
 
-The base score adds up smoothed word frequencies. The HOT_WORDS most frequent words, a number fixed in advance, are
-looked up where a document is read; only the others are dealt out by word and joined with their counts, so no word with
-a large share of all rows travels.
+Documents are then read once more. The HOT_WORDS and HOT_GRAMS most frequent words and grams, numbers fixed in advance,
+are looked up in place; only what is rarer is dealt out by word or gram and joined with its figure, so nothing with a
+large share of all rows travels, and neither driver nor task holds the trie.
 
 Defined results: a null text is empty; an empty text has one token, its end; without training documents the base
 probability is 1 and bytes are uniform; a null id counts as training; repeated rows repeat their result; other columns
@@ -30,13 +31,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from salesprism.llm.common import SLICE_ROWS, row_slices, text_or_empty, written
+from salesprism.llm.common import discard, row_slices, text_or_empty, written
 
 ORDER = 3
 PAD, END = 0xFE, 0xFF
-BLOCK_LEAVES = 4_000_000
-HOT_WORDS = 100_000
+HOT_WORDS, HOT_GRAMS = 100_000, 2_000_000
 HELD_WORDS, HELD_BYTES, HELD_GRAMS = 300_000, 4_000_000, 2_000_000
 
 
@@ -58,235 +59,205 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, n) of docs (text)."""
+    """(word binary, n, trained) of docs (text, training): occurrences in all texts and in those that train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-        out: Counter = Counter()
+        schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("trained", pa.int64())])
+        everything, trained = Counter(), Counter()
 
         def flush():
-            for a in range(0, len(items := list(out.items())), 50_000):
+            for a in range(0, len(items := list(everything.items())), 50_000):
                 part = items[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64()), pa.array([trained[w] for w, _ in part], pa.int64())], schema=schema)
 
         for rows in row_slices(batches):
-            for t in rows["text"]:
-                out.update(tokens(t))
-            if len(out) >= HELD_WORDS:
+            for t, training in zip(rows["text"], rows["training"], strict=True):
+                own = tokens(t)
+                everything.update(own)
+                if training:
+                    trained.update(own)
+            if len(everything) >= HELD_WORDS:
                 yield from flush()
-                out.clear()
+                everything.clear()
+                trained.clear()
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "training").mapInArrow(run, "word binary, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram long, n) of docs (text)."""
+    """(gram long, n, trained) of docs (text, training)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
-        keys, counts, waiting, held = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0
+        schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("trained", pa.int64())])
+        keys, counts, learned, waiting, held = np.empty(0, np.uint32), np.empty(0), np.empty(0), [], 0
 
-        def folded(keys, counts, waiting):
-            own, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint32), np.empty(0, np.int64))
-            both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+        def folded(keys, counts, learned, waiting):
+            own = np.concatenate([keys, *[g for g, _ in waiting]])
+            both, at = np.unique(own, return_inverse=True)
+            new = np.concatenate([np.empty(0, bool), *[t for _, t in waiting]])
+            return both, np.bincount(at, np.concatenate([counts, np.ones(len(new))]), len(both)), np.bincount(at, np.concatenate([learned, new]), len(both))
+
+        def batch(keys, counts, learned):
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(learned.astype(np.int64))], schema=schema)
 
         for rows in row_slices(batches):
-            data, _ = padded(rows["text"])
+            data, at = padded(rows["text"])
             if len(data) > 3:
                 own = grams(data)
-                waiting.append(own[(own & np.uint32(0xFF)) != PAD])
+                real = (own & np.uint32(0xFF)) != PAD
+                waiting.append((own[real], np.array(rows["training"], bool)[at[3:][real]]))
                 held += len(own)
             if held >= HELD_BYTES:
-                keys, counts = folded(keys, counts, waiting)
+                keys, counts, learned = folded(keys, counts, learned, waiting)
                 waiting, held = [], 0
                 if len(keys) >= HELD_GRAMS:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], schema=schema)
-                    keys, counts = keys[:0], counts[:0]
-        keys, counts = folded(keys, counts, waiting)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], schema=schema)
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class _Level:
-    """Contexts of one length: leaves (context << 8 | symbol) with counts, totals and distinct symbols of contexts."""
-
-    def __init__(self, leaves: np.ndarray, n: np.ndarray):
-        self.leaves, at = np.unique(leaves, return_inverse=True)
-        self.n = np.bincount(at, n, len(self.leaves))
-        self.contexts, self.context = np.unique(self.leaves >> np.int64(8), return_inverse=True)
-        self.total = np.bincount(self.context, self.n, len(self.contexts))
-        self.distinct = np.bincount(self.context, minlength=len(self.contexts)).astype(float)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, whether there) of keys in a sorted table."""
-    if not len(table):
-        return np.zeros(len(keys), int), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-class Block:
-    """The part of the trie whose contexts end in some bytes, ready to code their symbols."""
-
-    def __init__(self, leaves: np.ndarray, n: np.ndarray, symbols: np.ndarray):
-        """symbols: counts of all 256 symbols in the whole corpus."""
-        leaves = leaves.astype(np.int64)
-        self.here = np.zeros(256, bool)
-        self.here[np.unique(leaves >> 8 & 0xFF)] = True
-        everything = np.flatnonzero(symbols)
-        levels = [_Level(everything, symbols[everything]), _Level(leaves & 0xFFFF, n), _Level(leaves & 0xFFFFFF, n), _Level(leaves, n)]
-        self.levels = []
-        for k, own in enumerate(levels):
-            direct = np.log10(own.n / (own.total + own.distinct)[own.context]) if len(own.n) else own.n
-            # what each context leaves of the next shorter one: the rest of its total and of its distinct symbols
-            if k:
-                shorter = levels[k - 1]
-                width = np.int64((1 << 8 * k) - 1)
-                leaf, _ = _find(shorter.leaves, own.leaves & width)
-                taken = np.bincount(own.context, shorter.n[leaf], len(own.contexts))
-                parent, _ = _find(shorter.contexts, own.contexts & np.int64((1 << 8 * (k - 1)) - 1))
-                rest, symbols_left = shorter.total[parent] - taken, shorter.distinct[parent] - own.distinct
-            else:
-                rest = symbols_left = np.zeros(len(own.contexts))
-            escape = np.log10(own.distinct / (own.total + own.distinct))
-            self.levels.append((own.leaves, np.log10(np.maximum(own.n, 1)), direct, own.contexts, own.total + own.distinct, own.distinct, escape, rest, symbols_left))
-        self.unseen = -math.log10(max(1, 256 - len(everything)))
-
-    def code(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probabilities of symbols after three bytes, given as grams."""
-        keys = keys.astype(np.int64)
-        at, there = _find(self.levels[ORDER][0], keys)
-        out = np.where(there, self.levels[ORDER][2][at] if len(self.levels[ORDER][2]) else 0.0, 0.0)
-        left = np.flatnonzero(~there)
-        # state of what is left: whether the longer context was known, and what it leaves of this one
-        seen = np.zeros(len(left), bool)
-        rest = symbols_left = np.zeros(len(left))
-        for k in range(ORDER, -1, -1):
-            leaves, log_n, _, contexts, whole, distinct, _, next_rest, next_left = self.levels[k]
-            own = keys[left] & np.int64((1 << 8 * (k + 1)) - 1)
-            if k < ORDER:
-                at, there = _find(leaves, own)
-            else:
-                at, there = np.zeros(len(left), int), np.zeros(len(left), bool)
-            context, known = _find(contexts, own >> np.int64(8))
-            total = np.where(seen, rest + symbols_left, whole[context] if len(whole) else 0.0)
-            novel = np.where(seen, symbols_left, distinct[context] if len(distinct) else 0.0)
-            hit = there & known
-            out[left[hit]] += log_n[at[hit]] - np.log10(total[hit])
-            escapes = known & (novel > 0) & ~hit
-            out[left[escapes]] += np.log10(novel[escapes]) - np.log10(total[escapes])
-            go = ~hit
-            rest = np.where(known, next_rest[context] if len(next_rest) else 0.0, 0.0)[go]
-            symbols_left = np.where(known, next_left[context] if len(next_left) else 0.0, 0.0)[go]
-            left, seen = left[go], known[go]
-        out[left] += self.unseen
-        return out
-
-
-def trie_blocks(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (leaves, counts) of bounded size, by the byte before the symbol; each goes out as a broadcast."""
-    before = F.shiftright("gram", 8).bitwiseAND(F.lit(255))
-    sizes = sorted((r["b"], r["n"]) for r in counts.groupBy(before.alias("b")).agg(F.count("*").alias("n")).collect())
-    blocks: list[list[int]] = []
-    size = BLOCK_LEAVES
-    for b, n in sizes:
-        if size + n > BLOCK_LEAVES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(b)
-        size += n
-    for own in blocks:
-        rows = counts.where(before.isin(own)).toArrow()
-        yield rows["gram"].to_numpy(), rows["n"].to_numpy()
-
-
-SCORED = "uid long, id {id}, n_tokens long, n_known long, base double, score double, word binary, n long"
+                    yield batch(keys, counts, learned)
+                    keys, counts, learned = keys[:0], counts[:0], learned[:0]
+        yield batch(*folded(keys, counts, learned, waiting))
+
+    return docs.select("text", "training").mapInArrow(run, "gram long, n long, trained long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+
+
+def _low(column: str, length: int) -> Column:
+    """The last `length` bytes of a gram or context."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * length) - 1))
+
+
+def code_lengths(counted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(gram, n, log_p) and the tables it was made from: the log10 probability of the symbol after its three bytes, for every gram of the written counts.
+
+    What a context of k bytes leaves of the next shorter one, the rest of its total and of its distinct symbols, belongs
+    to the context; a gram that the longest context doesn't have goes down the levels with that.
+    """
+    # leaves and contexts of level k: k bytes of context, and the symbol
+    level = counted.where("trained > 0").select(F.col("gram").alias("leaf"), F.col("trained").alias("count"))
+    leaves, contexts = {ORDER: written(level, "ppm-leaves-3")}, {}
+    for k in range(ORDER - 1, -1, -1):
+        leaves[k] = written(leaves[k + 1].groupBy(_low("leaf", k + 1).alias("leaf")).agg(F.sum("count").alias("count")), f"ppm-leaves-{k}")
+    for k in range(ORDER + 1):
+        own = leaves[k].withColumn("context", F.shiftright("leaf", 8))
+        if k:
+            shorter = leaves[k - 1].select(F.col("leaf").alias("short_leaf"), F.col("count").alias("short_count"))
+            own = own.join(F.broadcast(shorter) if k < ORDER else shorter, _low("leaf", k) == F.col("short_leaf"))
+        else:
+            own = own.withColumn("short_count", F.lit(0).cast("long"))
+        t = own.groupBy("context").agg(F.sum("count").alias("total"), F.count("*").alias("distinct"), F.sum("short_count").alias("taken"))
+        if k:
+            parent = contexts[k - 1].select(F.col("context").alias("parent"), F.col("total").alias("parent_total"), F.col("distinct").alias("parent_distinct"))
+            t = t.join(F.broadcast(parent), _low("context", k - 1) == F.col("parent"))
+            t = t.select("context", "total", "distinct", (F.col("parent_total") - F.col("taken")).alias("rest"), (F.col("parent_distinct") - F.col("distinct")).alias("left"))
+        else:
+            t = t.select("context", "total", "distinct", F.lit(0).cast("long").alias("rest"), F.lit(0).cast("long").alias("left"))
+        contexts[k] = written(t, f"ppm-contexts-{k}")
+
+    t = counted.select("gram", "n", "trained")
+    for k in range(ORDER, -1, -1):
+        own = contexts[k].withColumnsRenamed({"context": f"c{k}", "total": f"t{k}", "distinct": f"d{k}", "rest": f"r{k}", "left": f"l{k}"})
+        t = t.join(F.broadcast(own) if k < ORDER else own, F.shiftright(_low("gram", k + 1), 8) == F.col(f"c{k}"), "left")
+        if k < ORDER:
+            found = leaves[k].select(F.col("leaf").alias(f"leaf{k}"), F.col("count").alias(f"n{k}"))
+            t = t.join(F.broadcast(found) if k < ORDER - 1 else found, _low("gram", k + 1) == F.col(f"leaf{k}"), "left")
+    t = t.withColumn(f"n{ORDER}", F.when(F.col("trained") > 0, F.col("trained")))
+    log, seen, rest, left = F.lit(0.0), F.lit(False), F.lit(0), F.lit(0)
+    closed = F.lit(False)
+    for k in range(ORDER, -1, -1):
+        known, count = F.col(f"c{k}").isNotNull(), F.col(f"n{k}")
+        total = F.when(seen, rest + left).otherwise(F.col(f"t{k}") + F.col(f"d{k}"))
+        novel = F.when(seen, left).otherwise(F.col(f"d{k}"))
+        hit, escapes = known & count.isNotNull(), known & (novel > 0)
+        part = F.when(closed, 0.0).when(hit, F.log10(count) - F.log10(total)).when(escapes, F.log10(novel) - F.log10(total)).otherwise(0.0)
+        t = t.withColumns({f"part{k}": part, f"closed{k}": closed | hit})
+        log, closed = log + F.col(f"part{k}"), F.col(f"closed{k}")
+        seen, rest, left = known, F.coalesce(f"r{k}", F.lit(0)), F.coalesce(f"l{k}", F.lit(0))
+    symbols = leaves[0].count()
+    return written(t.select("gram", "n", F.when(closed, log).otherwise(log - math.log10(max(1, 256 - symbols))).alias("log_p")), "ppm-lengths"), [*leaves.values(), *contexts.values()]
+
+
+SCORED = "uid long, id {id}, n_tokens long, n_known long, base double, score double, word binary, gram long, n long"
 
 
 def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: n_tokens, n_known, train_tokens, base_score and score; training: a condition on docs."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"), training.alias("training"))
-    learned = narrow.where("training")
-    words = written(count_words(learned), "ppm-words")
-    leaves = written(count_grams(learned), "ppm-leaves")
-    ends = learned.count()
-    total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    words = written(count_words(narrow), "ppm-words")
+    counted = written(count_grams(narrow), "ppm-grams")
+    ends = narrow.where("training").count()
+    total = words.agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
     n_train, n_distinct = (total["n"] or 0) + ends, total["v"] + bool(ends)
     base_log = math.log10(n_train + n_distinct + 1)
-    hot_rows = words.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS)
-    hot_table = hot_rows.toArrow()
-    hot = spark.sparkContext.broadcast(dict(zip(hot_table["word"].to_pylist(), np.log10(hot_table["n"].to_numpy() + 1.0).tolist(), strict=True)))
-    symbols = np.zeros(256)
-    for r in leaves.groupBy(F.col("gram").bitwiseAND(F.lit(255)).alias("s")).agg(F.sum("n").alias("n")).collect():
-        symbols[r["s"]] = r["n"]
-    sent = [spark.sparkContext.broadcast((*own, symbols)) for own in trie_blocks(leaves)] or [spark.sparkContext.broadcast((np.empty(0, int), np.empty(0, int), symbols))]
+    lengths, levels = code_lengths(counted)
+    discard(counted, *levels)
+    hot_words = words.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS)
+    hot_grams = lengths.orderBy(F.col("n").desc(), "gram").limit(HOT_GRAMS)
+    table = hot_words.select("word", "trained").toArrow()
+    known_words = dict(zip(table["word"].to_pylist(), zip(np.log10(table["trained"].to_numpy() + 1.0).tolist(), (table["trained"].to_numpy() > 0).tolist(), strict=True), strict=True))
+    table = hot_grams.select("gram", "log_p").toArrow()
+    order = np.argsort(table["gram"].to_numpy())
+    known_grams = (table["gram"].to_numpy()[order].astype(np.uint32), table["log_p"].to_numpy()[order])
+    sent = spark.sparkContext.broadcast((known_words, *known_grams))
+    del known_words, known_grams, table, order
     end_log, end_known = math.log10(ends + 1), int(ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(target)
-        only = Block(*sent[0].value) if len(sent) == 1 else None
-        uid, get = TaskContext.get().partitionId() << 36, hot.value.get
-        for rows in row_slices(batches, SLICE_ROWS if only else 40 * SLICE_ROWS):
+        hot, keys, logs_of = sent.value
+        uid, get = TaskContext.get().partitionId() << 36, hot.get
+        for rows in row_slices(batches):
             data, at = padded(rows["text"])
             n = len(rows["text"])
-            scores = np.zeros(n)
+            scores, rare_at, rare_gram, rare_times = np.zeros(n), [], [], []
             if n:
-                keys, owner = grams(data), at[3:]
-                real = (keys & np.uint32(0xFF)) != PAD
-                keys, owner = keys[real], owner[real]
-                coded = np.zeros(len(keys), bool)
-                for b in sent:
-                    block = only or Block(*b.value)
-                    if len(sent) > 1:
-                        del b._value  # the next block takes its place
-                    mine = block.here[keys >> np.uint32(8) & np.uint32(0xFF)] if len(sent) > 1 else np.ones(len(keys), bool)
-                    scores += np.bincount(owner[mine], block.code(keys[mine]), n)
-                    coded |= mine
-                if not coded.all():  # after a byte that no training text has: no context is known, the last block's order 0 is everybody's
-                    scores += np.bincount(owner[~coded], block.code(keys[~coded]), n)
-            rare_uid, rare_word, rare_n = [], [], []
+                own, owner = grams(data), at[3:]
+                real = (own & np.uint32(0xFF)) != PAD
+                own, owner = own[real], owner[real]
+                place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
+                here = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+                scores = np.bincount(owner[here], logs_of[place[here]], n)
+                rare, times = np.unique(owner[~here].astype(np.uint64) << np.uint64(32) | own[~here], return_counts=True)
+                rare_at, rare_gram, rare_times = (rare >> np.uint64(32)).astype(np.int64) + uid, (rare & np.uint64(0xFFFFFFFF)).astype(np.int64), times
+            word_at, word, word_times = [], [], []
             known, base, count = [], [], []
             for k, t in enumerate(rows["text"]):
-                own, logs, rest = tokens(t), end_log, []
+                own, logs, seen, rest = tokens(t), end_log, end_known, []
                 for w in own:
                     v = get(w)
                     if v is None:
                         rest.append(w)
                     else:
-                        logs += v
+                        logs += v[0]
+                        seen += v[1]
                 for w, c in Counter(rest).items():
-                    rare_uid.append(uid + k)
-                    rare_word.append(w)
-                    rare_n.append(c)
-                known.append(len(own) - len(rest) + end_known)
+                    word_at.append(uid + k)
+                    word.append(w)
+                    word_times.append(c)
+                known.append(seen)
                 count.append(len(own) + 1)
                 base.append(logs - (len(own) + 1) * base_log)
             columns = {"uid": range(uid, uid + n), "id": rows["id"], "n_tokens": count, "n_known": known, "base": base, "score": scores}
-            for part in (columns, {"uid": rare_uid, "word": rare_word, "n": rare_n}):
+            for part in (columns, {"uid": word_at, "word": word, "n": word_times}, {"uid": rare_at, "gram": rare_gram, "n": rare_times}):
                 size = len(part["uid"])
                 yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) if f.name in part else pa.nulls(size, f.type) for f in arrow], schema=arrow)
             uid += n
 
-    from pyspark.sql.types import StructType
-
     target = StructType.fromDDL(SCORED.format(id=narrow.schema["id"].dataType.simpleString()))
     scored = written(narrow.select("id", "text").mapInArrow(run, target), "ppm-scored")
-    rare = scored.where("word is not null").select("uid", "word", F.col("n").alias("times"))
-    others = words.join(hot_rows.select("word"), "word", "left_anti") if n_distinct > HOT_WORDS + 1 else words.where("false")
-    sums = rare.join(others, "word").groupBy("uid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
-    out = scored.where("word is null").select("uid", "id", "n_tokens", "n_known", "base", "score").join(sums, "uid", "left")
+    rare_words = scored.where("word is not null").select("uid", "word", F.col("n").alias("times"))
+    other_words = words.where("trained > 0").select("word", "trained")
+    word_sums = rare_words.join(other_words, "word").groupBy("uid").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("trained") + 1)).alias("more_base"))
+    rare_grams = scored.where("gram is not null").select("uid", "gram", F.col("n").alias("times"))
+    gram_sums = rare_grams.join(lengths.select("gram", "log_p"), "gram").groupBy("uid").agg(F.sum(F.col("times") * F.col("log_p")).alias("more_score"))
+    sums = word_sums.withColumn("more_score", F.lit(0.0)).unionByName(gram_sums.withColumns({"more_known": F.lit(0), "more_base": F.lit(0.0)}))
+    sums = sums.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("more_known", "more_base", "more_score")])
+    out = scored.where("n_tokens is not null").select("uid", "id", "n_tokens", "n_known", "base", "score").join(sums, "uid", "left")
     return out.select(
         F.col("id").alias(id_column),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

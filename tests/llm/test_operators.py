@@ -247,9 +247,9 @@ def brute_ppm(training, text):
     return total
 
 
-@pytest.mark.parametrize("leaves", [P.BLOCK_LEAVES, 20])
-def test_ppm_equals_brute_force(spark, monkeypatch, leaves):
-    monkeypatch.setattr(P, "BLOCK_LEAVES", leaves)
+@pytest.mark.parametrize("hot", [P.HOT_GRAMS, 20, 0])
+def test_ppm_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(P, "HOT_GRAMS", hot)
     monkeypatch.setattr(P, "HOT_WORDS", 3)
     texts = ["abracadabra abra", "Das Haus — ein Häuschen", "abra ABRA cadabra", None, "", "zzz unseen ¿", "the the the a", "the the the a"]
     train = [i % 3 != 2 for i in range(len(texts))]
