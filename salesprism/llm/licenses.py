@@ -2,10 +2,11 @@
 
 A template of n words is compared with every block of 2n words that starts at a multiple of n, so a notice lies
 whole in at least one block. A block matches when it holds at least `threshold` of the template's distinct words.
-The join is exact: template words are ordered by their frequency in all documents, rarest first; a block can only
-match if it holds a word of the template's prefix (prefix filter), has enough template words at all (length filter)
-and if what follows the first shared word suffices (positional filter); what is left is counted.
-Templates are constants of this module (a few hundred words), so they enter the plan as literals.
+The join is exact. Texts are read once, into the places of the words that any template has. Template words are
+ordered by their frequency in all documents, rarest first, and the words of each template's prefix meet the documents'
+words in a join (prefix filter); a pair of block and template goes on if the block has enough template words at all
+(length filter) and if what follows the first shared word suffices (positional filter); what is left is counted.
+Templates are constants of this module (a few hundred words), so their prefixes travel to the documents.
 
 Only DataFrame functions are used. Defined results: a null text is empty; a text without words has zero counts,
 null positions, empty labels and score 0; rows are independent, so repeated rows repeat their result; other columns
@@ -20,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import text_or_empty
+from salesprism.llm.common import small, text_or_empty, written
 
 # Phrases and public license notices, with the labels they stand for.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -37,8 +38,11 @@ TEMPLATES = (
     ("cc", "Licensed under CC BY-NC 4.0"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
+#: Template words of a document that are compared with the templates at once.
+SLICE = 256
 
 
 def template_words(text: str) -> list[str]:
@@ -56,20 +60,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
 
 
 def _literals(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def token_frequencies(words: DataFrame) -> dict[str, int]:
-    """How often each template word occurs in all documents; as many rows as the templates have words."""
-    wanted = sorted({w for _, t in TEMPLATES for w in template_words(t)})
-    rows = words.select(F.explode("words").alias("w")).where(F.col("w").isin(wanted)).groupBy("w").count().collect()
-    return dict.fromkeys(wanted, 0) | {r["w"]: r["count"] for r in rows}
-
-
 def _places(phrase: str) -> Column:
     parts, words = phrase.split(), F.col("words")
     last = F.size(words) - len(parts)
@@ -83,48 +80,65 @@ def _places(phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[-1]) & (last >= 0), F.filter(F.sequence(F.lit(0), last), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def _containment(ordered: list[str], n_words: int, vocabulary: Column, threshold: float) -> Column:
-    """The largest share of the template's words in a block that meets the threshold, else 0. ordered: rarest first."""
-    words, size, least = F.col("words"), len(ordered), needed(ordered, threshold)
-    template, prefix = _literals(ordered), _literals(ordered[: size - least + 1])
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(n_words))
-
-    def share(start):
-        block = F.slice(words, start + 1, 2 * n_words)
-        # the block's template words in the global order, as ranks in the vocabulary
-        own = F.array_sort(F.transform(F.array_intersect(block, vocabulary), lambda w: F.array_position(vocabulary, w)))
-        first = F.array_position(template, F.get(vocabulary, (F.array_min(F.filter(own, lambda r: F.array_contains(template, F.get(vocabulary, (r - 1).cast("int"))))) - 1).cast("int")))
-        after = F.size(own) - F.array_position(own, F.array_position(vocabulary, F.get(template, (first - 1).cast("int"))))
-        possible = (F.size(own) >= least) & (1 + F.least(size - first, after) >= least)
-        shared = F.size(F.array_intersect(block, template))
-        return F.when(F.arrays_overlap(block, prefix) & possible & (shared >= least), shared / F.lit(float(size))).otherwise(F.lit(0.0))
-
-    return F.when(F.arrays_overlap(words, prefix), F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))).otherwise(F.lit(0.0))
+def matching_blocks(found: DataFrame, templates: list[list[str]], wanted: list[str], threshold: float) -> DataFrame:
+    """(uid, template, share): the best share of each template that some block of a document holds, if it meets the threshold.
+
+    found: uid and hits, an array of (at, word), the place in the text and the number in `wanted` of each template word.
+    """
+    spark = found.sparkSession
+    # as many rows as the templates have words
+    seen = dict.fromkeys(range(len(wanted)), 0) | {r["word"]: r["n"] for r in found.select(F.explode("hits.word").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    rank = {w: i for i, w in enumerate(sorted(seen, key=lambda w: (seen[w], wanted[w])))}
+    number, rows = {w: i for i, w in enumerate(wanted)}, []
+    for i, words in enumerate(templates):
+        own = sorted({number[w] for w in words}, key=rank.get)
+        least = needed(words, threshold)
+        rows += [(w, i, len(words), own, least) for w in own[: len(own) - least + 1]]
+    prefixes = spark.createDataFrame(rows, "word int, template int, n_words int, own array<int>, least int")
+    # slices of a document's hits: a block around one of the SLICE in the middle has no more hits on either side than words
+    span = 2 * max(map(len, templates))
+    slices = F.transform(F.sequence(F.lit(0), F.expr(f"(size(hits) - 1) div {SLICE}")), lambda i: F.struct(F.slice("hits", F.greatest(F.lit(1), i * SLICE - span + 1), F.lit(SLICE + 2 * span)).alias("hits"), F.slice("hits", i * SLICE + 1, F.lit(SLICE)).alias("own")))
+    sliced = found.where(F.size("hits") > 0).select("uid", F.explode(slices).alias("part")).select("uid", "part.hits", F.explode("part.own").alias("hit"))
+    pairs = sliced.select("uid", "hits", "hit.at", "hit.word").join(F.broadcast(prefixes), "word")
+    # a place lies in the blocks that start at the multiple of n before it and at the one before that
+    start = F.expr("at - at % n_words")
+    pairs = pairs.select("uid", "template", "n_words", "own", "least", "hits", F.explode(F.array_distinct(F.array(start, F.greatest(F.lit(0), start - F.col("n_words"))))).alias("start"))
+    inside = F.filter("hits", lambda h: (h["at"] >= F.col("start")) & (h["at"] < F.col("start") + 2 * F.col("n_words")))
+    pairs = pairs.withColumn("block", F.array_distinct(F.transform(inside, lambda h: h["word"]))).where(F.size("block") >= F.col("least"))
+    # places in the template's order: what comes after the first shared one must suffice
+    first = F.array_min(F.transform("block", lambda w: F.nullif(F.array_position("own", w), F.lit(0))))
+    pairs = pairs.withColumn("first", first).where(F.size("own") - F.col("first") + 1 >= F.col("least"))
+    shared = F.size(F.array_intersect("block", "own"))
+    pairs = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("least"))
+    return pairs.groupBy("uid", "template").agg(F.max(F.col("shared") / F.size("own")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: word count, phrase places, labels of phrases and of phrases and notices, score."""
-    words = docs.select(F.col(id_column), words_of(text_or_empty(text_column)).alias("words"))
-    seen = token_frequencies(words)
-    order = sorted(seen, key=lambda w: (seen[w], w))
-    rank, vocabulary = {w: i for i, w in enumerate(order)}, _literals(order)
-    found = words.select(id_column, "words", *[_places(p).alias(f"at_{label}") for label, p in PHRASES.items()])
-    shares = {f"share_{i}": _containment(sorted(set(template_words(t)), key=rank.get), len(template_words(t)), vocabulary, threshold) for i, (_, t) in enumerate(TEMPLATES)}
-    # only documents with a rare word of some template, or a phrase, go through the block expressions
-    found = found.select(id_column, F.size("words").cast("long").alias("n_words"), *[f"at_{x}" for x in PHRASES], *[c.alias(k) for k, c in shares.items()])
+    templates = [template_words(t) for _, t in TEMPLATES]
+    wanted = sorted({w for t in templates for w in t})
+    words = docs.select(F.col(id_column).alias("id"), words_of(text_or_empty(text_column)).alias("words"))
+    places = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(wanted), i)))
+    found = words.select("id", "words", places.alias("places"), *[_places(p).alias(f"at_{label}") for label, p in PHRASES.items()])
+    hits = F.transform("places", lambda i: F.struct(i.alias("at"), F.array_position(_literals(wanted), F.get("words", i)).cast("int").alias("word")))
+    hits = F.transform(hits, lambda h: F.struct(h["at"].alias("at"), (h["word"] - 1).alias("word")))
+    found = written(found.select(F.monotonically_increasing_id().alias("uid"), "id", F.size("words").cast("long").alias("n_words"), *[f"at_{x}" for x in PHRASES], hits.alias("hits")), "license-words")
+    shares = matching_blocks(found, templates, wanted, threshold).groupBy("uid").agg(F.max("share").alias("best"), F.collect_set("template").alias("noticed"))
+    labels = _literals([label for label, _ in TEMPLATES])
+    # few documents hold a notice
+    found = found.drop("hits").join(small(written(shares, "license-notices")), "uid", "left")
     places = F.concat(*[F.col(f"at_{x}") for x in PHRASES])
     base = F.array_compact(F.array(*[F.when(F.size(f"at_{x}") > 0, F.lit(x)) for x in sorted(PHRASES)]))
-    noticed = F.array_compact(F.array(*[F.when(F.col(f"share_{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(TEMPLATES)]))
-    best = F.greatest(*[F.col(k) for k in shares])
+    noticed = F.transform(F.coalesce("noticed", F.array().cast("array<int>")), lambda t: F.get(labels, t))
     return found.select(
-        id_column,
+        F.col("id").alias(id_column),
         "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, noticed)), ",").alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 

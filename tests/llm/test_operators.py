@@ -102,6 +102,9 @@ def test_license_phrases_and_notices(spark):
     assert (rows[6]["n_base"], rows[6]["first_word"]) == (1, 3)
     assert rows[5]["n_words"] == 0 and rows[5]["first_word"] is None and rows[5]["labels"] == ""
     assert LI.scan_licenses(awkward(spark)).count() == 10 and LI.scan_licenses(docs(spark, [])).count() == 0
+    long = " ".join(["of the and to"] * 40_000 + words + ["software the"] * 40_000 + [notice.upper()])
+    r = LI.scan_licenses(docs(spark, [long])).first()
+    assert r["labels"] == "mit" and r["score"] == 1.0 and r["n_words"] == 240_000 + 2 * len(words)
 
 
 def jaccard(a, b):
