@@ -1,23 +1,38 @@
-"""Connected components of an edge table by alternating large and small stars, without any graph on the driver."""
+"""Connected components of an edge table by alternating large and small stars, without any graph on the driver.
+
+A hub's edges share a key. The smallest neighbour of each node, which the edges meet in a join, is one row a node: it
+travels while the graph is counted to be small, and is a written table of its own beyond, so that adaptive execution
+can split a hub's edges over tasks. Minima are folded before they travel.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import discard, written
+from salesprism.llm.common import BROADCAST_ROWS, discard, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _with_least(edges: DataFrame, few: bool, least: Column, used: list[DataFrame]) -> DataFrame:
+    """edges with m, the smallest v of each u, as `least` has it."""
+    own = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", least.alias("m"))
+    if few:
+        return edges.join(F.broadcast(own), "u")
+    used.append(written(own, "edges-least"))
+    return edges.join(used[-1], "u")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+def _star_round(edges: DataFrame, few: bool) -> DataFrame:
+    used: list[DataFrame] = []
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _with_least(both, few, F.least("m", "u"), used).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not few:
+        used.append(large := written(large.distinct(), "edges-large"))
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    small = _with_least(down, few, F.col("m"), used)
+    out = written(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
+    discard(*used)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +48,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        last, now = now, written(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
+        last, now = now, _star_round(now, mark[0] <= BROADCAST_ROWS)
         discard(last)
     return nodes.join(now.groupBy("u").agg(F.min("v").alias("root")), nodes["node"] == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))

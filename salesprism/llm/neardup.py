@@ -3,13 +3,14 @@
 Texts are sets of word shingles (SHINGLE consecutive words, in lower case, runs of letters and digits; a shorter text
 is one shingle). Equal texts form one node. Nodes whose MinHash values agree in a band are candidates. Within a bucket
 MinHash values are compared in steps of STEP; after each, a pair is dropped once the posterior probability that its
-similarity reaches the threshold, given the agreements so far and a uniform prior, is below TOLERANCE. Survivors join
-into candidate groups; inside each of those all pairs are pruned in the same way, and what is left is verified exactly
-on the shingle sets. Verified links count copies; classes are the connected components of links.
+similarity reaches the threshold, given the agreements so far and a uniform prior, is below TOLERANCE. A pair that
+agrees in several bands belongs to the first of them, so it is looked at once. Only nodes with a surviving pair in a
+bucket send their texts there, where those pairs are verified exactly on the shingle sets. Verified links count copies;
+classes are the connected components of links.
 
 BANDS bands of ROWS values miss a pair at the threshold with probability (1 - t**ROWS)**BANDS: 3e-6 at 0.8, less above.
-Buckets and groups above their block size are cut into blocks, pairs of which are compared in tasks of their own, so no
-task holds more than two blocks; only counts and the edges of a spanning forest leave a task, never all pairs.
+Buckets above BLOCK are cut into blocks, pairs of which are compared in tasks of their own, so no task holds more than
+two blocks; only counts and the edges of a spanning forest leave a task, never all pairs.
 
 Defined results: null and empty texts, and texts without words, have no shingles: they link to nothing and are their
 own class. Repeated rows are copies. A null id takes part like any other; the class id is the smallest id of the class
@@ -36,8 +37,8 @@ WORD = re.compile(r"[^\W_]+")
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
 VALUES = BANDS * ROWS
-#: Nodes of a bucket and of a candidate group in one block; shingle columns in one matrix product.
-BUCKET_BLOCK, GROUP_BLOCK, COLUMNS = 2048, 512, 4096
+#: Nodes of a bucket in one block; shingle columns in one matrix product; pairs whose bands are compared at once.
+BLOCK, COLUMNS, PAIRS = 1024, 4096, 65_536
 _RNG = np.random.default_rng(20240229)
 _PLACES = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,9 +100,21 @@ def least_agreements(values: int, threshold: float = THRESHOLD, tolerance: float
 LEAST = [(n, least_agreements(n)) for n in range(STEP, VALUES + 1, STEP)]
 
 
-def surviving_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of a and b (of a alone, i < j, if same) that the posterior doesn't rule out."""
-    left, right = [], []
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key for each band of 16-bit MinHash values; equal keys in a band mean equal values, but for chance."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + values[r::ROWS].astype(np.uint64))
+    return key
+
+
+def surviving_pairs(a: np.ndarray, b: np.ndarray, same: bool, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of a and b (of a alone, i < j, if same) whose first common band this is and that the posterior doesn't rule out."""
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
+    both = a if same else np.concatenate([a, b])
+    shared = (both[:, : band * ROWS] == both[:1, : band * ROWS]).all(0).reshape(band, ROWS).all(1) if len(both) else np.zeros(0, bool)
+    if shared.any():  # all have an earlier band in common
+        return left[0], right[0]
     for s in range(0, len(a), 256):
         part = a[s : s + 256]
         agree = np.zeros((len(part), len(b)), np.int16)
@@ -113,12 +126,16 @@ def surviving_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarra
         i, j = np.nonzero(ok)
         seen = agree[i, j]
         for n, least in LEAST[1:]:
-            seen = seen + (part[i, n - STEP : n] == b[j, n - STEP : n]).sum(1)
+            seen = np.concatenate([np.empty(0, int), *[seen[k : k + PAIRS] + (part[i[k : k + PAIRS], n - STEP : n] == b[j[k : k + PAIRS], n - STEP : n]).sum(1) for k in range(0, len(i), PAIRS)]])
             keep = seen >= least
             i, j, seen = i[keep], j[keep], seen[keep]
-        left.append(i + s)
-        right.append(j)
-    return np.concatenate(left) if left else np.empty(0, int), np.concatenate(right) if right else np.empty(0, int)
+        for k in range(0, len(i), PAIRS):
+            x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+            equal = (part[x, : (band + 1) * ROWS] == b[y, : (band + 1) * ROWS]).reshape(len(x), band + 1, ROWS).all(2)
+            own = equal[:, band] & ~equal[:, :band].any(1)
+            left.append(x[own] + s)
+            right.append(y[own])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
@@ -185,13 +202,19 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[dict[str
         yield held
 
 
-def _by_blocks(df: DataFrame, group: str, size: Column, block: int, columns: list[str]) -> DataFrame:
-    """Rows dealt to pairs of blocks (low, high) of their group, and sorted so that each pair is one run; side says which."""
-    n = F.greatest(F.lit(1), F.ceil(size / block)).cast("int")
-    own = F.pmod(F.xxhash64("tk", F.lit("block")), F.col("n_blocks").cast("long")).cast("int")
-    df = df.withColumn("n_blocks", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    df = df.select(group, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), *columns)
-    return df.repartition(group, "low", "high").sortWithinPartitions(group, "low", "high", "second", "tk")
+GROUP = ("band", "key", "low", "high")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows of two blocks of a bucket together, the first block's before the second's."""
+    return df.repartition(*GROUP).sortWithinPartitions(*GROUP, "second", "tk")
+
+
+def _by_blocks(df: DataFrame, size: Column, columns: list[str]) -> DataFrame:
+    """Rows of buckets dealt to pairs of blocks (low, high) of their bucket; second says to which of the two a row belongs."""
+    df = df.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(size / BLOCK)).cast("int"))
+    df = df.withColumn("own", F.pmod(F.xxhash64("tk", F.lit("block")), F.col("n_blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    return _dealt(df.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), *columns))
 
 
 def _map_groups(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
@@ -202,7 +225,7 @@ def _map_groups(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 
         arrow = to_arrow_schema(target)
         out: dict[str, list] = {f.name: [] for f in arrow}
-        for rows in _groups(batches, 3):
+        for rows in _groups(batches, len(GROUP)):
             for k, v in fn(rows).items():
                 out[k] += v
             if len(next(iter(out.values()))) >= 20_000:
@@ -218,20 +241,21 @@ def _split(rows: dict[str, list]) -> tuple[int, bool]:
     return (len(rows["second"]) - sum(rows["second"]), rows["low"][0] == rows["high"][0])
 
 
-def bucket_edges(rows: dict[str, list]) -> dict[str, list]:
+def bucket_members(rows: dict[str, list]) -> dict[str, list]:
+    """The rows of two blocks that have a pair to verify."""
     cut, same = _split(rows)
     values = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, VALUES)
-    i, j = surviving_pairs(values, values, True) if same else surviving_pairs(values[:cut], values[cut:], False)
-    root = forest(len(values), i, j if same else j + cut)
-    tk = rows["tk"]
-    return {"u": [tk[x] for x in range(len(tk)) if root[x] != x], "v": [tk[root[x]] for x in range(len(tk)) if root[x] != x]}
+    i, j = surviving_pairs(values, values, True, rows["band"][0]) if same else surviving_pairs(values[:cut], values[cut:], False, rows["band"][0])
+    at = np.unique(np.concatenate([i, j if same else j + cut])).tolist()
+    return {k: [rows[k][x] for x in at] for k in (*GROUP, "second", "tk")}
 
 
-def group_links(rows: dict[str, list], shingler: Shingler, threshold: float) -> dict[str, list]:
+def bucket_links(rows: dict[str, list], shingler: Shingler, threshold: float) -> dict[str, list]:
+    """Links of the rows of two blocks, verified, and the smallest row that each is connected with here."""
     cut, same = _split(rows)
     sets = [shingler(t) for t in rows["text"]]
     values = np.array([min_values(s).astype(np.uint16) for s in sets])
-    i, j = surviving_pairs(values, values, True) if same else surviving_pairs(values[:cut], values[cut:], False)
+    i, j = surviving_pairs(values, values, True, rows["band"][0]) if same else surviving_pairs(values[:cut], values[cut:], False, rows["band"][0])
     j = j if same else j + cut
     good = exact_links(sets, i, j, threshold) if len(i) else np.empty(0, bool)
     i, j = i[good], j[good]
@@ -266,12 +290,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 out["sig"].append(None)
                 out["bands"].append(None)
                 continue
-            v = min_values(s)
-            key = np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + v[r::ROWS])
-            out["sig"].append(v.astype(np.uint16).tobytes())
-            out["bands"].append(key.view(np.int64).tolist())
+            v = min_values(s).astype(np.uint16)
+            out["sig"].append(v.tobytes())
+            out["bands"].append(band_keys(v).view(np.int64).tolist())
         return out
 
     signed = map_slices(narrow, sign, f"id {id_type}, tk binary, sig binary, bands array<long>").where("sig is not null")
@@ -280,27 +301,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = by_row.groupBy("tk").agg(F.sum("n").alias("copies"), least.alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("tk", "copies", F.col("least.id").alias("first_id"), F.col("least.n").alias("first_rows"), "sig", "bands"), "dup-nodes")
 
-    banded = nodes.select("tk", F.explode("bands").alias("band"))
-    counts = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    shared = banded.join(counts, "band").join(nodes.select("tk", "sig"), "tk")
-    candidates = _map_groups(_by_blocks(shared, "band", F.col("size"), BUCKET_BLOCK, ["tk", "sig"]), bucket_edges, "u binary, v binary")
-    candidates = written(candidates, "dup-candidates")
-    groups = written(components(candidates), "dup-groups")
-    discard(candidates)
-
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    # few texts have a candidate: if their keys are small, texts needn't be shuffled to find them
-    members = groups.join(sizes, "root").join(nodes.select(F.col("tk").alias("node"), "copies", "first_id"), "node").select(F.col("node").alias("tk"), "root", "size", "copies", "first_id")
-    members = written(members, "dup-members")
+    banded = nodes.select("tk", F.posexplode("bands").alias("band", "key"))
+    # a table of its own, so that the rows of a bucket with a large share of them may be split over tasks
+    counts = written(banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1"), "dup-buckets")
+    shared = banded.join(small(counts), ["band", "key"]).join(nodes.select("tk", "sig"), "tk")
+    place = "band int, key long, low int, high int, second boolean, tk binary"
+    members = written(_map_groups(_by_blocks(shared, F.col("size"), ["tk", "sig"]), bucket_members, place), "dup-members")
+
+    # few texts have a pair to verify: if their keys are small, texts needn't be shuffled to find them
+    wanted = members.select("tk").distinct().join(nodes.select("tk", "copies", "first_id"), "tk").select(F.col("tk").alias("member"), "copies", "first_id")
+    wanted = written(wanted, "dup-wanted")
     # one row of each text: the text's smallest id is part of the key, which spreads the rows of a text with many copies
-    m = small(members).withColumnRenamed("tk", "member")
-    texts = narrow.join(m, (narrow["tk"] == m["member"]) & narrow["id"].eqNullSafe(m["first_id"])).select("tk", "text", "root", "size", "copies")
-    dealt = _by_blocks(texts.dropDuplicates(["tk"]), "root", F.col("size"), GROUP_BLOCK, ["tk", "text", "copies"])
+    texts = narrow.join(small(wanted), (narrow["tk"] == F.col("member")) & narrow["id"].eqNullSafe(F.col("first_id"))).select("tk", "text", "copies")
+    texts = written(texts.dropDuplicates(["tk"]), "dup-texts")
 
     def verify(rows, own={}):  # noqa: B006
-        return group_links(rows, own.setdefault("s", Shingler()), threshold)
+        return bucket_links(rows, own.setdefault("s", Shingler()), threshold)
 
-    linked = written(_map_groups(dealt, verify, "tk binary, links long, root binary"), "dup-links")
+    linked = written(_map_groups(_dealt(members.join(texts, "tk").select(*GROUP, "second", "tk", "text", "copies")), verify, "tk binary, links long, root binary"), "dup-links")
+    discard(counts, members, wanted, texts)
     links = linked.groupBy("tk").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("tk").alias("u"), F.col("root").alias("v")))
     known = nodes.drop("sig", "bands").join(links, "tk", "left").where("copies > 1 or links > 0")
@@ -308,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     best = known.groupBy("class").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "tk")).alias("best"))
     known = known.join(best, "class")
     known = written(known.select("tk", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "first_id", "first_rows", F.col("best.first_id").alias("class_id"), F.col("best.tk").alias("class_key")), "dup-classes")
-    discard(nodes, groups, members, linked)
+    discard(nodes, linked)
     return known
 
 

@@ -144,8 +144,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_blocks_of_large_groups_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(N, "BUCKET_BLOCK", 4)
-    monkeypatch.setattr(N, "GROUP_BLOCK", 3)
+    monkeypatch.setattr(N, "BLOCK", 4)
     base = [f"t{i}" for i in range(200)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 200, 10)]
     rows = N.jaccard_join(docs(spark, texts)).collect()
