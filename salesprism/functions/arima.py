@@ -118,15 +118,15 @@ def backtest(y: np.ndarray) -> float | None:
     return float(np.mean(np.abs((mean[use] - actual[use]) / actual[use]))) if use.any() else None
 
 
-def forecasts(series: DataFrame, horizon: int = 3, floor: float | None = None) -> DataFrame:
-    """Rows (subject, step, period, mean, lower80 …) of monthly (subject, period, value); series that refuse give none."""
+def forecasts(series: DataFrame, horizon: int = 3, floor: float | None = None, frequency: str = "month") -> DataFrame:
+    """Rows (subject, step, period, mean, lower80 …) of (subject, period, value); series that refuse give none."""
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("period")
         y = pdf["value"].to_numpy(float)
-        columns = ["subject", "step", "period", "mean", "lower80", "upper80", "lower95", "upper95", "model", "backtest_error", "direction", "trusted"]
+        columns = ["subject", "step", "period", "mean", "lower80", "upper80", "lower95", "upper95", "model", "backtest_error", "direction", "trusted", "last_actual", "n"]
         model = best_fit(y) if len(y) >= LEAST_PERIODS and np.isfinite(y).all() else None
         if not model:
             return pd.DataFrame(columns=columns)
@@ -137,8 +137,8 @@ def forecasts(series: DataFrame, horizon: int = 3, floor: float | None = None) -
         direction = "up" if low[-1] > level else "down" if high[-1] < level else "flat"
         last = pd.Timestamp(pdf["period"].iloc[-1])
         return pd.DataFrame({
-            "subject": pdf["subject"].iloc[0], "step": range(1, horizon + 1), "period": [(last + pd.DateOffset(months=i)).date() for i in range(1, horizon + 1)], "mean": cut(mean), "lower80": low, "upper80": high,
-            "lower95": cut(mean - Z95 * sd), "upper95": cut(mean + Z95 * sd), "model": str(model["order"]), "backtest_error": error, "direction": direction, "trusted": error is not None and error <= TRUSTED,
+            "subject": pdf["subject"].iloc[0], "step": range(1, horizon + 1), "period": [(last + pd.DateOffset(**{f"{frequency}s": i})).date() for i in range(1, horizon + 1)], "mean": cut(mean), "lower80": low, "upper80": high,
+            "lower95": cut(mean - Z95 * sd), "upper95": cut(mean + Z95 * sd), "model": str(model["order"]), "backtest_error": error, "direction": direction, "trusted": error is not None and error <= TRUSTED, "last_actual": float(y[-1]), "n": len(y),
         })[columns]
 
-    return series.select("subject", "period", "value").groupBy("subject").applyInPandas(run, "subject string, step int, period date, mean double, lower80 double, upper80 double, lower95 double, upper95 double, model string, backtest_error double, direction string, trusted boolean")
+    return series.select("subject", "period", "value").groupBy("subject").applyInPandas(run, "subject string, step int, period date, mean double, lower80 double, upper80 double, lower95 double, upper95 double, model string, backtest_error double, direction string, trusted boolean, last_actual double, n long")

@@ -16,6 +16,11 @@ MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy", "MMM d, yyyy", "MMM
 EITHER = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd")
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*NULL_TOKENS)
 
@@ -42,8 +47,8 @@ def parsed_number(c: Column) -> Column:
 
 def to_numeric(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the column parsed; if half of its cells carry a per cent sign the whole column is divided by 100."""
-    share = df.agg(F.avg(F.when(~is_blank(F.col(column)), F.rtrim(F.col(column)).endswith("%").cast("double")))).first()[0] or 0.0
-    return df.withColumn(out, parsed_number(F.col(column)) / (100.0 if share >= 0.5 else 1.0))
+    share = df.agg(F.avg(F.when(~is_blank(named(column)), F.rtrim(named(column)).endswith("%").cast("double")))).first()[0] or 0.0
+    return df.withColumn(out, parsed_number(named(column)) / (100.0 if share >= 0.5 else 1.0))
 
 
 def _first_format(c: Column, formats: tuple[str, ...]) -> Column:
@@ -56,14 +61,14 @@ def to_datetime(df: DataFrame, column: str, out: str) -> DataFrame:
     Where both readings of a cell exist, its separator decides: a first part above 12 anywhere means day first, a
     second part above 12 month first, else the reading that more often falls inside the range of the certain dates.
     """
-    t = F.trim(F.col(column).cast("string"))
-    number = parsed_number(F.col(column))
-    rates = df.agg(F.count_if(~is_blank(F.col(column))).alias("n"), F.count(number).alias("numeric"), F.count_if(number.between(SERIAL_FIRST, SERIAL_LAST)).alias("serial")).first()
+    t = F.trim(named(column).cast("string"))
+    number = parsed_number(named(column))
+    rates = df.agg(F.count_if(~is_blank(named(column))).alias("n"), F.count(number).alias("numeric"), F.count_if(number.between(SERIAL_FIRST, SERIAL_LAST)).alias("serial")).first()
     if rates["n"] and rates["numeric"] >= 0.9 * rates["n"]:
         serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(number).cast("int"))
         return df.withColumn(out, F.when(number.between(SERIAL_FIRST, SERIAL_LAST), serial) if rates["serial"] >= 0.9 * rates["numeric"] else F.lit(None).cast("date"))
     day, month = F.coalesce(_first_format(t, EITHER), _first_format(t, DAY_FIRST)), F.coalesce(_first_format(t, EITHER), _first_format(t, MONTH_FIRST))
-    df = df.withColumn("_d", F.when(~is_blank(F.col(column)), day)).withColumn("_m", F.when(~is_blank(F.col(column)), month))
+    df = df.withColumn("_d", F.when(~is_blank(named(column)), day)).withColumn("_m", F.when(~is_blank(named(column)), month))
     verdicts = separator_verdicts(df, column, "_d", "_m")
     sep = F.regexp_extract(t, r"^\d{1,2}([/.\-])\d{1,2}\1", 1)
     chosen = df.withColumn("_s", sep).join(F.broadcast(verdicts.select(F.col("separator").alias("_s"), "day_first")), "_s", "left")
@@ -72,7 +77,7 @@ def to_datetime(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def separator_verdicts(df: DataFrame, column: str, day: str, month: str) -> DataFrame:
     """(separator, day_first) for the at most three separators of numeric dates."""
-    t = F.trim(F.col(column).cast("string"))
+    t = F.trim(named(column).cast("string"))
     pattern = r"^(\d{1,2})([/.\-])(\d{1,2})\2"
     parts = df.where(t.rlike(pattern)).select(F.regexp_extract(t, pattern, 2).alias("separator"), F.regexp_extract(t, pattern, 1).cast("int").alias("first"), F.regexp_extract(t, pattern, 3).cast("int").alias("second"), F.col(day).alias("d"), F.col(month).alias("m"))
     certain = df.select(F.when(F.col(day) == F.col(month), F.col(day)).when(F.col(day).isNull() | F.col(month).isNull(), F.coalesce(day, month)).alias("x")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("certain"))
@@ -90,14 +95,14 @@ def fold_labels(df: DataFrame, column: str) -> DataFrame:
 
     Spellings are counted first, so the window ranks distinct spellings and not rows.
     """
-    raw = to_text(F.col(column))
+    raw = to_text(named(column))
     t = df.select(raw.alias("raw")).where("raw is not null").groupBy("raw").agg(F.count("*").alias("n")).withColumn("key", label_key(F.col("raw")))
     return t.withColumn("label", F.first("raw").over(Window.partitionBy("key").orderBy(F.col("n").desc(), "raw")))
 
 
 def to_labels(df: DataFrame, column: str, out: str) -> DataFrame:
     folds = fold_labels(df, column).select(F.col("raw").alias("_raw"), F.col("label").alias(out))
-    return df.withColumn("_t", to_text(F.col(column))).join(folds, F.col("_t") == F.col("_raw"), "left").drop("_t", "_raw")
+    return df.withColumn("_t", to_text(named(column))).join(folds, F.col("_t") == F.col("_raw"), "left").drop("_t", "_raw")
 
 
 def normal_name(c: Column) -> Column:

@@ -58,6 +58,11 @@ def rfm(sales: DataFrame) -> DataFrame:
     return t.withColumn("segment", segment).drop("young")
 
 
+def chart_sample(sales: DataFrame, limit: int = 400) -> DataFrame:
+    """At most `limit` customers for a chart, the same ones each time: those whose ids have the smallest hashes."""
+    return rfm(sales).orderBy(F.xxhash64("customer_id"), "customer_id").limit(limit).select("customer_id", "recency", F.col("lines").alias("frequency"), F.col("spend").alias("monetary"), "segment")
+
+
 def rfm_segments(sales: DataFrame) -> DataFrame:
     t = rfm(sales).groupBy("segment").agg(F.count("*").alias("customers"), money("spend").alias("spend"), F.avg("recency").alias("avg_recency"), F.avg("lines").alias("avg_lines"))
     return t.withColumn("share", F.col("customers") / F.sum("customers").over(everything()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions.seasonal import seasonal_parts
@@ -47,6 +47,20 @@ def elasticity_tests(sales: DataFrame, key: str = "product", frequency: str = MO
     return benjamini_hochberg(t, "p", key).withColumn("responds", (F.col("adjusted") < 0.05) & (F.abs("slope") >= 0.3))
 
 
+def level_shift(series: DataFrame, split: Column) -> DataFrame:
+    """One row: Welch's t of the mean of (period, value) where split is false against where it is true, with its degrees of freedom."""
+    one = lambda c: (F.count_if(c).alias, F.avg(F.when(c, F.col("value"))), F.var_samp(F.when(c, F.col("value"))))
+    (n0, m0, v0), (n1, m1, v1) = one(~split), one(split)
+    t = series.agg(n0("n_before"), n1("n_after"), m0.alias("mean_before"), m1.alias("mean_after"), v0.alias("var_before"), v1.alias("var_after"))
+    a, b = F.col("var_before") / F.col("n_before"), F.col("var_after") / F.col("n_after")
+    df = F.try_divide((a + b) * (a + b), a * a / (F.col("n_before") - 1) + b * b / (F.col("n_after") - 1))
+    return t.withColumn("t", F.try_divide(F.col("mean_after") - F.col("mean_before"), F.sqrt(a + b))).withColumn("df", df).drop("var_before", "var_after")
+
+
+def level_shift_test(series: DataFrame, split: Column) -> DataFrame:
+    return level_shift(series, split).withColumn("p", t_p("t", "df"))
+
+
 def group_statistics(sales: DataFrame, dimension: str, measure: str = "revenue") -> DataFrame:
     return sales.where(F.col(dimension).isNotNull() & F.col(measure).isNotNull()).groupBy(F.col(dimension).alias("level")).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.var_samp(measure).alias("var"))
 

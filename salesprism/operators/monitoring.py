@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from salesprism.functions.seasonal import seasonal_parts
 from salesprism.functions.stats import benjamini_hochberg, normal_p
 from salesprism.operators.descriptive import product_ranking
-from salesprism.operators.periods import MONTH, SEASONS, by_period, by_period_and, half_means, money, period_of, whole_periods, with_half
+from salesprism.operators.periods import DAY, MONTH, SEASONS, WEEK, by_period, by_period_and, half_means, money, period_of, whole_periods, with_half
 
 LEVELS = {"high": 0, "medium": 1, "low": 2}
 
@@ -64,12 +64,31 @@ def quality_alerts(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(code, {"BLOCK": "high", "WARN": "medium"}[severity]) for code, severity in found if severity != "INFO"]
 
 
+ALERT = "kind string, level string, subject string, period string, text string, seq long"
+
+
+def goal_alerts(progress: DataFrame) -> DataFrame:
+    """An alert for each goal that is out of reach."""
+    text = F.concat(F.lit("The goal "), F.col("id"), F.lit(" is out of reach at this pace."))
+    return progress.where("needs_alert").select(F.lit("GOAL_PACE").alias("kind"), F.lit("high").alias("level"), F.col("id").alias("subject"), F.col("end").cast("string").alias("period"), text.alias("text"), F.lit(0).cast("long").alias("seq"))
+
+
+def anomaly_alerts(found: DataFrame) -> DataFrame:
+    """An alert for each anomaly under the period it fell in; drops are high, the rest low."""
+    drop = F.col("kind") == "ANOMALY_DROP"
+    text = F.concat(F.when(F.col("subject") == "", "Revenue").otherwise(F.col("subject")), F.when(drop, " fell far below its usual.").otherwise(" rose far above its usual."))
+    return found.select("kind", F.when(drop, "high").otherwise("low").alias("level"), "subject", F.col("period").cast("string").alias("period"), text.alias("text"), F.row_number().over(Window.orderBy(F.abs("z").desc(), "subject")).cast("long").alias("seq"))
+
+
 def goal_progress(sales: DataFrame, goals: DataFrame) -> DataFrame:
-    """goals (id, metric, target, start, end) with what was reached inside their windows as of the last sale, and the state."""
-    last = sales.agg(F.to_date(F.max("date")).alias("as_of"))
+    """goals (id, metric, target, start, end) with what was reached inside their windows as of the last sale, and the state.
+
+    A goal on profit has no row where no sale has a profit.
+    """
+    last = sales.agg(F.to_date(F.max("date")).alias("as_of"), F.count("profit").alias("profits"))
     daily = sales.groupBy(F.to_date("date").alias("day")).agg(money("revenue").alias("revenue"), money("profit").alias("profit"))
     # goals are typed in by users, a handful of rows: sums of days, not sales rows, meet them
-    t = goals.crossJoin(last).join(daily, F.col("day").between(F.col("start"), F.col("end")), "left")
+    t = goals.crossJoin(last).where((F.col("metric") != "profit") | (F.col("profits") > 0)).drop("profits").join(daily, F.col("day").between(F.col("start"), F.col("end")), "left")
     value = F.when(F.col("metric") == "profit", F.col("profit")).otherwise(F.col("revenue"))
     t = t.groupBy("id", "metric", "target", "start", "end", "as_of").agg(F.coalesce(money(value), F.lit(0.0)).alias("actual"))
     total = F.datediff("end", "start") + 1
@@ -82,6 +101,52 @@ def goal_progress(sales: DataFrame, goals: DataFrame) -> DataFrame:
     return t.withColumn("needs_alert", F.col("projected").isNotNull() & (F.col("projected") < F.col("target")))
 
 
+#: Days of a period, periods ahead that a goal's remainder is projected, the most that the band of a run rate may be.
+DAYS = {MONTH: 30.44, WEEK: 7.0, DAY: 1.0}
+GOAL_HORIZON, MOST_SPREAD = 6, 0.6
+
+
+def goal_projection(sales: DataFrame, goals: DataFrame, frequency: str = MONTH) -> DataFrame:
+    """goal_progress() with a band: what is left of a window as a model of the metric projects it, else the run rate with the variation of periods.
+
+    The model's periods count as far as they lie before the window's end, the next one by its share; beyond the horizon
+    the last one goes on. on_track: the projection reaches the target; could_still_hit: its upper end does.
+    """
+    from salesprism.functions.arima import forecasts
+
+    whole = whole_periods(sales, frequency)
+    known = [m for m in ("revenue", "profit") if m == "revenue" or not sales.where("profit is not null").isEmpty()]
+    series = None
+    for m in known:
+        own = by_period(whole, frequency, m).withColumn("subject", F.lit(m))
+        series = own if series is None else series.unionByName(own)
+    spread = series.groupBy("subject").agg(F.when((F.count("*") >= 3) & (F.avg("value") > 0), F.least(F.stddev_samp("value") / F.avg("value"), F.lit(MOST_SPREAD))).otherwise(0.0).alias("variation"))
+    steps = forecasts(series, GOAL_HORIZON, frequency=frequency).where("trusted").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("step", "mean", "lower80", "upper80"))).alias("ahead"), F.first("model").alias("model"))
+    t = goal_progress(sales, goals).drop("needs_alert").join(F.broadcast(spread), F.col("metric") == F.col("subject"), "left").drop("subject")
+    t = t.join(F.broadcast(steps), F.col("metric") == F.col("subject"), "left").drop("subject")
+    needed = F.greatest(F.lit(0), F.datediff("end", F.least("as_of", "end"))) / DAYS[frequency]
+    part = lambda x: F.when(x["step"] == GOAL_HORIZON, F.greatest(F.lit(0.0), needed - (GOAL_HORIZON - 1))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), needed - (x["step"] - 1))))
+    rest = lambda field: F.aggregate("ahead", F.lit(0.0), lambda a, x: a + x[field] * part(x))
+    open_ = (F.col("state") == "in_progress") & F.col("projected").isNotNull()
+    modelled = open_ & F.col("ahead").isNotNull()
+    band = F.col("projected") * F.coalesce("variation", F.lit(0.0))
+    t = t.withColumns({
+        "projected_low": F.when(modelled, F.col("actual") + rest("lower80")).when(open_, F.greatest("actual", F.col("projected") - band)).otherwise(F.col("projected")),
+        "projected_high": F.when(modelled, F.col("actual") + rest("upper80")).when(open_, F.col("projected") + band).otherwise(F.col("projected")),
+        "projected": F.when(modelled, F.col("actual") + rest("mean")).otherwise(F.col("projected")),
+        "method": F.when(modelled, F.concat(F.lit("ARIMA "), F.col("model"))).when(open_, "run rate").when(F.col("state") == "finished", "actual").otherwise("none"),
+    })
+    t = t.withColumn("on_track", F.col("projected") >= F.col("target")).withColumn("could_still_hit", F.col("projected_high") >= F.col("target"))
+    return t.withColumn("needs_alert", F.coalesce(~F.col("on_track") & ~F.col("could_still_hit"), F.lit(False))).drop("ahead", "model", "variation")
+
+
+def check_goal(metric: str, target: float, start: dt.date, end: dt.date) -> list[str]:
+    """Why a goal can't be taken."""
+    out = [] if metric in ("revenue", "profit") else [f"no metric {metric}"]
+    out += [] if target > 0 else ["the target isn't above 0"]
+    return out + ([] if end > start else ["the window ends before it begins"])
+
+
 def goal_pace(sales: DataFrame, target: float, start: dt.date, end: dt.date, measure: str = "revenue") -> DataFrame:
     """Months of the window with what they brought and what each month needs: target / ceil(days / 30.44)."""
     days = (end - start).days + 1
@@ -99,4 +164,4 @@ def goal_gap_drivers(sales: DataFrame, start: dt.date, end: dt.date, key: str =
     return t.withColumn("rank", F.row_number().over(Window.orderBy("change", key))).where(F.col("rank") <= limit)
 
 
-__all__ = ["alert_key", "anomalies", "fresh_alerts", "goal_gap_drivers", "goal_pace", "goal_progress", "quality_alerts", "robust_scores", "sales_anomalies", "with_half"]
+__all__ = ["alert_key", "anomalies", "fresh_alerts", "goal_gap_drivers", "goal_pace", "goal_alerts", "goal_progress", "goal_projection", "anomaly_alerts", "check_goal", "quality_alerts", "robust_scores", "sales_anomalies", "with_half"]

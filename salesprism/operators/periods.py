@@ -79,6 +79,12 @@ def half_means(cells: DataFrame, *keys: str) -> DataFrame:
     return h.groupBy(*keys).agg(early.alias("before"), late.alias("after"))
 
 
+def median_gap(table: DataFrame, date: str = "period") -> DataFrame:
+    """One row: the median of the days between one date and the next; for tables of periods."""
+    days = F.datediff(date, F.lag(date).over(Window.orderBy(date)))
+    return table.select(date).distinct().select(days.alias("days")).where("days is not null").agg(F.percentile("days", F.lit(0.5)).alias("median_days"), F.count("*").alias("gaps"))
+
+
 def pct_change(new: Column, old: Column) -> Column:
     """(new - old) / abs(old), null if old is 0 or null."""
     return F.try_divide(new - old, F.abs(old))

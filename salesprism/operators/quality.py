@@ -4,21 +4,37 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from salesprism.functions.cleaning import is_blank, parsed_number, to_datetime, to_labels
+
 BLOCK, WARN, INFO = "BLOCK", "WARN", "INFO"
 
 
+#: Columns that the gate reads beside those of the file.
+DATE, PRODUCT, VALUE = "_gate_date", "_gate_product", "_gate_value"
+
+
+def raw_view(tidy: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Every row of a file with its date, product and value as far as they can be read; roles: role -> column."""
+    view = to_labels(to_datetime(tidy, roles["date"], DATE), roles["product"], PRODUCT)
+    number = lambda role: parsed_number(F.col(f"`{roles[role]}`"))
+    if "revenue" in roles:
+        return view.withColumn(VALUE, number("revenue"))
+    return view.withColumn(VALUE, number("quantity") * number("unit_price"))
+
+
 def duplicates(raw: DataFrame) -> DataFrame:
-    t = raw.groupBy(*raw.columns).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    t = raw.groupBy(*[F.col(f"`{c}`") for c in raw.columns]).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
     return t.withColumn("share", F.coalesce(F.try_divide("duplicates", "rows"), F.lit(0.0)))
 
 
-def null_rates(raw: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, rate) of nulls and blank texts, one pass."""
-    one = raw.agg(*[F.avg((F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("double")).alias(c) for c in columns])
-    return one.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("column", "rate"))
+def null_rates(raw: DataFrame, columns: list[str], tokens: bool = False) -> DataFrame:
+    """(column, rate) of nulls and blank texts, or of all cells that mean nothing, one pass."""
+    blank = lambda c: is_blank(c) if tokens else c.isNull() | (F.trim(c.cast("string")) == "")
+    one = raw.agg(*[F.avg(blank(F.col(f"`{c}`")).cast("double")).alias(f"r{i}") for i, c in enumerate(columns)])
+    return one.select(F.explode(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.col(f"r{i}"))])).alias("column", "rate"))
 
 
 def month_counts(raw: DataFrame, date: str = "date") -> DataFrame:
@@ -66,46 +82,53 @@ def against_snapshot(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.crossJoin(b).select(F.explode(code).alias("code"))
 
 
-#: What holds the story back, given a code; codes that depend on a share say so in issues().
-SEVERITY = {"empty_file": BLOCK, "no_dates": BLOCK, "no_values": BLOCK, "row_count_collapse": BLOCK, "distribution_shift": BLOCK, "history_went_backwards": BLOCK, "row_count_drop": WARN, "value_shift": WARN, "ancient_dates": WARN, "duplicated_period": WARN, "mostly_zero": WARN, "some_negative": INFO}
-
-
-def issues(raw: DataFrame, as_of: dt.date, previous: DataFrame | None = None, date: str = "date", product: str = "product", value: str = "revenue") -> list[tuple[str, str]]:
-    """(code, severity) of everything the gate finds; each fact is one aggregation over the raw table."""
-    if raw.isEmpty():
+#: What a code against the last snapshot means.
+SEVERITY = {"row_count_collapse": BLOCK, "distribution_shift": BLOCK, "history_went_backwards": BLOCK, "row_count_drop": WARN, "value_shift": WARN}
+
+
+def gate_facts(view: DataFrame, own: DataFrame, blanks: list[str], as_of: dt.date, date: str = DATE, value: str = VALUE, tokens: bool = True) -> DataFrame:
+    """One row with what the gate judges: a pass over the rows of `own` for duplicates, one over blanks, dates and values, one over months."""
+    months = month_counts(view, date)
+    span = months.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("dated_rows"), F.coalesce(F.months_between(F.max("month"), F.min("month")), F.lit(0.0)).alias("span"))
+    gaps, doubled = month_gaps(view, date).agg(F.count("*").alias("gaps")), doubled_months(view, date).agg(F.count("*").alias("doubled"))
+    rates = null_rates(own, blanks, tokens).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("worst_blank"))
+    # each side is one row
+    t = duplicates(own).crossJoin(rates).crossJoin(date_shares(view, as_of, date)).crossJoin(value_shares(view, value))
+    return t.crossJoin(span).crossJoin(gaps).crossJoin(doubled)
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """(code, severity) of gate_facts()."""
+    share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+    level = lambda x, block, warn: F.when(x >= block, BLOCK).when(x >= warn, WARN)
+    dated, enough = F.col("dated") > 0, (F.col("dated_rows") >= 60) & (F.col("span") >= 3)
+    rules = (
+        ("empty_file", F.when(F.col("rows") == 0, BLOCK)),
+        ("duplicate_rows", F.when(F.col("duplicates") > 0, F.coalesce(level(F.col("share"), 0.1, 0.01), F.lit(INFO)))),
+        ("null_spike", level(F.col("worst_blank"), 0.3, 0.1)),
+        ("no_dates", F.when((F.col("rows") > 0) & ~dated, BLOCK)),
+        ("future_dates", F.when(F.col("future") > 0, F.when(share(F.col("future"), F.col("dated")) > 0.05, BLOCK).otherwise(WARN))),
+        ("ancient_dates", F.when(F.col("ancient") > 0, WARN)),
+        ("date_gaps", F.when(enough & (F.col("gaps") > 0), F.when(F.col("gaps") > 1, BLOCK).otherwise(WARN))),
+        ("duplicated_period", F.when(enough & (F.col("doubled") > 0), WARN)),
+        ("no_values", F.when((F.col("rows") > 0) & (F.col("n") == 0), BLOCK)),
+        ("mostly_negative", F.when(F.col("negative_share") > 0.25, BLOCK)),
+        ("some_negative", F.when((F.col("negative_share") > 0) & (F.col("negative_share") <= 0.25), INFO)),
+        ("mostly_zero", F.when(F.col("zero_share") > 0.5, WARN)),
+    )
+    found = F.filter(F.array(*[F.struct(F.lit(code).alias("code"), severity.alias("severity")) for code, severity in rules]), lambda x: x["severity"].isNotNull())
+    return facts.select(F.explode(found).alias("x")).select("x.code", "x.severity")
+
+
+def issues(raw: DataFrame, as_of: dt.date, previous: DataFrame | None = None, roles: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(code, severity) of everything the gate finds in a table, read by its roles; without roles its columns are date, product and revenue."""
+    view = raw_view(raw, roles) if roles else raw.select("*", F.to_date("date").alias(DATE), F.col("product").alias(PRODUCT), F.col("revenue").alias(VALUE))
+    blanks = [roles[r] for r in ("date", "product", "revenue") if r in roles] if roles else ["date", "product", "revenue"]
+    out = [(r["code"], r["severity"]) for r in judged(gate_facts(view, raw, blanks, as_of)).collect()]
+    if ("empty_file", BLOCK) in out:
         return [("empty_file", BLOCK)]
-    out: list[tuple[str, str]] = []
-    d = duplicates(raw).first()
-    if d["duplicates"]:
-        out.append(("duplicate_rows", BLOCK if d["share"] >= 0.1 else WARN if d["share"] >= 0.01 else INFO))
-    worst = max(r["rate"] for r in null_rates(raw, [date, product, value]).collect())
-    if worst >= 0.1:
-        out.append(("null_spike", BLOCK if worst >= 0.3 else WARN))
-    dates = date_shares(raw, as_of, date).first()
-    if not dates["dated"]:
-        return [*out, ("no_dates", BLOCK)]
-    if dates["future"]:
-        out.append(("future_dates", BLOCK if dates["future"] / dates["dated"] > 0.05 else WARN))
-    if dates["ancient"]:
-        out.append(("ancient_dates", WARN))
-    span = month_counts(raw, date).agg(F.sum("rows").alias("rows"), F.months_between(F.max("month"), F.min("month")).alias("span"), F.max("month").alias("last")).first()
-    if span["rows"] >= 60 and span["span"] >= 3:
-        gaps = month_gaps(raw, date).count()
-        if gaps:
-            out.append(("date_gaps", BLOCK if gaps > 1 else WARN))
-        if not doubled_months(raw, date).isEmpty():
-            out.append(("duplicated_period", WARN))
-    values = value_shares(raw, value).first()
-    if not values["n"]:
-        out.append(("no_values", BLOCK))
-    if values["negative_share"] > 0.25:
-        out.append(("mostly_negative", BLOCK))
-    elif values["negative_share"] > 0:
-        out.append(("some_negative", INFO))
-    if values["zero_share"] > 0.5:
-        out.append(("mostly_zero", WARN))
     if previous is not None:
-        out += [(r["code"], SEVERITY[r["code"]]) for r in against_snapshot(snapshot(raw, date, product, value), previous).collect()]
+        out += [(r["code"], SEVERITY[r["code"]]) for r in against_snapshot(snapshot(view, DATE, PRODUCT, VALUE), previous).collect()]
     return out
 
 

@@ -7,17 +7,13 @@ import html
 import json
 import re
 
-from salesprism.functions.text import ROUTES
-from salesprism.plans.findings import Finding, advice_in
-
-# Words that claim a cause, hedges, words of direction.
-CAUSES = ("because", "caused by", "caused", "due to", "driven by", "drove", "as a result of", "resulted in", "led to", "leading to", "explains why", "the reason", "thanks to", "owing to", "brought about")
-HEDGES = ("may", "might", "appears", "appear", "seems", "seem", "suggests", "suggest", "not clear", "unclear", "possibly", "roughly", "around", "about", "tentative", "early", "not certain", "cannot be separated", "within normal")
-UP = ("rose", "grew", "increased", "climbed", "up ", "higher", "gained", "improved")
-DOWN = ("fell", "dropped", "declined", "decreased", "down ", "lower", "lost", "shrank")
-CAUSAL_TYPES = ("DECOMPOSITION", "REPEAT_VS_NEW")
+from pyspark.sql import DataFrame, SparkSession
+
+from salesprism.operators import monitoring as M
+from salesprism.plans.findings import Finding
+
 NUMBER = re.compile(r"\d[\d,]*\.?\d*")
-MOST_LINES, MOST_ALERTS, MOST_WORDS, MOST_BARS = 3, 4, 160, 7
+MOST_LINES, MOST_ALERTS, MOST_BARS = 3, 4, 7
 
 
 def finding_alerts(found: list[Finding], period: str) -> list[dict]:
@@ -26,12 +22,23 @@ def finding_alerts(found: list[Finding], period: str) -> list[dict]:
     for f in found:
         p = f.adjusted_p if f.adjusted_p is not None else f.p_value
         odd = f.type.startswith("ANOMALY_")
-        if (f.severity == "URGENT" or odd) and (p is None or p < 0.05):
+        if (f.severity == "URGENT" and f.type != "GOAL_PACE" or odd) and (p is None or p < 0.05):
             at = f.facts["period"] if odd else period
             out.append({"kind": f.type, "level": "high" if f.severity == "URGENT" else "low", "subject": f.id, "period": at, "text": re.split(r"(?<=[.!?])\s+", f.summary)[0], "key": alert_key(f.type, f.id, at)})
     return out
 
 
+def assemble_alerts(spark: SparkSession, issues: list[tuple[str, str]], found: list[Finding], period: str, held: bool, sent: DataFrame | None = None, cap: int = 6) -> list[dict]:
+    """The alerts of a run that weren't sent: of a held file those of its quality alone, else urgent findings, anomalies and goals out of reach too."""
+    rows = [("QUALITY", level, code, period, code.replace("_", " ")) for code, level in M.quality_alerts(issues)]
+    if not held:
+        rows += [(a["kind"], a["level"], a["subject"], a["period"], a["text"]) for a in finding_alerts(found, period)]
+        rows += [(f.type, "high", f.id, f.facts["end"], f.summary) for f in found if f.type == "GOAL_PACE" and f.facts.get("needs_alert")]
+    alerts = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], M.ALERT)
+    sent = sent.select("key") if sent is not None else spark.createDataFrame([], "key string")
+    return [r.asDict() for r in M.fresh_alerts(alerts, sent, cap).collect()]
+
+
 def alert_key(kind: str, subject: str, period: str) -> str:
     return hashlib.sha256("|".join((kind, subject, period)).encode()).hexdigest()[:16]
 
@@ -111,32 +118,3 @@ def permitted_numbers(facts: dict) -> set[str]:
 def plain_number(text: str) -> str:
     text = text.replace(",", "")
     return text.rstrip("0").rstrip(".") if "." in text else text
-
-
-def problems(answer: str, cited: list[str], found: list[Finding]) -> list[str]:
-    """Why an answer can't be shown: citations, numbers, causes, direction, hedges, advice, length."""
-    known, low, out = {f.id: f for f in found}, f" {answer.lower()} ", []
-    used = [known[c] for c in cited if c in known]
-    if not used:
-        return ["cites no finding"]
-    allowed = set().union(*[permitted_numbers({"facts": f.facts, "summary": f.summary}) for f in used])
-    out += [f"number {n} isn't in the facts" for n in map(plain_number, NUMBER.findall(answer)) if n not in allowed]
-    if any(re.search(rf"\b{re.escape(c)}\b", low) for c in CAUSES) and not any(f.type in CAUSAL_TYPES for f in used):
-        out.append("claims a cause")
-    change = next((f.facts[k] for f in used for k in ("change_pct", "total_change") if isinstance(f.facts.get(k), (int, float))), None)
-    if change is not None and (change < 0 and any(w in low for w in UP) and not any(w in low for w in DOWN) or change > 0 and any(w in low for w in DOWN) and not any(w in low for w in UP)):
-        out.append("turns the direction round")
-    if any(f.strength not in ("strong", "clear", "descriptive") for f in used) and not any(re.search(rf"\b{h}\b", low) for h in HEDGES):
-        out.append("states as certain what isn't")
-    out += ["reads as advice"] if advice_in(answer) else []
-    return out + (["is too long"] if len(answer.split()) > MOST_WORDS else [])
-
-
-def answer(question: str, found: list[Finding]) -> tuple[str, str | None]:
-    """(text, finding id): the summary of the finding the question's words lead to."""
-    low, ids = question.lower(), {f.id: f for f in found}
-    best = max(ROUTES.items(), key=lambda r: (sum(k in low for k in r[1][0]) + max((len(k) for k in r[1][0] if k in low), default=0) / 100, r[0]))
-    if not any(k in low for k in best[1][0]):
-        return "No finding answers this.", None
-    hit = next((i for i in best[1][1] if i in ids), None)
-    return (ids[hit].summary, hit) if hit else ("No finding answers this.", None)

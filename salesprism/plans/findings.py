@@ -210,12 +210,12 @@ def lifecycle_findings(s: DataFrame, frequency: str) -> list[Finding]:
 
 
 def spread_finding(s: DataFrame, _: str) -> list[Finding]:
-    if "order_id" not in s.columns:
-        return []
-    r = D.order_spread(D.order_values(s)).first()
+    unit = "order" if "order_id" in s.columns else "sale"
+    sizes = D.order_values(s) if unit == "order" else s.where("revenue > 0").select(F.col("revenue").alias("value"))
+    r = D.order_spread(sizes).first()
     if not r or r["orders"] < 20 or r["mean_to_median"] < 1.25 and r["top_decile_share"] < 0.35:
         return []
-    return [Finding("order_spread", "DISTRIBUTION", f"The largest tenth of orders brings {r['top_decile_share']:.0%} of revenue; the middle order is {compact(r['median'])}.", "NEUTRAL", 0.5, {"unit": "order", **r.asDict()})]
+    return [Finding("order_spread", "DISTRIBUTION", f"The largest tenth of {unit}s brings {r['top_decile_share']:.0%} of revenue; the middle {unit} is {compact(r['median'])}.", "NEUTRAL", 0.5, {"unit": unit, **r.asDict()})]
 
 
 def segmentation_findings(s: DataFrame, _: str) -> list[Finding]:
@@ -239,26 +239,52 @@ def relationship_finding(s: DataFrame, frequency: str) -> list[Finding]:
 
 
 def forecast_findings(s: DataFrame, frequency: str) -> list[Finding]:
+    """The business on revenue from 0 up, and material products on profit without a floor where it is known: a profit that goes below 0 is urgent."""
     from salesprism.functions.arima import forecasts
 
-    if frequency != P.MONTH:
-        return []
-    whole = P.whole_periods(s, P.MONTH)
+    whole = P.whole_periods(s, frequency)
     ranked = [r["product"] for r in _rows(D.product_ranking(s).where("share >= 0.05 and rank <= 6"))]
-    total = P.by_period(whole, P.MONTH).withColumn("subject", F.lit(""))
-    cells = P.by_period_and(whole.where(F.col("product").isin(ranked)), "product", P.MONTH).withColumnRenamed("product", "subject")
+    measure = "profit" if not s.where("profit is not null").isEmpty() else "revenue"
+    total = P.by_period(whole, frequency).withColumn("subject", F.lit(""))
+    cells = P.by_period_and(whole.where(F.col("product").isin(ranked)), "product", frequency, measure).withColumnRenamed("product", "subject")
+    revenue = forecasts(total if measure == "profit" else total.unionByName(cells), floor=0.0, frequency=frequency)
+    ahead = revenue if measure == "revenue" else revenue.unionByName(forecasts(cells, frequency=frequency))
+    steps: dict[str, list] = {}
+    for r in sorted(_rows(ahead.where("trusted")), key=lambda r: (r["subject"], r["step"])):
+        steps.setdefault(r["subject"], []).append(r)
     out = []
-    last = {r["subject"]: r for r in _rows(forecasts(total.unionByName(cells), floor=0.0).where("step = 3"))}
-    for subject, r in sorted(last.items()):
-        if not r["trusted"] or subject and r["direction"] == "flat":
+    for subject, own in steps.items():
+        r, means = own[-1], [x["mean"] for x in own]
+        crossing = next((i for i, m in enumerate(means, 1) if m < 0), None) if subject and measure == "profit" and r["last_actual"] >= 0 else None
+        if subject and crossing is None and r["direction"] == "flat":
             continue
-        severity = {"down": "WATCH", "up": "GOOD", "flat": "NEUTRAL"}[r["direction"]]
-        facts = {"direction": r["direction"], "projected": r["mean"], "low80": r["lower80"], "high80": r["upper80"], "low95": r["lower95"], "high95": r["upper95"], "model": r["model"], "backtest_error": r["backtest_error"], "horizon_periods": 3}
-        out.append(Finding(f"forecast_{subject}" if subject else "revenue_forecast", "FORECAST", f"{subject or 'Revenue'} is heading {r['direction']}: about {compact(r['mean'])} in three months.", severity, 0.6 if subject else 0.4 if r["direction"] == "flat" else 0.68, facts, method="ARIMA chosen by AICc"))
+        metric = measure if subject else "revenue"
+        facts = {"metric": metric, "direction": r["direction"], "projected": r["mean"], "low80": r["lower80"], "high80": r["upper80"], "low95": r["lower95"], "high95": r["upper95"], "model": r["model"], "backtest_error": r["backtest_error"], "horizon_periods": len(own), "frequency": frequency, "last_actual": r["last_actual"]}
+        facts["change_pct"] = (r["mean"] - r["last_actual"]) / abs(r["last_actual"]) if r["last_actual"] else None
+        if subject:
+            facts |= {"product": subject, "crosses_break_even": crossing is not None, "crosses_in_periods": crossing}
+        if crossing:
+            low, high = own[crossing - 1]["lower80"], own[crossing - 1]["upper80"]
+            text = f"At its current trend {subject} falls below break-even in about {crossing} {frequency}{'s' if crossing > 1 else ''}; the range still runs from {compact(low)} to {compact(high)}."
+            severity, weight = "URGENT", 0.86
+        else:
+            text = f"{f'{subject} ({metric})' if subject else 'Revenue'} is heading {r['direction']}: about {compact(r['mean'])} in {len(own)} {frequency}s."
+            severity, weight = {"down": "WATCH", "up": "GOOD", "flat": "NEUTRAL"}[r["direction"]], 0.6 if subject else 0.4 if r["direction"] == "flat" else 0.68
+        out.append(Finding(f"forecast_{subject}" if subject else "revenue_forecast", "FORECAST", text, severity, weight, facts, "margin" if metric == "profit" else "core", method="ARIMA chosen by AICc", sample_size=r["n"], bounds=(r["lower80"], r["upper80"])))
     return out
 
 
+#: Customers below which nothing is said about them, or about their cohorts.
+LEAST_CUSTOMERS, LEAST_IN_COHORTS = 10, 30
+
+
+def _customers(s: DataFrame) -> int:
+    return s.select("customer_id").where("customer_id is not null").distinct().count()
+
+
 def repeat_finding(s: DataFrame, frequency: str) -> list[Finding]:
+    if _customers(s) < LEAST_CUSTOMERS:
+        return []
     rows = {r["side"]: r for r in _rows(K.repeat_vs_new(s, frequency))}
     if len(rows) < 2 or any(r["change_pct"] is None for r in rows.values()) or abs(rows["new"]["change_pct"] - rows["repeat"]["change_pct"]) < 0.15:
         return []
@@ -273,10 +299,12 @@ def rfm_finding(s: DataFrame, _: str) -> list[Finding]:
         return []
     risk = rows["at_risk"]["customers"] if "at_risk" in rows else 0
     lead = risk >= max(3, 0.05 * n)
-    return [Finding("rfm_segments", "CUSTOMER_SEGMENTS", f"{risk} of {n} customers used to buy often and have gone quiet." if lead else f"{n} customers fall into {len(rows)} groups.", "WATCH" if lead else "NEUTRAL", 0.8 if lead else 0.6, {"total_customers": n, "at_risk": risk, "segments": {k: r["customers"] for k, r in rows.items()}}, "customer")]
+    return [Finding("rfm_segments", "CUSTOMER_SEGMENTS", f"{risk} of {n} customers used to buy often and have gone quiet." if lead else f"{n} customers fall into {len(rows)} groups.", "WATCH" if lead else "NEUTRAL", 0.8 if lead else 0.6, {"total_customers": n, "at_risk": risk, "segments": {k: r["customers"] for k, r in rows.items()}, "sample": [[r["recency"], r["frequency"], r["monetary"], r["segment"]] for r in _rows(K.chart_sample(s))]}, "customer")]
 
 
 def cohort_finding(s: DataFrame, _: str) -> list[Finding]:
+    if _customers(s) < LEAST_IN_COHORTS:
+        return []
     curve = sorted(_rows(K.retention_curve(s)), key=lambda r: r["age"])
     if len(curve) < 2 or K.cohort_sizes(s).where("size >= 8").count() < 3:
         return []
@@ -306,12 +334,31 @@ CUSTOMER = {repeat_finding, rfm_finding, cohort_finding}
 ANALYSES = (trend_finding, anomaly_findings, seasonality_finding, margin_findings, concentration_finding, decomposition_finding, dimension_findings, price_volume_finding, ranking_finding, classes_finding, price_findings, lifecycle_findings, spread_finding, segmentation_findings, relationship_finding, forecast_findings, repeat_finding, rfm_finding, cohort_finding, basket_finding)
 
 
-def goal_findings(s: DataFrame, goals: DataFrame) -> list[Finding]:
+def goal_findings(s: DataFrame, goals: DataFrame, frequency: str = P.MONTH) -> list[Finding]:
+    """One finding a goal: where it stands, where it lands with its band, and which products fell while it is short."""
     out = []
-    for r in _rows(M.goal_progress(s, goals)):
-        short = r["projected"] is not None and r["projected"] < r["target"]
-        severity, weight = ("NEUTRAL", 0.2) if r["state"] == "not_started" else ("NEUTRAL", 0.3) if r["projected"] is None else ("GOOD", 0.72) if not short else ("WATCH", 0.8) if r["state"] == "finished" or r["projected"] >= 0.9 * r["target"] else ("URGENT", 0.86)
-        out.append(Finding(f"goal_{r['id']}", "GOAL_PACE", f"The goal stands at {r['reached_share']:.0%} with {r['elapsed']:.0%} of its time gone.", severity, weight, {k: str(v) if k in ("start", "end", "as_of") else v for k, v in r.asDict().items()}, "margin" if r["metric"] == "profit" else "core"))
+    for r in _rows(M.goal_projection(s, goals, frequency)):
+        facts = {k: str(v) if k in ("start", "end", "as_of") else v for k, v in r.asDict().items()} | {"gap": None, "gap_drivers": []}
+        if r["projected"] is not None and r["projected"] < r["target"]:
+            facts["gap"] = r["target"] - r["projected"]
+            fell = _rows(M.goal_gap_drivers(s, r["start"], r["end"], measure=r["metric"]))
+            facts["gap_drivers"] = [[x["product"], x["change"]] for x in fell]
+        share = f"{r['projected'] / r['target']:.0%}" if r["projected"] is not None and r["target"] else ""
+        if r["state"] == "not_started":
+            severity, weight, text = "NEUTRAL", 0.2, f"The goal {r['id']} begins after the last sale ({r['as_of']}); nothing is measured yet."
+        elif r["projected"] is None or r["state"] == "in_progress" and r["projected"] <= 0:
+            severity, weight, text = "NEUTRAL", 0.3, f"The goal {r['id']} stands at {r['reached_share']:.0%} with {r['elapsed']:.0%} of its time gone, too little to say where it lands."
+        elif r["state"] == "finished":
+            severity, weight, text = "GOOD" if r["on_track"] else "WATCH", 0.7, f"The goal {r['id']} finished at {share} of its target."
+        elif r["on_track"]:
+            severity, weight, text = "GOOD", 0.72, f"The goal {r['id']} is on course: at this pace it lands at {share} of its target."
+        elif r["could_still_hit"]:
+            severity, weight, text = "WATCH", 0.8, f"The goal {r['id']} is behind: at this pace it lands at {share} of its target, which the range still reaches."
+        else:
+            severity, weight, text = "URGENT", 0.86, f"The goal {r['id']} is out of reach at this pace: it lands at {share} of its target."
+        if facts["gap"] and facts["gap_drivers"]:
+            text += f" {facts['gap_drivers'][0][0]} fell most."
+        out.append(Finding(f"goal_{r['id']}", "GOAL_PACE", text, severity, weight, facts, "margin" if r["metric"] == "profit" else "core", f"pace against target by {r['method']}", bounds=(r["projected_low"], r["projected_high"])))
     return out
 
 
@@ -334,7 +381,7 @@ def collect_findings(s: DataFrame, goals: DataFrame | None = None, strict: bool
                 errors[analysis.__name__] = str(e)[:500]
             else:
                 found += result.result()
-        found += goal_findings(s, goals) if goals is not None else []
+        found += goal_findings(s, goals, frequency) if goals is not None else []
         errors |= {f.id: "reads as advice" for f in found if advice_in(f.summary)}
         return sorted((f for f in found if not advice_in(f.summary)), key=lambda f: (-f.score, f.id)), errors
     finally:

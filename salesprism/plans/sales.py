@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.functions.cleaning import to_datetime, to_labels, to_numeric, to_text
+from salesprism.functions.cleaning import named, to_datetime, to_labels, to_numeric, to_text
 
 DIMENSIONS = ("channel", "region", "category", "payment_method")
 
@@ -44,7 +44,7 @@ def build_sales(tidy: DataFrame, roles: dict[str, str], cost_basis: str = "per_u
     price = have("unit_price") if "unit_price" in roles else F.try_divide(revenue, F.nullif(quantity, F.lit(0.0)))
     cost = have("cost") * quantity if cost_basis == "per_unit" and "quantity" in roles else have("cost")
     names = {c: F.col(f"_{c}") for c in DIMENSIONS if c in roles}
-    ids = {c: to_text(F.col(roles[c])) for c in ("customer_id", "order_id") if c in roles}
-    groups = {f"group_{v}": to_text(F.col(v)) for k, v in roles.items() if k.startswith("group_by")}
+    ids = {c: to_text(named(roles[c])) for c in ("customer_id", "order_id") if c in roles}
+    groups = {f"group_{v}": to_text(named(v)) for k, v in roles.items() if k.startswith("group_by")}
     out = df.select(F.col("_date").alias("date"), F.col("_product").alias("product"), revenue.alias("revenue"), quantity.alias("quantity"), price.alias("unit_price"), have("discount").alias("discount"), cost.alias("cost"), (revenue - cost).alias("profit"), *[c.alias(k) for k, c in (ids | names | groups).items()])
     return out.dropna(subset=["date", "product", "revenue"]).where(F.trim("product") != "")

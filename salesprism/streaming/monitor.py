@@ -15,9 +15,22 @@ def daily_totals(events: DataFrame, time: str = "ts", value: str = "value", key:
     return t.groupBy(F.window("_t", "1 day"), key).agg(F.sum(value).alias("value"), F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), key, "value", "n")
 
 
-def once_per_key(alerts: DataFrame) -> DataFrame:
-    """Alerts (kind, subject, period) of a stream with their key, each key once."""
-    return alerts.withColumn("key", alert_key(F.col("kind"), F.col("subject"), F.col("period"))).dropDuplicates(["key"])
+def once_per_key(alerts: DataFrame, time: str | None = None, late: str = "400 days") -> DataFrame:
+    """Alerts (kind, subject, period) of a stream with their key, each key once.
+
+    time: the column by which keys are forgotten `late` after the newest alert, so that state stays bounded; without
+    one every key is remembered for good.
+    """
+    keyed = alerts.withColumn("key", alert_key(F.col("kind"), F.col("subject"), F.col("period")))
+    if not time:
+        return keyed.dropDuplicates(["key"])
+    return keyed.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(["key"])
+
+
+def last_good_run(runs: DataFrame, time: str = "ts") -> DataFrame:
+    """(dataset_id, ts, rows, median_value) of the newest run of each data set that wasn't held; one row of state a data set."""
+    passed = runs.where(~F.col("held"))
+    return passed.groupBy("dataset_id").agg(F.max_by(F.struct(time, "rows", "median_value"), time).alias("x")).select("dataset_id", "x.*")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -13,6 +13,7 @@ from salesprism.operators import descriptive as D
 from salesprism.operators import monitoring as M
 from salesprism.operators import periods as P
 from salesprism.operators import quality as Q
+from salesprism.plans import answers as A
 from salesprism.plans import detection as DT
 from salesprism.plans import digest as G
 from salesprism.plans import findings as FN
@@ -148,9 +149,9 @@ def test_robust_scores(spark):
 
 def test_text_guards(spark):
     f = FN.Finding("revenue_decomposition", "DECOMPOSITION", "Revenue fell 12%.", "WATCH", 0.8, {"change_pct": -0.12, "contributions": [{"label": "a", "change": -3.0, "share_of_change": 1.0}]})
-    assert G.problems("Revenue fell 12% because of a.", [f.id], [f]) == [] and G.problems("It rose 12%.", [f.id], [f]) == ["turns the direction round"]
-    assert "number 13 isn't in the facts" in G.problems("It fell 13%.", [f.id], [f]) and G.problems("x", ["y"], [f]) == ["cites no finding"]
-    assert G.answer("Why did it happen?", [f]) == ("Revenue fell 12%.", f.id) and G.answer("hm", [f])[1] is None
+    assert A.problems("Revenue fell 12% because of a.", [f.id], [f]) == [] and A.problems("It rose 12%.", [f.id], [f]) == ["turns the direction round"]
+    assert "number 13 isn't in the facts" in A.problems("It fell 13%.", [f.id], [f]) and A.problems("x", ["y"], [f]) == ["cites no finding"]
+    assert A.answer("Why did it happen?", [f]) == ("Revenue fell 12%.", f.id) and A.answer("hm", [f])[1] is None
     assert FN.advice_in("You should raise the price") and not FN.advice_in("Revenue rose")
     d = G.digest([f], [])
     assert G.as_text(d) == "- Revenue fell 12%." and "<li" in G.as_html(d) and "12%" in G.export_html([f]) and "revenue_decomposition" in G.export_json([f])
