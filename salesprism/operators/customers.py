@@ -14,8 +14,7 @@ def first_purchases(sales: DataFrame) -> DataFrame:
 
 def repeat_and_new(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
     """(period, new, repeat): revenue at a customer's first timestamp, and later."""
-    rows = sales.join(first_purchases(sales), "customer_id")
-    rows = whole_periods(rows, frequency).withColumn("is_new", F.col("date") == F.col("first_date"))
+    rows = whole_periods(sales, frequency).join(first_purchases(sales), "customer_id").withColumn("is_new", F.col("date") == F.col("first_date"))
     t = rows.groupBy(period_of(frequency).alias("period")).agg(money(F.when(F.col("is_new"), F.col("revenue")).otherwise(0)).alias("new"), money(F.when(~F.col("is_new"), F.col("revenue")).otherwise(0)).alias("repeat"))
     return t
 
@@ -97,10 +96,10 @@ def retention_curve(sales: DataFrame, least: int = 8) -> DataFrame:
 
 def baskets(sales: DataFrame, item: str = "product") -> DataFrame:
     """Distinct (basket, item); the basket is the order, without one the customer's day. Rows with neither are left out."""
-    have = lambda c: F.col(c) if c in sales.columns else F.lit(None).cast("string")
-    order, customer = have("order_id"), have("customer_id")
-    key = F.coalesce(order, F.when(customer.isNotNull(), F.concat_ws("|", customer, F.to_date("date").cast("string"))))
-    rows = sales.where(order.isNotNull() | customer.isNotNull())
+    order = F.col("order_id") if "order_id" in sales.columns else F.lit(None).cast("string")
+    day = F.when(F.col("customer_id").isNotNull(), F.concat_ws("|", "customer_id", F.to_date("date").cast("string"))) if "customer_id" in sales.columns else F.lit(None).cast("string")
+    key = F.coalesce(order, day)
+    rows = sales.where(key.isNotNull())
     return rows.select(key.alias("basket"), F.col(item).alias("item")).distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.operators.periods import MONTH, everything, by_period, by_period_and, half_means, money, pct_change, period_of, whole_periods, with_half
+from salesprism.operators.periods import MONTH, everything, by_period, by_period_and, half_means, money, open_period, pct_change, period_of, whole_periods, with_half
 
 
 def product_ranking(sales: DataFrame, key: str = "product", measure: str = "revenue") -> DataFrame:
@@ -55,13 +55,18 @@ def decomposition(sales: DataFrame, key: str = "product", frequency: str = MONTH
 
 def dimension_decomposition(sales: DataFrame, dimensions: list[str], frequency: str = MONTH, levels: tuple[int, int] = (2, 12), dominant: float = 0.75, steady: float = 0.1) -> DataFrame:
     """decomposition() of each dimension in one table, with the guards as columns."""
-    whole = whole_periods(sales, frequency)
-    out = None
-    for d in dimensions:
-        rows = sales.where(F.col(d).isNotNull()).groupBy(F.col(d).alias("level")).agg(F.count("*").alias("n_rows"))
-        cells = by_period_and(whole.where(F.col(d).isNotNull()).withColumn("level", F.col(d)), "level", frequency)
-        t = half_means(cells, "level").join(rows, "level").withColumn("dimension", F.lit(d))
-        out = t if out is None else out.unionByName(t)
+    cut = open_period(sales, frequency)
+    # one pass: a row for each dimension of a sale, summed by period, of which there are few
+    long = sales.select("date", "revenue", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level")) for d in dimensions])).alias("x"))
+    sums = long.where("x.level is not null").groupBy("x.dimension", "x.level", period_of(frequency).alias("period"), (F.to_date("date") >= F.lit(cut)).alias("open")).agg(money("revenue").alias("value"), F.count("*").alias("rows"))
+    rows = sums.groupBy("dimension", "level").agg(F.sum("rows").alias("n_rows"))
+    cells = sums.where(~F.coalesce("open", F.lit(False)))
+    own = Window.partitionBy("dimension")
+    periods = cells.select("dimension", "period").distinct().withColumn("ordinal", F.row_number().over(own.orderBy("period"))).withColumn("n", F.count("*").over(own))
+    half = F.expr("n div 2")
+    early, late = F.col("ordinal") <= half, F.col("ordinal") > half
+    t = cells.join(periods, ["dimension", "period"]).groupBy("dimension", "level").agg((F.sum(F.when(early, F.col("value")).otherwise(0.0)) / F.max(half)).alias("before"), (F.sum(F.when(late, F.col("value")).otherwise(0.0)) / F.max(F.col("n") - half)).alias("after"))
+    out = t.join(rows, ["dimension", "level"])
     w = Window.partitionBy("dimension")
     out = out.withColumn("change", F.col("after") - F.col("before")).withColumn("share_of_change", F.try_divide("change", F.sum("change").over(w)))
     n = F.count("*").over(w)
@@ -71,9 +76,9 @@ def dimension_decomposition(sales: DataFrame, dimensions: list[str], frequency:
 
 def price_volume_split(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
     """One row: units and price before and after, and the change split into volume (at the old price) and price (at the new units)."""
-    whole = whole_periods(sales, frequency)
-    r, q = by_period(whole, frequency), by_period(whole, frequency, "quantity")
-    t = half_means(r).crossJoin(half_means(q).withColumnsRenamed({"before": "q0", "after": "q1"}))
+    h = with_half(by_period(whole_periods(sales, frequency), frequency, quantity="quantity"))
+    mean = lambda c, early: F.sum(F.when(F.col("early") == early, F.col(c)).otherwise(0.0)) / F.max(F.col("half") if early else F.col("n") - F.col("half"))
+    t = h.agg(mean("value", True).alias("before"), mean("value", False).alias("after"), mean("quantity", True).alias("q0"), mean("quantity", False).alias("q1"))
     p0, p1 = F.try_divide(F.col("before"), F.col("q0")), F.try_divide(F.col("after"), F.col("q1"))
     return t.select(
         F.col("q0").alias("quantity_before"), F.col("q1").alias("quantity_after"), p0.alias("price_before"), p1.alias("price_after"),
@@ -106,9 +111,25 @@ def order_values(sales: DataFrame, order: str = "order_id") -> DataFrame:
     return sales.groupBy(order).agg(money("revenue").alias("value")).where("value > 0")
 
 
+def quantiles(values: DataFrame, column: str = "value", **wanted: float) -> DataFrame:
+    """One row of exact quantiles, between neighbours by share. Values fall into bins that are counted first; only bins that hold a wanted rank are sorted."""
+    v = F.col(column)
+    binned = values.where(v.isNotNull()).select(v.alias("v"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * 50).alias("bin"))
+    up = Window.orderBy("bin")
+    # a bin is a range of 2 % of the value, so there are some thousand of them at most
+    bins = binned.groupBy("bin").agg(F.count("*").alias("n")).withColumn("until", F.sum("n").over(up)).withColumn("total", F.sum("n").over(everything()))
+    at = lambda q: F.lit(q) * (F.col("total") - 1)
+    ranks = [F.struct(F.lit(k).alias("name"), f(at(q)).cast("long").alias("rank"), w.alias("weight")) for k, q in wanted.items() for f, w in ((F.floor, 1 - (at(q) - F.floor(at(q)))), (lambda x: F.floor(x) + 1, at(q) - F.floor(at(q))))]
+    need = bins.withColumn("x", F.explode(F.array(*ranks))).select("bin", (F.col("until") - F.col("n")).alias("before"), "until", "x.*")
+    need = need.where("weight > 0 and rank >= before and rank < until")
+    held = binned.join(F.broadcast(need.select("bin", "before").distinct()), "bin").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("v")) - 1)
+    found = held.join(F.broadcast(need.select("bin", "rank", "name", "weight")), ["bin", "rank"])
+    return found.agg(*[F.sum(F.when(F.col("name") == k, F.col("v") * F.col("weight"))).alias(k) for k in wanted])
+
+
 def order_spread(orders: DataFrame) -> DataFrame:
     """One row: count, mean, median, 10th and 90th percentile, and the share of the largest tenth of orders by count."""
-    stats = orders.agg(F.count("*").alias("orders"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.1)).alias("p10"), F.percentile("value", F.lit(0.9)).alias("p90"))
+    stats = orders.agg(F.count("*").alias("orders"), F.avg("value").alias("mean")).crossJoin(quantiles(orders, median=0.5, p10=0.1, p90=0.9))
     return stats.crossJoin(top_decile(orders)).withColumn("mean_to_median", F.try_divide("mean", "median"))
 
 

@@ -34,26 +34,34 @@ def natural_frequency(first: dt.date, last: dt.date) -> str:
 
 
 def bounds(sales: DataFrame) -> tuple[dt.date | None, dt.date | None]:
-    r = sales.agg(F.to_date(F.min("date")).alias("a"), F.to_date(F.max("date")).alias("b")).first()
+    """First and last date; from the table that a view names for it, if it does."""
+    r = getattr(sales, "dates", sales).agg(F.to_date(F.min("date")).alias("a"), F.to_date(F.max("date")).alias("b")).first()
     return r["a"], r["b"]
 
 
-def whole_periods(sales: DataFrame, frequency: str) -> DataFrame:
-    """sales without a last period that isn't over, unless it is the only one."""
+def open_period(sales: DataFrame, frequency: str) -> dt.date | None:
+    """The first day of a last period that isn't over, unless it is the only one."""
     first, last = bounds(sales)
     if last is None:
-        return sales
+        return None
     ends = {MONTH: (last.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1), WEEK: last + dt.timedelta(days=6 - last.weekday()), DAY: last}[frequency]
     starts = {MONTH: last.replace(day=1), WEEK: last - dt.timedelta(days=last.weekday()), DAY: last}[frequency]
-    return sales.where(F.to_date("date") < F.lit(starts)) if last < ends and first < starts else sales
+    return starts if last < ends and first < starts else None
+
+
+def whole_periods(sales: DataFrame, frequency: str) -> DataFrame:
+    """sales without a last period that isn't over, unless it is the only one."""
+    cut = open_period(sales, frequency)
+    return sales.where(F.to_date("date") < F.lit(cut)) if cut else sales
 
 
-def by_period(sales: DataFrame, frequency: str, measure: str = "revenue") -> DataFrame:
-    """(period, value), inner periods without rows filled with 0."""
-    sums = sales.groupBy(period_of(frequency).alias("period")).agg(money(measure).alias("value"))
+def by_period(sales: DataFrame, frequency: str, measure: str = "revenue", **more: str) -> DataFrame:
+    """(period, value), inner periods without rows filled with 0; more: names of further columns and their measures."""
+    wanted = {"value": measure, **more}
+    sums = sales.groupBy(period_of(frequency).alias("period")).agg(*[money(m).alias(name) for name, m in wanted.items()])
     step = {MONTH: "interval 1 month", WEEK: "interval 7 days", DAY: "interval 1 day"}[frequency]
     spine = sums.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
-    return spine.join(sums, "period", "left").select("period", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return spine.join(sums, "period", "left").select("period", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in wanted])
 
 
 def by_period_and(sales: DataFrame, key: str, frequency: str, measure: str = "revenue") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesprism.functions.cleaning import is_blank, parsed_number, to_datetime, to_labels
+from salesprism.operators.descriptive import quantiles
 
 BLOCK, WARN, INFO = "BLOCK", "WARN", "INFO"
 
@@ -67,7 +68,8 @@ def date_shares(raw: DataFrame, as_of: dt.date, date: str = "date") -> DataFrame
 
 def snapshot(raw: DataFrame, date: str = "date", product: str = "product", value: str = "revenue") -> DataFrame:
     """One row: rows, median of the values that aren't zero, distinct products, first and last date."""
-    return raw.agg(F.count("*").alias("rows"), F.percentile(F.when(F.col(value) != 0, F.col(value)), F.lit(0.5)).alias("median_value"), F.countDistinct(product).alias("products"), F.to_date(F.min(date)).alias("first_date"), F.to_date(F.max(date)).alias("last_date"))
+    t = raw.agg(F.count("*").alias("rows"), F.countDistinct(product).alias("products"), F.to_date(F.min(date)).alias("first_date"), F.to_date(F.max(date)).alias("last_date"))
+    return t.crossJoin(quantiles(raw.where(F.col(value) != 0), value, median_value=0.5)).select("rows", "median_value", "products", "first_date", "last_date")
 
 
 def against_snapshot(now: DataFrame, before: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from salesprism.operators import monitoring as M
 from salesprism.operators import periods as P
 from salesprism.operators import quality as Q
 from salesprism.plans.oracles import SQL
-from salesprism.plans.sales import sales_view
+from salesprism.plans.sales import EVERY_COLUMN, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIMENSIONS = ["channel", "region", "group_segment"]
@@ -31,10 +31,14 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
 
 
-def _query(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """Registers an analysis of the sales table under its name."""
-    _REGISTRY[f.__name__] = lambda spark, sf_dir: _rounded(f(sales_view(spark, sf_dir)))
-    return f
+def _query(*columns: str) -> Callable:
+    """Registers an analysis of the sales table, of these columns or of all, under its name."""
+
+    def register(f: Callable[[DataFrame], DataFrame]):
+        _REGISTRY[f.__name__] = lambda spark, sf_dir: _rounded(f(sales_view(spark, sf_dir, columns or EVERY_COLUMN)))
+        return f
+
+    return register
 
 
 def _table_query(table: str):
@@ -45,12 +49,12 @@ def _table_query(table: str):
     return register
 
 
-@_query
+@_query("date", "revenue")
 def period_sum_month(s):
     return P.by_period(s, P.MONTH)
 
 
-@_query
+@_query("date", "revenue")
 def period_sum_week(s):
     return P.by_period(P.whole_periods(s, P.WEEK), P.WEEK)
 
@@ -64,144 +68,144 @@ def period_sum_day(e):
     return P.by_period(_event_sales(e), P.DAY)
 
 
-@_query
+@_query("date", "category", "revenue")
 def product_period_matrix(s):
     return P.by_period_and(P.whole_periods(s, P.MONTH), "category", P.MONTH)
 
 
-@_query
+@_query("product", "revenue")
 def product_ranking(s):
     return D.product_ranking(s)
 
 
-@_query
+@_query("category", "revenue", "profit")
 def margin_by_product(s):
     return D.margin_by_product(s, "category")
 
 
-@_query
+@_query("category", "revenue")
 def concentration_stats(s):
     return D.concentration(s, "category")
 
 
-@_query
+@_query("category", "revenue")
 def pareto_classes(s):
     return D.pareto_classes(s, "category")
 
 
-@_query
+@_query("date", "product", "revenue")
 def revenue_decomposition(s):
     return D.decomposition(s)
 
 
-@_query
+@_query("date", "channel", "region", "group_segment", "revenue")
 def dimension_decomposition(s):
     return D.dimension_decomposition(s, DIMENSIONS)
 
 
-@_query
+@_query("date", "revenue", "quantity")
 def price_volume_split(s):
     return D.price_volume_split(s)
 
 
-@_query
+@_query("date", "revenue")
 def month_of_year_index(s):
     return D.month_index(s)
 
 
-@_query
+@_query("date", "category", "revenue")
 def lifecycle_status(s):
     return D.lifecycle(s, "category")
 
 
-@_query
+@_query("order_id", "revenue")
 def order_value_quantiles(s):
     return D.order_spread(D.order_values(s))
 
 
-@_query
+@_query("order_id", "revenue")
 def top_decile_share(s):
     return D.top_decile(D.order_values(s))
 
 
-@_query
+@_query("date", "revenue")
 def trend_regression(s):
     return I.trend(s).select("n", "slope", "r2", "t", "effect", "fitted_change")
 
 
-@_query
+@_query("date", "category", "revenue", "quantity")
 def price_elasticity(s):
     return I.elasticity(s, "category").select("category", "n", "slope", "r2", "t", "price_variation", "usable")
 
 
-@_query
+@_query("channel", "region", "group_segment", "revenue")
 def segment_anova_stats(s):
     return I.group_difference(s, DIMENSIONS)
 
 
-@_query
+@_query("channel", "product")
 def product_mix_crosstab(s):
     return I.mix_table(s, "channel")
 
 
-@_query
+@_query("region", "product")
 def product_mix_chi2(s):
     return I.mix_statistic(s, "region")
 
 
-@_query
+@_query("date", "category", "revenue")
 def product_correlation(s):
     return I.product_correlation(s, "category")
 
 
-@_query
+@_query("category", "profit")
 def bh_adjustment(s):
     """Adjusted values of a family of numbers in 0..1: each category's share of its revenue that lost money."""
     t = s.groupBy("category").agg(F.round(F.avg((F.col("profit") < 0).cast("double")), 9).alias("p"))
     return benjamini_hochberg(t, "p", "category")
 
 
-@_query
+@_query("date", "customer_id", "revenue")
 def repeat_vs_new(s):
     return K.repeat_vs_new(s)
 
 
-@_query
+@_query("date", "customer_id", "revenue")
 def rfm_scores(s):
     return K.rfm(s)
 
 
-@_query
+@_query("date", "customer_id", "revenue")
 def rfm_segments(s):
     return K.rfm_segments(s)
 
 
-@_query
+@_query("date", "customer_id")
 def cohort_sizes(s):
     return K.cohort_sizes(s)
 
 
-@_query
+@_query("date", "customer_id")
 def cohort_retention(s):
     return K.cohort_retention(s)
 
 
-@_query
+@_query("date", "customer_id")
 def retention_curve(s):
     return K.retention_curve(s)
 
 
-@_query
+@_query("order_id", "product")
 def basket_pairs(s):
     return K.basket_pairs(s)
 
 
-@_query
+@_query("order_id", "category")
 def basket_lift(s):
     return K.basket_lift(s, "category")
 
 
-@_query
+@_query("order_id", "product")
 def basket_fisher(s):
     return I.basket_tests(s).select("a", "b", "together", "lift", "p", "adjusted", "confirmed")
 
@@ -211,17 +215,17 @@ def _goals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, metric string, target double, start date, end date")
 
 
-@_query
+@_query("date", "revenue", "profit")
 def goal_progress(s):
     return M.goal_progress(s, _goals(s.sparkSession))
 
 
-@_query
+@_query("date", "revenue")
 def goal_pace(s):
     return M.goal_pace(s, GOAL_TARGET, GOAL_START, GOAL_END)
 
 
-@_query
+@_query("date", "category", "revenue")
 def goal_gap_drivers(s):
     return M.goal_gap_drivers(s, GOAL_START, GOAL_END, "category")
 
@@ -230,12 +234,12 @@ def _series(s: DataFrame) -> DataFrame:
     return P.by_period_and(P.whole_periods(s, P.MONTH), "category", P.MONTH).withColumnRenamed("category", "subject")
 
 
-@_query
+@_query("date", "category", "revenue")
 def robust_z_scores(s):
     return M.robust_scores(_series(s), "subject")
 
 
-@_query
+@_query("date", "category", "revenue")
 def anomaly_candidates(s):
     return M.anomalies(_series(s), recent=80, z=2.5).select("subject", "period", "value", "median", "z", "run", "kind")
 
@@ -250,37 +254,91 @@ def quality_nulls(t):
     return Q.null_rates(t, ["text", "lang", "source"])
 
 
-@_query
+@_query("date")
 def quality_gaps(s):
     return Q.month_gaps(s.where(F.month("date") % 5 != 0))
 
 
-@_query
+@_query("date")
 def quality_duplicated_period(s):
     busy = s.where(F.month("date") == 3)
     return Q.doubled_months(s.select("date").union(busy.select("date")))
 
 
-@_query
+@_query("profit")
 def quality_values(s):
     return Q.value_shares(s, "profit")
 
 
-@_query
+@_query("date")
 def quality_dates(s):
     return Q.date_shares(s, dt.date(2001, 1, 1))
 
 
-@_query
+@_query("date", "product", "revenue")
 def quality_vs_snapshot(s):
     return Q.against_snapshot(Q.snapshot(s.where(F.col("date") < F.lit(dt.date(1998, 1, 1)))), Q.snapshot(s))
 
 
-@_query
+@_query("date", "category", "revenue")
 def snapshot(s):
     return Q.snapshot(s, product="category")
 
 
+PLANTED = {"date": "Order Date", "product": "Item", "revenue": "Amount Paid"}
+
+
+def _planted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as a file of texts in which the dates of returned ones are missing."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    date = F.when(F.col("l_returnflag") == "R", " ").otherwise(F.to_date("o_orderdate").cast("string"))
+    return t.select(date.alias("Order Date"), F.col("l_partkey").cast("string").alias("Item"), F.col("l_extendedprice").cast("string").alias("Amount Paid"))
+
+
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate says of that file before any of its rows is dropped."""
+    raw = _planted_file(spark, sf_dir)
+    return Q.judged(Q.gate_facts(Q.raw_view(raw, PLANTED), raw, list(PLANTED.values()), AS_OF))
+
+
+_REGISTRY["quality_issues"] = quality_issues
+
+
+@_query("date", "revenue")
+def level_shift(s):
+    """Months before and since 1998."""
+    return I.level_shift(P.by_period(P.whole_periods(s, P.MONTH), P.MONTH), F.col("period") >= F.lit(dt.date(1998, 1, 1)))
+
+
+@_table_query("orders")
+def median_gap(t):
+    return P.median_gap(t.select(F.to_date("o_orderdate").alias("period")))
+
+
+@_query("date", "customer_id", "revenue")
+def customer_sample(s):
+    return K.chart_sample(s)
+
+
+@_table_query("customer")
+def column_profile_full(t):
+    from salesprism.plans.detection import profile_table
+
+    return profile_table(t.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"))
+
+
+@_query("date", "product", "revenue", "profit")
+def goal_projection(s):
+    return M.goal_projection(s, _goals(s.sparkSession))
+
+
+@_query("date", "product", "revenue", "profit")
+def alerts(s):
+    """Alerts of anomalies and of goals out of reach, once each, the gravest first."""
+    found = M.anomaly_alerts(M.sales_anomalies(s)).unionByName(M.goal_alerts(M.goal_projection(s, _goals(s.sparkSession))))
+    return M.fresh_alerts(found, s.sparkSession.createDataFrame([], "key string"))
+
+
 def _spellings(t: DataFrame) -> DataFrame:
     """Order priorities in three spellings, by order key."""
     p, k = F.col("o_orderpriority"), F.col("o_orderkey") % 4
@@ -313,14 +371,14 @@ def date_ambiguity(t):
     return C.separator_verdicts(d, "d", "day", "month")
 
 
-@_query
+@_query("cost", "quantity", "revenue")
 def cost_basis_cv(s):
     unit = F.try_divide("cost", "quantity")
     whole, per = F.try_divide(unit * F.col("quantity"), F.col("revenue")), F.try_divide(unit, F.col("revenue"))
     return s.agg((F.stddev_samp(whole) / F.avg(whole)).alias("per_unit_cv"), (F.stddev_samp(per) / F.avg(per)).alias("line_cv"))
 
 
-@_query
+@_query("revenue", "quantity", "unit_price")
 def revenue_corroboration(s):
     r = F.try_divide(F.col("revenue"), F.col("quantity") * F.col("unit_price"))
     return s.agg(F.percentile(r, F.lit(0.5)).alias("ratio")).withColumn("matches", F.col("ratio").between(0.8, 1.25))
@@ -347,7 +405,7 @@ def alert_dedupe(e):
     return M.fresh_alerts(a, sent)
 
 
-@_query
+@_query("category", "revenue", "profit")
 def story_rank(s):
     """Categories as findings: importance is the margin's distance from the mean, losing ones are urgent."""
     m = D.margin_by_product(s, "category").withColumn("importance", F.round(F.abs(F.col("margin") - F.avg("margin").over(P.everything())), 6))
@@ -375,7 +433,7 @@ def keyword_routing(t):
     return X.route_scores(t.where("text is not null").withColumn("key", F.concat_ws("/", "conv_id", "turn")), "key", "text")
 
 
-@_query
+@_query("category", "revenue")
 def first_sentences(s):
     t = s.groupBy("category").agg(P.money("revenue").alias("v"))
     return t.select("category", X.first_sentence(F.concat(F.lit("It sold 1.5 times. "), F.col("category"), F.lit(" came next."))).alias("sentence"))
@@ -384,48 +442,48 @@ def first_sentences(s):
 # Without SQL: tail probabilities, seasonal and ARIMA models.
 
 
-@_query
+@_query("date", "revenue")
 def trend_test(s):
     return I.trend_test(s)
 
 
-@_query
+@_query("date", "category", "revenue", "quantity")
 def price_response_tests(s):
     return I.elasticity_tests(s, "category")
 
 
-@_query
+@_query("channel", "region", "group_segment", "revenue", "product")
 def segmentation_tests(s):
     return I.segmentation_tests(s, DIMENSIONS)
 
 
-@_query
+@_query("date", "category", "revenue")
 def product_relationship_tests(s):
     return I.correlation_tests(s, "category")
 
 
-@_query
+@_query("date", "category", "revenue")
 def seasonal_strength(s):
     from salesprism.functions.seasonal import seasonal_parts
 
     return seasonal_parts(_series(s).unionByName(P.by_period(P.whole_periods(s, P.MONTH), P.MONTH).withColumn("subject", F.lit("all"))), 12).groupBy("subject").agg(F.first("strength").alias("strength"))
 
 
-@_query
+@_query("date", "category", "revenue")
 def deseasonalised(s):
     from salesprism.functions.seasonal import seasonal_parts
 
     return seasonal_parts(_series(s), 12)
 
 
-@_query
+@_query("date", "product", "revenue")
 def arima_forecast(s):
     from salesprism.functions.arima import forecasts
 
     return forecasts(P.by_period_and(P.whole_periods(s, P.MONTH), "product", P.MONTH).withColumnRenamed("product", "subject"), horizon=3, floor=0.0)
 
 
-@_query
+@_query("date", "product", "revenue")
 def backtest_error(s):
     return arima_forecast(s).groupBy("subject").agg(F.first("model").alias("model"), F.first("backtest_error").alias("backtest_error"), F.first("direction").alias("direction"))
 
@@ -434,14 +492,14 @@ def _raw_sales(s: DataFrame) -> DataFrame:
     return s.select(F.col("date").cast("string").alias("Order Date"), F.col("product").alias("Item"), F.col("quantity").cast("string").alias("Qty"), F.col("revenue").cast("string").alias("Amount Paid"), F.col("order_id").alias("Order No"), F.col("customer_id").alias("Customer ID"), F.col("channel").alias("Sales Channel"))
 
 
-@_query
+@_query()
 def content_scores(s):
     from salesprism.plans.detection import content_table
 
     return content_table(_raw_sales(s))
 
 
-@_query
+@_query()
 def column_roles(s):
     from salesprism.plans.detection import detect
 
@@ -449,7 +507,7 @@ def column_roles(s):
     return s.sparkSession.createDataFrame([(k, v, float(found.scores.get(k, 0))) for k, v in sorted(found.roles.items())], "role string, column string, score double")
 
 
-@_query
+@_query()
 def findings(s):
     from salesprism.plans.findings import story
 

@@ -230,3 +230,43 @@ SQL["keyword_routing"] = f"""WITH c AS (SELECT conv_id || '/' || turn AS key, co
 b AS (SELECT rid, max(score) AS score FROM s GROUP BY rid), w AS (SELECT s.rid, max(route) AS route, b.score FROM s JOIN b ON s.rid = b.rid AND s.score = b.score WHERE b.score > 0 GROUP BY ALL)
 SELECT key, route, {_r('least(0.4 + 0.15 * score, 0.75)')} AS confidence FROM w JOIN c USING (rid)""".replace("SELECT conv_id || '/' || turn AS key, conv_id", "SELECT row_number() OVER () AS rid, conv_id || '/' || turn AS key, conv_id")
 SQL["first_sentences"] = f"WITH {SALES} SELECT DISTINCT category, 'It sold 1.5 times.' AS sentence FROM sales"
+SQL["quality_issues"] = """WITH raw AS (SELECT CASE WHEN l_returnflag <> 'R' THEN CAST(o_orderdate AS DATE) END AS d, l_partkey AS p, l_extendedprice AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+dup AS (SELECT sum(k) AS n_rows, sum(k - 1) AS extra FROM (SELECT count(*) AS k FROM raw GROUP BY d, p, v)),
+one AS (SELECT greatest(avg((d IS NULL)::INT), avg((p IS NULL)::INT), avg((v IS NULL)::INT)) AS blank, count(d) AS dated, count(*) FILTER (d > DATE '2001-08-02') AS future, count(*) FILTER (d < DATE '1990-01-01') AS ancient,
+        count(v) AS n, count(*) FILTER (v < 0) / count(v) AS negative, count(*) FILTER (v = 0) / count(v) AS zero FROM raw),
+m AS (SELECT CAST(date_trunc('month', d) AS DATE) AS month, count(*) AS k FROM raw WHERE d IS NOT NULL GROUP BY ALL),
+span AS (SELECT sum(k) AS dated_rows, count(*) AS months, datediff('month', min(month), max(month)) AS span, quantile_cont(k, 0.5) AS middle FROM m),
+dbl AS (SELECT count(*) AS doubled FROM m, span WHERE k > 1.85 * middle AND dated_rows >= 90 AND months >= 4),
+codes AS (SELECT unnest([
+  {'code': 'duplicate_rows', 'severity': CASE WHEN extra >= 0.1 * n_rows THEN 'BLOCK' WHEN extra >= 0.01 * n_rows THEN 'WARN' WHEN extra > 0 THEN 'INFO' END},
+  {'code': 'null_spike', 'severity': CASE WHEN blank >= 0.3 THEN 'BLOCK' WHEN blank >= 0.1 THEN 'WARN' END},
+  {'code': 'no_dates', 'severity': CASE WHEN dated = 0 THEN 'BLOCK' END},
+  {'code': 'future_dates', 'severity': CASE WHEN future > 0.05 * dated THEN 'BLOCK' WHEN future > 0 THEN 'WARN' END},
+  {'code': 'ancient_dates', 'severity': CASE WHEN ancient > 0 THEN 'WARN' END},
+  {'code': 'date_gaps', 'severity': CASE WHEN dated_rows >= 60 AND span >= 3 AND span + 1 - months > 1 THEN 'BLOCK' WHEN dated_rows >= 60 AND span >= 3 AND span + 1 > months THEN 'WARN' END},
+  {'code': 'duplicated_period', 'severity': CASE WHEN dated_rows >= 60 AND span >= 3 AND doubled > 0 THEN 'WARN' END},
+  {'code': 'no_values', 'severity': CASE WHEN n = 0 THEN 'BLOCK' END},
+  {'code': 'mostly_negative', 'severity': CASE WHEN negative > 0.25 THEN 'BLOCK' END},
+  {'code': 'some_negative', 'severity': CASE WHEN negative > 0 AND negative <= 0.25 THEN 'INFO' END},
+  {'code': 'mostly_zero', 'severity': CASE WHEN zero > 0.5 THEN 'WARN' END}]) AS x FROM dup, one, span, dbl)
+SELECT x.code AS code, x.severity AS severity FROM codes WHERE x.severity IS NOT NULL"""
+SQL["level_shift"] = f"""WITH {SALES}, {_spine('revenue', 'm')}, t AS (SELECT count(*) FILTER (NOT late) AS n0, count(*) FILTER (late) AS n1, avg(value) FILTER (NOT late) AS m0, avg(value) FILTER (late) AS m1, var_samp(value) FILTER (NOT late) AS v0, var_samp(value) FILTER (late) AS v1
+FROM (SELECT value, period >= DATE '1998-01-01' AS late FROM m))
+SELECT n0 AS n_before, n1 AS n_after, {_r('m0')} AS mean_before, {_r('m1')} AS mean_after, {_r('(m1 - m0) / sqrt(v0 / n0 + v1 / n1)')} AS t,
+       {_r('(v0 / n0 + v1 / n1) * (v0 / n0 + v1 / n1) / (v0 / n0 * v0 / n0 / (n0 - 1) + v1 / n1 * v1 / n1 / (n1 - 1))')} AS df FROM t"""
+SQL["median_gap"] = f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), g AS (SELECT datediff('day', lag(d) OVER (ORDER BY d), d) AS days FROM d)
+SELECT {_r('quantile_cont(days, 0.5)')} AS median_days, count(*) AS gaps FROM g WHERE days IS NOT NULL"""
+
+
+def _profile(c: str, numeric: bool) -> str:
+    """One column's profile; columns of this table are whole, numbers of one kind, texts without dates."""
+    x, v = f"{c}::DOUBLE", f"{c}::VARCHAR"
+    number = lambda sql: sql if numeric else "0.0"
+    return f"""SELECT '{c}' AS "column", count(*) AS n_total, count({c}) AS n_present, {_r(number("1.0"))} AS numeric_rate, 0.0::DOUBLE AS datetime_rate, false AS was_percent, {number(f"avg(({x} BETWEEN 20000 AND 60000 AND {x} = floor({x}))::INT) >= 0.9") if numeric else "false"} AS was_serial,
+count(DISTINCT {c}) AS n_unique, {_r(f"count(DISTINCT {c}) / count({c})")} AS uniqueness, {_r(f"(SELECT max(k) FROM (SELECT count(*) AS k FROM customer GROUP BY {c})) / count({c})")} AS top_value_share,
+{_r(number(f"avg(({x} = floor({x}))::INT)") if numeric else "0.0")} AS integer_rate, {_r(number(f"avg(({x} > 0)::INT)") if numeric else "0.0")} AS positive_rate, {_r(number(f"avg(({x} = 0)::INT)") if numeric else "0.0")} AS zero_rate, {_r(number(f"avg(({x} < 0)::INT)") if numeric else "0.0")} AS negative_rate,
+{_r(f"quantile_cont(abs({x}), 0.5) FILTER ({x} <> 0)" if numeric else "0.0")} AS median_abs, {_r(f"max(abs({x}))" if numeric else "0.0")} AS max_abs, {f"count(DISTINCT {c})" if numeric else "0"} AS numeric_n_unique,
+{_r(f"avg(length({v}))")} AS avg_text_len, max(length({v})) AS max_text_len, NULL::DATE AS date_min, NULL::DATE AS date_max, 0 AS date_span_days, {_r(f"1 - count({c}) / count(*)")} AS blank_rate, count({c}) = 0 AS is_empty, count(DISTINCT {c}) = 1 AS is_constant FROM customer"""
+
+
+SQL["column_profile_full"] = " UNION ALL ".join(_profile(c, n) for c, n in (("c_custkey", True), ("c_name", False), ("c_mktsegment", False), ("c_acctbal", True)))

@@ -10,20 +10,41 @@ from salesprism.functions.cleaning import named, to_datetime, to_labels, to_nume
 DIMENSIONS = ("channel", "region", "category", "payment_method")
 
 
-def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales of the star schema: dimension tables join on their keys, adaptive execution broadcasts those that are small."""
+#: Columns of the view by the tables they need beside the lines.
+FROM_ORDERS = ("date", "customer_id", "channel")
+FROM_PARTS = ("product", "cost", "profit", "category")
+FROM_CUSTOMERS, FROM_REGIONS = ("group_segment",), ("region",)
+EVERY_COLUMN = ("date", "product", "revenue", "quantity", "unit_price", "discount", "cost", "profit", "order_id", "customer_id", "channel", "region", "category", "group_segment")
+
+
+def sales_view(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = EVERY_COLUMN) -> DataFrame:
+    """Sales of the star schema with the columns asked for; only tables that have one of them are joined, and keys are never without a match.
+
+    Adaptive execution broadcasts dimension tables that are small. The view knows where its dates are found with the least to read.
+    """
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    geo = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    customers = t("customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
-    orders = t("orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    wants = lambda group: bool(set(columns) & set(group))
+    lines = t("lineitem")
+    if wants((*FROM_ORDERS, *FROM_CUSTOMERS, *FROM_REGIONS)):
+        orders = t("orders")
+        if wants((*FROM_CUSTOMERS, *FROM_REGIONS)):
+            customers = t("customer")
+            if wants(FROM_REGIONS):
+                geo = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+                customers = customers.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+            orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if wants(FROM_PARTS):
+        lines = lines.join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     cost = F.col("l_quantity") * F.col("p_retailprice")
-    return lines.select(
-        F.to_date("o_orderdate").alias("date"), F.col("p_type").alias("product"), F.col("l_extendedprice").alias("revenue"), F.col("l_quantity").alias("quantity"),
-        F.try_divide("l_extendedprice", F.nullif("l_quantity", F.lit(0.0))).alias("unit_price"), F.col("l_discount").alias("discount"), cost.alias("cost"), (F.col("l_extendedprice") - cost).alias("profit"),
-        F.col("l_orderkey").cast("string").alias("order_id"), F.col("o_custkey").cast("string").alias("customer_id"), F.col("o_orderpriority").alias("channel"), F.col("r_name").alias("region"),
-        F.col("p_brand").alias("category"), F.col("c_mktsegment").alias("group_segment"),
-    )
+    values = {
+        "date": F.to_date("o_orderdate"), "product": F.col("p_type"), "revenue": F.col("l_extendedprice"), "quantity": F.col("l_quantity"), "unit_price": F.try_divide("l_extendedprice", F.nullif("l_quantity", F.lit(0.0))),
+        "discount": F.col("l_discount"), "cost": cost, "profit": F.col("l_extendedprice") - cost, "order_id": F.col("l_orderkey").cast("string"), "customer_id": F.col("o_custkey").cast("string"), "channel": F.col("o_orderpriority"),
+        "region": F.col("r_name"), "category": F.col("p_brand"), "group_segment": F.col("c_mktsegment"),
+    }
+    out = lines.select(*[values[c].alias(c) for c in columns])
+    out.dates = t("orders").join(t("lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.to_date("o_orderdate").alias("date"))
+    return out
 
 
 def build_sales(tidy: DataFrame, roles: dict[str, str], cost_basis: str = "per_unit") -> DataFrame:
