@@ -79,7 +79,7 @@ def separator_verdicts(df: DataFrame, column: str, day: str, month: str) -> Data
     """(separator, day_first) for the at most three separators of numeric dates."""
     t = F.trim(named(column).cast("string"))
     pattern = r"^(\d{1,2})([/.\-])(\d{1,2})\2"
-    parts = df.where(t.rlike(pattern)).select(F.regexp_extract(t, pattern, 2).alias("separator"), F.regexp_extract(t, pattern, 1).cast("int").alias("first"), F.regexp_extract(t, pattern, 3).cast("int").alias("second"), F.col(day).alias("d"), F.col(month).alias("m"))
+    parts = df.where(t.rlike(pattern)).select(F.regexp_extract(t, pattern, 2).alias("separator"), F.regexp_extract(t, pattern, 1).try_cast("int").alias("first"), F.regexp_extract(t, pattern, 3).try_cast("int").alias("second"), F.col(day).alias("d"), F.col(month).alias("m"))
     certain = df.select(F.when(F.col(day) == F.col(month), F.col(day)).when(F.col(day).isNull() | F.col(month).isNull(), F.coalesce(day, month)).alias("x")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("certain"))
     parts = parts.crossJoin(certain)
     t = parts.groupBy("separator").agg(F.max(F.col("first") > 12).alias("day_sure"), F.max(F.col("second") > 12).alias("month_sure"), F.count_if(F.col("d").between(F.col("low"), F.col("high"))).alias("day_hits"), F.count_if(F.col("m").between(F.col("low"), F.col("high"))).alias("month_hits"), F.max("certain").alias("certain"))
