@@ -119,14 +119,17 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     sep = "\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(r[0] for r in lines.limit(20).collect()))
 
-    def widest(batches):
+    def shape(batches):
         csv.field_size_limit(1 << 30)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": [max((len(next(csv.reader([x], delimiter=sep), [])) for x in batch.column(0).to_pylist()), default=1)]}, schema=pa.schema([("n", pa.int32())]))
+            own = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"n": [max((len(next(csv.reader([x], delimiter=sep), [])) for x in own), default=1)], "broken": [any(x.count('"') % 2 for x in own)]}, schema=pa.schema([("n", pa.int32()), ("broken", pa.bool_())]))
 
-    width = max(lines.mapInArrow(widest, "n int").agg(F.max("n")).first()[0] or 1, 1)
+    found = lines.mapInArrow(shape, "n int, broken boolean").agg(F.max("n").alias("n"), F.max("broken").alias("broken")).first()
+    width = max(found["n"] or 1, 1)
     schema = ", ".join(f"c{i} string" for i in range(width + 8))
-    table = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="PERMISSIVE", escape='"', multiLine=True)
+    # a field goes over several lines only where a line has an odd number of quotes; other files are split among tasks
+    table = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="PERMISSIVE", escape='"', multiLine=bool(found["broken"]))
     return table.select(F.monotonically_increasing_id().alias("row_id"), F.slice(F.array(*table.columns), 1, width).alias("cells"))
 
 
