@@ -215,7 +215,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def take_mix(docs: DataFrame, text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes, with copies, mix_size and mix_taken; texts stay where they are.
+    """The rows of docs that the mix takes, with mix_copies, mix_size and mix_taken; texts stay where they are.
 
     Documents are told apart by all their columns; rows that are equal in all of them share what they get.
     """
@@ -224,4 +224,4 @@ def take_mix(docs: DataFrame, text_column: str = "text", source_column: str = "s
     narrow = written(rows.select(*[F.col(v).alias(k) for k, v in own.items()]), "mix-sizes")
     plan, _ = plan_copies(narrow)
     mixed = with_copies(rows.select(F.struct(*docs.columns).alias("doc"), *[F.col(v).alias(k) for k, v in own.items()]), plan)
-    return mixed.where("copies > 0").select("doc.*", "copies", F.col("size").alias("mix_size"), (F.col("copies") * F.col("size")).alias("mix_taken"))
+    return mixed.where("copies > 0").select("doc.*", F.col("copies").alias("mix_copies"), F.col("size").alias("mix_size"), (F.col("copies") * F.col("size")).alias("mix_taken"))
