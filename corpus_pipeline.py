@@ -48,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that are equal in all columns share what they get.
     """
-    return take_mix(docs.select(*COLUMNS)).withColumnsRenamed({"mix_size": "size", "mix_taken": "taken"})
+    return take_mix(docs.select(*COLUMNS)).withColumnsRenamed({"mix_copies": "copies", "mix_size": "size", "mix_taken": "taken"})
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixing)]
