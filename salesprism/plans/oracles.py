@@ -270,3 +270,40 @@ count(DISTINCT {c}) AS n_unique, {_r(f"count(DISTINCT {c}) / count({c})")} AS un
 
 
 SQL["column_profile_full"] = " UNION ALL ".join(_profile(c, n) for c, n in (("c_custkey", True), ("c_name", False), ("c_mktsegment", False), ("c_acctbal", True)))
+
+
+def _t_p(t: str, df: str, steps: int = 2000) -> str:
+    """Student's two-sided probability by Simpson's rule over the angle: 1 - c * integral of cos(x) ** (df - 1)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    weights = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * power(cos(i * {angle} / {steps}), ({df}) - 1)))"
+    return f"greatest(0.0, 1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi()) * {angle} / {3 * steps} * {weights})"
+
+
+def _adjusted(table: str, order: str) -> str:
+    """CTEs ranked, done: the table with adjusted, by Benjamini and Hochberg."""
+    return f"""ranked AS (SELECT *, row_number() OVER (ORDER BY p, {order}) AS k, count(*) OVER () AS tests FROM {table}),
+done AS (SELECT *, least(1.0, min(p * tests / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adjusted FROM ranked)"""
+
+
+_SE = "abs(slope / t)"
+SQL["trend_test"] = f"""{SQL["trend_regression"].rsplit("SELECT", 1)[0]} SELECT n, {_r('slope')} AS slope, {_r('mean_y')} AS mean_y, {_r(_SE)} AS se, {_r('r2')} AS r2, {_r('t')} AS t, {_r('slope / abs(mean_y)')} AS effect,
+{_r('slope * (n - 1) / abs(mean_y)')} AS fitted_change, {_r(_t_p('t', '(n - 2)'))} AS p FROM ols"""
+SQL["price_response_tests"] = f"""{SQL["price_elasticity"].rsplit("SELECT", 1)[0]}, u AS (SELECT *, {_t_p('t', '(n - 2)')} AS p FROM ols JOIN sp USING (category) WHERE n >= 6 AND v >= 0.05 AND t IS NOT NULL), {_adjusted('u', 'category')}
+SELECT category, n, {_r('slope')} AS slope, {_r('mean_y')} AS mean_y, {_r(_SE)} AS se, {_r('r2')} AS r2, {_r('t')} AS t, {_r('v')} AS price_variation, true AS usable, {_r('p')} AS p, {_r('adjusted')} AS adjusted, adjusted < 0.05 AND abs(slope) >= 0.3 AS responds FROM done"""
+SQL["product_relationship_tests"] = f"""{SQL["product_correlation"].rsplit("SELECT a.category", 1)[0]}, c AS (SELECT a.category AS a, b.category AS b, count(*) AS n, corr(a.value, b.value) AS r FROM f a JOIN f b ON a.period = b.period AND a.category < b.category GROUP BY ALL),
+u AS (SELECT *, {_t_p('(r * sqrt((n - 2) / greatest(1 - r * r, 1e-15)))', '(n - 2)')} AS p FROM c WHERE r IS NOT NULL), {_adjusted('u', 'a, b')}
+SELECT a, b, n, {_r('r')} AS r, {_r('p')} AS p, {_r('adjusted')} AS adjusted, adjusted < 0.05 AND abs(r) >= 0.5 AS related FROM done"""
+
+
+def _below(x: str, density: str, steps: int = 4000) -> str:
+    """The integral of a density of `v` from 0 to x by Simpson's rule."""
+    return f"({x}) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * ({density.replace('v', f'(i * ({x}) / {steps})')})))"
+
+
+_F_DENSITY = "exp(lgamma((df1 + df2) / 2) - lgamma(df1 / 2) - lgamma(df2 / 2)) * power(df1 / df2, df1 / 2) * power(v, df1 / 2 - 1) * power(1 + df1 * v / df2, -(df1 + df2) / 2)"
+_CHI_DENSITY = "exp(-v / 2 - lgamma(df / 2.0)) * power(v, df / 2.0 - 1) / power(2, df / 2.0)"
+_MIX = {d: SQL["product_mix_chi2"].replace("region AS level", f"{d} AS level").rsplit("SELECT round(sum(power", 1)[0] + f"SELECT '{d}' AS dimension, sum(power(n - expected, 2) / expected) AS chi2, (count(DISTINCT level) - 1) * (count(DISTINCT item) - 1) AS df, avg((expected < 5)::INT) AS small_share FROM x" for d in ("channel", "region", "group_segment")}
+SQL["segmentation_tests"] = f"""{SQL["segment_anova_stats"].rsplit("SELECT dimension, levels", 1)[0]}, s AS (SELECT dimension, levels, rows::BIGINT AS rows, ((ss - s * s / rows) / (levels - 1)) / (within / (rows - levels)) AS statistic, (levels - 1)::DOUBLE AS df1, (rows - levels)::DOUBLE AS df2, (high - low) / abs(s / rows) AS effect FROM g WHERE levels BETWEEN 3 AND 12),
+u AS (SELECT *, greatest(0.0, 1 - {_below('statistic', _F_DENSITY)}) AS p FROM s), {_adjusted('u', 'dimension')},
+mixes AS (SELECT dimension, CASE WHEN small_share <= 0.2 THEN greatest(0.0, 1 - {_below('chi2', _CHI_DENSITY)}) END AS mix_p FROM ({" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _MIX.values())}))
+SELECT dimension, levels, rows, {_r('statistic')} AS statistic, df1, df2, {_r('effect')} AS effect, {_r('p')} AS p, {_r('adjusted')} AS adjusted, {_r('mix_p')} AS mix_p, coalesce(mix_p < 0.05, false) AS confounded FROM done LEFT JOIN mixes USING (dimension)"""
