@@ -49,3 +49,10 @@ def test_forecasts_widen_nest_and_refuse(spark):
         assert 0 <= r["lower95"] <= r["lower80"] <= r["mean"] <= r["upper80"] <= r["upper95"]
     assert got[2]["upper80"] - got[2]["lower80"] >= got[0]["upper80"] - got[0]["lower80"]
     assert A.backtest(np.arange(10.0)) is None
+
+
+def test_array_tails_equal_the_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    t, df = [*rng.normal(0, 3, 300).tolist(), 0.0, 1e-9, 50.0, float("inf"), None], [*rng.integers(1, 400, 300).astype(float).tolist(), 5.0, 5.0, 3.0, 4.0, 4.0]
+    rows = spark.createDataFrame(list(zip(t, df, strict=True)), "t double, df double").withColumn("p", S.t_p("t", "df")).collect()
+    assert all((r["p"] is None) if r["t"] is None else abs(r["p"] - S.t_two_sided(r["t"], r["df"])) < 1e-12 for r in rows)
