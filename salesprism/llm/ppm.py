@@ -63,23 +63,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("trained", pa.int64())])
-        everything, trained = Counter(), Counter()
+        counts = {True: Counter(), False: Counter()}
 
         def flush():
-            for a in range(0, len(items := list(everything.items())), 50_000):
-                part = items[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64()), pa.array([trained[w] for w, _ in part], pa.int64())], schema=schema)
+            for training, own in counts.items():
+                for a in range(0, len(items := list(own.items())), 50_000):
+                    n = pa.array([n for _, n in items[a : a + 50_000]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in items[a : a + 50_000]], pa.binary()), n, n if training else pa.array(np.zeros(len(n), np.int64))], schema=schema)
+                own.clear()
 
         for rows in row_slices(batches):
             for t, training in zip(rows["text"], rows["training"], strict=True):
-                own = tokens(t)
-                everything.update(own)
-                if training:
-                    trained.update(own)
-            if len(everything) >= HELD_WORDS:
+                counts[training].update(tokens(t))
+            if sum(map(len, counts.values())) >= HELD_WORDS:
                 yield from flush()
-                everything.clear()
-                trained.clear()
         yield from flush()
 
     return docs.select("text", "training").mapInArrow(run, "word binary, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
@@ -90,31 +87,32 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), ("trained", pa.int64())])
-        keys, counts, learned, waiting, held = np.empty(0, np.uint32), np.empty(0), np.empty(0), [], 0
+        # a key is a gram and whether its text trains
+        keys, counts, waiting, held = np.empty(0, np.uint64), np.empty(0), [], 0
 
-        def folded(keys, counts, learned, waiting):
-            own = np.concatenate([keys, *[g for g, _ in waiting]])
-            both, at = np.unique(own, return_inverse=True)
-            new = np.concatenate([np.empty(0, bool), *[t for _, t in waiting]])
-            return both, np.bincount(at, np.concatenate([counts, np.ones(len(new))]), len(both)), np.bincount(at, np.concatenate([learned, new]), len(both))
+        def folded(keys, counts, waiting):
+            own, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], counts[:0])
+            both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([counts, n]), len(both))
 
-        def batch(keys, counts, learned):
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(learned.astype(np.int64))], schema=schema)
+        def batch(keys, counts):
+            n = counts.astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array(n), pa.array(n * (keys & np.uint64(1)).astype(np.int64))], schema=schema)
 
         for rows in row_slices(batches):
             data, at = padded(rows["text"])
             if len(data) > 3:
                 own = grams(data)
                 real = (own & np.uint32(0xFF)) != PAD
-                waiting.append((own[real], np.array(rows["training"], bool)[at[3:][real]]))
+                waiting.append(own[real].astype(np.uint64) << np.uint64(1) | np.array(rows["training"], bool)[at[3:][real]])
                 held += len(own)
             if held >= HELD_BYTES:
-                keys, counts, learned = folded(keys, counts, learned, waiting)
+                keys, counts = folded(keys, counts, waiting)
                 waiting, held = [], 0
                 if len(keys) >= HELD_GRAMS:
-                    yield batch(keys, counts, learned)
-                    keys, counts, learned = keys[:0], counts[:0], learned[:0]
-        yield batch(*folded(keys, counts, learned, waiting))
+                    yield batch(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield batch(*folded(keys, counts, waiting))
 
     return docs.select("text", "training").mapInArrow(run, "gram long, n long, trained long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
@@ -174,6 +172,19 @@ def code_lengths(counted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return written(t.select("gram", "n", F.when(closed, log).otherwise(log - math.log10(max(1, 256 - symbols))).alias("log_p")), "ppm-lengths"), [*leaves.values(), *contexts.values()]
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the written table with the largest n, at most so many: those above a bound that counts of n's size classes give."""
+    size = F.floor(F.log2("n") * 16)
+    # some hundred size classes
+    classes = sorted(((r["size"], r["rows"], r["least"]) for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()), reverse=True)
+    bound, taken = None, 0
+    for _, rows, least in classes:
+        if taken + rows > most:
+            break
+        bound, taken = least, taken + rows
+    return counted.where(F.col("n") >= bound) if taken else counted.where(F.lit(False))
+
+
 SCORED = "uid long, id {id}, n_tokens long, n_known long, base double, score double, word binary, gram long, n long"
 
 
@@ -189,11 +200,9 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
     base_log = math.log10(n_train + n_distinct + 1)
     lengths, levels = code_lengths(counted)
     discard(counted, *levels)
-    hot_words = words.orderBy(F.col("n").desc(), "word").limit(HOT_WORDS)
-    hot_grams = lengths.orderBy(F.col("n").desc(), "gram").limit(HOT_GRAMS)
-    table = hot_words.select("word", "trained").toArrow()
+    table = most_frequent(words, HOT_WORDS).select("word", "trained").toArrow()
     known_words = dict(zip(table["word"].to_pylist(), zip(np.log10(table["trained"].to_numpy() + 1.0).tolist(), (table["trained"].to_numpy() > 0).tolist(), strict=True), strict=True))
-    table = hot_grams.select("gram", "log_p").toArrow()
+    table = most_frequent(lengths, HOT_GRAMS).select("gram", "log_p").toArrow()
     order = np.argsort(table["gram"].to_numpy())
     known_grams = (table["gram"].to_numpy()[order].astype(np.uint32), table["log_p"].to_numpy()[order])
     sent = spark.sparkContext.broadcast((known_words, *known_grams))
