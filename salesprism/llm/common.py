@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at once, so that a batch of very long texts stays small.
@@ -29,14 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut and the files outlive any executor.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder, in a folder for each value of `by`, and read again: lineage is cut and the files outlive any executor.
 
     The files go when discard() is called, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -57,6 +58,33 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def ranked(table: DataFrame, *order: Column, number: str = "place") -> tuple[DataFrame, DataFrame]:
+    """table with the number, from 1, of each row in that order over all of it, and the scratch table that it reads.
+
+    A partition is a range of the order; the sizes of the ranges, a row for each partition, are added up. Rows that
+    are equal in the order get the numbers of their range in any order. table is read twice.
+    """
+    ranges = written(table.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("rows"))
+    ahead = F.coalesce(F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    out = ranges.join(F.broadcast(sizes.select("range", ahead.alias("ahead"))), "range").withColumn(number, F.col("ahead") + inside)
+    return out.drop("range", "ahead"), ranges
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of the written table with the largest n, at most so many: those above a bound that counts of n's size classes give."""
+    size = F.floor(F.log2("n") * 16)
+    # some hundred size classes
+    classes = sorted(((r["size"], r["rows"], r["least"]) for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()), reverse=True)
+    bound, taken = None, 0
+    for _, rows, least in classes:
+        if taken + rows > most:
+            break
+        bound, taken = least, taken + rows
+    return counted.where(F.col("n") >= bound) if taken else counted.where(F.lit(False))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -72,6 +100,19 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Ite
             yield batch.slice(start, rows).to_pydict()
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts in `column` have `size` bytes together at most; a longer text is a slice of its own."""
+    for batch in batches:
+        lengths, start, held = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 0, 0
+        for k, n in enumerate(lengths):
+            if held and held + n > size:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """df.mapInArrow with fn called on bounded slices; fn may return any number of rows."""
     from pyspark.sql.types import StructType

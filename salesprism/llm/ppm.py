@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from salesprism.llm.common import discard, row_slices, text_or_empty, written
+from salesprism.llm.common import discard, most_frequent, row_slices, text_or_empty, written
 
 ORDER = 3
 PAD, END = 0xFE, 0xFF
@@ -172,19 +172,6 @@ def code_lengths(counted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return written(t.select("gram", "n", F.when(closed, log).otherwise(log - math.log10(max(1, 256 - symbols))).alias("log_p")), "ppm-lengths"), [*leaves.values(), *contexts.values()]
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of the written table with the largest n, at most so many: those above a bound that counts of n's size classes give."""
-    size = F.floor(F.log2("n") * 16)
-    # some hundred size classes
-    classes = sorted(((r["size"], r["rows"], r["least"]) for r in counted.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min("n").alias("least")).collect()), reverse=True)
-    bound, taken = None, 0
-    for _, rows, least in classes:
-        if taken + rows > most:
-            break
-        bound, taken = least, taken + rows
-    return counted.where(F.col("n") >= bound) if taken else counted.where(F.lit(False))
-
-
 SCORED = "uid long, id {id}, n_tokens long, n_known long, base double, score double, word binary, gram long, n long"
 
 
