@@ -14,12 +14,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from salesprism.functions.cleaning import NULL_TOKENS, is_blank
+from salesprism.sources.delimited import read_lines, records, survey
 
 # Words that mark a summary row, how far down the header is searched.
 TOTALS = ("total", "totals", "subtotal", "sub total", "sub-total", "grand total", "grandtotal", "sum", "summary", "average", "avg", "mean", "balance", "closing balance", "count", "overall")
@@ -115,21 +115,17 @@ def sniff_separator(sample: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, cells) of a delimited file; row numbers follow the file's order."""
-    lines = spark.read.text(path)
-    sep = "\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(r[0] for r in lines.limit(20).collect()))
-
-    def shape(batches):
-        csv.field_size_limit(1 << 30)
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"n": [max((len(next(csv.reader([x], delimiter=sep), [])) for x in own), default=1)], "broken": [any(x.count('"') % 2 for x in own)]}, schema=pa.schema([("n", pa.int32()), ("broken", pa.bool_())]))
-
-    found = lines.mapInArrow(shape, "n int, broken boolean").agg(F.max("n").alias("n"), F.max("broken").alias("broken")).first()
+    """(row_id, cells) of delimited text; row numbers follow the order of lines. Empty cells are null."""
+    lines = read_lines(spark, path)
+    sep = "\t" if path.lower().endswith(".tsv") else sniff_separator("\n".join(r[0] for r in lines.select("value").limit(20).collect()))
+    blocks = survey(lines, sep)
+    found = blocks.agg(F.max("width").alias("n"), F.max("broken").alias("broken")).first()
+    if found["broken"]:
+        return records(lines, blocks, sep).select("row_id", F.transform("cells", lambda c: F.nullif(c, F.lit(""))).alias("cells"))
+    # a record for each line: Spark's own reader cuts the cells
     width = max(found["n"] or 1, 1)
     schema = ", ".join(f"c{i} string" for i in range(width + 8))
-    # a field goes over several lines only where a line has an odd number of quotes; other files are split among tasks
-    table = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="PERMISSIVE", escape='"', multiLine=bool(found["broken"]))
+    table = spark.read.csv(path, schema=schema, sep=sep, header=False, mode="PERMISSIVE", escape='"')
     return table.select(F.monotonically_increasing_id().alias("row_id"), F.slice(F.array(*table.columns), 1, width).alias("cells"))
 
 
