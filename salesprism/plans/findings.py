@@ -134,16 +134,23 @@ def concentration_finding(s: DataFrame, _: str) -> list[Finding]:
     return [Finding("concentration", "CONCENTRATION", f"{r['leader']} brings {r['top1_share']:.0%} of {measure}, the first two {r['top2_share']:.0%}.", "WATCH", 0.88 if r["top1_share"] >= 0.5 else 0.75, {"metric": measure, **r.asDict()}, "margin" if measure == "profit" else "core")]
 
 
+#: Contributions that a finding lists by name; the others are one entry.
+NAMED_CONTRIBUTIONS = 7
+
+
 def decomposition_finding(s: DataFrame, frequency: str) -> list[Finding]:
-    if P.whole_periods(s, frequency).select(P.period_of(frequency)).distinct().count() < 4:
-        return []
-    # one row an item: the contributions are exact because they are all there
-    rows = _rows(D.decomposition(s, frequency=frequency).orderBy(F.abs("change").desc(), "product"))
-    base, change = sum(r["before"] for r in rows), sum(r["change"] for r in rows)
+    """The change by item: the items that moved most, and one entry for all others, which makes the sum exact."""
+    parts = D.decomposition(s, frequency=frequency)
+    whole = parts.agg(F.count("*").alias("items"), F.sum("before").alias("base"), F.sum("change").alias("change"), F.max_by(F.struct("product", "change"), "change").alias("up"), F.min_by(F.struct("product", "change"), "change").alias("down")).first()
+    base, change = whole["base"], whole["change"]
     if not base or abs(change) < 0.03 * abs(base):
         return []
-    mover = max(rows, key=lambda r: r["change"] * (1 if change > 0 else -1))
-    facts = {"total_change": change, "change_pct": change / abs(base), "baseline": base, "largest_mover": mover["product"], "largest_mover_change": mover["change"], "item_count": len(rows), "contributions": [{"label": r["product"], "change": r["change"], "share_of_change": r["share_of_change"]} for r in rows]}
+    mover = whole["up"] if change > 0 else whole["down"]
+    named = [{"label": r["product"], "change": r["change"], "share_of_change": r["share_of_change"]} for r in _first(parts, NAMED_CONTRIBUTIONS, F.abs("change").desc(), "product")]
+    if whole["items"] > len(named):
+        left = change - sum(c["change"] for c in named)
+        named.append({"label": f"{whole['items'] - len(named)} others", "change": left, "share_of_change": left / change})
+    facts = {"total_change": change, "change_pct": change / abs(base), "baseline": base, "largest_mover": mover["product"], "largest_mover_change": mover["change"], "item_count": whole["items"], "contributions": named}
     return [Finding("revenue_decomposition", "DECOMPOSITION", f"Revenue per period {move(change / abs(base))}; {mover['product']} moved most.", "GOOD" if change > 0 else "WATCH", 0.8, facts, method="exact contributions")]
 
 
@@ -201,6 +208,8 @@ def price_findings(s: DataFrame, frequency: str) -> list[Finding]:
 
 def lifecycle_findings(s: DataFrame, frequency: str) -> list[Finding]:
     statuses, out = D.lifecycle(s, frequency=frequency), []
+    if len(statuses.select("product").limit(2).collect()) < 2:
+        return []
     counts = {r["status"]: r["n"] for r in _rows(statuses.where("status <> 'trading'").groupBy("status").agg(F.count("*").alias("n")))}
     for status, kind, severity, weight in (("stopped", "products_stopped", "WATCH", 0.68), ("arrived", "products_arrived", "GOOD", 0.45)):
         if n := counts.get(status):
@@ -331,6 +340,8 @@ def anomaly_findings(s: DataFrame, frequency: str) -> list[Finding]:
 
 AT_ONCE = 6
 CUSTOMER = {repeat_finding, rfm_finding, cohort_finding}
+#: What compares one part of the time with another says nothing below so many whole periods.
+LEAST_PERIODS = dict.fromkeys((decomposition_finding, dimension_findings, price_volume_finding, lifecycle_findings, repeat_finding), 4)
 ANALYSES = (trend_finding, anomaly_findings, seasonality_finding, margin_findings, concentration_finding, decomposition_finding, dimension_findings, price_volume_finding, ranking_finding, classes_finding, price_findings, lifecycle_findings, spread_finding, segmentation_findings, relationship_finding, forecast_findings, repeat_finding, rfm_finding, cohort_finding, basket_finding)
 
 
@@ -370,7 +381,8 @@ def collect_findings(s: DataFrame, goals: DataFrame | None = None, strict: bool
         if first is None:
             return [], {}
         frequency, found, errors = P.natural_frequency(first, last), [], {}
-        usable = [a for a in ANALYSES if a not in CUSTOMER or "customer_id" in s.columns]
+        periods = P.whole_periods(s, frequency).select(P.period_of(frequency)).distinct().count()
+        usable = [a for a in ANALYSES if (a not in CUSTOMER or "customer_id" in s.columns) and periods >= LEAST_PERIODS.get(a, 0)]
         # each analysis waits for small jobs of its own; the scheduler shares executors among them
         with ThreadPoolExecutor(AT_ONCE) as pool:
             results = [(a, pool.submit(a, s, frequency)) for a in usable]

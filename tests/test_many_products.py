@@ -30,7 +30,10 @@ def test_nothing_is_cut_before_it_is_ranked(many):
     margin = {f.id: f.facts for f in FN.margin_findings(many, P.MONTH)}["loss_making_product"]
     assert margin["product"] == f"p{N - 2:05d}" and margin["item_count"] == N and margin["revenue_share"] == pytest.approx(80.0 / total)
     moved = FN.decomposition_finding(many, P.MONTH)[0].facts
-    assert moved["total_change"] == pytest.approx(3000.0) and moved["largest_mover"] == f"p{N - 3:05d}" and len(moved["contributions"]) == moved["item_count"] == N
+    assert moved["total_change"] == pytest.approx(3000.0) and moved["largest_mover"] == f"p{N - 3:05d}" and moved["item_count"] == N
+    # the items that moved most by name, all others as one, adding up exactly
+    named = moved["contributions"]
+    assert len(named) == FN.NAMED_CONTRIBUTIONS + 1 and named[-1]["label"] == f"{N - FN.NAMED_CONTRIBUTIONS} others" and sum(c["change"] for c in named) == pytest.approx(3000.0)
     classes = FN.classes_finding(many, P.MONTH)[0].facts
     assert classes["products"] == N and classes["tail_count"] == N - 2 and classes["tail_share"] == pytest.approx(80.0 * (N - 2) / total)
     assert classes["vital_share"] == pytest.approx(0.8, abs=1e-3)
