@@ -152,12 +152,84 @@ def t_p(t, df):
     return pd.Series(p).where(known.to_numpy())
 
 
-f_p, chi2_p, normal_p = (_column_function(f) for f in (f_tail, chi2_tail, normal_two_sided))
-fisher_p = _column_function(lambda k, a, b, n: fisher_greater(int(k), int(a), int(b), int(n)))
+@pandas_udf(DoubleType())
+def f_p(f, d1, d2):
+    """f_tail() of columns."""
+    import pandas as pd
+
+    known = f.notna() & d1.notna() & d2.notna()
+    x, a, b = (c.where(known, 1.0).to_numpy(float) for c in (f, d1, d2))
+    with np.errstate(over="ignore", invalid="ignore"):
+        p = np.where(np.isfinite(x), beta_cdf_array(b / 2, a / 2, np.where(np.isfinite(x), b / (b + a * np.where(np.isfinite(x), x, 1.0)), 0.5)), 0.0)
+    return pd.Series(p).where(known.to_numpy())
+
+
+def fisher_greater_array(together: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """fisher_greater() of arrays: terms follow each other by their ratio, from the count away from the mean, until none adds anything.
+
+    Below the mean the smaller tail on the other side is summed, and taken from one.
+    """
+    k, a, b, m = (np.asarray(x, float) for x in (together, n_a, n_b, n))
+    low, high = np.maximum(0.0, a + b - m), np.minimum(a, b)
+    up = k > a * b / np.maximum(m, 1)
+    start = np.clip(np.where(up, k, k - 1), low, high)
+    log = lambda x: log_gamma(x + 1)
+    first = log(a) - log(start) - log(a - start) + log(m - a) - log(b - start) - log(m - a - b + start) - log(m) + log(b) + log(m - b)
+    term = np.exp(first)
+    total, at, going = term.copy(), start.copy(), term > 0
+    while going.any():
+        ratio_up = (a - at) * (b - at) / np.maximum((at + 1) * (m - a - b + at + 1), 1.0)
+        ratio_down = at * (m - a - b + at) / np.maximum((a - at + 1) * (b - at + 1), 1.0)
+        term = np.where(going, term * np.where(up, ratio_up, ratio_down), 0.0)
+        at = at + np.where(up, 1, -1)
+        total += term
+        going = going & (term > total * 1e-18) & (at > low - 1) & (at < high + 1)
+    out = np.where(up, total, 1 - total)
+    return np.clip(np.where(k <= low, 1.0, np.where(k > high, 0.0, out)), 0.0, 1.0)
+
+
+@pandas_udf(DoubleType())
+def fisher_p(together, n_a, n_b, n):
+    """fisher_greater() of columns."""
+    import pandas as pd
+
+    known = together.notna() & n_a.notna() & n_b.notna() & n.notna()
+    p = fisher_greater_array(*(c.where(known, 1.0).to_numpy(float) for c in (together, n_a, n_b, n)))
+    return pd.Series(p).where(known.to_numpy())
+
+
+chi2_p, normal_p = _column_function(chi2_tail), _column_function(normal_two_sided)
+#: Bins of p to a factor of two, for families of any size.
+P_BINS = 32
+
+
+def step_up(tests: DataFrame, p: str = "p", family: str | None = None, total: int | None = None) -> DataFrame:
+    """benjamini_hochberg() of families of any size: tests with adjusted, null where p is null; total: tests of the one family, if some were left out for a larger p.
+
+    Equal p are counted before they are dealt out. Values go into bins of p, a table of some thousand rows that says
+    how many tests lie below each bin; ranks inside a bin, the least p * n / rank of a bin and of all later bins then
+    give every value its figure, which goes back to the tests by value.
+    """
+    own = [F.coalesce(F.col(family), F.lit("")).alias("_family")] if family else [F.lit("").alias("_family")]
+    values = tests.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("_p")).agg(F.count("*").alias("_times"))
+    values = values.withColumn("_bin", F.when(F.col("_p") > 0, F.floor(F.log2("_p") * P_BINS)).otherwise(-100_000))
+    bins = values.groupBy("_family", "_bin").agg(F.sum("_times").alias("_tests"))
+    order = Window.partitionBy("_family").orderBy("_bin")
+    n = F.lit(total) if total is not None else F.sum("_tests").over(Window.partitionBy("_family"))
+    bins = bins.select("_family", "_bin", n.alias("_n"), (F.sum("_tests").over(order) - F.col("_tests")).alias("_below"))
+    inside = Window.partitionBy("_family", "_bin").orderBy("_p")
+    placed = values.join(bins, ["_family", "_bin"]).withColumn("_rank", F.col("_below") + F.sum("_times").over(inside))
+    placed = placed.withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_rank"))
+    least = placed.groupBy("_family", "_bin").agg(F.min("_raw").alias("_least"))
+    later = least.select("_family", "_bin", F.min("_least").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    placed = placed.withColumn("_own", F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))).join(later, ["_family", "_bin"])
+    figures = placed.select("_family", "_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("adjusted"))
+    out = tests.withColumn("_own_family", own[0])
+    return out.join(figures, (F.col("_own_family") == F.col("_family")) & (F.col(p) == F.col("_p")), "left").drop("_own_family", "_family", "_p")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", *order: str, family: str | None = None) -> DataFrame:
-    """tests with adjusted: the least of p * n / rank over this and all larger p of its family, 1 at most."""
+    """tests with adjusted: the least of p * n / rank over this and all larger p of its family, 1 at most; for small families, see step_up()."""
     w = Window.partitionBy(*([family] if family else []))
     rank = F.row_number().over(w.orderBy(p, *order))
     t = tests.withColumn("_rank", rank).withColumn("_n", F.count(p).over(w))

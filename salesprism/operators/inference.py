@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions.seasonal import seasonal_parts
-from salesprism.functions.stats import benjamini_hochberg, chi2_p, f_p, fisher_p, t_p
-from salesprism.operators.customers import basket_lift
+from salesprism.functions.stats import benjamini_hochberg, chi2_p, f_p, fisher_p, step_up, t_p
+from salesprism.operators.customers import baskets
 from salesprism.operators.descriptive import price_points
-from salesprism.operators.periods import MONTH, SEASONS, everything, by_period, by_period_and, whole_periods
+from salesprism.operators.pairs import correlated_pairs, item_vectors, pairs_tested, supported_pairs
+from salesprism.operators.periods import MONTH, SEASONS, everything, by_period, whole_periods
 
 
 def slopes(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
@@ -44,7 +45,7 @@ def elasticity(sales: DataFrame, key: str = "product", frequency: str = MONTH) -
 
 def elasticity_tests(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
     t = elasticity(sales, key, frequency).where("usable and t is not null").withColumn("p", t_p(F.col("t"), (F.col("n") - 2).cast("double")))
-    return benjamini_hochberg(t, "p", key).withColumn("responds", (F.col("adjusted") < 0.05) & (F.abs("slope") >= 0.3))
+    return step_up(t, "p").withColumn("responds", (F.col("adjusted") < 0.05) & (F.abs("slope") >= 0.3))
 
 
 def level_shift(series: DataFrame, split: Column) -> DataFrame:
@@ -119,22 +120,25 @@ def mix_statistic(sales: DataFrame, dimension: str, item: str = "product") -> Da
 
 
 def product_correlation(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
-    """Pearson's r of each pair of items active often enough, over the observed periods: a period's items are paired in place."""
-    cells = by_period_and(whole_periods(sales, frequency), key, frequency)
-    n = F.size(F.collect_set("period").over(everything()))
-    active = F.count_if(F.col("value") > 0).over(Window.partitionBy(key))
-    cells = cells.withColumn("n", n).withColumn("active", active).where("n >= 6 and active >= greatest(3, n div 3)").select("period", F.col(key).alias("item"), "value")
-    a, b = cells.withColumnsRenamed({"item": "a", "value": "x"}), cells.withColumnsRenamed({"item": "b", "value": "y"})
-    pairs = a.join(b, "period").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
-
-
-def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
-    t = product_correlation(sales, key, frequency).where("r is not null")
+    """Pearson's r of each pair of items active often enough, over the observed periods."""
+    return correlated_pairs(item_vectors(sales, key, frequency))
+
+
+def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = MONTH, bound: float | None = None) -> DataFrame:
+    """Tests of all pairs with adjusted p; with a bound, of the pairs whose p is at most that, adjusted among all that were tested.
+
+    An adjusted p is never below the p itself, so up to the bound the adjusted ones are the same without the rest.
+    """
+    vectors = item_vectors(sales, key, frequency)
+    t = correlated_pairs(vectors, bound).where("r is not null")
     stat = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-15))))
-    return benjamini_hochberg(t.withColumn("p", t_p(stat, (F.col("n") - 2).cast("double"))), "p", "a", "b").withColumn("related", (F.col("adjusted") < 0.05) & (F.abs("r") >= 0.5))
+    t = step_up(t.withColumn("p", t_p(stat, (F.col("n") - 2).cast("double"))), "p", total=None if bound is None else pairs_tested(vectors))
+    return t.withColumn("related", (F.col("adjusted") < 0.05) & (F.abs("r") >= 0.5))
 
 
 def basket_tests(sales: DataFrame, item: str = "product") -> DataFrame:
-    t = basket_lift(sales, item).where("supported").withColumn("p", fisher_p(*[F.col(c).cast("double") for c in ("together", "n_a", "n_b", "n_baskets")]))
-    return benjamini_hochberg(t, "p", "a", "b").withColumn("confirmed", (F.col("adjusted") < 0.05) & (F.col("lift") >= 1.5))
+    """Fisher's exact test of each supported pair with lift, support and adjusted p."""
+    t = supported_pairs(baskets(sales, item))
+    t = t.withColumn("lift", F.col("together") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
+    t = t.withColumn("p", fisher_p(*[F.col(c).cast("double") for c in ("together", "n_a", "n_b", "n_baskets")]))
+    return step_up(t, "p").withColumn("confirmed", (F.col("adjusted") < 0.05) & (F.col("lift") >= 1.5))

@@ -17,6 +17,7 @@ from salesprism.operators import descriptive as D
 from salesprism.operators import inference as I
 from salesprism.operators import monitoring as M
 from salesprism.operators import periods as P
+from salesprism.operators.pairs import item_vectors, pairs_tested
 
 # What a severity adds to importance; the chart of each type.
 SEVERITY_WEIGHT = {"URGENT": 0.15, "WATCH": 0.08, "NEUTRAL": 0.0, "GOOD": 0.02}
@@ -239,12 +240,12 @@ def segmentation_findings(s: DataFrame, _: str) -> list[Finding]:
 
 
 def relationship_finding(s: DataFrame, frequency: str) -> list[Finding]:
-    tests = I.correlation_tests(s, frequency=frequency)
+    tests = I.correlation_tests(s, frequency=frequency, bound=0.05)
     own = _first(tests.where("related"), 10, F.abs("r").desc(), "a", "b")
     if not own:
         return []
     b = own[0]
-    return [Finding("product_relationships", "RELATIONSHIP", f"{b['a']} and {b['b']} move {'together' if b['r'] > 0 else 'against each other'}.", "NEUTRAL", 0.55, {"pairs": [[r["a"], r["b"], r["r"], r["adjusted"]] for r in own], "pairs_tested": tests.count()}, method="Pearson correlation", p_value=b["p"], adjusted_p=b["adjusted"], sample_size=b["n"])]
+    return [Finding("product_relationships", "RELATIONSHIP", f"{b['a']} and {b['b']} move {'together' if b['r'] > 0 else 'against each other'}.", "NEUTRAL", 0.55, {"pairs": [[r["a"], r["b"], r["r"], r["adjusted"]] for r in own], "pairs_tested": pairs_tested(item_vectors(s, frequency=frequency))}, method="Pearson correlation", p_value=b["p"], adjusted_p=b["adjusted"], sample_size=b["n"])]
 
 
 def forecast_findings(s: DataFrame, frequency: str) -> list[Finding]:
