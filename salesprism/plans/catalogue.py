@@ -507,6 +507,32 @@ def column_roles(s):
     return s.sparkSession.createDataFrame([(k, v, float(found.scores.get(k, 0))) for k, v in sorted(found.roles.items())], "role string, column string, score double")
 
 
+def _answers(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A finding for each customer, and an answer about each: some as they should be, others wrong in one way each."""
+    t = orders.groupBy("o_custkey").agg(F.count("*").alias("orders"), P.money("o_totalprice").alias("spend"), F.max("o_totalprice").alias("largest"), P.money(F.col("o_totalprice") * F.when(F.year("o_orderdate") >= 1996, 1).otherwise(-1)).alias("change"))
+    c, name = F.col("o_custkey"), F.concat(F.lit("House Q"), F.col("o_custkey"))
+    facts = F.to_json(F.struct(name.alias("name"), F.col("orders"), F.col("change"), F.struct(F.array("spend", "largest").alias("sums")).alias("money")))
+    found = t.select(
+        F.concat(F.lit("customer_"), c).alias("id"), F.when(c % 2 == 0, "DECOMPOSITION").otherwise("TREND").alias("type"), F.concat(name, F.lit(" placed "), "orders", F.lit(" orders.")).alias("summary"),
+        facts.alias("facts"), F.when(F.col("orders") >= 10, "clear").otherwise("worth a look").alias("strength"),
+    )
+    texts = (
+        F.concat(name, F.lit(" placed "), "orders", F.lit(" orders worth "), F.round("spend").cast("long"), F.lit(".")), F.concat(name, F.lit(" possibly placed "), F.col("orders") + 1, F.lit(" orders.")),
+        F.concat(F.lit("It seems House Q"), c + 1_000_000, F.lit(" leads.")), F.concat(F.lit("Orders of "), name, F.lit(" may have moved because prices did.")), F.when(F.col("change") > 0, "It fell, as it seems.").otherwise("It rose, as it seems."),
+        F.lit("It may be that you should order more."), F.concat(name, F.lit(" may lead.")), F.lit("   "), F.when(c % 2 == 0, "There may be nothing about candles.").otherwise("Candles may do well."),
+    )
+    text = F.coalesce(*[F.when(c % len(texts) == k, x) for k, x in enumerate(texts)])
+    cited = F.array(F.when(c % len(texts) == 6, "nobody").otherwise(F.concat(F.lit("customer_"), c)))
+    return t.select(c.cast("string").alias("answer_id"), text.alias("text"), cited.alias("cited"), F.array(F.lit("candles")).alias("absent")), found
+
+
+@_table_query("orders")
+def answer_checks(orders):
+    from salesprism.plans.guards import verdicts
+
+    return verdicts(*_answers(orders))
+
+
 @_query()
 def findings(s):
     from salesprism.plans.findings import story

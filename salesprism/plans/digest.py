@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from salesprism.operators import monitoring as M
 from salesprism.plans.findings import Finding
 
-NUMBER = re.compile(r"\d[\d,]*\.?\d*")
 MOST_LINES, MOST_ALERTS, MOST_BARS = 3, 4, 7
 
 
@@ -88,33 +87,3 @@ def export_html(found: list[Finding]) -> str:
         rows = "".join(f"<tr><td>{html.escape(str(a))}</td><td>{html.escape(str(b))}</td></tr>" for a, b in zip(s["labels"], s["values"], strict=True))
         parts.append(f"<section><h2>{html.escape(f.summary)}</h2><p>{f.severity}, {f.strength}</p><table>{rows}</table></section>")
     return f"<!doctype html><html><body>{''.join(parts)}</body></html>"
-
-
-def _walk(value, out: list):
-    if isinstance(value, dict):
-        for v in value.values():
-            _walk(v, out)
-    elif isinstance(value, (list, tuple)):
-        for v in value:
-            _walk(v, out)
-    else:
-        out.append(value)
-
-
-def permitted_numbers(facts: dict) -> set[str]:
-    """Numbers a text about these facts may state: as they are, rounded, as per cent, in thousands and millions."""
-    leaves: list = []
-    _walk(facts, leaves)
-    out: set[str] = set()
-    for x in leaves:
-        if isinstance(x, str):
-            out |= {plain_number(n) for n in NUMBER.findall(x)}
-        elif isinstance(x, (int, float)) and not isinstance(x, bool):
-            for y in (abs(x), abs(x) * 100, abs(x) / 1e3, abs(x) / 1e6):
-                out |= {plain_number(f"{y:.{d}f}") for d in (0, 1, 2)}
-    return out
-
-
-def plain_number(text: str) -> str:
-    text = text.replace(",", "")
-    return text.rstrip("0").rstrip(".") if "." in text else text

@@ -307,3 +307,25 @@ SQL["segmentation_tests"] = f"""{SQL["segment_anova_stats"].rsplit("SELECT dimen
 u AS (SELECT *, greatest(0.0, 1 - {_below('statistic', _F_DENSITY)}) AS p FROM s), {_adjusted('u', 'dimension')},
 mixes AS (SELECT dimension, CASE WHEN small_share <= 0.2 THEN greatest(0.0, 1 - {_below('chi2', _CHI_DENSITY)}) END AS mix_p FROM ({" UNION ALL ".join(f"SELECT * FROM ({x})" for x in _MIX.values())}))
 SELECT dimension, levels, rows, {_r('statistic')} AS statistic, df1, df2, {_r('effect')} AS effect, {_r('p')} AS p, {_r('adjusted')} AS adjusted, {_r('mix_p')} AS mix_p, coalesce(mix_p < 0.05, false) AS confounded FROM done LEFT JOIN mixes USING (dimension)"""
+
+
+def _forms(x: str) -> str:
+    """The ways a text may write a number."""
+    plain = lambda y, d: f"CAST(CAST({y} AS DECIMAL(38,{d})) AS VARCHAR)" if not d else f"rtrim(rtrim(CAST(CAST({y} AS DECIMAL(38,{d})) AS VARCHAR), '0'), '.')"
+    return ", ".join(plain(y, d) for y in (f"abs({x})", f"abs({x}) * 100", f"abs({x}) / 1e3", f"abs({x}) / 1e6") for d in (0, 1, 2))
+
+
+SQL["answer_checks"] = rf"""WITH c AS (SELECT o_custkey AS k, count(*) AS orders, {_sum('o_totalprice')} AS spend, max(o_totalprice) AS largest, {_sum('CASE WHEN year(o_orderdate) >= 1996 THEN o_totalprice ELSE -o_totalprice END')} AS change FROM orders GROUP BY ALL),
+f AS (SELECT *, 'House Q' || k AS name, orders >= 10 AS sure, k % 2 = 0 AS splits, list_concat([{_forms('orders')}], [{_forms('change')}], [{_forms('spend')}], [{_forms('largest')}], [CAST(k AS VARCHAR), CAST(orders AS VARCHAR)]) AS allowed FROM c),
+a AS (SELECT *, CASE k % 9 WHEN 0 THEN name || ' placed ' || orders || ' orders worth ' || CAST(round(spend) AS BIGINT) || '.' WHEN 1 THEN name || ' possibly placed ' || (orders + 1) || ' orders.' WHEN 2 THEN 'It seems House Q' || (k + 1000000) || ' leads.'
+  WHEN 3 THEN 'Orders of ' || name || ' may have moved because prices did.' WHEN 4 THEN CASE WHEN change > 0 THEN 'It fell, as it seems.' ELSE 'It rose, as it seems.' END WHEN 5 THEN 'It may be that you should order more.'
+  WHEN 6 THEN name || ' may lead.' WHEN 7 THEN '   ' ELSE CASE WHEN k % 2 = 0 THEN 'There may be nothing about candles.' ELSE 'Candles may do well.' END END AS text FROM f),
+labels AS (SELECT lower(name) AS label, string_split(lower(name), ' ') AS w FROM f),
+runs AS (SELECT k, unnest(list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*(?: [A-Z][A-Za-z0-9]*)+'))) AS name FROM a WHERE k % 9 NOT IN (6, 7)),
+names AS (SELECT k, name FROM runs WHERE NOT EXISTS (SELECT 1 FROM labels WHERE list_has_all(string_split(lower(runs.name), ' '), w) OR list_has_all(w, string_split(lower(runs.name), ' ')))),
+p AS (SELECT k, 'empty' AS p FROM a WHERE trim(text) = '' UNION ALL SELECT k, 'uncited' FROM a WHERE k % 9 = 6 UNION ALL SELECT k, 'name:' || name FROM names
+  UNION ALL SELECT k, 'number:' || n FROM (SELECT k, allowed, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS n FROM a WHERE k % 9 NOT IN (6, 7)) WHERE NOT list_contains(allowed, n)
+  UNION ALL SELECT k, CASE WHEN text LIKE '%rose%' THEN 'direction:up' ELSE 'direction:down' END FROM a WHERE k % 9 = 4 AND change <> 0
+  UNION ALL SELECT k, 'cause' FROM a WHERE text LIKE '%because%' AND NOT splits UNION ALL SELECT k, 'certainty' FROM a WHERE k % 9 = 0 AND NOT sure
+  UNION ALL SELECT k, 'absent:candles' FROM a WHERE text LIKE 'Candles%' UNION ALL SELECT k, 'advice' FROM a WHERE text LIKE '%you should%')
+SELECT CAST(c.k AS VARCHAR) AS answer_id, count(p) = 0 AS shown, coalesce(string_agg(p, ', ' ORDER BY p), '') AS problems FROM c LEFT JOIN p ON p.k = c.k GROUP BY c.k"""

@@ -17,6 +17,7 @@ from salesprism.plans import answers as A
 from salesprism.plans import detection as DT
 from salesprism.plans import digest as G
 from salesprism.plans import findings as FN
+from salesprism.plans import guards as GD
 from salesprism.plans.engine import analyse_file
 from salesprism.sources import loading as LD
 from salesprism.sources.catalog import Catalog
@@ -149,8 +150,9 @@ def test_robust_scores(spark):
 
 def test_text_guards(spark):
     f = FN.Finding("revenue_decomposition", "DECOMPOSITION", "Revenue fell 12%.", "WATCH", 0.8, {"change_pct": -0.12, "contributions": [{"label": "a", "change": -3.0, "share_of_change": 1.0}]})
-    assert A.problems("Revenue fell 12% because of a.", [f.id], [f]) == [] and A.problems("It rose 12%.", [f.id], [f]) == ["turns the direction round"]
-    assert "number 13 isn't in the facts" in A.problems("It fell 13%.", [f.id], [f]) and A.problems("x", ["y"], [f]) == ["cites no finding"]
+    check = lambda text, cited: GD.check_answer(spark, text, cited, [f])
+    assert check("Revenue fell 12% because of a.", [f.id]) == [] and check("It rose 12%.", [f.id]) == ["direction:up"]
+    assert "number:13" in check("It fell 13%.", [f.id]) and check("x", ["y"]) == ["uncited"]
     assert A.answer("Why did it happen?", [f]) == ("Revenue fell 12%.", f.id) and A.answer("hm", [f])[1] is None
     assert FN.advice_in("You should raise the price") and not FN.advice_in("Revenue rose")
     d = G.digest([f], [])
