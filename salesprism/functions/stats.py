@@ -206,26 +206,38 @@ P_BINS = 32
 def step_up(tests: DataFrame, p: str = "p", family: str | None = None, total: int | None = None) -> DataFrame:
     """benjamini_hochberg() of families of any size: tests with adjusted, null where p is null; total: tests of the one family, if some were left out for a larger p.
 
-    Equal p are counted before they are dealt out. Values go into bins of p, a table of some thousand rows that says
-    how many tests lie below each bin; ranks inside a bin, the least p * n / rank of a bin and of all later bins then
-    give every value its figure, which goes back to the tests by value.
+    Tests go into bins of p. The counts of the bins say how many tests lie below each; ranks inside a bin give the
+    least p * n / rank of the bin, and what is least in all later bins. Counts and least figures come to the driver, a
+    row for each bin and family, P_BINS to a factor of two. What is 1 or 0 stays what it is and isn't ranked.
     """
-    own = [F.coalesce(F.col(family), F.lit("")).alias("_family")] if family else [F.lit("").alias("_family")]
-    values = tests.where(F.col(p).isNotNull()).groupBy(*own, F.col(p).alias("_p")).agg(F.count("*").alias("_times"))
-    values = values.withColumn("_bin", F.when(F.col("_p") > 0, F.floor(F.log2("_p") * P_BINS)).otherwise(-100_000))
-    bins = values.groupBy("_family", "_bin").agg(F.sum("_times").alias("_tests"))
-    order = Window.partitionBy("_family").orderBy("_bin")
-    n = F.lit(total) if total is not None else F.sum("_tests").over(Window.partitionBy("_family"))
-    bins = bins.select("_family", "_bin", n.alias("_n"), (F.sum("_tests").over(order) - F.col("_tests")).alias("_below"))
-    inside = Window.partitionBy("_family", "_bin").orderBy("_p")
-    placed = values.join(bins, ["_family", "_bin"]).withColumn("_rank", F.col("_below") + F.sum("_times").over(inside))
-    placed = placed.withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_rank"))
-    least = placed.groupBy("_family", "_bin").agg(F.min("_raw").alias("_least"))
-    later = least.select("_family", "_bin", F.min("_least").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    placed = placed.withColumn("_own", F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))).join(later, ["_family", "_bin"])
-    figures = placed.select("_family", "_p", F.least(F.lit(1.0), "_own", F.coalesce("_later", F.lit(1.0))).alias("adjusted"))
-    out = tests.withColumn("_own_family", own[0])
-    return out.join(figures, (F.col("_own_family") == F.col("_family")) & (F.col(p) == F.col("_p")), "left").drop("_own_family", "_family", "_p")
+    spark = tests.sparkSession
+    name = F.coalesce(F.col(family), F.lit("")) if family else F.lit("")
+    ranked = (F.col(p) > 0) & (F.col(p) < 1)
+    t = tests.withColumn("_family", name).withColumn("_bin", F.when(ranked, F.floor(F.log2(p) * P_BINS)).when(F.col(p) >= 1, 0).when(F.col(p) <= 0, -100_000))
+    places: dict[str, list[list]] = {}
+    for r in t.where(F.col(p).isNotNull()).groupBy("_family", "_bin").agg(F.count("*").alias("n")).collect():
+        places.setdefault(r["_family"], []).append([r["_bin"], r["n"]])
+    bins = []
+    for own, rows in places.items():
+        below, n = 0, total if total is not None else sum(r[1] for r in rows)
+        for number, size in sorted(rows):
+            bins.append((own, number, n, below))
+            below += size
+    ahead = F.broadcast(spark.createDataFrame(bins, "_family string, _bin long, _n long, _below long"))
+    inside = Window.partitionBy("_family", "_bin").orderBy(p)
+    # equal p share the last of their ranks
+    rank = F.col("_below") + F.count("*").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    raw = t.where(ranked).join(ahead, ["_family", "_bin"]).withColumn("_raw", F.col(p) * F.col("_n") / rank)
+    least = {(r["_family"], r["_bin"]): r["least"] for r in raw.groupBy("_family", "_bin").agg(F.min("_raw").alias("least")).collect()}
+    later, smallest = [], {}
+    for own, number, _, _ in sorted(bins, key=lambda b: -b[1]):
+        later.append((own, number, smallest.get(own, 1.0)))
+        smallest[own] = min(smallest.get(own, 1.0), least.get((own, number), 1.0))
+    after = F.broadcast(spark.createDataFrame(later, "_family string, _bin long, _later double"))
+    own = F.min("_raw").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    done = raw.withColumn("_own", own).join(after, ["_family", "_bin"]).withColumn("adjusted", F.least("_own", "_later"))
+    rest = t.where(~ranked | F.col(p).isNull()).withColumn("adjusted", F.when(F.col(p) >= 1, 1.0).when(F.col(p) <= 0, 0.0))
+    return done.select(*tests.columns, "adjusted").unionByName(rest.select(*tests.columns, "adjusted"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", *order: str, family: str | None = None) -> DataFrame:

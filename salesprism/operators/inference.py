@@ -137,8 +137,8 @@ def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = M
 
 
 def basket_tests(sales: DataFrame, item: str = "product") -> DataFrame:
-    """Fisher's exact test of each supported pair with lift, support and adjusted p."""
+    """Fisher's exact test of each supported pair with lift, support and adjusted p; frequent items and so supported pairs are few."""
     t = supported_pairs(baskets(sales, item))
     t = t.withColumn("lift", F.col("together") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
     t = t.withColumn("p", fisher_p(*[F.col(c).cast("double") for c in ("together", "n_a", "n_b", "n_baskets")]))
-    return step_up(t, "p").withColumn("confirmed", (F.col("adjusted") < 0.05) & (F.col("lift") >= 1.5))
+    return benjamini_hochberg(t, "p", "a", "b").withColumn("confirmed", (F.col("adjusted") < 0.05) & (F.col("lift") >= 1.5))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from salesprism.functions.stats import t_quantile
 from salesprism.operators.periods import MONTH, by_period_and, whole_periods
 
-BLOCK_ITEMS, BASKET_BLOCK = 512, 128
+BLOCK_ITEMS, BASKET_BLOCK = 512, 512
 PAIRS_AT_ONCE = 100_000
 LEAST_PERIODS = 6
 
@@ -97,19 +97,26 @@ def supported_pairs(baskets: DataFrame, floor_share: float = 0.01, floor_least:
     A pair is in no more baskets than either of its items, so items below the floor go first; there are no more
     frequent items than the mean size of a basket over floor_share.
     """
-    many = baskets.join(baskets.groupBy("basket").agg(F.count("*").alias("size")).where("size >= 2").select("basket"), "basket", "left_semi")
-    whole = many.agg(F.countDistinct("basket").alias("n_baskets")).withColumn("floor", F.greatest(F.lit(floor_least), F.floor(floor_share * F.col("n_baskets"))))
-    items = many.groupBy("item").agg(F.count("*").alias("n_item")).crossJoin(F.broadcast(whole)).where("n_item >= floor")
-    held = many.join(items.select("item"), "item", "left_semi")
-    # a large basket comes as pairs of blocks of its items; a small one is one block
-    numbered = held.withColumn("block", F.expr(f"(row_number() OVER (PARTITION BY basket ORDER BY item) - 1) div {BASKET_BLOCK}"))
-    blocks = numbered.groupBy("basket", "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    blocks = blocks.withColumn("blocks", F.count("*").over(Window.partitionBy("basket")))
-    inside = blocks.select("items", F.posexplode("items").alias("at", "a")).select("a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("b"))
-    several = blocks.where("blocks > 1")
-    left = several.select("basket", F.col("items").alias("left_items"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("other"), "block").where("other > block")
-    across = left.join(several.select("basket", F.col("block").alias("other"), F.col("items").alias("right_items")), ["basket", "other"])
-    across = across.repartition(F.xxhash64("basket", "block", "other")).select(F.explode("left_items").alias("a"), "right_items").select("a", F.explode("right_items").alias("b"))
-    counted = inside.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("together"))
-    sizes = lambda side: items.select(F.col("item").alias(side), F.col("n_item").alias(f"n_{side}"))
-    return counted.join(sizes("a"), "a").join(sizes("b"), "b").crossJoin(F.broadcast(whole)).where("together >= floor").select("a", "b", "together", "n_a", "n_b", "n_baskets")
+    many = baskets.withColumn("size", F.count("*").over(Window.partitionBy("basket"))).where("size >= 2")
+    n_baskets = many.agg(F.countDistinct("basket")).first()[0]
+    floor = max(floor_least, int(floor_share * n_baskets))
+    items = many.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    held = many.select("basket", "item").join(items, "item").select("basket", F.struct("item", "n").alias("x"))
+    if items.count() <= BASKET_BLOCK:
+        pairs = _pairs_inside(held.groupBy("basket").agg(F.array_sort(F.collect_list("x")).alias("items")))
+    else:
+        # what is left of a large basket comes as pairs of blocks of its items; a small one is one block
+        numbered = held.withColumn("block", F.expr(f"(row_number() OVER (PARTITION BY basket ORDER BY x) - 1) div {BASKET_BLOCK}"))
+        blocks = numbered.groupBy("basket", "block").agg(F.array_sort(F.collect_list("x")).alias("items"))
+        blocks = blocks.withColumn("blocks", F.count("*").over(Window.partitionBy("basket")))
+        several = blocks.where("blocks > 1")
+        left = several.select("basket", "block", F.col("items").alias("left_items"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("other")).where("other > block")
+        across = left.join(several.select("basket", F.col("block").alias("other"), F.col("items").alias("right_items")), ["basket", "other"])
+        across = across.repartition(F.xxhash64("basket", "block", "other")).select(F.explode("left_items").alias("a"), "right_items").select("a", F.explode("right_items").alias("b"))
+        pairs = _pairs_inside(blocks).unionByName(across)
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= floor)
+    return counted.select("a.item", "b.item", "together", "a.n", "b.n", F.lit(n_baskets).cast("long")).toDF("a", "b", "together", "n_a", "n_b", "n_baskets")
+
+
+def _pairs_inside(blocks: DataFrame) -> DataFrame:
+    return blocks.select("items", F.posexplode("items").alias("at", "a")).select("a", F.explode(F.expr("slice(items, at + 2, size(items))")).alias("b"))

@@ -91,8 +91,9 @@ def test_fisher_of_arrays(spark):
     assert all(math.isclose(x, S.fisher_greater(*r), rel_tol=1e-8, abs_tol=1e-13) for x, r in zip(got, rows, strict=True))
 
 
-def test_supported_pairs_and_a_basket_of_many_items(spark, monkeypatch):
-    monkeypatch.setattr(PR, "BASKET_BLOCK", 4)
+@pytest.mark.parametrize("block", [4, 512])
+def test_supported_pairs_and_a_basket_of_many_items(spark, monkeypatch, block):
+    monkeypatch.setattr(PR, "BASKET_BLOCK", block)
     rng = random.Random(6)
     rows = [(f"o{k}", f"p{int(rng.paretovariate(0.7))}") for k in range(400) for _ in range(rng.randint(1, 12))]
     # one order of every item there is, and of many more that nobody else buys
