@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.operators.descriptive import value_bin
 from salesprism.operators.periods import MONTH, everything, half_means, money, pct_change, period_of, whole_periods
 
 
@@ -25,22 +26,41 @@ def repeat_vs_new(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
     return half_means(both, "side").withColumn("change_pct", pct_change(F.col("after"), F.col("before")))
 
 
-def _quartiles(customers: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
-    """Quartiles of several columns through the table of their distinct values and counts, which is joined back by value.
+def quartile_cuts(values: DataFrame) -> DataFrame:
+    """(c, level, from_value, to_value) for the levels 2 to 4 of values (c, v): the least value in that quartile or a higher one, and the largest where quartiles count downwards.
 
-    Values fall into bins that are counted first; a task numbers one bin and shifts it by what lies below.
+    A value's quartile is that of its mean rank over all rows. Values fall into ranges that are counted first; only
+    ranges in which a quarter ends are looked into.
     """
+    counted = values.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("bin", value_bin(F.col("v")))
+    own = Window.partitionBy("c")
+    bins = counted.groupBy("c", "bin").agg(F.sum("n").alias("s"), F.min("v").alias("least"), F.max("v").alias("most"))
+    bins = bins.withColumn("below", F.sum("s").over(own.orderBy("bin")) - F.col("s")).withColumn("total", F.sum("s").over(own))
+    quarters = F.floor(4 * (F.col("below") + F.col("s")) / F.col("total")) > F.floor(4 * F.col("below") / F.col("total"))
+    inner = counted.join(bins.where(quarters).select("c", "bin", "below", "total"), ["c", "bin"])
+    until = F.col("below") + F.sum("n").over(Window.partitionBy("c", "bin").orderBy("v"))
+    rank = (until - (F.col("n") - 1) / 2) / F.col("total")
+    placed = inner.select("c", rank.alias("low"), rank.alias("high"), F.col("v").alias("least"), F.col("v").alias("most"))
+    # all values of another range are in one quartile
+    whole = bins.where(~quarters).select("c", ((F.col("below") + 1) / F.col("total")).alias("low"), ((F.col("below") + F.col("s")) / F.col("total")).alias("high"), "least", "most")
+    both = placed.unionByName(whole)
+    level = lambda x: F.least(F.greatest(F.ceil(x * 4), F.lit(1)), F.lit(4))
+    levels = both.withColumn("level", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))
+    return levels.groupBy("c", "level").agg(F.min(F.when(level(F.col("low")) >= F.col("level"), F.col("least"))).alias("from_value"), F.max(F.when(level(1 - F.col("high")) >= F.col("level"), F.col("most"))).alias("to_value"))
+
+
+def _quartiles(customers: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
+    """customers with the quartiles of several columns, reversed where the flag says so: steps at three cuts a column, which travel."""
     entries = F.array(*[F.struct(F.lit(name).alias("c"), F.col(column).cast("double").alias("v")) for name, (column, _) in columns.items()])
-    long = customers.select("customer_id", F.explode(entries).alias("x")).select("customer_id", "x.c", "x.v")
-    values = long.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.log1p(F.abs("v")) * 20) * F.signum("v"))
-    bins = values.groupBy("c", "bin").agg(F.sum("n").alias("s"))
-    bins = bins.withColumn("below", F.sum("s").over(Window.partitionBy("c").orderBy("bin")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy("c")))
-    until = F.sum("n").over(Window.partitionBy("c", "bin").orderBy("v")) + F.col("below")
-    values = values.join(bins, ["c", "bin"]).withColumn("pct", (until - (F.col("n") - 1) / 2) / F.col("total"))
-    pct = F.when(F.col("c").isin(*[k for k, (_, reverse) in columns.items() if reverse]), 1 - F.col("pct")).otherwise(F.col("pct"))
-    values = values.select("c", "v", F.least(F.greatest(F.ceil(pct * 4), F.lit(1)), F.lit(4)).cast("int").alias("q"))
-    wide = long.join(values, ["c", "v"]).groupBy("customer_id").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(k) for k in columns])
-    return customers.join(wide, "customer_id")
+    cuts = quartile_cuts(customers.select(F.explode(entries).alias("x")).select("x.c", "x.v"))
+    of = lambda name, level, side: F.max(F.when((F.col("c") == name) & (F.col("level") == level), F.col(side)))
+    wide = cuts.agg(*[of(name, level, "to_value" if reverse else "from_value").alias(f"_{name}{level}") for name, (_, reverse) in columns.items() for level in (2, 3, 4)])
+    out = customers.crossJoin(F.broadcast(wide))
+    for name, (column, reverse) in columns.items():
+        v = F.col(column).cast("double")
+        steps = [F.coalesce(v <= F.col(f"_{name}{level}") if reverse else v >= F.col(f"_{name}{level}"), F.lit(False)).cast("int") for level in (2, 3, 4)]
+        out = out.withColumn(name, 1 + steps[0] + steps[1] + steps[2])
+    return out.drop(*[f"_{name}{level}" for name in columns for level in (2, 3, 4)])
 
 
 def rfm(sales: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.operators.periods import MONTH, everything, by_period, by_period_and, half_means, money, open_period, pct_change, period_of, whole_periods, with_half
@@ -111,20 +111,46 @@ def order_values(sales: DataFrame, order: str = "order_id") -> DataFrame:
     return sales.groupBy(order).agg(money("revenue").alias("value")).where("value > 0")
 
 
+#: Ranges of values to a factor of two, by which quantiles are found.
+VALUE_BINS = 64
+
+
+def value_bin(v: Column) -> Column:
+    """The number of a value's range: one for 0, others of about one per cent of the value, in the order of values."""
+    size = F.floor(F.log2(F.abs(v)) * VALUE_BINS) + 1100 * VALUE_BINS
+    return F.when(v > 0, size).when(v < 0, -size - 1).otherwise(0).cast("long")
+
+
+def group_quantiles(values: DataFrame, by: list[str], column: str = "value", weight: str | None = None, **wanted: float) -> DataFrame:
+    """(*by, each wanted): exact quantiles of each group, between neighbours by share; weight: a column with the times that a value counts.
+
+    Values are counted by group and range first. Only ranges that hold a wanted rank are looked into, where equal
+    values are counted before they are put in order; so no task holds a group's values, or those of one value.
+    """
+    v, times = F.col(column), F.col(weight) if weight else F.lit(1)
+    binned = values.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*by, v.cast("double").alias("_v"), times.cast("long").alias("_k")).withColumn("_bin", value_bin(F.col("_v")))
+    own = Window.partitionBy(*by)
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("_k").alias("_n"))
+    bins = bins.withColumn("_until", F.sum("_n").over(own.orderBy("_bin"))).withColumn("_total", F.sum("_n").over(own))
+    at = lambda q: F.lit(q) * (F.col("_total") - 1)
+    share = lambda q: at(q) - F.floor(at(q))
+    ranks = [F.struct(F.lit(k).alias("_name"), (F.floor(at(q)) + step).cast("long").alias("_rank"), w.alias("_weight")) for k, q in wanted.items() for step, w in ((0, 1 - share(q)), (1, share(q)))]
+    need = bins.withColumn("_x", F.explode(F.array(*ranks))).select(*by, "_bin", (F.col("_until") - F.col("_n")).alias("_before"), "_until", "_x.*")
+    need = need.where("_weight > 0 and _rank >= _before and _rank < _until")
+    asked = need.groupBy(*by, "_bin").agg(F.max("_before").alias("_before"), F.collect_list(F.struct("_name", "_rank", "_weight")).alias("_asked"))
+    asked = asked.withColumnsRenamed({c: f"_of_{c}" for c in by} | {"_bin": "_at"})
+    meets = F.col("_bin") == F.col("_at")
+    for c in by:
+        meets &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    held = binned.join(asked, meets).groupBy(*by, "_bin", "_v", "_before").agg(F.sum("_k").alias("_k"), F.first("_asked").alias("_asked"))
+    until = F.col("_before") + F.sum("_k").over(Window.partitionBy(*by, "_bin").orderBy("_v"))
+    hits = held.withColumn("_to", until).select(*by, "_v", "_k", "_to", F.explode("_asked").alias("_x")).where("_x._rank < _to and _x._rank >= _to - _k")
+    return hits.groupBy(*by).agg(*[F.sum(F.when(F.col("_x._name") == k, F.col("_v") * F.col("_x._weight"))).alias(k) for k in wanted])
+
+
 def quantiles(values: DataFrame, column: str = "value", **wanted: float) -> DataFrame:
-    """One row of exact quantiles, between neighbours by share. Values fall into bins that are counted first; only bins that hold a wanted rank are sorted."""
-    v = F.col(column)
-    binned = values.where(v.isNotNull()).select(v.alias("v"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * 50).alias("bin"))
-    up = Window.orderBy("bin")
-    # a bin is a range of 2 % of the value, so there are some thousand of them at most
-    bins = binned.groupBy("bin").agg(F.count("*").alias("n")).withColumn("until", F.sum("n").over(up)).withColumn("total", F.sum("n").over(everything()))
-    at = lambda q: F.lit(q) * (F.col("total") - 1)
-    ranks = [F.struct(F.lit(k).alias("name"), f(at(q)).cast("long").alias("rank"), w.alias("weight")) for k, q in wanted.items() for f, w in ((F.floor, 1 - (at(q) - F.floor(at(q)))), (lambda x: F.floor(x) + 1, at(q) - F.floor(at(q))))]
-    need = bins.withColumn("x", F.explode(F.array(*ranks))).select("bin", (F.col("until") - F.col("n")).alias("before"), "until", "x.*")
-    need = need.where("weight > 0 and rank >= before and rank < until")
-    held = binned.join(F.broadcast(need.select("bin", "before").distinct()), "bin").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("v")) - 1)
-    found = held.join(F.broadcast(need.select("bin", "rank", "name", "weight")), ["bin", "rank"])
-    return found.agg(*[F.sum(F.when(F.col("name") == k, F.col("v") * F.col("weight"))).alias(k) for k in wanted])
+    """One row of exact quantiles of all values, null without values."""
+    return group_quantiles(values.withColumn("_all", F.lit(0)), ["_all"], column, **wanted).agg(*[F.max(k).alias(k) for k in wanted])
 
 
 def order_spread(orders: DataFrame) -> DataFrame:

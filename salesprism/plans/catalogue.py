@@ -378,10 +378,25 @@ def cost_basis_cv(s):
     return s.agg((F.stddev_samp(whole) / F.avg(whole)).alias("per_unit_cv"), (F.stddev_samp(per) / F.avg(per)).alias("line_cv"))
 
 
+def _texts(s: DataFrame, **digits: int) -> DataFrame:
+    """Columns as a file would hold them."""
+    return s.select(*[F.col(c).cast(f"decimal(24,{d})").cast("string").alias(c) for c, d in digits.items()])
+
+
 @_query("revenue", "quantity", "unit_price")
 def revenue_corroboration(s):
-    r = F.try_divide(F.col("revenue"), F.col("quantity") * F.col("unit_price"))
-    return s.agg(F.percentile(r, F.lit(0.5)).alias("ratio")).withColumn("matches", F.col("ratio").between(0.8, 1.25))
+    from salesprism.plans.detection import corroboration
+
+    return corroboration(_texts(s, revenue=2, quantity=2, unit_price=8), "revenue", "quantity", "unit_price")
+
+
+@_query("cost", "quantity", "revenue")
+def cost_basis(s):
+    """The engine's choice for a column of costs a unit, and for one of costs a line."""
+    from salesprism.plans.detection import cost_spread
+
+    t = s.withColumn("unit", F.try_divide("cost", "quantity"))
+    return cost_spread(_texts(t, unit=4, quantity=2, revenue=2), "unit", "quantity", "revenue").withColumn("given", F.lit("unit")).unionByName(cost_spread(_texts(t, cost=2, quantity=2, revenue=2), "cost", "quantity", "revenue").withColumn("given", F.lit("line")))
 
 
 @_table_query("customer")

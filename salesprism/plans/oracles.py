@@ -329,3 +329,12 @@ p AS (SELECT k, 'empty' AS p FROM a WHERE trim(text) = '' UNION ALL SELECT k, 'u
   UNION ALL SELECT k, 'cause' FROM a WHERE text LIKE '%because%' AND NOT splits UNION ALL SELECT k, 'certainty' FROM a WHERE k % 9 = 0 AND NOT sure
   UNION ALL SELECT k, 'absent:candles' FROM a WHERE text LIKE 'Candles%' UNION ALL SELECT k, 'advice' FROM a WHERE text LIKE '%you should%')
 SELECT CAST(c.k AS VARCHAR) AS answer_id, count(p) = 0 AS shown, coalesce(string_agg(p, ', ' ORDER BY p), '') AS problems FROM c LEFT JOIN p ON p.k = c.k GROUP BY c.k"""
+
+
+def _spread(x: str) -> str:
+    return f"CASE WHEN avg({x}) > 0 AND avg({x}) <= 1.5 THEN stddev_samp({x}) / avg({x}) END"
+
+
+SQL["cost_basis"] = f"""WITH {SALES}, g AS (SELECT 'unit' AS given, cost / quantity AS c, quantity, revenue FROM sales UNION ALL SELECT 'line', cost, quantity, revenue FROM sales),
+v AS (SELECT given, {_spread('c * quantity / revenue')} AS u, {_spread('c / revenue')} AS l FROM g GROUP BY given)
+SELECT given, {_r('u')} AS cv_unit, {_r('l')} AS cv_line, CASE WHEN coalesce(l, 'inf'::DOUBLE) < coalesce(u, 'inf'::DOUBLE) THEN 'line' ELSE 'per_unit' END AS basis FROM v"""
