@@ -41,9 +41,11 @@ class Catalog:
         rows.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in TABLES[table][1].split(", ")]).withColumn("version", F.lit(time.time_ns())).withColumn("deleted", F.lit(deleted)).write.mode("append").parquet(f"{self.root}/{table}")
 
     def put_new(self, table: str, rows: DataFrame) -> None:
-        """Only rows whose key isn't there yet."""
+        """Only rows whose key isn't there yet, each key once. Of writers at the same time all may write a key; they are versions of one row."""
         key = TABLES[table][0]
-        self.put(table, rows.join(self.read(table).select(key), key, "left_anti"))
+        new = rows.dropDuplicates([key]).join(self.read(table).select(key), key, "left_anti")
+        if not new.isEmpty():
+            self.put(table, new)
 
     def delete(self, table: str, key: str) -> None:
         self.put(table, self.read(table).where(F.col(TABLES[table][0]) == key), deleted=True)
