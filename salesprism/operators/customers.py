@@ -78,8 +78,8 @@ def rfm(sales: DataFrame) -> DataFrame:
 
 
 def chart_sample(sales: DataFrame, limit: int = 400) -> DataFrame:
-    """At most `limit` customers for a chart, the same ones each time: those whose ids have the smallest hashes."""
-    return rfm(sales).orderBy(F.xxhash64("customer_id"), "customer_id").limit(limit).select("customer_id", "recency", F.col("lines").alias("frequency"), F.col("spend").alias("monetary"), "segment")
+    """At most `limit` customers for a chart, the same ones each time: those whose ids have the smallest digests."""
+    return rfm(sales).orderBy(F.sha2("customer_id", 256), "customer_id").limit(limit).select("customer_id", "recency", F.col("lines").alias("frequency"), F.col("spend").alias("monetary"), "segment")
 
 
 def rfm_segments(sales: DataFrame) -> DataFrame:

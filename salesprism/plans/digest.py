@@ -10,9 +10,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from salesprism.operators import monitoring as M
-from salesprism.plans.findings import Finding
+from salesprism.plans.findings import Finding, compact
 
-MOST_LINES, MOST_ALERTS, MOST_BARS = 3, 4, 7
+MOST_LINES, MOST_ALERTS, MOST_BARS, MOST_SLICES, MOST_FIGURES, LONGEST_TEXT = 3, 4, 7, 8, 6, 60
 
 
 def finding_alerts(found: list[Finding], period: str) -> list[dict]:
@@ -61,19 +61,46 @@ def as_html(d: dict) -> str:
     return f"<ul>{''.join(rows) or item('line', 'Nothing stands out.')}</ul>"
 
 
+def with_rest(labels: list[str], values: list[float], most: int) -> tuple[list[str], list[float]]:
+    """The largest slices in order, and one for all others, so that a pie stays whole; what is 0 or below has no slice."""
+    order = sorted(((v, k) for k, v in zip(labels, values, strict=True) if v and v > 0), key=lambda x: (-x[0], x[1]))
+    if len(order) <= most:
+        return [k for _, k in order], [v for v, _ in order]
+    kept, others = order[: most - 1], order[most - 1 :]
+    return [*(k for _, k in kept), f"{len(others)} others"], [*(v for v, _ in kept), sum(v for v, _ in others)]
+
+
+def figure_text(name: str, value) -> str:
+    """A fact as a reader wants it: shares and changes as per cent, amounts in short, days and names as they are."""
+    if isinstance(value, bool):
+        return "yes" if value else "no"
+    if isinstance(value, float) and any(part in ("pct", "share", "rate", "retention") for part in name.split("_")):
+        return f"{value:.0%}"
+    return compact(value) if isinstance(value, float) else f"{value:,}" if isinstance(value, int) else str(value)[:LONGEST_TEXT]
+
+
+def key_figures(f: Finding) -> list[tuple[str, str]]:
+    """The first figures of a finding with their names; what is a list or unknown is no figure."""
+    single = [(k, v) for k, v in f.facts.items() if v is not None and not isinstance(v, (list, tuple, dict))]
+    return [(k.replace("_", " ").capitalize(), figure_text(k, v)) for k, v in single[:MOST_FIGURES]]
+
+
 def chart_series(f: Finding) -> dict:
-    """Labels and values of a finding's chart: contributions by size, rankings, classes, curves; else its numbers."""
+    """Labels and values of a finding's chart: contributions by size, rankings, classes, curves; else its key figures as text."""
     if "contributions" in f.facts:
-        rows = sorted((c for c in f.facts["contributions"] if c["change"]), key=lambda c: -abs(c["change"]))[:MOST_BARS]
+        rows = sorted((c for c in f.facts["contributions"] if c["change"]), key=lambda c: -abs(c["change"]))[: MOST_BARS + 1]
         return {"kind": "bar", "labels": [c["label"] for c in rows], "values": [c["change"] for c in rows]}
     for key, kind in (("ranking", "bar"), ("curve", "line"), ("pairs", "bar"), ("stopped", "bar"), ("arrived", "bar")):
         if key in f.facts:
-            return {"kind": kind, "labels": [str(r[0]) for r in f.facts[key]], "values": [next((x for x in r[1:] if isinstance(x, (int, float))), None) for r in f.facts[key]]}
-    for key in ("segments", "monthly_index"):
-        if key in f.facts:
-            return {"kind": "pie" if key == "segments" else "line", "labels": [str(k) for k in f.facts[key]], "values": list(f.facts[key].values())}
-    rows = [(k, v) for k, v in f.facts.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]
-    return {"kind": "table", "labels": [k for k, _ in rows], "values": [v for _, v in rows]}
+            rows = f.facts[key] if kind == "line" else f.facts[key][: MOST_BARS + 1]
+            return {"kind": kind, "labels": [str(r[0]) for r in rows], "values": [next((x for x in r[1:] if isinstance(x, (int, float))), None) for r in rows]}
+    if "segments" in f.facts:
+        labels, values = with_rest([str(k) for k in f.facts["segments"]], list(f.facts["segments"].values()), MOST_SLICES)
+        return {"kind": "pie", "labels": labels, "values": values}
+    if "monthly_index" in f.facts:
+        return {"kind": "line", "labels": [str(k) for k in f.facts["monthly_index"]], "values": list(f.facts["monthly_index"].values())}
+    figures = key_figures(f)
+    return {"kind": "table", "labels": [k for k, _ in figures], "values": [v for _, v in figures]}
 
 
 def export_json(found: list[Finding]) -> str:

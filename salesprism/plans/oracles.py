@@ -147,6 +147,7 @@ q AS (SELECT *, {_Q.format(p='(1 - ' + _RANK.format(v='recency') + ')')} AS r, {
 rfm AS (SELECT * EXCLUDE (young), CASE WHEN r >= 3 AND f >= 3 THEN 'champions' WHEN r >= 3 AND age <= young AND f <= 2 THEN 'new' WHEN r >= 3 THEN 'loyal' WHEN r <= 2 AND f >= 3 THEN 'at_risk' WHEN r = 1 THEN 'lost' ELSE 'occasional' END AS segment FROM q)"""
 SQL["rfm_scores"] = f"WITH {SALES}, {_RFM} SELECT customer_id, recency, age, lines, {_r('spend')} AS spend, r, f, m, segment FROM rfm"
 SQL["rfm_segments"] = f"""WITH {SALES}, {_RFM} SELECT segment, count(*) AS customers, {_r(_sum('spend'))} AS spend, {_r('avg(recency)')} AS avg_recency, {_r('avg(lines)')} AS avg_lines, {_r('count(*) / sum(count(*)) OVER ()')} AS share FROM rfm GROUP BY segment"""
+SQL["customer_sample"] = f"WITH {SALES}, {_RFM} SELECT customer_id, recency, lines AS frequency, {_r('spend')} AS monetary, segment FROM rfm ORDER BY sha256(customer_id), customer_id LIMIT 400"
 _COHORT = """f AS (SELECT customer_id, min(date) AS first FROM sales GROUP BY ALL),
 cc AS (SELECT CAST(date_trunc('month', first) AS DATE) AS cohort, date_diff('month', date_trunc('month', first), date_trunc('month', date)) AS age, count(DISTINCT customer_id) AS customers FROM sales JOIN f USING (customer_id) GROUP BY ALL)"""
 _RETAIN = """sz AS (SELECT cohort, customers AS size FROM cc WHERE age = 0 AND customers >= 8),

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import csv
 import io
+import operator
 import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,14 +80,21 @@ def unique_names(names: list[str | None]) -> list[str]:
     return out
 
 
-def is_total(cell: Column) -> Column:
-    """A marker, alone or followed by nothing but marks, digits or words of time."""
+def is_total(cell: Column, longer: int | None = None) -> Column:
+    """A marker, alone or followed by nothing but marks, digits or words of time; with `longer`, or what begins with a total word and is at most so many characters longer."""
     low = F.lower(F.trim(cell))
+    if longer is not None:
+        bare = F.rtrim(low, F.lit(":"))
+        begins = [F.startswith(bare, F.lit(w)) & (F.char_length(bare) <= len(w) + longer) for w in ("total", "subtotal", "sub total", "sub-total", "grand total")]
+        return F.coalesce(reduce(operator.or_, [bare.isin(*TOTALS), *begins]), F.lit(False))
     return F.coalesce(low.rlike(rf"^({'|'.join(sorted(map(re.escape, TOTALS), key=len, reverse=True))})[\s:.\-\d]*((for|of)?\s*(the\s+)?(day|week|month|quarter|year|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s\d:.\-]*)?$"), F.lit(False))
 
 
-def tidy(grid: DataFrame, report: LoadReport | None = None) -> tuple[DataFrame, LoadReport]:
-    """A grid (row_id, cells array<string>) as a table of texts with names."""
+def tidy(grid: DataFrame, report: LoadReport | None = None, longer_totals: int | None = None) -> tuple[DataFrame, LoadReport]:
+    """A grid (row_id, cells array<string>) as a table of texts with names; rows with a total or with 999 of 1,000 cells blank are left out.
+
+    longer_totals: see is_total(); 12 takes "Total Care Soap" for a total.
+    """
     report = report or LoadReport()
     filled = grid.where(F.exists("cells", lambda c: ~is_blank(c)))
     width = filled.agg(F.max(F.size("cells"))).first()[0] or 0
@@ -99,7 +108,8 @@ def tidy(grid: DataFrame, report: LoadReport | None = None) -> tuple[DataFrame,
     names = unique_names(names)
     body = filled.where(F.col("row_id") > last).select("row_id", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(width)])
     cells = F.array(*[f"c{i}" for i in range(width)])
-    kept = body.where(~F.exists(cells, is_total))
+    filled_cells = F.size(F.filter(cells, lambda c: ~is_blank(c)))
+    kept = body.where(~F.exists(cells, lambda c: is_total(c, longer_totals)) & (filled_cells > 0.001 * width))
     counts = kept.agg(F.count("*").alias("n"), *[F.count_if(~is_blank(F.col(f"c{i}"))).alias(f"n{i}") for i in range(width)]).first()
     used = [i for i in range(width) if counts[f"n{i}"]]
     report.rows_in, report.rows_out, report.header_row = body.count(), counts["n"], at
