@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from salesprism.functions.cleaning import NULL_TOKENS, is_blank
+from salesprism.sources import xls
 from salesprism.sources.delimited import read_lines, records, survey
 
 # Words that mark a summary row, how far down the header is searched.
@@ -150,7 +151,17 @@ def sheet_files(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), "xl/" + targets[s.get(RID)].lstrip("/").removeprefix("xl/")) for s in sheets]
 
 
+def sheet_names(data: bytes) -> list[str]:
+    if xls.is_xls(data):
+        return [n for n, _ in xls.sheets(data)]
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        return [n for n, _ in sheet_files(book)]
+
+
 def sheet_rows(data: bytes, name: str) -> Iterator[tuple[int, list[str | None]]]:
+    if xls.is_xls(data):
+        yield from xls.sheet_rows(data, name)
+        return
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         shared = ["".join(t.text or "" for t in x.iterfind(".//m:t", NS)) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
         for number, row in enumerate(ElementTree.fromstring(book.read(dict(sheet_files(book))[name])).iterfind("m:sheetData/m:row", NS)):
@@ -179,8 +190,7 @@ class WorkbookReader(DataSourceReader):
         self.data = data
 
     def partitions(self):
-        with zipfile.ZipFile(io.BytesIO(self.data)) as book:
-            return [_Sheet(self.data, n) for n, _ in sheet_files(book)]
+        return [_Sheet(self.data, n) for n in sheet_names(self.data)]
 
     def read(self, partition):
         for number, cells in sheet_rows(partition.data, partition.name):
@@ -208,8 +218,7 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> t
         raise ValueError(f"no workbook of at most {MOST_BYTES} bytes at {path}")
     spark.dataSource.register(Workbook)
     grid = spark.read.format("workbook").option("data", bytes(blob[0]).hex()).load()
-    with zipfile.ZipFile(io.BytesIO(bytes(blob[0]))) as book:
-        names = [n for n, _ in sheet_files(book) if sheet in (None, n)]
+    names = [n for n in sheet_names(bytes(blob[0])) if sheet in (None, n)]
     tables = [(n, *tidy(grid.where(F.col("sheet") == n).select("row_id", "cells"))) for n in names]
     groups: dict[tuple, list] = {}
     for n, df, rep in tables:
@@ -229,7 +238,7 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> t
 
 def load(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, LoadReport]:
     suffix = path.lower().rsplit(".", 1)[-1]
-    if suffix in ("xlsx", "xlsm"):
+    if suffix in ("xlsx", "xlsm", "xls"):
         return read_workbook(spark, path, sheet)
     if suffix in ("csv", "tsv", "txt"):
         return tidy(read_delimited(spark, path))
