@@ -12,8 +12,8 @@ A block keeps its nodes by level, which links every parent with its children in
 from the root: a block gets the path above its top, and a node's path is its siblings in the block, level by level,
 and then that of the top. A row's proof is folded with its leaf, or with a forged leaf, to see which root it gives.
 
-Bounds: a block has 2**HEIGHT first nodes at most, whatever the sizes of trees; a tree of n rows takes
-log(n) / HEIGHT rounds. Nothing but one number, the size of the largest tree, comes to the driver.
+Bounds: a block has arity**HEIGHT first nodes at most, whatever the sizes of trees; a tree of n rows takes
+log(n) / HEIGHT rounds, to the base of the arity. Nothing but one number, the size of the largest tree, comes to the driver.
 
 Defined results: rows with a null partition value form a tree of their own, before all others; null ids come first in
 their tree; rows with equal ids are ordered by their hash, equal rows are leaves of their own; null columns are hashed
