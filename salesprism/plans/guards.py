@@ -170,8 +170,8 @@ def findings_table(spark: SparkSession, found: list[Finding]) -> DataFrame:
     return spark.createDataFrame([(f.id, f.type, f.summary, json.dumps(f.facts, default=str), f.strength) for f in found], FINDINGS)
 
 
-def check_answer(spark: SparkSession, text: str, cited: list[str], found: list[Finding], absent: list[str] | None = None) -> list[str]:
-    """The problems of one answer."""
-    answer = spark.createDataFrame([("", text, cited, absent or [])], ANSWERS)
-    r = verdicts(answer, findings_table(spark, found)).first()
-    return r["problems"].split(", ") if r["problems"] else []
+def check_answers(spark: SparkSession, answers: list[tuple[str, list[str], list[str]]], found: list[Finding]) -> list[list[str]]:
+    """The problems of each of some answers (text, cited, absent)."""
+    table = spark.createDataFrame([(f"{k:09d}", *a) for k, a in enumerate(answers)], ANSWERS)
+    got = {r["answer_id"]: r["problems"] for r in verdicts(table, findings_table(spark, found)).collect()}
+    return [x.split(", ") if x else [] for _, x in sorted(got.items())]

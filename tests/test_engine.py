@@ -150,9 +150,8 @@ def test_robust_scores(spark):
 
 def test_text_guards(spark):
     f = FN.Finding("revenue_decomposition", "DECOMPOSITION", "Revenue fell 12%.", "WATCH", 0.8, {"change_pct": -0.12, "contributions": [{"label": "a", "change": -3.0, "share_of_change": 1.0}]})
-    check = lambda text, cited: GD.check_answer(spark, text, cited, [f])
-    assert check("Revenue fell 12% because of a.", [f.id]) == [] and check("It rose 12%.", [f.id]) == ["direction:up"]
-    assert "number:13" in check("It fell 13%.", [f.id]) and check("x", ["y"]) == ["uncited"]
+    said = GD.check_answers(spark, [("Revenue fell 12% because of a.", [f.id], []), ("It rose 12%.", [f.id], []), ("It fell 13%.", [f.id], []), ("x", ["y"], [])], [f])
+    assert said == [[], ["direction:up"], ["number:13"], ["uncited"]]
     assert A.answer("Why did it happen?", [f]) == ("Revenue fell 12%.", f.id) and A.answer("hm", [f])[1] is None
     assert FN.advice_in("You should raise the price") and not FN.advice_in("Revenue rose")
     d = G.digest([f], [])
