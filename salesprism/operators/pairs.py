@@ -42,17 +42,24 @@ def least_correlation(periods: int, bound: float | None) -> float:
     return t / (periods - 2 + t * t) ** 0.5
 
 
-def correlated_pairs(vectors: DataFrame, bound: float | None = None) -> DataFrame:
-    """(a, b, n, r) of pairs of items with a < b: all, r null where a series is flat, or those whose p is at most bound."""
-    n_blocks = max(1, -(-vectors.count() // BLOCK_ITEMS))
+def correlated_pairs(vectors: DataFrame, items: int, bound: float | None = None) -> DataFrame:
+    """(a, b, n, r) of pairs of items with a < b: all, r null where a series is flat, or those whose p is at most bound; items: how many there are at most."""
+    n_blocks = max(1, -(-items // BLOCK_ITEMS))
     rows = vectors.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
     blocks = rows.groupBy("block").agg(F.collect_list(F.struct("item", "flat", "z")).alias("rows"))
+    if n_blocks == 1:
+        return _multiplied(blocks.select(F.lit(0).alias("k"), F.col("rows").alias("left_rows"), F.col("rows").alias("right_rows")), bound)
     # block i meets the half of the blocks that follow it on a circle, so every two meet once
     ahead = F.col("i") + F.col("k")
     left = blocks.select(F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks // 2))).alias("k"))
     if n_blocks % 2 == 0:
         left = left.where(f"k < {n_blocks // 2} or i < {n_blocks // 2}")
     pairs = left.withColumn("j", ahead % n_blocks).join(blocks.select(F.col("block").alias("j"), F.col("rows").alias("right_rows")), "j").select("k", "left_rows", "right_rows")
+    return _multiplied(pairs, bound)
+
+
+def _multiplied(pairs: DataFrame, bound: float | None) -> DataFrame:
+    """The correlations of the items of each pair of blocks (k, left_rows, right_rows); k is 0 where both are one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "n", "r"]
