@@ -6,8 +6,9 @@ bit of (word, step), and so turns edit distance into Hamming distance: a window
 most steps. Each repetition compares SAMPLES random steps; the number of repetitions comes from a simulation of pairs
 that are k edits apart, for every k of a class of lengths, so that RECALL of them meet at least once. What meets is verified
 by exact approximate matching (Myers' bit vectors) around the window, which also gives the distance and the place.
-Where MOST_REPETITIONS wouldn't do, for items of some thousand words, windows are found without loss instead: of k + 1
-pieces of an item one stays whole under k edits, so every place where a piece stands is verified.
+The simulations of a block run as tasks, one for each number of edits. Where MOST_REPETITIONS wouldn't do, or an item has
+more than LONGEST_WALK words, windows are found without loss instead: of k + 1 pieces of an item one stays whole under k
+edits, so every place where a piece stands is verified.
 
 Windows start at every word. Only starts from which m + k words hold enough of the block's words and word pairs are
 embedded: k edits leave m - k words and m - 1 - 2k pairs in place, so nothing within reach is lost. The first word must
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesprism.llm.common import SLICE_ROWS, map_slices, text_or_empty
@@ -36,6 +37,8 @@ EDITS, SAMPLES, RECALL, MOST_REPETITIONS = 0.2, 2, 0.98, 96
 BLOCK_CHARACTERS = 8_000_000
 #: Lengths in a class differ by this factor at most; windows embedded at once.
 CLASS_FACTOR, WINDOWS = 1.15, 4096
+#: Words above which an item is found by pieces without a simulation; it is near the length where MOST_REPETITIONS end.
+LONGEST_WALK = 600
 PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,13 +110,40 @@ def length_classes(lengths: set[int]) -> list[list[int]]:
     return out
 
 
-def class_repetitions(own: list[int], edits: float = EDITS, recall: float = RECALL) -> int | None:
-    """The most that any number of edits in the class takes, None if too many; of lengths with the same number the shortest is the hardest."""
+def class_cases(own: list[int], edits: float = EDITS) -> list[tuple[int, int]]:
+    """(length, edits) of the simulations of a class, longest first: of lengths with the same number of edits the shortest is the hardest."""
     hardest: dict[int, int] = {}
     for m in own:
         hardest.setdefault(edits_allowed(m, edits), m)
-    times = [repetitions_for(m, k, recall, shortest=own[0]) for k, m in hardest.items()]
-    return None if None in times else max(times)
+    return [(m, k) for k, m in sorted(hardest.items(), reverse=True)]
+
+
+def class_repetitions(own: list[int], edits: float = EDITS, recall: float = RECALL) -> int | None:
+    """The most that any number of edits in the class takes; None, for pieces, if one takes too many or the class is too long."""
+    most = 1
+    for m, k in class_cases(own, edits) if own[-1] <= LONGEST_WALK else [(own[-1], None)]:
+        times = None if k is None else repetitions_for(m, k, recall, shortest=own[0])
+        if times is None:
+            return None
+        most = max(most, times)
+    return most
+
+
+def simulated_repetitions(spark: SparkSession, classes: list[list[int]]) -> list[int | None]:
+    """class_repetitions of all classes, each number of edits in a task of its own: LONGEST_WALK bounds them by some two hundred."""
+    cases = [(c, own[0], m, k) for c, own in enumerate(classes) if own[-1] <= LONGEST_WALK for m, k in class_cases(own)]
+    if not cases:
+        return [None] * len(classes)
+
+    def simulate(rows):
+        times = [repetitions_for(m, k, shortest=least) for least, m, k in zip(rows["shortest"], rows["words"], rows["edits"], strict=True)]
+        return {"class": rows["class"], "times": times}
+
+    asked = spark.createDataFrame(cases, "class int, shortest int, words int, edits int").repartition(len(cases))
+    times: dict[int, list[int | None]] = {}
+    for r in map_slices(asked, simulate, "class int, times int").collect():
+        times.setdefault(r["class"], []).append(r["times"])
+    return [max(times[c]) if c in times and None not in times[c] else None for c in range(len(classes))]
 
 
 def best_match(pattern: list[str], text: list[str]) -> tuple[int, int]:
@@ -305,9 +335,9 @@ def item_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: s
 
 
 def _sent(docs: DataFrame, block: list[tuple]):
-    """The block and the repetitions of its classes, simulated once for all tasks."""
+    """The block and the repetitions of its classes."""
     classes = length_classes({len(w) for _, t, _ in block if (w := words_of(t))})
-    return docs.sparkSession.sparkContext.broadcast((block, [class_repetitions(own) for own in classes]))
+    return docs.sparkSession.sparkContext.broadcast((block, simulated_repetitions(docs.sparkSession, classes)))
 
 
 def _matcher(sent, cache: dict) -> Matcher:

@@ -76,3 +76,18 @@ def test_very_long_items_lose_nothing(spark, monkeypatch):
     found = D.Matcher([(i, " ".join(w)) for i, w in short]).search([" ".join(d) for d in docs])
     expected = [{(i, k) for i, w in short if (k := least_edits(w, d)) <= D.edits_allowed(len(w))} for d in docs]
     assert [{(x[0], x[1]) for x in own} for own in found] == expected
+
+
+def test_simulations_run_as_tasks_and_long_items_need_none(spark, monkeypatch):
+    classes = D.length_classes({1, 3, 5, 9, 10, 24, 25, 60, 64, 1000, 1100, 10_000})
+    expected = [D.class_repetitions(own) for own in classes]
+    assert D.simulated_repetitions(spark, classes) == expected
+    assert [t is None for t in expected] == [own[-1] > D.LONGEST_WALK for own in classes]
+    assert D.simulated_repetitions(spark, []) == []
+    # beyond the bound nothing is simulated, on the driver or elsewhere
+    monkeypatch.setattr(D, "repetitions_for", lambda *a, **b: 1 / 0)
+    assert D.class_repetitions([10_000]) is None and D.simulated_repetitions(spark, [[1000, 1100], [10_000]]) == [None, None]
+    # one number of edits that takes too many settles the class
+    asked = []
+    monkeypatch.setattr(D, "repetitions_for", lambda m, k, *a, **b: asked.append(k))
+    assert D.class_repetitions(list(range(100, 115))) is None and asked == [22]
