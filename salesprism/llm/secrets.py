@@ -5,6 +5,12 @@ candidates are decoded and only reported when their bytes parse as a key (DER wi
 OpenSSH's length-prefixed strings, a PEM block around one of these, encrypted by its headers or not) or, for signed
 tokens, when the header is JSON with an algorithm.
 
+Candidates are streams: lines of base64 or hex with nothing but space, quotes or line ends, plain or written out as
+\\n, between them, or bytes in hex with colons. A stream is decoded once at each of its alignments (four, or two for
+hex); a key may begin at any character that the head of one can stand at, and its own lengths say where it ends. What
+decodes to text is searched in turn, DEPTH levels deep, so a key encoded twice or a PEM block in base64 is found. The
+work grows with the length of a text, whatever is in it. A key inside a PEM block is reported as that block.
+
 Defined results: a null text is empty; empty texts have no spans; rows are independent, so repeated rows give
 repeated results; other columns of the input are ignored.
 """
@@ -16,6 +22,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +42,25 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{32,}")
 #: No assignment without one of these, in lower case.
 NAMES = ("passw", "secret", "token", "api")
-STANDARD64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-URL64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
-ANYHEX = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64,}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?")
+#: Streams: a line, what follows the last whole line, and the characters that one line may be apart from the next.
+STANDARD64 = (re.compile(r"[A-Za-z0-9+/]{32,}"), re.compile(r"[\s\"',\\]{1,64}([A-Za-z0-9+/]{1,31})(?![A-Za-z0-9+/])"))
+URL64 = (re.compile(r"[A-Za-z0-9_-]{32,}"), re.compile(r"[\s\"',\\]{1,64}([A-Za-z0-9_-]{1,31})(?![A-Za-z0-9_-])"))
+ANYHEX = (re.compile(r"[0-9a-fA-F]{32,}"), re.compile(r"[\s\"',\\]{1,64}([0-9a-fA-F]{1,31})(?![0-9a-fA-F])"))
+GAP = re.compile(r"[\s\"',\\]{1,64}")
+COLONS, BYTE = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{2}(?::\s{0,64}[0-9a-fA-F]{2}){31,}"), re.compile("[0-9a-fA-F]{2}")
+#: Where a DER sequence whose first part is a number or a sequence, or an OpenSSH key, can begin.
+HEAD64 = re.compile("M(?=[A-H][AEIMQUYcgkosw048][Cw]|I[E-L])|b(?=3BlbnNzaC1rZXktdjEA)")
+HEAD_HEX = re.compile("3(?=0(?:8[1-4]|[2-7][0-9a-fA-F]))|6(?=[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631)")
+#: Levels of encoding within encoding.
+DEPTH = 3
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})(?=\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)((?:\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?))")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:(?:\s|\\[nr])*Proc-Type:\x20*4,\x20*ENCRYPTED(?:\s|\\[nr])+DEK-Info:\x20*[A-Z0-9-]{3,40},[0-9A-Fa-f]{16,64})?(?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1-----")
+#: Where the header of a signed token can begin: a brace, then space or a quote.
+HEADER = re.compile("e(?=y[ABIJ]|w[k-z0-3])")
 #: Headers inside a PEM block that say how its body is encrypted, and the bytes of a block of such ciphers.
 ENCRYPTED = re.compile(r"\s*Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]{16,64})\s+(.*)", re.S)
 CIPHER_BLOCK = {"DES": 8, "AES": 16, "CAM": 16, "SEE": 16, "ARI": 16}
-OPENSSH_MAGIC, PEM_START = b"openssh-key-v1\0", b"-----BEGIN "
+OPENSSH_MAGIC = b"openssh-key-v1\0"
 
 
 def _decode64(text: str) -> bytes | None:
@@ -80,44 +99,54 @@ def _children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA private key, all nested lengths included."""
-    top = _tlv(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data) or not (parts := _children(data, top[1], top[2])):
-        return False
-    tags = [p[0] for p in parts]
-    number = int.from_bytes(data[parts[0][1] : parts[0][2]], "big") if tags[0] == 2 and parts[0][2] > parts[0][1] else -1
+def der_end(data: bytes, at: int = 0) -> int | None:
+    """The end of a PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA private key at `at`, all nested lengths included."""
+    top = _tlv(data, at, len(data))
+    if not top or top[0] != 0x30 or not (parts := _children(data, top[1], top[2])):
+        return None
+    tags, good = [p[0] for p in parts], False
+    number = int.from_bytes(data[parts[0][1] : min(parts[0][2], parts[0][1] + 9)], "big") if tags[0] == 2 and parts[0][2] > parts[0][1] else -1
     if tags in ([2] * 9, [2] * 6) and number == 0:
-        return all(e > s for _, s, e in parts)
-    if tags[:3] == [2, 0x30, 4] and number in (0, 1):
+        good = all(e > s for _, s, e in parts)
+    elif tags[:3] == [2, 0x30, 4] and number in (0, 1):
         inner = _children(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 6 and parts[2][2] > parts[2][1]
-    if tags[:2] == [2, 4] and number == 1 and set(tags[2:]) <= {0xA0, 0xA1} and len(tags) > 2:
-        return 16 <= parts[1][2] - parts[1][1] <= 80 and all(_children(data, s, e) for _, s, e in parts[2:])
-    if tags == [0x30, 4]:
+        good = bool(inner) and inner[0][0] == 6 and parts[2][2] > parts[2][1]
+    elif tags[:2] == [2, 4] and number == 1 and set(tags[2:]) <= {0xA0, 0xA1} and len(tags) > 2:
+        good = 16 <= parts[1][2] - parts[1][1] <= 80 and all(_children(data, s, e) for _, s, e in parts[2:])
+    elif tags == [0x30, 4]:
         inner = _children(data, parts[0][1], parts[0][2])
-        return bool(inner) and len(inner) == 2 and inner[0][0] == 6 and inner[1][0] == 0x30 and bool(_children(data, inner[1][1], inner[1][2])) and parts[1][2] - parts[1][1] >= 16
-    return False
+        good = bool(inner) and len(inner) == 2 and inner[0][0] == 6 and inner[1][0] == 0x30 and bool(_children(data, inner[1][1], inner[1][2])) and parts[1][2] - parts[1][1] >= 16
+    return top[2] if good else None
 
 
-def is_openssh_key(data: bytes) -> bool:
-    if not data.startswith(OPENSSH_MAGIC):
-        return False
-    at = len(OPENSSH_MAGIC)
+def is_der_key(data: bytes) -> bool:
+    return der_end(data) == len(data)
+
 
-    def string() -> bytes | None:
+def openssh_end(data: bytes, at: int = 0) -> int | None:
+    """The end of an OpenSSH private key at `at`: names of cipher and derivation, public keys, private part."""
+    if not data.startswith(OPENSSH_MAGIC, at):
+        return None
+    at += len(OPENSSH_MAGIC)
+
+    def string() -> int | None:
+        """Length of the string at `at`, which moves behind it; None if it isn't all there."""
         nonlocal at
         if at + 4 > len(data):
             return None
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4 + n
-        return data[at - n : at] if at <= len(data) else None
+        return n if at <= len(data) else None
 
     if any(string() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) and at == len(data)
+    return at if 1 <= keys <= 16 and all(string() for _ in range(keys + 1)) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_end(data) == len(data)
 
 
 def is_pem_body(body: str) -> bool:
@@ -130,15 +159,6 @@ def is_pem_body(body: str) -> bool:
     return bool(data) and (is_der_key(data) or is_openssh_key(data))
 
 
-def key_kind(data: bytes | None) -> str | None:
-    if not data or data[0] not in (0x30, OPENSSH_MAGIC[0], PEM_START[0]):
-        return None
-    if data.startswith(PEM_START):
-        m = PEM.match(data.decode("latin-1"))
-        return "pem" if m and is_pem_body(m[2]) else None
-    return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
-
-
 def _json_object(part: str) -> dict | None:
     data = _decode64(part)
     try:
@@ -148,6 +168,24 @@ def _json_object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def header_start(segment: str) -> int | None:
+    """Where in the characters before the first dot a JSON header with an algorithm begins that ends with them."""
+    read, texts = json.JSONDecoder().raw_decode, {}
+    for m in HEADER.finditer(segment):
+        at, phase = m.start(), m.start() % 4
+        if phase not in texts:
+            texts[phase] = (_decode64(segment[phase:]) or b"").decode("latin-1")
+        begin = (at - phase) // 4 * 3
+        if begin < len(texts[phase]):
+            try:
+                head, end = read(texts[phase], begin)
+            except (ValueError, RecursionError):
+                continue
+            if isinstance(head, dict) and isinstance(head.get("alg"), str) and not texts[phase][end:].strip():
+                return at
+    return None
+
+
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
     head = _json_object(header)
     if not head or not isinstance(head.get("alg"), str):
@@ -167,21 +205,103 @@ def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[tup
     return out
 
 
-def confirmed_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
+def streams(text: str, runs: list[tuple[int, int]], line: re.Pattern, tail: re.Pattern) -> Iterator[list[tuple[int, int]]]:
+    """The lines of each stream, as places in the text."""
+    parts: list[tuple[int, int]] = []
+
+    def whole():
+        last = tail.match(text, parts[-1][1])
+        return [*parts, last.span(1)] if last else parts
+
+    for s, e in runs:
+        for m in line.finditer(text, s, e):
+            if parts and not (m.start() - parts[-1][1] <= 64 and GAP.fullmatch(text, parts[-1][1], m.start())):
+                yield whole()
+                parts = []
+            parts.append(m.span())
+    if parts:
+        yield whole()
+
+
+def stream_spans(text: str, parts: list[tuple[int, int]], depth: int, hexadecimal: bool = False) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the keys in a stream, by its own lengths, and of what its bytes hold as text."""
+    joined = "".join(text[s:e] for s, e in parts)
+    starts = list(accumulate((e - s for s, e in parts), initial=0))
+    # so many characters are so many bytes
+    characters, size = (2, 1) if hexadecimal else (4, 3)
+    joined = joined if hexadecimal else joined.replace("-", "+").replace("_", "/")
+
+    def place(at: int) -> int:
+        i = bisect_right(starts, at, hi=len(parts)) - 1
+        return parts[i][0] + at - starts[i]
+
+    def span(first: int, last: int, kind: str) -> tuple[int, str, int]:
+        end = place(last - 1) + 1
+        while not hexadecimal and text.startswith("=", end):
+            end += 1
+        return place(first), kind, end
+
+    data = []
+    for phase in range(characters):
+        body = joined[phase:]
+        if hexadecimal:
+            data.append(bytes.fromhex(body[: len(body) // 2 * 2]))
+        else:
+            data.append(_decode64(body if len(body) % 4 != 1 else body[:-1]) or b"")
+    out, done = [], 0
+    for m in (HEAD_HEX if hexadecimal else HEAD64).finditer(joined):
+        at, own = m.start(), data[m.start() % characters]
+        if at >= done:
+            begin = at // characters * size
+            kind = "openssh" if own.startswith(OPENSSH_MAGIC, begin) else "der"
+            if end := (openssh_end if kind == "openssh" else der_end)(own, begin):
+                done = at + -(-(end - begin) * characters // size)
+                out.append(span(at, done, kind))
+    if depth < DEPTH:
+        for phase, own in enumerate(data):
+            inner = own.decode("latin-1")
+            for s, kind, e in confirmed_spans(inner, [x.span() for x in RUN.finditer(inner)], depth + 1):
+                first, last = phase + s * characters // size, phase + -(-e * characters // size)
+                # the rest of a line's last characters, such as an encoded line end, is part of it
+                line = starts[bisect_right(starts, last - 1, hi=len(parts))]
+                out.append(span(first, line if line - last < characters else last, kind))
+    return out
+
+
+def confirmed_spans(text: str, runs: list[tuple[int, int]], depth: int = 0) -> list[tuple[int, str, int]]:
     """(start, kind, end) of candidates whose bytes parse."""
     found = []
-    for s, e in runs:
-        for m in SIGNED.finditer(text, s, e):
-            if is_signed_token(*m.groups()):
-                found.append((m.start(), "jwt", m.end()))
-        for pattern in (STANDARD64, URL64):
-            found += [(m.start(), kind, m.end()) for m in pattern.finditer(text, s, e) if (kind := key_kind(_decode64(m[0])))]
-        found += [(m.start(), kind, m.end()) for m in ANYHEX.finditer(text, s, e) if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0])))]
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if is_pem_body(m[2]):
-                found.append((m.start(), "pem", m.end()))
-    return list(set(found))
+        found += [(m.start(), "pem", m.end()) for m in PEM.finditer(text) if is_pem_body(m[2])]
+    flat = text
+    if "\\" in text:
+        # written-out line ends become space of the same length
+        flat = re.sub(r"\\[nrt]", "  ", text)
+        runs = [m.span() for m in RUN.finditer(flat)]
+    done = 0
+    for s, e in runs:
+        for m in SIGNED.finditer(flat, s, e):
+            at = header_start(m[1]) if m.start() >= done else None
+            if at is not None and is_signed_token(m[1][at:], m[2], m[3]):
+                done = m.end(4)
+                found.append((m.start() + at, "jwt", done))
+    if runs:
+        for kind in (STANDARD64, URL64, ANYHEX):
+            for parts in streams(flat, runs, *kind):
+                if kind is URL64 and not any(c in flat[s:e] for s, e in parts for c in "-_"):
+                    continue
+                if sum(e - s for s, e in parts) >= (64 if kind is ANYHEX else 40):
+                    found += stream_spans(flat, parts, depth, kind is ANYHEX)
+    if ":" in flat:
+        for m in COLONS.finditer(flat):
+            found += stream_spans(flat, [x.span() for x in BYTE.finditer(flat, *m.span())], depth, True)
+    out, covered = [], -1
+    for s, kind, e in sorted(set(found), key=lambda x: (x[0], -x[2], x[1] != "pem")):
+        if kind == "pem":
+            covered = max(covered, e)
+        if kind in ("pem", "jwt") or e > covered:
+            out.append((s, kind, e))
+    return out
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
