@@ -13,7 +13,8 @@ by key, where one context has 256 rows at most; the shorter ones have 65,536 row
 
 Documents are then read once more. The HOT_WORDS and HOT_GRAMS most frequent words and grams, numbers fixed in advance,
 are looked up in place; only what is rarer is dealt out by word or gram and joined with its figure, so nothing with a
-large share of all rows travels, and neither driver nor task holds the trie.
+large share of all rows travels, and neither driver nor task holds the trie. Tasks take texts in slices of SLICE_BYTES and
+the bytes of a slice, or of one very long text, in pieces of PIECE, so what they hold follows neither rows nor lengths.
 
 Defined results: a null text is empty; an empty text has one token, its end; without training documents the base
 probability is 1 and bytes are uniform; a null id counts as training; repeated rows repeat their result; other columns
@@ -23,6 +24,7 @@ of the input are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,23 +35,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from salesprism.llm.common import discard, most_frequent, row_slices, text_or_empty, written
+from salesprism.llm.common import byte_slices, discard, most_frequent, text_or_empty, written
 
 ORDER = 3
 PAD, END = 0xFE, 0xFF
 HOT_WORDS, HOT_GRAMS = 100_000, 2_000_000
 HELD_WORDS, HELD_BYTES, HELD_GRAMS = 300_000, 4_000_000, 2_000_000
+#: Bytes of texts and of their grams that a task turns into Python objects and arrays at once.
+SLICE_BYTES, PIECE = 2_000_000, 1_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words in lower case A-Z, without the end."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def token_pieces(text: str) -> Iterator[list[bytes]]:
+    """Words in lower case A-Z, without the end, in lists of about PIECE bytes; none is cut."""
+    data, start = text.encode("utf-8", "surrogatepass").lower(), 0
+    while start < len(data):
+        after = SPACE.search(data, start + PIECE)
+        end = after.start() if after else len(data)
+        yield data[start:end].split()
+        start = end
 
 
-def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts with padding and ends, index of the text at each byte)."""
-    parts = [b"\xfe\xfe\xfe" + t.encode("utf-8", "surrogatepass") + b"\xff" for t in texts]
-    return np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+def tokens(text: str) -> list[bytes]:
+    """All of them."""
+    return [w for own in token_pieces(text) for w in own]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -58,6 +67,16 @@ def grams(data: np.ndarray) -> np.ndarray:
     return d[:-3] << np.uint32(24) | d[1:-2] << np.uint32(16) | d[2:-1] << np.uint32(8) | d[3:]
 
 
+def gram_pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, index of the text of each) in pieces of at most PIECE grams; a piece begins with the three bytes before it."""
+    parts = [b"\xfe\xfe\xfe" + t.encode("utf-8", "surrogatepass") + b"\xff" for t in texts]
+    data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    for start in range(0, len(data) - 3, PIECE):
+        own = grams(data[start : start + PIECE + 3])
+        real = np.flatnonzero((own & np.uint32(0xFF)) != PAD)
+        yield own[real], np.searchsorted(ends, real + (start + 3), "right")
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, n, trained) of docs (text, training): occurrences in all texts and in those that train."""
 
@@ -72,11 +91,12 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in items[a : a + 50_000]], pa.binary()), n, n if training else pa.array(np.zeros(len(n), np.int64))], schema=schema)
                 own.clear()
 
-        for rows in row_slices(batches):
-            for t, training in zip(rows["text"], rows["training"], strict=True):
-                counts[training].update(tokens(t))
-            if sum(map(len, counts.values())) >= HELD_WORDS:
-                yield from flush()
+        for rows in byte_slices(batches, "text", SLICE_BYTES):
+            for t, training in zip(rows.column("text"), rows.column("training").to_pylist(), strict=True):
+                for own in token_pieces(t.as_py()):
+                    counts[training].update(own)
+                    if sum(map(len, counts.values())) >= HELD_WORDS:
+                        yield from flush()
         yield from flush()
 
     return docs.select("text", "training").mapInArrow(run, "word binary, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
@@ -99,19 +119,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
             n = counts.astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array(n), pa.array(n * (keys & np.uint64(1)).astype(np.int64))], schema=schema)
 
-        for rows in row_slices(batches):
-            data, at = padded(rows["text"])
-            if len(data) > 3:
-                own = grams(data)
-                real = (own & np.uint32(0xFF)) != PAD
-                waiting.append(own[real].astype(np.uint64) << np.uint64(1) | np.array(rows["training"], bool)[at[3:][real]])
+        for rows in byte_slices(batches, "text", SLICE_BYTES):
+            training = np.array(rows.column("training").to_pylist(), bool)
+            for own, owner in gram_pieces(rows.column("text").to_pylist()):
+                waiting.append(own.astype(np.uint64) << np.uint64(1) | training[owner])
                 held += len(own)
-            if held >= HELD_BYTES:
-                keys, counts = folded(keys, counts, waiting)
-                waiting, held = [], 0
-                if len(keys) >= HELD_GRAMS:
-                    yield batch(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
+                if held >= HELD_BYTES:
+                    keys, counts = folded(keys, counts, waiting)
+                    waiting, held = [], 0
+                    if len(keys) >= HELD_GRAMS:
+                        yield batch(keys, counts)
+                        keys, counts = keys[:0], counts[:0]
         yield batch(*folded(keys, counts, waiting))
 
     return docs.select("text", "training").mapInArrow(run, "gram long, n long, trained long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
@@ -202,41 +220,43 @@ def score_documents(docs: DataFrame, training: Column, id_column: str = "doc_id"
         arrow = to_arrow_schema(target)
         hot, keys, logs_of = sent.value
         uid, get = TaskContext.get().partitionId() << 36, hot.get
-        for rows in row_slices(batches):
-            data, at = padded(rows["text"])
-            n = len(rows["text"])
-            scores, rare_at, rare_gram, rare_times = np.zeros(n), [], [], []
-            if n:
-                own, owner = grams(data), at[3:]
-                real = (own & np.uint32(0xFF)) != PAD
-                own, owner = own[real], owner[real]
+        def batch(**columns):
+            size = max(map(len, columns.values()))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+
+        for rows in byte_slices(batches, "text", SLICE_BYTES):
+            texts, n = rows.column("text").to_pylist(), rows.num_rows
+            scores = np.zeros(n)
+            for own, owner in gram_pieces(texts):
                 place = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
                 here = keys[place] == own if len(keys) else np.zeros(len(own), bool)
-                scores = np.bincount(owner[here], logs_of[place[here]], n)
+                scores += np.bincount(owner[here], logs_of[place[here]], n)
                 rare, times = np.unique(owner[~here].astype(np.uint64) << np.uint64(32) | own[~here], return_counts=True)
-                rare_at, rare_gram, rare_times = (rare >> np.uint64(32)).astype(np.int64) + uid, (rare & np.uint64(0xFFFFFFFF)).astype(np.int64), times
-            word_at, word, word_times = [], [], []
-            known, base, count = [], [], []
-            for k, t in enumerate(rows["text"]):
-                own, logs, seen, rest = tokens(t), end_log, end_known, []
-                for w in own:
-                    v = get(w)
-                    if v is None:
-                        rest.append(w)
-                    else:
-                        logs += v[0]
-                        seen += v[1]
-                for w, c in Counter(rest).items():
-                    word_at.append(uid + k)
-                    word.append(w)
-                    word_times.append(c)
+                yield batch(uid=(rare >> np.uint64(32)).astype(np.int64) + uid, gram=(rare & np.uint64(0xFFFFFFFF)).astype(np.int64), n=times)
+            known, base, count, word_at, word, word_times = [], [], [], [], [], []
+            for k, t in enumerate(texts):
+                size, logs, seen = 1, end_log, end_known
+                for own in token_pieces(t):
+                    size, rest = size + len(own), []
+                    for w in own:
+                        v = get(w)
+                        if v is None:
+                            rest.append(w)
+                        else:
+                            logs += v[0]
+                            seen += v[1]
+                    for w, c in Counter(rest).items():
+                        word_at.append(uid + k)
+                        word.append(w)
+                        word_times.append(c)
+                    if len(word) >= HELD_WORDS:
+                        yield batch(uid=word_at, word=word, n=word_times)
+                        word_at, word, word_times = [], [], []
                 known.append(seen)
-                count.append(len(own) + 1)
-                base.append(logs - (len(own) + 1) * base_log)
-            columns = {"uid": range(uid, uid + n), "id": rows["id"], "n_tokens": count, "n_known": known, "base": base, "score": scores}
-            for part in (columns, {"uid": word_at, "word": word, "n": word_times}, {"uid": rare_at, "gram": rare_gram, "n": rare_times}):
-                size = len(part["uid"])
-                yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) if f.name in part else pa.nulls(size, f.type) for f in arrow], schema=arrow)
+                count.append(size)
+                base.append(logs - size * base_log)
+            yield batch(uid=word_at, word=word, n=word_times)
+            yield batch(uid=range(uid, uid + n), id=rows.column("id").to_pylist(), n_tokens=count, n_known=known, base=base, score=scores)
             uid += n
 
     target = StructType.fromDDL(SCORED.format(id=narrow.schema["id"].dataType.simpleString()))
