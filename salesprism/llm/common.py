@@ -2,57 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.scratch import discard, scratch_path, written
+
 #: Rows turned into Python objects at once, so that a batch of very long texts stays small.
 SLICE_ROWS = 256
 #: Rows of keys and numbers, some 30 MB, up to which a table travels to all executors instead of a shuffle of texts.
 BROADCAST_ROWS = 200_000
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a temporary one only where driver and executors are one process."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="salesprism-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df written to the shared folder, in a folder for each value of `by`, and read again: lineage is cut and the files outlive any executor.
-
-    The files go when discard() is called, or else when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=by)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what written() wrote, once nothing that is still to run reads it."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, a written table of narrow rows, marked for broadcast if it is counted to be small; else joins shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

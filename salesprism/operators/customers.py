@@ -138,5 +138,5 @@ def basket_lift(sales: DataFrame, item: str = "product", floor_share: float = 0.
     single = many.groupBy("item").agg(F.count("*").alias("n_item"))
     total = many.agg(F.countDistinct("basket").alias("n_baskets"))
     t = basket_pairs(sales, item).join(single.select(F.col("item").alias("a"), F.col("n_item").alias("n_a")), "a").join(single.select(F.col("item").alias("b"), F.col("n_item").alias("n_b")), "b").crossJoin(total)
-    t = t.withColumn("lift", F.col("together") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
+    t = t.withColumn("lift", F.col("together").cast("double") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
     return t.withColumn("supported", F.col("together") >= F.greatest(F.lit(floor_least), F.floor(floor_share * F.col("n_baskets"))))

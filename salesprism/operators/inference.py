@@ -10,7 +10,8 @@ from salesprism.functions.stats import benjamini_hochberg, chi2_p, f_p, fisher_p
 from salesprism.operators.customers import baskets
 from salesprism.operators.descriptive import price_points
 from salesprism.operators.pairs import correlated_pairs, item_vectors, pairs_tested, supported_pairs
-from salesprism.operators.periods import MONTH, SEASONS, everything, by_period, whole_periods
+from salesprism.operators.periods import MONTH, SEASONS, by_period, whole_periods
+from salesprism.scratch import written
 
 
 def slopes(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
@@ -62,20 +63,25 @@ def level_shift_test(series: DataFrame, split: Column) -> DataFrame:
     return level_shift(series, split).withColumn("p", t_p("t", "df"))
 
 
-def group_statistics(sales: DataFrame, dimension: str, measure: str = "revenue") -> DataFrame:
-    return sales.where(F.col(dimension).isNotNull() & F.col(measure).isNotNull()).groupBy(F.col(dimension).alias("level")).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.var_samp(measure).alias("var"))
+def by_dimension(sales: DataFrame, dimensions: list[str], *columns: str) -> DataFrame:
+    """(dimension, level, *columns): a row for each dimension of a sale that has a level, so that one pass serves all dimensions."""
+    long = sales.select(*columns, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level")) for d in dimensions])).alias("x"))
+    return long.select("x.dimension", "x.level", *columns).where("level is not null")
+
+
+def group_statistics(sales: DataFrame, dimensions: list[str], measure: str = "revenue") -> DataFrame:
+    return by_dimension(sales, dimensions, measure).where(F.col(measure).isNotNull()).groupBy("dimension", "level").agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.var_samp(measure).alias("var"))
 
 
 def group_difference(sales: DataFrame, dimensions: list[str], measure: str = "revenue", least: int = 5) -> DataFrame:
     """For each dimension: F of one-way analysis of variance (Welch's t squared and its degrees for two levels), effect."""
-    out = None
-    for d in dimensions:
-        g = group_statistics(sales, d, measure).where(F.col("n") >= least)
-        t = g.agg(
-            F.count("*").alias("levels"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("ss"), F.sum((F.col("n") - 1) * F.col("var")).alias("within"),
-            F.max("mean").alias("high"), F.min("mean").alias("low"), F.sum(F.col("var") / F.col("n")).alias("se2"), F.sum(F.col("var") * F.col("var") / (F.col("n") * F.col("n") * (F.col("n") - 1))).alias("wd"),
-        ).withColumn("dimension", F.lit(d))
-        out = t if out is None else out.unionByName(t)
+    g = group_statistics(sales, dimensions, measure).where(F.col("n") >= least)
+    # products of counts are doubles: as longs they overflow at some two million rows a level
+    n = F.col("n").cast("double")
+    out = g.groupBy("dimension").agg(
+        F.count("*").alias("levels"), F.sum("n").alias("rows"), F.sum(n * F.col("mean")).alias("s"), F.sum(n * F.col("mean") * F.col("mean")).alias("ss"), F.sum((n - 1) * F.col("var")).alias("within"),
+        F.max("mean").alias("high"), F.min("mean").alias("low"), F.sum(F.col("var") / n).alias("se2"), F.sum(F.col("var") * F.col("var") / (n * n * (n - 1))).alias("wd"),
+    )
     mean = F.col("s") / F.col("rows")
     between = F.col("ss") - F.col("s") * mean
     anova = F.try_divide(between / (F.col("levels") - 1), F.col("within") / (F.col("rows") - F.col("levels")))
@@ -91,32 +97,38 @@ def group_difference(sales: DataFrame, dimensions: list[str], measure: str = "re
 def segmentation_tests(sales: DataFrame, dimensions: list[str], item: str = "product") -> DataFrame:
     """group_difference() with p, adjusted p over the dimensions, and whether the product mix differs between levels."""
     t = benjamini_hochberg(group_difference(sales, dimensions).withColumn("p", f_p("statistic", "df1", "df2")), "p", "dimension")
-    mixes = None
-    for d in dimensions:
-        m = mix_statistic(sales, d, item).withColumn("dimension", F.lit(d))
-        mixes = m if mixes is None else mixes.unionByName(m)
+    mixes = mix_statistics(mix_grid(sales, dimensions, item))
     mixes = mixes.withColumn("mix_p", F.when(F.col("small_share") <= 0.2, chi2_p("chi2", F.col("df").cast("double"))))
     return t.join(mixes.select("dimension", "mix_p"), "dimension", "left").withColumn("confounded", F.coalesce(F.col("mix_p") < 0.05, F.lit(False)))
 
 
-def mix_table(sales: DataFrame, dimension: str, item: str = "product") -> DataFrame:
-    """Counts of all pairs of level and item, with the count expected if they were independent."""
-    t = sales.where(F.col(dimension).isNotNull()).groupBy(F.col(dimension).alias("level"), F.col(item).alias("item")).agg(F.count("*").alias("n"))
-    levels = t.groupBy("level").agg(F.sum("n").alias("n_level"))
-    items = t.groupBy("item").agg(F.sum("n").alias("n_item"))
-    grid = levels.crossJoin(items).join(t, ["level", "item"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return grid.withColumn("expected", F.col("n_level") * F.col("n_item") / F.sum("n").over(everything()))
+def mix_grid(sales: DataFrame, dimensions: list[str], item: str = "product") -> DataFrame:
+    """Counts of all pairs of level and item of each dimension, with the count expected if they were independent. The sales are read once."""
+    t = written(by_dimension(sales, dimensions, item).groupBy("dimension", "level", F.col(item).alias("item")).agg(F.count("*").alias("n")), "mix")
+    levels = t.groupBy("dimension", "level").agg(F.sum("n").alias("n_level"))
+    items = t.groupBy("dimension", "item").agg(F.sum("n").alias("n_item"))
+    grid = levels.join(items, "dimension").join(t, ["dimension", "level", "item"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.withColumn("expected", F.col("n_level").cast("double") * F.col("n_item") / F.sum("n").over(Window.partitionBy("dimension")))
 
 
-def mix_statistic(sales: DataFrame, dimension: str, item: str = "product") -> DataFrame:
-    """One row: chi-squared (Yates' correction for one degree of freedom), degrees, share of cells expected below 5."""
-    t = mix_table(sales, dimension, item)
+def mix_statistics(grid: DataFrame) -> DataFrame:
+    """For each dimension: chi-squared (Yates' correction for one degree of freedom), degrees, share of cells expected below 5."""
     df = ((F.countDistinct("level") - 1) * (F.countDistinct("item") - 1)).alias("df")
     gap = F.abs(F.col("n") - F.col("expected"))
     plain = F.sum(gap * gap / F.col("expected"))
     yates = F.sum(F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2)) / F.col("expected"))
-    t = t.agg(df, plain.alias("plain"), yates.alias("yates"), F.avg((F.col("expected") < 5).cast("double")).alias("small_share"))
-    return t.select(F.when(F.col("df") == 1, F.col("yates")).otherwise(F.col("plain")).alias("chi2"), "df", "small_share")
+    t = grid.groupBy("dimension").agg(df, plain.alias("plain"), yates.alias("yates"), F.avg((F.col("expected") < 5).cast("double")).alias("small_share"))
+    return t.select("dimension", F.when(F.col("df") == 1, F.col("yates")).otherwise(F.col("plain")).alias("chi2"), "df", "small_share")
+
+
+def mix_table(sales: DataFrame, dimension: str, item: str = "product") -> DataFrame:
+    """mix_grid() of one dimension."""
+    return mix_grid(sales, [dimension], item).drop("dimension")
+
+
+def mix_statistic(sales: DataFrame, dimension: str, item: str = "product") -> DataFrame:
+    """mix_statistics() of one dimension."""
+    return mix_statistics(mix_grid(sales, [dimension], item)).drop("dimension")
 
 
 def product_correlation(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
@@ -139,6 +151,6 @@ def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = M
 def basket_tests(sales: DataFrame, item: str = "product") -> DataFrame:
     """Fisher's exact test of each supported pair with lift, support and adjusted p; frequent items and so supported pairs are few."""
     t = supported_pairs(baskets(sales, item))
-    t = t.withColumn("lift", F.col("together") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
+    t = t.withColumn("lift", F.col("together").cast("double") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))).withColumn("support", F.col("together") / F.col("n_baskets"))
     t = t.withColumn("p", fisher_p(*[F.col(c).cast("double") for c in ("together", "n_a", "n_b", "n_baskets")]))
     return benjamini_hochberg(t, "p", "a", "b").withColumn("confirmed", (F.col("adjusted") < 0.05) & (F.col("lift") >= 1.5))
