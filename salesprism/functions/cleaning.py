@@ -40,9 +40,13 @@ def number_token(c: Column) -> Column:
     return F.regexp_replace(t, r"^([^-].*)-$", "-$1")
 
 
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def parsed_number(c: Column) -> Column:
-    t = number_token(c)
-    return F.when(~is_blank(c) & t.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    """The cell as a number; what is one as it stands, or has no digit, isn't taken apart."""
+    text, t = F.trim(c.cast("string")), number_token(c)
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(text.rlike("[0-9]"), F.when(~is_blank(c) & t.rlike(NUMBER), t.try_cast("double")))
 
 
 def to_numeric(df: DataFrame, column: str, out: str) -> DataFrame:

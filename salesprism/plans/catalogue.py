@@ -507,14 +507,17 @@ def _raw_sales(s: DataFrame) -> DataFrame:
     return s.select(F.col("date").cast("string").alias("Order Date"), F.col("product").alias("Item"), F.col("quantity").cast("string").alias("Qty"), F.col("revenue").cast("string").alias("Amount Paid"), F.col("order_id").alias("Order No"), F.col("customer_id").alias("Customer ID"), F.col("channel").alias("Sales Channel"))
 
 
-@_query()
+RAW_SALES = ("date", "product", "quantity", "revenue", "order_id", "customer_id", "channel")
+
+
+@_query(*RAW_SALES)
 def content_scores(s):
     from salesprism.plans.detection import content_table
 
     return content_table(_raw_sales(s))
 
 
-@_query()
+@_query(*RAW_SALES)
 def column_roles(s):
     from salesprism.plans.detection import detect
 
