@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.operators.periods import MONTH, everything, by_period, by_period_and, half_means, money, open_period, pct_change, period_of, whole_periods, with_half
+from salesprism.operators.periods import MONTH, everything, by_period, half_means, kept_sums, money, open_period, pct_change, period_of, whole_by_period_and, whole_periods, whole_sums, with_half
 
 
 def product_ranking(sales: DataFrame, key: str = "product", measure: str = "revenue") -> DataFrame:
@@ -48,7 +48,7 @@ def pareto_classes(sales: DataFrame, key: str = "product", vital: float = 0.8, t
 
 def decomposition(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
     """Each item's mean per period before and after, its change, and its share of the whole change; changes add up exactly."""
-    t = half_means(by_period_and(whole_periods(sales, frequency), key, frequency), key)
+    t = half_means(whole_by_period_and(sales, key, frequency), key)
     t = t.withColumn("change", F.col("after") - F.col("before"))
     return t.withColumn("share_of_change", F.try_divide("change", F.sum("change").over(everything())))
 
@@ -96,7 +96,7 @@ def month_index(sales: DataFrame) -> DataFrame:
 
 def lifecycle(sales: DataFrame, key: str = "product", frequency: str = MONTH, recent: int = 2) -> DataFrame:
     """Each item's activity in the last `recent` observed periods and before, and what follows from it."""
-    cells = with_half(by_period_and(whole_periods(sales, frequency), key, frequency))
+    cells = with_half(whole_by_period_and(sales, key, frequency))
     late, active = F.col("ordinal") > F.col("n") - recent, F.col("value") > 0
     t = cells.groupBy(key).agg(
         F.count_if(active & ~late).alias("earlier_active"), F.count_if(active & late).alias("recent_active"), F.max(F.when(active, F.col("period"))).alias("last_seen"),
@@ -178,5 +178,5 @@ def top_decile(orders: DataFrame) -> DataFrame:
 
 def price_points(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
     """Units, revenue and price of each item and period with both positive."""
-    t = whole_periods(sales, frequency).groupBy(key, period_of(frequency).alias("period")).agg(money("quantity").alias("units"), money("revenue").alias("revenue"))
+    t = whole_sums(kept_sums(sales, frequency, key, units="quantity", revenue="revenue"), frequency).select(key, "period", "units", "revenue")
     return t.where("units > 0 and revenue > 0").withColumn("price", F.col("revenue") / F.col("units"))

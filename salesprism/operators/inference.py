@@ -133,7 +133,8 @@ def mix_statistic(sales: DataFrame, dimension: str, item: str = "product") -> Da
 
 def product_correlation(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
     """Pearson's r of each pair of items active often enough, over the observed periods."""
-    return correlated_pairs(item_vectors(sales, key, frequency), sales.select(key).distinct().count())
+    vectors = item_vectors(sales, key, frequency)
+    return correlated_pairs(vectors, vectors.count())
 
 
 def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = MONTH, bound: float | None = None) -> DataFrame:
@@ -142,7 +143,7 @@ def correlation_tests(sales: DataFrame, key: str = "product", frequency: str = M
     An adjusted p is never below the p itself, so up to the bound the adjusted ones are the same without the rest.
     """
     vectors = item_vectors(sales, key, frequency)
-    t = correlated_pairs(vectors, sales.select(key).distinct().count(), bound).where("r is not null")
+    t = correlated_pairs(vectors, vectors.count(), bound).where("r is not null")
     stat = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-15))))
     t = step_up(t.withColumn("p", t_p(stat, (F.col("n") - 2).cast("double"))), "p", total=None if bound is None else pairs_tested(vectors))
     return t.withColumn("related", (F.col("adjusted") < 0.05) & (F.abs("r") >= 0.5))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from salesprism.functions.seasonal import seasonal_parts
 from salesprism.functions.stats import benjamini_hochberg, normal_p
 from salesprism.operators.descriptive import product_ranking
-from salesprism.operators.periods import DAY, MONTH, SEASONS, WEEK, by_period, by_period_and, half_means, money, period_of, whole_periods, with_half
+from salesprism.operators.periods import DAY, MONTH, SEASONS, WEEK, by_period, filled, half_means, kept_sums, money, period_of, spread_out, whole_sums, with_half
+from salesprism.scratch import written
 
 LEVELS = {"high": 0, "medium": 1, "low": 2}
 
@@ -39,10 +40,11 @@ def anomalies(series: DataFrame, recent: int = 2, z: float = 3.5, share: float =
 
 def sales_anomalies(sales: DataFrame, frequency: str = MONTH, least_share: float = 0.05, cap: int = 6) -> DataFrame:
     """anomalies() of the whole business (subject "", a test of its own) and of products from 5 % of revenue, less the season where two cycles are there."""
-    whole = whole_periods(sales, frequency)
-    names = [r["product"] for r in product_ranking(sales).where((F.col("share") >= least_share) & (F.col("value") > 0)).collect()]
-    total = by_period(whole, frequency).withColumn("subject", F.lit(""))
-    cells = by_period_and(whole.withColumn("subject", F.when(F.col("product").isin(names), F.col("product"))), "subject", frequency).where("subject is not null")
+    sums = kept_sums(sales, frequency, "product", value="revenue")
+    whole = whole_sums(sums, frequency)
+    names = [r["product"] for r in product_ranking(sums, measure="value").where((F.col("share") >= least_share) & (F.col("value") > 0)).collect()]
+    total = spread_out(whole.groupBy("period").agg(money("value").alias("value")), frequency, "value").withColumn("subject", F.lit(""))
+    cells = filled(whole.groupBy("period", F.when(F.col("product").isin(names), F.col("product")).alias("subject")).agg(money("value").alias("value")), "subject").where("subject is not null")
     series = seasonal_parts(total.unionByName(cells), SEASONS[frequency]).withColumn("scored", F.coalesce("adjusted", "value"))
     found = anomalies(series, least=8, scored="scored").where("median > 0").drop("adjusted").withColumn("kind", F.when(F.col("value") < F.col("median"), "ANOMALY_DROP").otherwise("ANOMALY_SPIKE")).withColumn("_whole", F.col("subject") == "")
     return benjamini_hochberg(found, "p", "subject", family="_whole").where("adjusted < 0.05").drop("_whole").orderBy(F.abs("z").desc(), "subject").limit(cap)
@@ -85,8 +87,19 @@ def goal_progress(sales: DataFrame, goals: DataFrame) -> DataFrame:
 
     A goal on profit has no row where no sale has a profit.
     """
-    last = sales.agg(F.to_date(F.max("date")).alias("as_of"), F.count("profit").alias("profits"))
-    daily = sales.groupBy(F.to_date("date").alias("day")).agg(money("revenue").alias("revenue"), money("profit").alias("profit"))
+    return progress_of(kept_days(sales), goals)
+
+
+def kept_days(sales: DataFrame) -> DataFrame:
+    """(day, revenue, profit, profits): sums of days with how many sales have a profit, kept in the shared folder."""
+    day = F.to_date("date")
+    days = sales.groupBy(day.alias("day")).agg(money("revenue").alias("revenue"), money("profit").alias("profit"), F.count("profit").alias("profits"))
+    return written(days, "days")
+
+
+def progress_of(days: DataFrame, goals: DataFrame) -> DataFrame:
+    """goal_progress() of kept_days()."""
+    last, daily = days.agg(F.max("day").alias("as_of"), F.coalesce(F.sum("profits"), F.lit(0)).alias("profits")), days.select("day", "revenue", "profit")
     # goals are typed in by users, a handful of rows: sums of days, not sales rows, meet them
     t = goals.crossJoin(last).where((F.col("metric") != "profit") | (F.col("profits") > 0)).drop("profits").join(daily, F.col("day").between(F.col("start"), F.col("end")), "left")
     value = F.when(F.col("metric") == "profit", F.col("profit")).otherwise(F.col("revenue"))
@@ -114,15 +127,16 @@ def goal_projection(sales: DataFrame, goals: DataFrame, frequency: str = MONTH)
     """
     from salesprism.functions.arima import forecasts
 
-    whole = whole_periods(sales, frequency)
-    known = [m for m in ("revenue", "profit") if m == "revenue" or not sales.where("profit is not null").isEmpty()]
+    days = kept_days(sales)
+    whole = whole_sums(kept_sums(days.withColumnRenamed("day", "date"), frequency, revenue="revenue", profit="profit"), frequency)
+    known = ["revenue"] + ([] if days.where("profits > 0").isEmpty() else ["profit"])
     series = None
     for m in known:
-        own = by_period(whole, frequency, m).withColumn("subject", F.lit(m))
+        own = spread_out(whole, frequency, m).withColumnRenamed(m, "value").withColumn("subject", F.lit(m))
         series = own if series is None else series.unionByName(own)
     spread = series.groupBy("subject").agg(F.when((F.count("*") >= 3) & (F.avg("value") > 0), F.least(F.stddev_samp("value") / F.avg("value"), F.lit(MOST_SPREAD))).otherwise(0.0).alias("variation"))
     steps = forecasts(series, GOAL_HORIZON, frequency=frequency).where("trusted").groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("step", "mean", "lower80", "upper80"))).alias("ahead"), F.first("model").alias("model"))
-    t = goal_progress(sales, goals).drop("needs_alert").join(F.broadcast(spread), F.col("metric") == F.col("subject"), "left").drop("subject")
+    t = progress_of(days, goals).drop("needs_alert").join(F.broadcast(spread), F.col("metric") == F.col("subject"), "left").drop("subject")
     t = t.join(F.broadcast(steps), F.col("metric") == F.col("subject"), "left").drop("subject")
     needed = F.greatest(F.lit(0), F.datediff("end", F.least("as_of", "end"))) / DAYS[frequency]
     part = lambda x: F.when(x["step"] == GOAL_HORIZON, F.greatest(F.lit(0.0), needed - (GOAL_HORIZON - 1))).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), needed - (x["step"] - 1))))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.functions.stats import t_quantile
-from salesprism.operators.periods import MONTH, by_period_and, whole_periods
+from salesprism.operators.periods import MONTH, whole_by_period_and
 
 BLOCK_ITEMS, BASKET_BLOCK = 512, 512
 PAIRS_AT_ONCE = 100_000
@@ -25,7 +25,7 @@ LEAST_PERIODS = 6
 
 def item_vectors(sales: DataFrame, key: str = "product", frequency: str = MONTH) -> DataFrame:
     """(item, flat, z): standardised period values of each item that is active in a third of the periods and in three; nothing below six periods."""
-    cells = by_period_and(whole_periods(sales, frequency), key, frequency).withColumnRenamed(key, "item")
+    cells = whole_by_period_and(sales, key, frequency).withColumnRenamed(key, "item")
     own = cells.groupBy("item").agg(
         F.count("*").alias("n"), F.count_if(F.col("value") > 0).alias("active"), F.avg("value").alias("mean"), F.sqrt(F.var_pop("value") * F.count("*")).alias("norm"), F.array_sort(F.collect_list(F.struct("period", "value"))).alias("cells")
     )

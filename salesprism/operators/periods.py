@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from salesprism.scratch import written
+
 MONTH, WEEK, DAY = "month", "week", "day"
 SEASONS = {MONTH: 12, WEEK: 52, DAY: 7}
 
@@ -39,9 +41,8 @@ def bounds(sales: DataFrame) -> tuple[dt.date | None, dt.date | None]:
     return r["a"], r["b"]
 
 
-def open_period(sales: DataFrame, frequency: str) -> dt.date | None:
-    """The first day of a last period that isn't over, unless it is the only one."""
-    first, last = bounds(sales)
+def open_start(first: dt.date | None, last: dt.date | None, frequency: str) -> dt.date | None:
+    """The first day of the period of the last date if that isn't over, unless it is the only one."""
     if last is None:
         return None
     ends = {MONTH: (last.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1), WEEK: last + dt.timedelta(days=6 - last.weekday()), DAY: last}[frequency]
@@ -49,28 +50,61 @@ def open_period(sales: DataFrame, frequency: str) -> dt.date | None:
     return starts if last < ends and first < starts else None
 
 
+def open_period(sales: DataFrame, frequency: str) -> dt.date | None:
+    """open_start() of a table."""
+    return open_start(*bounds(sales), frequency)
+
+
 def whole_periods(sales: DataFrame, frequency: str) -> DataFrame:
     """sales without a last period that isn't over, unless it is the only one."""
     cut = open_period(sales, frequency)
     return sales.where(F.to_date("date") < F.lit(cut)) if cut else sales
 
 
+def kept_sums(sales: DataFrame, frequency: str, *keys: str, **measures: str) -> DataFrame:
+    """(period, *keys, sums by name, first, last): sums by period with their first and last date, kept in the shared folder, so that the sales are read once."""
+    dates = F.to_date("date")
+    sums = sales.groupBy(period_of(frequency).alias("period"), *keys).agg(*[money(m).alias(name) for name, m in measures.items()], F.min(dates).alias("first"), F.max(dates).alias("last"))
+    return written(sums, "sums")
+
+
+def whole_sums(sums: DataFrame, frequency: str) -> DataFrame:
+    """kept_sums() without a last period that isn't over, as whole_periods() has it."""
+    cut = open_start(*sums.agg(F.min("first"), F.max("last")).first(), frequency)
+    if cut:
+        sums = sums.where(F.col("period") < (cut + dt.timedelta(days=6) if frequency == WEEK else cut))
+    return sums.drop("first", "last")
+
+
+def spread_out(sums: DataFrame, frequency: str, *names: str) -> DataFrame:
+    """(period, *names) of sums by period, inner periods without rows filled with 0."""
+    step = {MONTH: "interval 1 month", WEEK: "interval 7 days", DAY: "interval 1 day"}[frequency]
+    spine = sums.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
+    return spine.join(sums, "period", "left").select("period", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in names])
+
+
 def by_period(sales: DataFrame, frequency: str, measure: str = "revenue", **more: str) -> DataFrame:
     """(period, value), inner periods without rows filled with 0; more: names of further columns and their measures."""
     wanted = {"value": measure, **more}
-    sums = sales.groupBy(period_of(frequency).alias("period")).agg(*[money(m).alias(name) for name, m in wanted.items()])
-    step = {MONTH: "interval 1 month", WEEK: "interval 7 days", DAY: "interval 1 day"}[frequency]
-    spine = sums.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
-    return spine.join(sums, "period", "left").select("period", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in wanted])
+    return spread_out(kept_sums(sales, frequency, **wanted), frequency, *wanted)
 
 
-def by_period_and(sales: DataFrame, key: str, frequency: str, measure: str = "revenue") -> DataFrame:
-    """(period, key, value) for every period that has rows and every key, cells without rows 0."""
-    sums = sales.groupBy(period_of(frequency).alias("period"), key).agg(money(measure).alias("value"))
+def filled(sums: DataFrame, key: str) -> DataFrame:
+    """(period, key, value) for every period and every key of the kept sums, cells without rows 0."""
     grid = sums.select("period").distinct().join(sums.select(key).distinct())
     return grid.join(sums, ["period", key], "left").select("period", key, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def by_period_and(sales: DataFrame, key: str, frequency: str, measure: str = "revenue") -> DataFrame:
+    """(period, key, value) for every period that has rows and every key, cells without rows 0."""
+    return filled(kept_sums(sales, frequency, key, value=measure), key)
+
+
+def whole_by_period_and(sales: DataFrame, key: str, frequency: str, measure: str = "revenue") -> DataFrame:
+    """by_period_and() of the whole periods, whose bounds come from the same pass."""
+    return filled(whole_sums(kept_sums(sales, frequency, key, value=measure), frequency), key)
+
+
 def with_half(cells: DataFrame) -> DataFrame:
     """cells with n (periods), half (n // 2), ordinal of the period and whether it is in the first half."""
     order = Window.orderBy("period")

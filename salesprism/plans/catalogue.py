@@ -70,7 +70,7 @@ def period_sum_day(e):
 
 @_query("date", "category", "revenue")
 def product_period_matrix(s):
-    return P.by_period_and(P.whole_periods(s, P.MONTH), "category", P.MONTH)
+    return P.whole_by_period_and(s, "category", P.MONTH)
 
 
 @_query("product", "revenue")
@@ -231,7 +231,7 @@ def goal_gap_drivers(s):
 
 
 def _series(s: DataFrame) -> DataFrame:
-    return P.by_period_and(P.whole_periods(s, P.MONTH), "category", P.MONTH).withColumnRenamed("category", "subject")
+    return P.whole_by_period_and(s, "category", P.MONTH).withColumnRenamed("category", "subject")
 
 
 @_query("date", "category", "revenue")
@@ -495,7 +495,7 @@ def deseasonalised(s):
 def arima_forecast(s):
     from salesprism.functions.arima import forecasts
 
-    return forecasts(P.by_period_and(P.whole_periods(s, P.MONTH), "product", P.MONTH).withColumnRenamed("product", "subject"), horizon=3, floor=0.0)
+    return forecasts(P.whole_by_period_and(s, "product", P.MONTH).withColumnRenamed("product", "subject"), horizon=3, floor=0.0)
 
 
 @_query("date", "product", "revenue")
