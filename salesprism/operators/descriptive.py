@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesprism.operators.periods import MONTH, everything, by_period, half_means, kept_sums, money, open_period, pct_change, period_of, whole_by_period_and, whole_periods, whole_sums, with_half
+from salesprism.scratch import written
 
 
 def product_ranking(sales: DataFrame, key: str = "product", measure: str = "revenue") -> DataFrame:
@@ -125,7 +126,8 @@ def group_quantiles(values: DataFrame, by: list[str], column: str = "value", wei
     """(*by, each wanted): exact quantiles of each group, between neighbours by share; weight: a column with the times that a value counts.
 
     Values are counted by group and range first. Only ranges that hold a wanted rank are looked into, where equal
-    values are counted before they are put in order; so no task holds a group's values, or those of one value.
+    values are counted and the ranges narrowed before values are put in order; so no task holds a group's values, or
+    those of one value, or all values that lie close together.
     """
     v, times = F.col(column), F.col(weight) if weight else F.lit(1)
     binned = values.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*by, v.cast("double").alias("_v"), times.cast("long").alias("_k")).withColumn("_bin", value_bin(F.col("_v")))
@@ -138,16 +140,37 @@ def group_quantiles(values: DataFrame, by: list[str], column: str = "value", wei
     need = bins.withColumn("_x", F.explode(F.array(*ranks))).select(*by, "_bin", (F.col("_until") - F.col("_n")).alias("_before"), "_until", "_x.*")
     need = need.where("_weight > 0 and _rank >= _before and _rank < _until")
     asked = need.groupBy(*by, "_bin").agg(F.max("_before").alias("_before"), F.collect_list(F.struct("_name", "_rank", "_weight")).alias("_asked"))
-    asked = asked.withColumnsRenamed({c: f"_of_{c}" for c in by} | {"_bin": "_at"})
+    asked = written(asked.withColumn("_place", F.monotonically_increasing_id()), "asked")
+    at_place = asked.select("_place", F.col("_bin").alias("_at"), *[F.col(c).alias(f"_of_{c}") for c in by])
     meets = F.col("_bin") == F.col("_at")
     for c in by:
         meets &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    held = binned.join(asked, meets).groupBy(*by, "_bin", "_v", "_before").agg(F.sum("_k").alias("_k"), F.first("_asked").alias("_asked"))
-    until = F.col("_before") + F.sum("_k").over(Window.partitionBy(*by, "_bin").orderBy("_v"))
+    held = written(binned.join(at_place, meets).groupBy("_place", "_v").agg(F.sum("_k").alias("_k")), "held")
+    for _ in range(NARROWED):
+        held, asked = narrowed(held, asked.select("_place", *by, "_before", "_asked"))
+    held = held.join(asked, "_place")
+    until = F.col("_before") + F.sum("_k").over(Window.partitionBy("_place").orderBy("_v"))
     hits = held.withColumn("_to", until).select(*by, "_v", "_k", "_to", F.explode("_asked").alias("_x")).where("_x._rank < _to and _x._rank >= _to - _k")
     return hits.groupBy(*by).agg(*[F.sum(F.when(F.col("_x._name") == k, F.col("_v") * F.col("_x._weight"))).alias(k) for k in wanted])
 
 
+#: Equal parts that a range of values is cut into, and how often: of the doubles in a range of one per cent, at most a million share a part of a part.
+RANGE_PARTS, NARROWED = 8192, 2
+
+
+def narrowed(held: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Values (_place, _v, _k) and ranks (_place, ..., _before, _asked) by the parts of each place's range that hold an asked rank; each part is a place of its own."""
+    ends = held.groupBy("_place").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGE_PARTS)).otherwise(0)
+    cut = held.join(ends, "_place").withColumn("_part", part).drop("_low", "_high")
+    parts = cut.groupBy("_place", "_part").agg(F.sum("_k").alias("_n")).withColumn("_to", F.sum("_n").over(Window.partitionBy("_place").orderBy("_part")))
+    parts = parts.join(asked, "_place").withColumn("_until", F.col("_before") + F.col("_to")).withColumn("_before", F.col("_until") - F.col("_n"))
+    parts = parts.where(F.exists("_asked", lambda x: (x["_rank"] < F.col("_until")) & (x["_rank"] >= F.col("_before"))))
+    wanted = written(parts.drop("_n", "_to", "_until").withColumn("_next", F.monotonically_increasing_id()), "asked")
+    found = cut.join(wanted.select("_place", "_part", "_next"), ["_place", "_part"]).select(F.col("_next").alias("_place"), "_v", "_k")
+    return written(found, "held"), wanted.drop("_place", "_part").withColumnRenamed("_next", "_place")
+
+
 def quantiles(values: DataFrame, column: str = "value", **wanted: float) -> DataFrame:
     """One row of exact quantiles of all values, null without values."""
     return group_quantiles(values.withColumn("_all", F.lit(0)), ["_all"], column, **wanted).agg(*[F.max(k).alias(k) for k in wanted])
