@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from salesprism.functions.text import directive_count, numbers_in
 from salesprism.plans.findings import Finding
+from salesprism.scratch import written
 
 # Words that claim a cause, hedges, words of direction, types of findings that may name a cause.
 CAUSES = ("because", "caused by", "caused", "due to", "driven by", "drove", "as a result of", "resulted in", "led to", "leading to", "explains why", "the reason", "thanks to", "owing to", "brought about")
@@ -106,7 +107,7 @@ def unknown_names(answers: DataFrame, leaves: DataFrame) -> DataFrame:
     A label that lies in a run shares its rarest word with it, and so does a run that lies in a label: both meet by
     that word only, so words that many labels have join nothing.
     """
-    labels = labels_of(leaves)
+    labels = written(labels_of(leaves), "labels")
     runs = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({NAME_RUN})"), F.lit(1)))).alias("name")).withColumn("run_words", words_of(F.col("name")))
     counts = labels.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
@@ -123,13 +124,17 @@ def unknown_names(answers: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def problems(answers: DataFrame, findings: DataFrame) -> DataFrame:
     """(answer_id, kind, detail) of all problems of answers (answer_id, text, cited, absent) with findings (id, type, summary, facts, strength)."""
-    leaves = fact_leaves(findings)
+    # both tables and the leaves are read by every check; they are made once
+    findings = written(findings, "findings")
+    leaves = written(fact_leaves(findings), "leaves")
     low = F.lower("text")
     answers = answers.select("answer_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("cited", F.array().cast("array<string>")).alias("cited"), F.coalesce("absent", F.array().cast("array<string>")).alias("absent"))
+    answers = written(answers, "answers")
     spoken = answers.where(F.trim("text") != "")
     cites = spoken.select("answer_id", F.explode(F.array_distinct("cited")).alias("id")).join(findings.select("id", "type", "strength"), "id")
     backed = cites.groupBy("answer_id").agg(F.max(F.col("strength").isin(*SURE)).alias("sure"), F.max(F.col("type").isin(*CAUSAL_TYPES)).alias("splits"))
-    used = spoken.join(backed, "answer_id")
+    backed = written(backed, "backed")
+    used = written(spoken.join(backed, "answer_id"), "used")
     found = lambda rows, kind, detail=F.lit(""): rows.select("answer_id", F.lit(kind).alias("kind"), detail.alias("detail"))
 
     numbers = used.select("answer_id", F.explode(F.array_distinct(numbers_in(F.col("text")))).alias("number"))
