@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.scratch import written
+
 # Cells that mean nothing, currency signs and words, the window of spreadsheet date serials.
 NULL_TOKENS = ("", "-", "--", "---", "n/a", "na", "nan", "nil", "none", "null", "#n/a", "#value!", "#div/0!", "#ref!", "tbd", "unknown", "?", ".")
 SIGNS = "₦$£€¥"
@@ -65,28 +67,34 @@ def to_datetime(df: DataFrame, column: str, out: str) -> DataFrame:
     Where both readings of a cell exist, its separator decides: a first part above 12 anywhere means day first, a
     second part above 12 month first, else the reading that more often falls inside the range of the certain dates.
     """
-    t = F.trim(named(column).cast("string"))
-    number = parsed_number(named(column))
-    rates = df.agg(F.count_if(~is_blank(named(column))).alias("n"), F.count(number).alias("numeric"), F.count_if(number.between(SERIAL_FIRST, SERIAL_LAST)).alias("serial")).first()
+    # each spelling is parsed once, however many rows have it
+    spelled = written(df.groupBy(named(column).cast("string").alias("_raw")).agg(F.count("*").alias("_times")), "dates")
+    cell, times = F.col("_raw"), F.col("_times")
+    t, number, filled = F.trim(cell), parsed_number(cell), ~is_blank(cell)
+    total = lambda c: F.coalesce(F.sum(F.when(c, times)), F.lit(0))
+    rates = spelled.agg(total(filled).alias("n"), total(number.isNotNull()).alias("numeric"), total(number.between(SERIAL_FIRST, SERIAL_LAST)).alias("serial")).first()
     if rates["n"] and rates["numeric"] >= 0.9 * rates["n"]:
-        serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(number).cast("int"))
-        return df.withColumn(out, F.when(number.between(SERIAL_FIRST, SERIAL_LAST), serial) if rates["serial"] >= 0.9 * rates["numeric"] else F.lit(None).cast("date"))
+        own = parsed_number(named(column))
+        serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(own).cast("int"))
+        return df.withColumn(out, F.when(own.between(SERIAL_FIRST, SERIAL_LAST), serial) if rates["serial"] >= 0.9 * rates["numeric"] else F.lit(None).cast("date"))
     day, month = F.coalesce(_first_format(t, EITHER), _first_format(t, DAY_FIRST)), F.coalesce(_first_format(t, EITHER), _first_format(t, MONTH_FIRST))
-    df = df.withColumn("_d", F.when(~is_blank(named(column)), day)).withColumn("_m", F.when(~is_blank(named(column)), month))
-    verdicts = separator_verdicts(df, column, "_d", "_m")
+    spelled = spelled.where("_raw is not null").withColumn("_d", F.when(filled, day)).withColumn("_m", F.when(filled, month))
+    verdicts = separator_verdicts(spelled, "_raw", "_d", "_m", "_times")
     sep = F.regexp_extract(t, r"^\d{1,2}([/.\-])\d{1,2}\1", 1)
-    chosen = df.withColumn("_s", sep).join(F.broadcast(verdicts.select(F.col("separator").alias("_s"), "day_first")), "_s", "left")
-    return chosen.withColumn(out, F.when(F.coalesce("day_first", F.lit(True)), F.coalesce("_d", "_m")).otherwise(F.coalesce("_m", "_d"))).drop("_d", "_m", "_s", "day_first")
+    chosen = spelled.withColumn("_s", sep).join(F.broadcast(verdicts.select(F.col("separator").alias("_s"), "day_first")), "_s", "left")
+    dates = chosen.select("_raw", F.when(F.coalesce("day_first", F.lit(True)), F.coalesce("_d", "_m")).otherwise(F.coalesce("_m", "_d")).alias(out))
+    return df.withColumn("_cell", named(column).cast("string")).join(dates, F.col("_cell") == F.col("_raw"), "left").drop("_cell", "_raw")
 
 
-def separator_verdicts(df: DataFrame, column: str, day: str, month: str) -> DataFrame:
-    """(separator, day_first) for the at most three separators of numeric dates."""
+def separator_verdicts(df: DataFrame, column: str, day: str, month: str, weight: str | None = None) -> DataFrame:
+    """(separator, day_first) for the at most three separators of numeric dates; weight: a column with the rows that a cell stands for."""
+    times = F.col(weight) if weight else F.lit(1)
     t = F.trim(named(column).cast("string"))
     pattern = r"^(\d{1,2})([/.\-])(\d{1,2})\2"
-    parts = df.where(t.rlike(pattern)).select(F.regexp_extract(t, pattern, 2).alias("separator"), F.regexp_extract(t, pattern, 1).try_cast("int").alias("first"), F.regexp_extract(t, pattern, 3).try_cast("int").alias("second"), F.col(day).alias("d"), F.col(month).alias("m"))
-    certain = df.select(F.when(F.col(day) == F.col(month), F.col(day)).when(F.col(day).isNull() | F.col(month).isNull(), F.coalesce(day, month)).alias("x")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("certain"))
+    parts = df.where(t.rlike(pattern)).select(F.regexp_extract(t, pattern, 2).alias("separator"), F.regexp_extract(t, pattern, 1).try_cast("int").alias("first"), F.regexp_extract(t, pattern, 3).try_cast("int").alias("second"), F.col(day).alias("d"), F.col(month).alias("m"), times.alias("times"))
+    certain = df.select(times.alias("times"), F.when(F.col(day) == F.col(month), F.col(day)).when(F.col(day).isNull() | F.col(month).isNull(), F.coalesce(day, month)).alias("x")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("times"))), F.lit(0)).alias("certain")).select("low", "high", "certain")
     parts = parts.crossJoin(certain)
-    t = parts.groupBy("separator").agg(F.max(F.col("first") > 12).alias("day_sure"), F.max(F.col("second") > 12).alias("month_sure"), F.count_if(F.col("d").between(F.col("low"), F.col("high"))).alias("day_hits"), F.count_if(F.col("m").between(F.col("low"), F.col("high"))).alias("month_hits"), F.max("certain").alias("certain"))
+    t = parts.groupBy("separator").agg(F.max(F.col("first") > 12).alias("day_sure"), F.max(F.col("second") > 12).alias("month_sure"), F.coalesce(F.sum(F.when(F.col("d").between(F.col("low"), F.col("high")), F.col("times"))), F.lit(0)).alias("day_hits"), F.coalesce(F.sum(F.when(F.col("m").between(F.col("low"), F.col("high")), F.col("times"))), F.lit(0)).alias("month_hits"), F.max("certain").alias("certain"))
     return t.select("separator", F.when(F.col("day_sure"), True).when(F.col("month_sure"), False).otherwise((F.col("certain") < 3) | (F.col("day_hits") >= F.col("month_hits"))).alias("day_first"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesprism.functions.cleaning import is_blank, parsed_number, to_datetime, to_labels
 from salesprism.operators.descriptive import quantiles
+from salesprism.scratch import written
 
 BLOCK, WARN, INFO = "BLOCK", "WARN", "INFO"
 
@@ -17,9 +18,11 @@ BLOCK, WARN, INFO = "BLOCK", "WARN", "INFO"
 DATE, PRODUCT, VALUE = "_gate_date", "_gate_product", "_gate_value"
 
 
-def raw_view(tidy: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Every row of a file with its date, product and value as far as they can be read; roles: role -> column."""
-    view = to_labels(to_datetime(tidy, roles["date"], DATE), roles["product"], PRODUCT)
+def raw_view(tidy: DataFrame, roles: dict[str, str], labels: bool = True) -> DataFrame:
+    """Every row of a file with its date, product and value as far as they can be read; roles: role -> column; without labels, no product."""
+    view = to_datetime(tidy, roles["date"], DATE)
+    if labels:
+        view = to_labels(view, roles["product"], PRODUCT)
     number = lambda role: parsed_number(F.col(f"`{roles[role]}`"))
     if "revenue" in roles:
         return view.withColumn(VALUE, number("revenue"))
@@ -44,13 +47,19 @@ def month_counts(raw: DataFrame, date: str = "date") -> DataFrame:
 
 def month_gaps(raw: DataFrame, date: str = "date") -> DataFrame:
     """Inner months without rows."""
-    m = month_counts(raw, date)
+    return gaps_of(written(month_counts(raw, date), "months"))
+
+
+def gaps_of(m: DataFrame) -> DataFrame:
     spine = m.agg(F.min("month").alias("a"), F.max("month").alias("b")).where("a is not null").select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
     return spine.join(m, "month", "left_anti")
 
 
 def doubled_months(raw: DataFrame, date: str = "date", factor: float = 1.85) -> DataFrame:
-    m = month_counts(raw, date)
+    return doubled_of(written(month_counts(raw, date), "months"), factor)
+
+
+def doubled_of(m: DataFrame, factor: float = 1.85) -> DataFrame:
     typical = m.agg(F.percentile("rows", F.lit(0.5)).alias("median"), F.count("*").alias("months"), F.sum("rows").alias("all_rows"))
     return m.crossJoin(typical).where((F.col("rows") > factor * F.col("median")) & (F.col("all_rows") >= 90) & (F.col("months") >= 4)).select("month", "rows", "median")
 
@@ -89,14 +98,25 @@ SEVERITY = {"row_count_collapse": BLOCK, "distribution_shift": BLOCK, "history_w
 
 
 def gate_facts(view: DataFrame, own: DataFrame, blanks: list[str], as_of: dt.date, date: str = DATE, value: str = VALUE, tokens: bool = True) -> DataFrame:
-    """One row with what the gate judges: a pass over the rows of `own` for duplicates, one over blanks, dates and values, one over months."""
-    months = month_counts(view, date)
+    """One row with what the gate judges: a pass over the rows of `own` for duplicates, and one over those of view, which has its columns, that leaves a row for each day."""
+    blank, v = (lambda c: is_blank(c) if tokens else c.isNull() | (F.trim(c.cast("string")) == "")), F.col(value)
+    days = view.groupBy(F.to_date(date).alias("day")).agg(
+        F.count("*").alias("all"), F.count(date).alias("dated"), F.count(v).alias("values"), F.count_if(v < 0).alias("negative"), F.count_if(v == 0).alias("zero"), *[F.count_if(blank(F.col(f"`{c}`"))).alias(f"blank{k}") for k, c in enumerate(blanks)]
+    )
+    days = written(days, "days")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    share = lambda part, whole: F.coalesce(F.try_divide(total(part), F.sum(whole)), F.lit(0.0))
+    when = lambda c: F.sum(F.when(c, F.col("dated")).otherwise(0))
+    rates = [share(f"blank{k}", "all") for k in range(len(blanks))]
+    sums = days.agg(
+        (F.greatest(*rates) if len(rates) > 1 else rates[0] if rates else F.lit(0.0)).alias("worst_blank"), total("dated").alias("dated"), F.coalesce(when(F.col("day") > F.date_add(F.lit(as_of), 1)), F.lit(0)).alias("future"), F.coalesce(when(F.col("day") < F.lit(dt.date(1990, 1, 1))), F.lit(0)).alias("ancient"),
+        total("values").alias("n"), share("negative", "values").alias("negative_share"), share("zero", "values").alias("zero_share"),
+    )
+    months = days.where("day is not null").groupBy(F.trunc("day", "MM").alias("month")).agg(F.sum("dated").alias("rows"))
     span = months.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("dated_rows"), F.coalesce(F.months_between(F.max("month"), F.min("month")), F.lit(0.0)).alias("span"))
-    gaps, doubled = month_gaps(view, date).agg(F.count("*").alias("gaps")), doubled_months(view, date).agg(F.count("*").alias("doubled"))
-    rates = null_rates(own, blanks, tokens).agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("worst_blank"))
+    gaps, doubled = gaps_of(months).agg(F.count("*").alias("gaps")), doubled_of(months).agg(F.count("*").alias("doubled"))
     # each side is one row
-    t = duplicates(own).crossJoin(rates).crossJoin(date_shares(view, as_of, date)).crossJoin(value_shares(view, value))
-    return t.crossJoin(span).crossJoin(gaps).crossJoin(doubled)
+    return duplicates(own).crossJoin(sums).crossJoin(span).crossJoin(gaps).crossJoin(doubled)
 
 
 def judged(facts: DataFrame) -> DataFrame:
@@ -124,7 +144,7 @@ def judged(facts: DataFrame) -> DataFrame:
 
 def issues(raw: DataFrame, as_of: dt.date, previous: DataFrame | None = None, roles: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """(code, severity) of everything the gate finds in a table, read by its roles; without roles its columns are date, product and revenue."""
-    view = raw_view(raw, roles) if roles else raw.select("*", F.to_date("date").alias(DATE), F.col("product").alias(PRODUCT), F.col("revenue").alias(VALUE))
+    view = raw_view(raw, roles, labels=previous is not None) if roles else raw.select("*", F.to_date("date").alias(DATE), F.col("product").alias(PRODUCT), F.col("revenue").alias(VALUE))
     blanks = [roles[r] for r in ("date", "product", "revenue") if r in roles] if roles else ["date", "product", "revenue"]
     out = [(r["code"], r["severity"]) for r in judged(gate_facts(view, raw, blanks, as_of)).collect()]
     if ("empty_file", BLOCK) in out:

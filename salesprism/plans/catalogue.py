@@ -298,7 +298,7 @@ def _planted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate says of that file before any of its rows is dropped."""
     raw = _planted_file(spark, sf_dir)
-    return Q.judged(Q.gate_facts(Q.raw_view(raw, PLANTED), raw, list(PLANTED.values()), AS_OF))
+    return Q.judged(Q.gate_facts(Q.raw_view(raw, PLANTED, labels=False), raw, list(PLANTED.values()), AS_OF))
 
 
 _REGISTRY["quality_issues"] = quality_issues
@@ -393,10 +393,10 @@ def revenue_corroboration(s):
 @_query("cost", "quantity", "revenue")
 def cost_basis(s):
     """The engine's choice for a column of costs a unit, and for one of costs a line."""
-    from salesprism.plans.detection import cost_spread
+    from salesprism.plans.detection import cost_spreads
 
     t = s.withColumn("unit", F.try_divide("cost", "quantity"))
-    return cost_spread(_texts(t, unit=4, quantity=2, revenue=2), "unit", "quantity", "revenue").withColumn("given", F.lit("unit")).unionByName(cost_spread(_texts(t, cost=2, quantity=2, revenue=2), "cost", "quantity", "revenue").withColumn("given", F.lit("line")))
+    return cost_spreads(_texts(t, unit=4, cost=2, quantity=2, revenue=2), {"unit": "unit", "line": "cost"}, "quantity", "revenue")
 
 
 @_table_query("customer")
