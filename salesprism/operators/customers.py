@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesprism.operators.descriptive import value_bin
 from salesprism.operators.periods import MONTH, everything, half_means, money, pct_change, period_of, whole_periods
+from salesprism.scratch import written
 
 
 def first_purchases(sales: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def repeat_and_new(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
 
 
 def repeat_vs_new(sales: DataFrame, frequency: str = MONTH) -> DataFrame:
-    t = repeat_and_new(sales, frequency)
+    t = written(repeat_and_new(sales, frequency), "repeat")
     both = t.select("period", F.explode(F.create_map(F.lit("new"), F.col("new"), F.lit("repeat"), F.col("repeat"))).alias("side", "value"))
     return half_means(both, "side").withColumn("change_pct", pct_change(F.col("after"), F.col("before")))
 
@@ -35,7 +36,7 @@ def quartile_cuts(values: DataFrame) -> DataFrame:
     counted = values.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("bin", value_bin(F.col("v")))
     own = Window.partitionBy("c")
     bins = counted.groupBy("c", "bin").agg(F.sum("n").alias("s"), F.min("v").alias("least"), F.max("v").alias("most"))
-    bins = bins.withColumn("below", F.sum("s").over(own.orderBy("bin")) - F.col("s")).withColumn("total", F.sum("s").over(own))
+    bins = written(bins.withColumn("below", F.sum("s").over(own.orderBy("bin")) - F.col("s")).withColumn("total", F.sum("s").over(own)), "bins")
     quarters = F.floor(4 * (F.col("below") + F.col("s")) / F.col("total")) > F.floor(4 * F.col("below") / F.col("total"))
     inner = counted.join(bins.where(quarters).select("c", "bin", "below", "total"), ["c", "bin"])
     until = F.col("below") + F.sum("n").over(Window.partitionBy("c", "bin").orderBy("v"))
@@ -68,7 +69,7 @@ def rfm(sales: DataFrame) -> DataFrame:
     rows = sales.where("customer_id is not null")
     now = sales.agg(F.to_date(F.max("date")).alias("now"))
     t = rows.groupBy("customer_id").agg(F.to_date(F.max("date")).alias("last"), F.to_date(F.min("date")).alias("first"), F.count("*").alias("lines"), money("revenue").alias("spend"))
-    t = t.crossJoin(now).select("customer_id", F.datediff("now", "last").alias("recency"), F.datediff("now", "first").alias("age"), "lines", "spend")
+    t = written(t.crossJoin(now).select("customer_id", F.datediff("now", "last").alias("recency"), F.datediff("now", "first").alias("age"), "lines", "spend"), "customers")
     t = _quartiles(t, {"r": ("recency", True), "f": ("lines", False), "m": ("spend", False)})
     young = t.agg(F.greatest(F.lit(30), F.floor(F.percentile("recency", F.lit(0.5)))).alias("young"))
     t = t.crossJoin(young)
@@ -79,11 +80,21 @@ def rfm(sales: DataFrame) -> DataFrame:
 
 def chart_sample(sales: DataFrame, limit: int = 400) -> DataFrame:
     """At most `limit` customers for a chart, the same ones each time: those whose ids have the smallest digests."""
-    return rfm(sales).orderBy(F.sha2("customer_id", 256), "customer_id").limit(limit).select("customer_id", "recency", F.col("lines").alias("frequency"), F.col("spend").alias("monetary"), "segment")
+    return sample_of(rfm(sales), limit)
+
+
+def sample_of(customers: DataFrame, limit: int = 400) -> DataFrame:
+    """chart_sample() of a table that rfm() made."""
+    return customers.orderBy(F.sha2("customer_id", 256), "customer_id").limit(limit).select("customer_id", "recency", F.col("lines").alias("frequency"), F.col("spend").alias("monetary"), "segment")
 
 
 def rfm_segments(sales: DataFrame) -> DataFrame:
-    t = rfm(sales).groupBy("segment").agg(F.count("*").alias("customers"), money("spend").alias("spend"), F.avg("recency").alias("avg_recency"), F.avg("lines").alias("avg_lines"))
+    return segments_of(rfm(sales))
+
+
+def segments_of(customers: DataFrame) -> DataFrame:
+    """rfm_segments() of a table that rfm() made."""
+    t = customers.groupBy("segment").agg(F.count("*").alias("customers"), money("spend").alias("spend"), F.avg("recency").alias("avg_recency"), F.avg("lines").alias("avg_lines"))
     return t.withColumn("share", F.col("customers") / F.sum("customers").over(everything()))
 
 
@@ -100,7 +111,7 @@ def cohort_sizes(sales: DataFrame) -> DataFrame:
 
 def cohort_retention(sales: DataFrame, least: int = 8) -> DataFrame:
     """(cohort, age, size, retained, rate) for cohorts of at least 8, at every age they are old enough for; unseen is 0."""
-    counts = cohort_counts(sales)
+    counts = written(cohort_counts(sales), "cohorts")
     sizes = counts.where("age = 0").select("cohort", F.col("customers").alias("size")).where(F.col("size") >= least)
     last = sales.agg(F.trunc(F.max("date"), "MM").alias("last"))
     grid = sizes.crossJoin(last).withColumn("oldest", (12 * (F.year("last") - F.year("cohort")) + F.month("last") - F.month("cohort")).cast("int"))

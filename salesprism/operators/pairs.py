@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from salesprism.functions.stats import t_quantile
 from salesprism.operators.periods import MONTH, whole_by_period_and
+from salesprism.scratch import written
 
 BLOCK_ITEMS, BASKET_BLOCK = 512, 512
 PAIRS_AT_ONCE = 100_000
@@ -107,7 +108,7 @@ def supported_pairs(baskets: DataFrame, floor_share: float = 0.01, floor_least:
     many = baskets.withColumn("size", F.count("*").over(Window.partitionBy("basket"))).where("size >= 2")
     n_baskets = many.agg(F.countDistinct("basket")).first()[0]
     floor = max(floor_least, int(floor_share * n_baskets))
-    items = many.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    items = written(many.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= floor), "items")
     held = many.select("basket", "item").join(items, "item").select("basket", F.struct("item", "n").alias("x"))
     if items.count() <= BASKET_BLOCK:
         pairs = _pairs_inside(held.groupBy("basket").agg(F.array_sort(F.collect_list("x")).alias("items")))
