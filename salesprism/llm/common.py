@@ -92,3 +92,29 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
+
+
+def where_text(df: DataFrame, column: str, keep: Callable[[list[str]], list[bool]], rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of df that keep() says yes to, from texts of bounded slices; a null text is empty. Rows pass as Arrow holds them, only the texts of a slice become Python objects."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                own = batch.slice(start, rows)
+                yield own.filter(pa.array(keep([t or "" for t in own.column(column).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_text(df: DataFrame, column: str, change: Callable[[str], str], rows: int = SLICE_ROWS) -> DataFrame:
+    """df with the texts of a column changed one by one, as where_text() reads them; a null stays null."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for start in range(0, batch.num_rows, rows):
+                own = batch.slice(start, rows)
+                texts = [None if t is None else change(t) for t in own.column(at).to_pylist()]
+                yield own.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)

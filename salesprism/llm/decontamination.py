@@ -26,11 +26,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import SLICE_ROWS, map_slices, text_or_empty
+from salesprism.llm.common import SLICE_ROWS, map_slices, text_or_empty, where_text
 
 WORD = re.compile(r"[^\W_]+")
 EDITS, SAMPLES, RECALL, MOST_REPETITIONS = 0.2, 2, 0.98, 96
@@ -139,7 +140,9 @@ def simulated_repetitions(spark: SparkSession, classes: list[list[int]]) -> list
         times = [repetitions_for(m, k, shortest=least) for least, m, k in zip(rows["shortest"], rows["words"], rows["edits"], strict=True)]
         return {"class": rows["class"], "times": times}
 
-    asked = spark.createDataFrame(cases, "class int, shortest int, words int, edits int").repartition(len(cases))
+    # from Arrow: rows of Python objects would take further Python workers beside those of the search
+    names = ("class", "shortest", "words", "edits")
+    asked = spark.createDataFrame(pa.table({n: pa.array(v, pa.int32()) for n, v in zip(names, zip(*cases, strict=True), strict=True)})).repartition(len(cases))
     times: dict[int, list[int | None]] = {}
     for r in map_slices(asked, simulate, "class int, times int").collect():
         times.setdefault(r["class"], []).append(r["times"])
@@ -370,21 +373,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
 
 
 def _clean(sent):
-    """A column function: whether no item of the broadcast block is in reach."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
+    """A function of texts: whether no item of the broadcast block is in reach."""
     cache: dict[str, Matcher] = {}
-
-    @pandas_udf("boolean")
-    def clean(texts):
-        return pd.Series([not x for x in _matcher(sent, cache).search(texts.tolist())], dtype=bool)
-
-    return clean
+    return lambda texts: [not x for x in _matcher(sent, cache).search(texts)]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in whose text no item is in reach."""
     for block in item_blocks(benchmark, item_id, item_text):
-        docs = docs.where(_clean(_sent(docs, block))(text_or_empty(text_column)))
+        docs = where_text(docs, text_column, _clean(_sent(docs, block)), rows=16 * SLICE_ROWS)
     return docs

@@ -29,7 +29,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import map_slices, text_or_empty
+from salesprism.llm.common import map_slices, text_or_empty, with_text
 
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 BASE_KINDS = KINDS[:3]
@@ -352,14 +352,8 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def redact_secrets(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """docs, every row kept, with secrets in the text replaced by marks; the length column follows. A null text stays null."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: redact(t, find_secrets(t)[1]), na_action="ignore")
-
-    out = docs.withColumn(text_column, clean(F.col(text_column)))
+    out = with_text(docs, text_column, lambda t: redact(t, find_secrets(t)[1]))
     if length_column and length_column in docs.columns:
         kind = docs.schema[length_column].dataType
-        out = out.withColumn(length_column, F.when(F.col(text_column).isNull(), docs[length_column]).otherwise(F.length(text_column)).cast(kind))
+        out = out.withColumn(length_column, F.when(F.col(text_column).isNull(), F.col(length_column)).otherwise(F.length(text_column)).cast(kind))
     return out

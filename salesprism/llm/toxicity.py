@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import map_slices, text_or_empty
+from salesprism.llm.common import map_slices, text_or_empty, where_text
 
 TRAIN_DOCUMENTS, TRAIN_CHARACTERS, LONGEST = 5_000, 16_000_000, 400_000
 #: Words in fewer sample documents aren't features.
@@ -216,16 +216,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_column: str = "text") -> DataFrame:
     """The rows of docs whose text scores below one half."""
-    from pyspark.sql.functions import pandas_udf
-
     sent = docs.sparkSession.sparkContext.broadcast((model.leak, model.weights, model.trained))
 
     cache: dict = {}
 
-    @pandas_udf("boolean")
     def clean(texts):
         m = cache.setdefault("own", None) or ToxicityModel(*sent.value)
         cache["own"] = m
-        return texts.map(lambda t: not m.trained or score_text(t, m)[0] < 0.5)
+        return [not m.trained or score_text(t, m)[0] < 0.5 for t in texts]
 
-    return docs.where(clean(text_or_empty(text_column)))
+    return where_text(docs, text_column, clean)
