@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from salesprism.llm.common import SLICE_ROWS, map_slices, text_or_empty, where_text
 
 WORD = re.compile(r"[^\W_]+")
+#: Different characters between words up to which they are made blanks one by one, which is faster than the pattern.
+FEW_MARKS = 48
 EDITS, SAMPLES, RECALL, MOST_REPETITIONS = 0.2, 2, 0.98, 96
 BLOCK_CHARACTERS = 8_000_000
 #: Lengths in a class differ by this factor at most; windows embedded at once.
@@ -44,7 +47,14 @@ PAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The runs of letters and digits in lower case, as WORD finds them."""
+    text = text.lower()
+    marks = [c for c in set(text) if not c.isalnum() and not c.isspace()]
+    if len(marks) > FEW_MARKS:
+        return WORD.findall(text)
+    for c in marks:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def word_code(word: str) -> int:
@@ -68,19 +78,30 @@ class Walks:
     def keys(self, windows: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
         """For each length, keys (repetition, window) of windows cut to that length; rows are padded on the right."""
         n, wide = windows.shape
-        flat, base = np.append(windows, np.full((n, 1), PAD), axis=1).ravel(), np.arange(n) * (wide + 1)
-        at = np.zeros((len(self.factors), n), np.int64)
-        keys = {m: np.zeros((len(self.factors), n), np.uint64) for m in lengths}
-        for step in range(int(self.sampled.max()) + 1):
-            symbols = flat[base + np.minimum(at, wide)]
-            for r, times in zip(*np.unique(np.nonzero(self.sampled == step)[0], return_counts=True), strict=True):
-                for m in lengths:
-                    symbol = np.where(at[r] < m, symbols[r], PAD)
-                    for _ in range(times):
-                        keys[m][r] = (keys[m][r] ^ symbol) * np.uint64(0x9FB21C651E98DF25)
-                        keys[m][r] ^= keys[m][r] >> np.uint64(29)
-            at += ((symbols * self.factors[:, step, None]) >> np.uint64(63)).astype(np.int64)
-        return keys
+        # the place of a walk is step * n + window: the same step of all windows lies together, and what follows the end is padded
+        reach = int(self.sampled.max()) + 1
+        symbols = np.full((max(wide, reach) + 1, n), PAD)
+        symbols[:wide] = windows.T
+        symbols, ends = symbols.ravel(), np.array(lengths)[:, None] * n
+        # walks that end last come first, so that those which still go on are a slice
+        order = np.argsort(-self.sampled[:, -1], kind="stable")
+        last, factors = self.sampled[order, -1], self.factors[order]
+        at = np.tile(np.arange(n), (len(order), 1))
+        keys = np.zeros((len(order), len(lengths), n), np.uint64)
+        for step in range(reach):
+            going = int(np.searchsorted(-last, -step, "right"))
+            read = symbols[at[:going]]
+            for i, times in zip(*np.unique(np.nonzero(self.sampled[order[:going]] == step)[0], return_counts=True), strict=True):
+                symbol = np.where(at[i] < ends, read[i], PAD)
+                for _ in range(times):
+                    keys[i] = (keys[i] ^ symbol) * np.uint64(0x9FB21C651E98DF25)
+                    keys[i] ^= keys[i] >> np.uint64(29)
+            read *= factors[:going, step, None]
+            read >>= np.uint64(63)
+            read *= np.uint64(n)
+            at[:going] += read.view(np.int64)
+        back = np.argsort(order)
+        return {m: keys[back, i] for i, m in enumerate(lengths)}
 
 
 def repetitions_for(n_words: int, edits: int, recall: float = RECALL, pairs: int = 300, shortest: int | None = None) -> int | None:
@@ -211,11 +232,13 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS, recall: float = RECALL, repetitions: list[int] | None = None):
         self.items = [(i, w, edits_allowed(len(w), edits)) for i, t in items if (w := words_of(t))]
+        self.own_words = [frozenset(w) for _, w, _ in self.items]
         self.vocabulary: dict[str, int] = {}
         for _, w, _ in self.items:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
         self.size = len(self.vocabulary)
+        self.codes = np.array([word_code(x) for x in self.vocabulary], np.uint64)
         ids = [[self.vocabulary[x] for x in w] for _, w, _ in self.items]
         self.pairs = np.unique(np.array([a * self.size + b for w in ids for a, b in zip(w, w[1:], strict=False)], np.int64))
         classes = length_classes({len(w) for _, w, _ in self.items})
@@ -229,8 +252,7 @@ class Matcher:
             tables = {}
             for m in own:
                 mine = [i for i, (_, w, _) in enumerate(self.items) if len(w) == m]
-                codes = np.array([[word_code(x) for x in self.items[i][1]] for i in mine], np.uint64)
-                keys = walks.keys(codes, [m])[m]
+                keys = walks.keys(self.codes[np.array([ids[i] for i in mine])], [m])[m]
                 order = np.argsort(keys, axis=1)
                 tables[m] = (np.take_along_axis(keys, order, 1), np.array(mine)[order])
             need_words, need_pairs = min(m - allowed[m] for m in own), min(max(0, m - 1 - 2 * allowed[m]) for m in own)
@@ -246,12 +268,14 @@ class Matcher:
         for start in range(0, len(texts), SLICE_ROWS):
             docs = [words_of(t) for t in texts[start : start + SLICE_ROWS]]
             lengths = np.array([len(d) for d in docs])
-            begins = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-            get, ids = self.vocabulary.get, []
+            ends = np.cumsum(lengths + 1) - 1
+            begins = ends - lengths
+            flat: list[str] = []
             for d in docs:
-                ids += [get(w, -1) for w in d]
-                ids.append(-1)
-            ids = np.array(ids, np.int64)
+                flat += d
+                # no word: it ends the document
+                flat.append("")
+            ids = np.fromiter(map(self.vocabulary.get, flat, repeat(-1)), np.int64, len(flat))
             known = ids >= 0
             paired = known[:-1] & known[1:]
             codes = ids[:-1][paired] * self.size + ids[1:][paired]
@@ -263,17 +287,23 @@ class Matcher:
                     for item, starts in pieces.starts(ids[begins[d] : begins[d] + lengths[d]]).items():
                         self._verify(out[start + d], item, doc, starts)
             words, pairs = np.concatenate([[0], np.cumsum(known)]), np.concatenate([[0], np.cumsum(hit)])
-            first = np.arange(len(ids))
+            first, read = np.arange(len(ids)), known.copy()
+            codes = np.full(len(ids), PAD)
+            codes[known] = self.codes[ids[known]]
+            read[ends] = True
             for c, (own, span, need_words, need_pairs, _, _) in enumerate(self.classes):
                 good = known.copy()
                 good &= words[np.minimum(first + span, len(words) - 1)] - words[:-1] >= need_words
                 if need_pairs:
                     good &= pairs[np.minimum(first + span - 1, len(pairs) - 1)] - pairs[np.minimum(first, len(pairs) - 1)] >= need_pairs
-                for at in np.flatnonzero(good).tolist():
-                    d = int(np.searchsorted(begins, at, "right")) - 1
-                    if at - begins[d] < lengths[d]:
-                        waiting[c].append((start + d, docs[d], int(at - begins[d])))
-                        held[c] += 1
+                good = np.flatnonzero(good)
+                if len(good):
+                    self._read(codes, read, flat, good, own[-1])
+                    within = np.searchsorted(ends, good)
+                    # only the words of these documents are kept until their windows meet
+                    kept = {start + d: docs[d] for d in np.unique(within).tolist()}
+                    waiting[c].append((codes, good, ends[within], start + within, good - begins[within], kept))
+                    held[c] += len(good)
                 if held[c] >= WINDOWS:
                     self._meet(c, waiting[c], out)
                     waiting[c], held[c] = [], 0
@@ -281,25 +311,43 @@ class Matcher:
             self._meet(c, waiting[c], out)
         return [self._best(x) for x in out]
 
+    @staticmethod
+    def _read(codes: np.ndarray, read: np.ndarray, flat: list[str], first: np.ndarray, wide: int) -> None:
+        """Sets the codes of the words that windows from `first` on hold and that weren't read yet."""
+        edges = np.zeros(len(codes) + 1, np.int32)
+        edges[first] = 1
+        np.subtract.at(edges, np.minimum(first + wide, len(codes)), 1)
+        new = np.flatnonzero((np.cumsum(edges[:-1], dtype=np.int32) > 0) & ~read)
+        codes[new] = np.fromiter((word_code(flat[at]) for at in new.tolist()), np.uint64, len(new))
+        read[new] = True
+
     def _meet(self, c: int, waiting: list, out: list[list]) -> None:
         own, _, _, _, walks, tables = self.classes[c]
-        for i in range(0, len(waiting), WINDOWS):
-            part = waiting[i : i + WINDOWS]
-            codes: dict[str, int] = {}
-            windows = np.full((len(part), own[-1]), PAD)
-            for row, (_, words, at) in zip(windows, part, strict=True):
-                cut = words[at : at + own[-1]]
-                row[: len(cut)] = [codes[w] if w in codes else codes.setdefault(w, word_code(w)) for w in cut]
+        if not waiting:
+            return
+        shifts = np.cumsum([0, *(len(x[0]) for x in waiting[:-1])])
+        codes = np.concatenate([x[0] for x in waiting])
+        first = np.concatenate([x[1] + s for x, s in zip(waiting, shifts, strict=True)])
+        ends = np.concatenate([x[2] + s for x, s in zip(waiting, shifts, strict=True)])
+        doc_of, at_of = np.concatenate([x[3] for x in waiting]), np.concatenate([x[4] for x in waiting])
+        words = {d: w for x in waiting for d, w in x[5].items()}
+        for i in range(0, len(first), WINDOWS):
+            part = slice(i, i + WINDOWS)
+            # behind its document a window reads the padding that ends it
+            windows = codes[np.minimum(first[part, None] + np.arange(own[-1]), ends[part, None])]
+            docs, at = doc_of[part].tolist(), at_of[part].tolist()
             met: dict[tuple[int, int], list[int]] = {}
             for m, keys in walks.keys(windows, own).items():
                 table, mine = tables[m]
                 for r in range(len(keys)):
-                    left, right = np.searchsorted(table[r], keys[r], "left"), np.searchsorted(table[r], keys[r], "right")
-                    for w in np.flatnonzero(right > left).tolist():
-                        for item in mine[r, left[w] : right[w]].tolist():
-                            met.setdefault((part[w][0], item), []).append(w)
+                    left = np.searchsorted(table[r], keys[r])
+                    hits = np.flatnonzero(table[r][np.minimum(left, len(mine[r]) - 1)] == keys[r])
+                    right = np.searchsorted(table[r], keys[r, hits], "right")
+                    for w, a, b in zip(hits.tolist(), left[hits].tolist(), right.tolist(), strict=True):
+                        for item in mine[r, a:b].tolist():
+                            met.setdefault((docs[w], item), []).append(w)
             for (doc, item), rows in met.items():
-                self._verify(out[doc], item, part[rows[0]][1], sorted({part[w][2] for w in rows}))
+                self._verify(out[doc], item, words[doc], sorted({at[w] for w in rows}))
 
     def _verify(self, out: list, item: int, words: list[str], starts: list[int]) -> None:
         """Adds the best match of the item around each group of starts; starts that touch are verified together."""
@@ -311,8 +359,10 @@ class Matcher:
                 end += 1
             low = max(0, starts[begin] - allowed)
             region = words[low : max(0, starts[end] + m + 2 * allowed)]
-            distance, stop = best_match(pattern, region)
-            if distance <= allowed:
+            # within reach m - allowed words of the item stand in the text
+            near = sum(map(self.own_words[item].__contains__, region)) >= m - allowed
+            distance, stop = best_match(pattern, region) if near else (m, 0)
+            if near and distance <= allowed:
                 back = best_match(pattern[::-1], region[:stop][::-1])[1]
                 out.append((key, distance, m, low + stop - back, low + stop))
             begin = end + 1
